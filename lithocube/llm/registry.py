@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality_rules, sharding
+from . import chat, media, mixing, quality_rules, sentencepiece_codec, sharding, token_counts
 from .oracles import ORACLES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         sharding.op2_rendezvous_sharding,
+        sentencepiece_codec.op4_sentencepiece,
         mixing.op5_systematic_mixing,
         chat.op6_chat_formatting,
+        token_counts.op7_token_counts,
+        media.op8_media_tiff,
         quality_rules.op10_quality_rules,
     ]
     return {f.__name__: f for f in found}
