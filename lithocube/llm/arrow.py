@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Bytes of one column's values that a kernel is given at once; a single longer value comes alone.
@@ -15,7 +16,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
     """The batch cut so that each part's `column` holds about `most` bytes at most."""
     values = batch.column(batch.schema.get_field_index(column))
     start = held = 0
-    sizes = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist()
     for k, n in enumerate(sizes):
         if k > start and held + n > most:
             yield batch.slice(start, k - start)

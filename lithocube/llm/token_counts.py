@@ -7,6 +7,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,7 +136,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text")
         n_tokens = pa.array(counter(path)(texts.to_pylist()), pa.int64())
-        n_bytes = pa.compute.binary_length(texts).cast(pa.int64())
+        n_bytes = pc.binary_length(texts).cast(pa.int64())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), n_bytes, n_tokens], ["doc_id", "n_bytes", "n_tokens"])
 
     counted = map_batches(rows, kernel, f"doc_id {key_type}, n_bytes long, n_tokens long", "text")
