@@ -188,7 +188,9 @@ def learn_rules(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -
     some = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     # at most `rows` rows of 9 bytes: small whatever the tables hold
     labelled = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).drop("_id")
-    got = base_statistics(labelled).where(~base_failed()).select("doc_id", "_bad", *FEATURES).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
+    # no filter on the statistics: the optimizer would take it, and with it the statistics of every document, below the join
+    made = base_statistics(labelled).select("doc_id", "_bad", base_failed().alias("_failed"), *FEATURES)
+    got = [r for r in made.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect() if not r["_failed"]]
     x = {name: np.array([r[name] for r in got], float) for name in FEATURES}
     return learn_decision_list(x, np.array([r["_bad"] for r in got], bool)) if got else []
 
