@@ -16,13 +16,13 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
-from collections.abc import Iterator
 
 import numpy as np
 
 #: Bytes that a queue holds, and that one array may have in memory, before they go to disk.
 MEMORY = 256 << 20
-BIN = 8192
+#: Tuples looked at together, and tuples of a bin, for large alphabets.
+WINDOW, BIN = 4096, 1 << 17
 
 
 class Scratch:
@@ -90,6 +90,12 @@ class SymbolQueue:
                 self.parts[b] = run
         self.held = sum(a.nbytes for b in range(self.at, min(self.bins, self.at + 2)) for p in self.parts[b] if len(p) == 3 for a in p)
 
+    def arrived(self, b: int) -> list[tuple]:
+        """What has been pushed to bin b since it was taken."""
+        found, self.parts[b] = self.parts[b], []
+        self.held -= sum(a.nbytes for p in found for a in p)
+        return found
+
     def take(self, b: int) -> list[np.ndarray] | None:
         """All tuples of bin b, by symbol and time."""
         self.at = b
@@ -111,6 +117,20 @@ class SymbolQueue:
         return columns
 
 
+def range_minima(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """min(values[left..right]) of each range, by tables of doubling width that end with the widest range."""
+    out = np.empty(len(left), values.dtype)
+    rest, table, width = np.arange(len(left)), values, 1
+    while len(rest):
+        now = right - left + 1 < 2 * width
+        out[rest[now]] = np.minimum(table[left[now]], table[right[now] - width + 1])
+        rest, left, right = rest[~now], left[~now], right[~now]
+        if len(rest):
+            table = np.minimum(table[:-width], table[width:])
+            width *= 2
+    return out
+
+
 class Lows:
     """Common prefixes of popped suffixes, and their minima between two pushes of one symbol."""
 
@@ -122,35 +142,29 @@ class Lows:
     def between(self, common: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """For pushes from places `at` of the popped block, in order of symbol and place: the least common prefix since the
         push before for the same symbol, -1 for a symbol's first one."""
-        first = np.r_[True, symbol[1:] != symbol[:-1]]
+        first = np.ones(len(at), bool)
+        np.not_equal(symbol[1:], symbol[:-1], out=first[1:])
         out = np.empty(len(at), np.int32)
         rest = np.flatnonzero(~first)
-        left, right = at[rest - 1] + 1, at[rest]  # the least of common[left..right]
-        table, width = common, 1
-        while len(rest):
-            now = right - left + 1 < 2 * width
-            k, a, b = rest[now], left[now], right[now]
-            out[k] = np.minimum(table[a], table[b - width + 1])
-            rest, left, right = rest[~now], left[~now], right[~now]
-            if len(rest):
-                table = np.minimum(table[:-width], table[width:])
-                width *= 2
+        out[rest] = range_minima(common, at[rest - 1] + 1, at[rest])
         k = np.flatnonzero(first)
         s = symbol[k]
         before = self.block[s]
         value = np.minimum(self.tail[s], np.minimum.accumulate(common)[at[k]])
         if self.ids:  # blocks popped in between: a stack of rising minima
-            ids, least = np.array(self.ids), np.array(self.least)
-            place = np.searchsorted(ids, before + 1)
-            value = np.where(place < len(ids), np.minimum(value, least[np.minimum(place, len(ids) - 1)]), value)
+            place = np.searchsorted(np.array(self.ids), before, side="right")
+            value = np.minimum(value, np.array([*self.least, np.iinfo(np.int32).max])[place])
         out[k] = np.where(before < 0, -1, value)
         return out
 
     def close(self, common: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> None:
         """The block is popped; notes each symbol's last push."""
         if len(at):
-            last = np.r_[np.flatnonzero(symbol[1:] != symbol[:-1]), len(symbol) - 1]
-            tails = np.r_[np.minimum.accumulate(common[::-1])[::-1], np.iinfo(np.int32).max]
+            final = np.ones(len(symbol), bool)
+            np.not_equal(symbol[1:], symbol[:-1], out=final[:-1])
+            last = np.flatnonzero(final)
+            tails = np.full(len(common) + 1, np.iinfo(np.int32).max, np.int32)
+            tails[:-1] = np.minimum.accumulate(common[::-1])[::-1]
             self.tail[symbol[last]] = tails[at[last] + 1]
             self.block[symbol[last]] = self.count
         low = int(common.min())
@@ -184,6 +198,38 @@ class Level:
         """How often the symbol at each place repeats from there on."""
         return self.turns[np.searchsorted(self.turns, at)] - at + 1
 
+    def repeats(self, at: np.ndarray) -> np.ndarray:
+        """How often the symbol at each place stands right before it."""
+        out = np.zeros(len(at), np.int64)
+        has = np.flatnonzero((at > 0) & (self.text[np.maximum(at - 1, 0)] == self.text[at]))
+        k = np.searchsorted(self.turns, at[has])
+        out[has] = at[has] - np.where(k > 0, self.turns[np.maximum(k - 1, 0)] + 1, 0)
+        return out
+
+    def with_repeats(self, symbol: np.ndarray, place: np.ndarray, prefix: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Tuples from the queue that stand after repeats of their symbol push these one by one for the same symbol. All of
+        them at once: first the tuples themselves, then one step back for each that has one, and so on. After t steps two of
+        them share t symbols more than at first, and the first of a step shares t with the one before it."""
+        back = np.where(own, self.repeats(place), 0)
+        which = np.flatnonzero(back)
+        if not len(which):
+            return symbol, place, prefix, own
+        count = back[which]
+        index = np.repeat(which, count)
+        step = np.arange(len(index)) - np.repeat(np.cumsum(count) - count, count) + 1
+        order = np.lexsort((index, step, symbol[index]))
+        index, step = index[order], step[order]
+        follows = np.zeros(len(index), bool)
+        follows[1:] = (step[1:] == step[:-1]) & (symbol[index[1:]] == symbol[index[:-1]])
+        k = np.flatnonzero(follows)
+        shared = step.astype(np.int32)
+        shared[k] += range_minima(prefix, index[k - 1] + 1, index[k])
+        symbols, places = np.concatenate([symbol, symbol[index]]), np.concatenate([place, (place[index] - step).astype(place.dtype)])
+        steps = np.concatenate([np.zeros(len(symbol), np.int64), step])
+        owns, prefixes = np.concatenate([own, np.ones(len(index), bool)]), np.concatenate([prefix, shared])
+        order = np.lexsort((steps, ~owns, symbols))
+        return symbols[order], places[order], prefixes[order], owns[order]
+
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Symbols that the suffixes at a and b share, by comparing."""
         out = np.zeros(len(a), np.int64)
@@ -259,57 +305,71 @@ class Level:
             end = np.array([self.text[self.n - 1]], np.int64)
             queue.push(end, np.array([self.n - 1], self.place), np.zeros(1, np.int32))
             lows.close(np.zeros(1, np.int32), np.zeros(1, np.int64), end)
-        seed_edges = np.searchsorted(queue.bin_of(seed_symbol), np.arange(queue.bins + 1))
+        seed_edges = np.searchsorted(queue.bin_of(seed_symbol), np.arange(queue.bins + 1)).tolist()
         out_place, out_common = [], []
-        last = (-1, False, -1)  # symbol, from the queue, place of what was popped last
+        none = (np.zeros(0, np.int64), np.zeros(0, self.place), np.zeros(0, np.int32))
+        never = np.iinfo(np.int64).max
+        last = (-1, False, -1)  # symbol, whether from the queue, and place of what was popped last
         for b in range(queue.bins):
             s, e = seed_edges[b], seed_edges[b + 1]
+            mine, k = queue.take(b) or none, 0
+            late, window = none, WINDOW  # what came to this bin meanwhile
             while True:
-                got = queue.take(b)
-                if got is None and s == e:
+                came = queue.arrived(b)
+                if came:
+                    late = [np.concatenate(x) for x in zip(late, *came, strict=True)]
+                    order = np.argsort(late[0], kind="stable")
+                    late = [x[order] for x in late]
+                if k == len(mine[0]) and s == e and not len(late[0]):
                     break
-                symbol, place, prefix = got or (np.zeros(0, np.int64), np.zeros(0, self.place), np.zeros(0, np.int32))
-                n_own = len(symbol)
-                if e > s:
-                    symbol = np.r_[symbol, seed_symbol[s:e]]
-                    place, prefix = np.r_[place, seeds[s:e]], np.r_[prefix, common[s:e]]
-                own = np.arange(len(symbol)) < n_own
-                order_key = 2 * symbol + ~own
-                if e > s and n_own:
-                    order = np.argsort(order_key, kind="stable")
-                    symbol, place, prefix, own, order_key = symbol[order], place[order], prefix[order], own[order], order_key[order]
+                # whole symbols, about a window of each kind of tuples
+                limit = min(int(x[window]) if window < len(x) else never for x in (mine[0][k : k + window + 1], late[0], seed_symbol[s : min(e, s + window + 1)]))
+                side = "left"
+                if limit < never and not any(len(x) and x[0] < limit for x in (mine[0][k : k + 1], late[0][:1], seed_symbol[s : min(e, s + 1)])):
+                    side = "right"
+                m, j, q = (int(np.searchsorted(x, limit, side=side)) for x in (mine[0][k:], late[0], seed_symbol[s:e]))
+                symbol, place, prefix = (np.concatenate(x) for x in zip([x[k : k + m] for x in mine], [x[:j] for x in late], (seed_symbol[s : s + q], seeds[s : s + q], common[s : s + q]), strict=True))
+                source = np.repeat(np.array([0, 1, 2], np.int8), [m, j, q])
+                if (m > 0) + (j > 0) + (q > 0) > 1:
+                    order = np.argsort(2 * symbol + (source == 2), kind="stable")
+                    symbol, place, prefix, source = symbol[order], place[order], prefix[order], source[order]
+                # a symbol waits if one before it has just got it another tuple
+                first = place - np.where(source < 2, self.repeats(place), 0)
+                goes = wanted[np.maximum(first - 1, 0)] & (first > 0)
+                bar = np.minimum.accumulate(np.where(goes, turn(self.text[np.maximum(first - 1, 0)].astype(np.int64)), never))
+                cut = np.flatnonzero(symbol[1:] >= bar[:-1])
+                if len(cut):
+                    take = int(np.searchsorted(symbol, symbol[cut[0] + 1]))
+                    symbol, place, prefix, source = symbol[:take], place[:take], prefix[:take], source[:take]
+                    window = max(64, 2 * take)
+                else:
+                    window = min(2 * window, 16 * WINDOW)
+                m, j, q = np.bincount(source, minlength=3).tolist()
+                k, s = k + m, s + q
+                late = [x[j:] for x in late]
+                own = source < 2
+                symbol, place, prefix, own = self.with_repeats(symbol, place, prefix, own)
                 before = np.maximum(place - 1, 0)
-                pushes = (place > 0) & wanted[before]
                 pushed = turn(self.text[before].astype(np.int64))
-                # a tuple is overtaken by an earlier push of a smaller key
-                bar = np.where(pushes, 2 * pushed, np.iinfo(np.int64).max)
-                bar = np.r_[np.iinfo(np.int64).max, np.minimum.accumulate(bar)[:-1]]
-                late = order_key > bar
-                take = int(np.argmax(late)) if late.any() else len(symbol)
-                if take < len(symbol):  # the rest waits
-                    back = own[take:]
-                    if back.any():
-                        queue.parts[b].append((symbol[take:][back], place[take:][back], prefix[take:][back]))
-                        queue.held += 0
-                    symbol, place, prefix, own, before, pushes, pushed = (x[:take] for x in (symbol, place, prefix, own, before, pushes, pushed))
-                s += int((~own).sum())
-                same = np.r_[last[0], symbol[:-1]] == symbol
-                came = np.r_[last[1], own[:-1]]
-                border = same & (came != own)
-                prefix = np.where(same, prefix, 0).astype(np.int32)
-                if border.any():
-                    k = np.flatnonzero(border)
-                    prefix[k] = np.minimum(self.runs(np.r_[last[2], place[:-1]][k]), self.runs(place[k]))
+                pushes = wanted[before] & (place > 0) & (pushed != symbol)
+                same, turned = np.empty(len(symbol), bool), np.empty(len(symbol), bool)
+                same[0], turned[0] = symbol[0] == last[0], own[0] != last[1]
+                np.equal(symbol[1:], symbol[:-1], out=same[1:])
+                np.not_equal(own[1:], own[:-1], out=turned[1:])
+                prefix = np.where(same, prefix, 0).astype(np.int32, copy=False)
+                border = np.flatnonzero(same & turned)
+                if len(border):
+                    previous = np.where(border > 0, place[border - 1], last[2])
+                    prefix[border] = np.minimum(self.runs(previous), self.runs(place[border]))
                 last = (int(symbol[-1]), bool(own[-1]), int(place[-1]))
-                if own.any():
-                    out_place.append(place[own])
-                    out_common.append(prefix[own])
+                out_place.append(place[own])
+                out_common.append(prefix[own])
                 at = np.flatnonzero(pushes)
                 key = pushed[at]
                 order = np.argsort(key.astype(np.uint8) if self.symbols <= 256 else key, kind="stable")
                 at, key = at[order], key[order]
                 if len(at):
-                    queue.push(key, before[at].astype(self.place), lows.between(prefix, at, key) + np.int32(1))
+                    queue.push(key, before[at].astype(self.place, copy=False), lows.between(prefix, at, key) + np.int32(1))
                 lows.close(prefix, at, key)
         empty = np.zeros(0, self.place)
         return np.concatenate([empty, *out_place]), np.concatenate([np.zeros(0, np.int32), *out_common])
@@ -344,10 +404,3 @@ def suffix_lcp(data: np.ndarray, scratch: Scratch) -> tuple[np.ndarray, np.ndarr
     code = np.cumsum(present)
     symbols = int(code[-1]) + 1
     return sort_level(Level(code[data], symbols, scratch))
-
-
-def neighbours(order: np.ndarray, common: np.ndarray, chosen: np.ndarray) -> Iterator[np.ndarray]:
-    """The chosen suffixes in order, and the common prefix of each with the chosen one before."""
-    at = np.flatnonzero(chosen[order])
-    yield order[at]
-    yield np.minimum.reduceat(common, np.r_[0, at[:-1] + 1])[: len(at)] if len(at) else np.zeros(0, np.int32)

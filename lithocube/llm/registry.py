@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, media, mixing, ngram_join, quality_rules, sentencepiece_codec, sharding, token_counts
+from . import chat, media, mixing, ngram_join, quality_rules, sentencepiece_codec, sharding, suffix_dedup, token_counts
 from .oracles import ORACLES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        suffix_dedup.op1_suffix_array_dedup,
         sharding.op2_rendezvous_sharding,
         ngram_join.op3_ngram_jaccard_join,
         sentencepiece_codec.op4_sentencepiece,
