@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, media, mixing, ngram_join, quality_rules, sentencepiece_codec, sharding, suffix_dedup, token_counts
+from . import chat, media, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, sharding, suffix_dedup, token_counts
 from .oracles import ORACLES
 
 
@@ -20,9 +20,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         chat.op6_chat_formatting,
         token_counts.op7_token_counts,
         media.op8_media_tiff,
+        quality_classifier.op9_quality_classifier,
         quality_rules.op10_quality_rules,
     ]
-    return {f.__name__: f for f in found}
+    import corpus_pipeline
+
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -313,11 +313,20 @@ def removed_windows(strings: DataFrame, length: int, buckets: int, memory: int =
     return strings.groupBy("shard").applyInArrow(sort, "bucket int, digests binary, starts binary, counts binary")
 
 
-def cut_texts(rows: DataFrame, removed: DataFrame, length: int) -> DataFrame:
+def _whole_characters(text: bytes, start: int, stop: int) -> tuple[int, int]:
+    """The span without the parts of characters at its ends."""
+    while start < stop and text[start] & 0xC0 == 0x80:
+        start += 1
+    while start < stop < len(text) and text[stop] & 0xC0 == 0x80:
+        stop -= 1
+    return start, stop
+
+
+def cut_texts(rows: DataFrame, removed: DataFrame, length: int, as_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, spans, kept, payload) of every row."""
     others = [f for f in rows.schema if f.name not in ("bucket", "digest", "doc_id", "text")]
     names = ["doc_id", "n_bytes", "spans", "kept", *(f.name for f in others)]
-    schema = "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in others)
+    schema = "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept " + ("string" if as_text else "binary") + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in others)
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def cut_all(texts: pa.Table, found: pa.Table) -> pa.Table:
@@ -340,22 +349,24 @@ def cut_texts(rows: DataFrame, removed: DataFrame, length: int) -> DataFrame:
                         merged[-1][1] = max(merged[-1][1], b)
                     else:
                         merged.append([a, b])
+            if as_text:
+                merged = [[a, b] for a, b in (_whole_characters(text, a, b) for a, b in merged) if a < b]
             edges = [0, *(x for span in merged for x in span), len(text)]
             kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             sizes.append(len(text))
             spans.append([{"start": a, "stop": b} for a, b in merged])
-        columns = [texts.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.binary())]
+        columns = [texts.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, span_type), pa.array([k.decode() for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
         return pa.Table.from_arrays([*columns, *(texts.column(f.name) for f in others)], names)
 
     return rows.groupBy("bucket").cogroup(removed.groupBy("bucket")).applyInArrow(cut_all, schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", payload: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", payload: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, spans, kept, payload columns) for every row.
 
     spans: the bytes covered by strings of `length` bytes that also start earlier, in a document of smaller id or further left;
     kept: the other bytes. Ids are whole numbers; null ids come first; rows of equal ids stand in order of their texts'
-    digests, equal texts in any order. Null texts are empty. No text shorter than `length` loses a byte.
+    digests, equal texts in any order. With as_text, kept is a string and spans are drawn in to whole characters. Null texts are empty. No text shorter than `length` loses a byte.
     """
     spark = docs.sparkSession
     buckets = bucket_count(spark)
@@ -363,7 +374,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text
     runs = repeated_runs(run_blocks(plain, length, buckets), buckets)
     rows = text_rows(plain, buckets)
     removed = removed_windows(shard_strings(rows, runs, length, buckets), length, buckets)
-    return cut_texts(rows, removed, length)
+    return cut_texts(rows, removed, length, as_text)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
