@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .arrow import slices
+from .arrow import give_back, slices
 from .blocks import block_batch, bucket_count, pack, split_by, unpack
 from .esais import MEMORY, Scratch, suffix_lcp
 from .shingles import _BASE, _BYTE, mixed, text_bytes
@@ -109,6 +109,8 @@ def run_blocks(texts: DataFrame, length: int, buckets: int) -> DataFrame:
                 yield from flush(held)
                 held, seen, many = [], set(), 0
         yield from flush(held)
+        del held
+        give_back()
 
     return texts.select("text").mapInArrow(run, "bucket int, digests binary, which binary, hashes binary, starts binary, counts binary")
 
@@ -286,7 +288,7 @@ def removed_windows(strings: DataFrame, length: int, buckets: int, memory: int =
             chosen = np.cumsum(opens[:-1]) > 0
             at = np.flatnonzero(chosen[suffixes])
             place = suffixes[at].astype(np.int64)
-            shared = np.minimum.reduceat(common, np.concatenate([[0], at[:-1] + 1])) if len(at) else np.zeros(0, np.int32)
+            shared = np.minimum.reduceat(common[: at[-1] + 1], np.concatenate([[0], at[:-1] + 1])) if len(at) else np.zeros(0, np.int32)
         run = np.searchsorted(offset, place, side="right") - 1
         order = np.lexsort((halves[:, 1], halves[:, 0], ids))
         change = np.ones(len(order), bool)
