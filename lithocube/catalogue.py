@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational_queries
+from . import numeric_queries, relational_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(relational_queries.QUERIES)
+    return {**relational_queries.QUERIES, **numeric_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
