@@ -71,27 +71,45 @@ class DocumentModel:
         return self.bias + np.bincount(text, self.weights[feature] * scale[text], minlength=len(texts))
 
 
-def fit_document_model(texts: pa.Array, good: np.ndarray, rounds: int = 120, rate: float = 0.5, shrink: float = 1e-4) -> DocumentModel:
-    """Logistic regression over hashed features, each text's weights scaled by its number of features, by full gradient steps.
-    Without labelled texts, or with one class only, the model knows nothing: all weights are 0."""
+def fit_document_model(rows: list[np.ndarray], good: np.ndarray, rounds: int = 80, rate: float = 0.5, shrink: float = 1e-4, part: int = 2000) -> DocumentModel:
+    """Logistic regression on the features of labelled texts, each text's weights scaled by its number of features, by full
+    gradient steps over parts of the texts. Without texts, or with one class only, the model knows nothing: weights are 0."""
     many = len(good)
     if not many or good.all() or not good.any():
         return DocumentModel(0.0, np.zeros(1 << BITS))
-    feature, text = features(*text_bytes(texts))
-    scale = 1 / np.sqrt(np.maximum(np.bincount(text, minlength=many), 1))
-    value = scale[text]
     weights, bias, memory = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-8)
     balance = np.where(good, 0.5 / good.mean(), 0.5 / (1 - good.mean()))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(text, weights[feature] * value, minlength=many), -30, 30)))
-        error = (good - p) * balance
-        slope = np.bincount(feature, error[text] * value, minlength=1 << BITS) / many - shrink * weights
+        slope, bias_slope = -shrink * weights * many, 0.0
+        for k in range(0, many, part):
+            count = np.array([len(r) for r in rows[k : k + part]])
+            feature, text = np.concatenate(rows[k : k + part]).astype(np.int64), np.repeat(np.arange(len(count)), count)
+            value = (1 / np.sqrt(np.maximum(count, 1)))[text]
+            p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(text, weights[feature] * value, minlength=len(count)), -30, 30)))
+            error = (good[k : k + part] - p) * balance[k : k + part]
+            slope += np.bincount(feature, error[text] * value, minlength=1 << BITS)
+            bias_slope += error.sum()
+        slope /= many
         memory += slope * slope
         weights += rate * slope / np.sqrt(memory)
-        bias += rate * error.mean()
+        bias += rate * bias_slope / many
     return DocumentModel(float(bias), weights)
 
 
+def text_features(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, more) -> the columns without text, and features (two bytes each)."""
+    others = [f for f in docs.schema if f.name != "text"]
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        feature, text = features(*text_bytes(batch.column("text")))
+        bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
+        packed = [feature[a:b].astype("<u2").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+        names = [f.name for f in others]
+        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(packed, pa.binary())], [*names, "features"])
+
+    return map_batches(docs, kernel, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "features binary"]), "text", 2 << 20)
+
+
 def score_documents(docs: DataFrame, model: DocumentModel) -> DataFrame:
     """docs (doc_id, text, more) -> the columns without text, and evidence (double): the log odds of the whole text."""
     others = [f for f in docs.schema if f.name != "text"]
@@ -134,9 +152,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     some = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     # at most `rows` rows of two numbers
     sample = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_good")
-    taken = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toArrow()
-    texts = taken.column("text").combine_chunks()
-    model = fit_document_model(texts if isinstance(texts, pa.Array) else pa.array([], pa.string()), taken.column("_good").to_numpy() > 0.5)
+    # what comes to the driver: at most `rows` rows of 16-bit features, a text's distinct words and rates
+    taken = text_features(sample).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
+    model = fit_document_model([np.frombuffer(r["features"], "<u2") for r in taken], np.array([r["_good"] > 0.5 for r in taken], bool))
     plain = docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
     scored = cut(score_documents(plain, model))
     odds = lambda p: F.log(p / (1 - p))
