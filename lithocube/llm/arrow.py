@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,12 +28,20 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         yield batch.slice(start)
 
 
-def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, sized_by: str) -> DataFrame:
-    """kernel over slices of each Arrow batch, at most SLICE_BYTES of column `sized_by` at once."""
+def give_back() -> None:
+    """Returns freed memory to the system. A worker is kept for later tasks and would else hold its largest task's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not with every C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, sized_by: str, most: int = SLICE_BYTES) -> DataFrame:
+    """kernel over slices of each Arrow batch, at most `most` bytes of column `sized_by` at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, sized_by):
+            for part in slices(batch, sized_by, most):
                 yield kernel(part)
+        give_back()
 
     return df.mapInArrow(run, schema)

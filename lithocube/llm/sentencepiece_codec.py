@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import struct
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .arrow import map_batches
+from .arrow import give_back, slices
 
 MARK = "▁"
 #: Fixed values of the model format: kinds of pieces.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Encoded units and pairs of pieces a worker keeps at most, and the longest unit it keeps.
-KEPT_UNITS, KEPT_PAIRS, KEPT_CHARS = 800_000, 3_000_000, 48
+#: Code points of units whose suffixes are sorted together, and bytes of texts in a slice.
+KEPT_UNITS, KEPT_PAIRS, KEPT_CHARS = 600_000, 2_000_000, 48
+SORTED, SLICE = 200_000, 3 << 20
 
 
 def _fields(data: bytes):
@@ -59,13 +62,23 @@ def _fields(data: bytes):
         yield tag >> 3, value
 
 
-def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of the suffixes in order of their first `depth` symbols at least, by prefix doubling."""
-    order = np.argsort(codes, kind="stable")
+def suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """(starts of the suffixes in order of their first `depth` symbols at least, by prefix doubling; the symbols that occur;
+    sorted keys of the suffixes' first `have` symbols; have; bits of a symbol in a key)."""
+    # the first sort looks at as many symbols as a number holds
+    present, small = np.unique(codes, return_inverse=True)
+    small = small.astype(np.int64) + 1
+    bits = int(small.max(initial=1)).bit_length()
+    first = have = max(1, min(depth, 62 // bits))
+    key = small
+    for k in range(1, have):
+        key = key << bits
+        key[:-k] |= small[k:]
+    order = np.argsort(key, kind="stable")
     rank = np.empty(len(codes), np.int64)
-    step = np.r_[0, np.cumsum(codes[order][1:] != codes[order][:-1])]
+    step = np.r_[0, np.cumsum(key[order][1:] != key[order][:-1])]
     rank[order] = step
-    have = 1
+    begin = key
     while have < depth and len(codes) and step[-1] < len(codes) - 1:
         later = np.zeros(len(codes), np.int64)
         later[: len(codes) - have] = rank[have:] + 1
@@ -75,11 +88,11 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
         rank = np.empty(len(codes), np.int64)
         rank[order] = step
         have *= 2
-    return order
+    return order, present, begin[order], first, bits
 
 
-class Model:
-    """The vocabulary, its merges as sorted arrays, and what has been found out about pairs of pieces."""
+class Vocabulary:
+    """A model file's pieces, checked to be of the kind that this module encodes, and the bytes each stands for."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -88,7 +101,7 @@ class Model:
         trainer = next((dict(_fields(v)) for k, v in fields if k == 2), {})
         norm = next((dict(_fields(v)) for k, v in fields if k == 3), {})
         self.text = [p.get(1, b"").decode() for p in pieces]
-        score = np.array([struct.unpack("<f", p[2])[0] if 2 in p else 0.0 for p in pieces])
+        self.score = np.array([struct.unpack("<f", p[2])[0] if 2 in p else 0.0 for p in pieces])
         self.kind = np.array([p.get(3, NORMAL) for p in pieces])
         plain = norm.get(2, b"") == b"" and not norm.get(4, 1) and norm.get(5, 1) and not trainer.get(24, 0)
         if trainer.get(3, 1) != 2 or not plain or (self.kind == USER_DEFINED).any() or (self.kind == BYTE).sum() != 256:
@@ -97,12 +110,27 @@ class Model:
         self.byte_ids = np.zeros(256, np.int64)
         for k in np.flatnonzero(self.kind == BYTE):
             self.byte_ids[int(self.text[k][3:5], 16)] = k
+        self.raw = [t.replace(MARK, " ").encode() for t in self.text]
+        for k in np.flatnonzero(self.kind != NORMAL):
+            self.raw[k] = bytes([int(self.text[k][3:5], 16)]) if self.kind[k] == BYTE else " ⁇ ".encode() if self.kind[k] == UNKNOWN else b""
+
+    def decode(self, ids: list[int]) -> str:
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        return text[1:] if self.prefix and text[:1] == " " else text
+
+
+class Model(Vocabulary):
+    """Its merges as sorted arrays, and what has been found out about pairs of pieces."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        pieces = self.text
         self.size = len(pieces) + 2  # two more symbols: any character without a piece, and the start of a unit
         self.stranger, self.start = len(pieces), len(pieces) + 1
         self.id_of = {self.text[k]: int(k) for k in np.flatnonzero(self.kind == NORMAL) if self.text[k]}
         if any(a != MARK and b == MARK for t in self.id_of for a, b in zip(t, t[1:], strict=False)):
             raise ValueError("a piece has a mark after another character: words can't be cut apart")
-        _, rank = np.unique(-score, return_inverse=True)
+        _, rank = np.unique(-self.score, return_inverse=True)
         pairs = [(self.id_of[t[:k]], self.id_of[t[k:]], i) for t, i in self.id_of.items() for k in range(1, len(t)) if t[:k] in self.id_of and t[k:] in self.id_of]
         key = np.array([a * self.size + b for a, b, _ in pairs], np.int64)
         made = np.array([i for _, _, i in pairs], np.int64)
@@ -121,11 +149,13 @@ class Model:
             table[row, : lengths[row]] = [ord(c) for c in self.text[i]]
         self.spelling, self.lengths = table, lengths
         self.pair_keys, self.pair_firm = np.array([-1], np.int64), np.array([False])
-        safe_break = "\n" not in set("".join(self.id_of))
-        self.units = regex.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+" if safe_break else f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
-        self.raw = [t.replace(MARK, " ").encode() for t in self.text]
-        for k in np.flatnonzero(self.kind != NORMAL):
-            self.raw[k] = bytes([int(self.text[k][3:5], 16)]) if self.kind[k] == BYTE else " ⁇ ".encode() if self.kind[k] == UNKNOWN else b""
+        # texts may be cut before marks, around line feeds, and between letters and signs, where no piece reaches across
+        line = "" if "\n" in self.chars else "\n"
+        pairs = {(x, y) for t in self.id_of for x, y in zip(t, t[1:], strict=False)}
+        letters = {c for c in self.chars if c.isalpha()}
+        signs = {c for c in "!\"#$%&()*+,./:;<=>?@[]^_`{|}~" if not any((x, c) in pairs for x in letters)}
+        word = f"{MARK}*\\p{{L}}+(?=[{''.join(map(regex.escape, sorted(signs)))}])|" if signs else ""
+        self.units = regex.compile(f"{line + '|' if line else ''}{word}{MARK}+[^{MARK}{line}]*|[^{MARK}{line}]+").findall
 
     def _merge(self, rows: list[list[int]]) -> list[list[int]]:
         """BPE of rows of symbols: in each round every row makes its best merge, the leftmost of equals."""
@@ -183,24 +213,32 @@ class Model:
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, stop, piece) of every occurrence of every piece in the text."""
-        order = suffix_array(codes, self.longest)
-        padded = np.r_[codes, np.full(self.longest, -1)]
-        row = np.arange(len(self.live))
-        low, high = np.zeros(len(row), np.int64), np.full(len(row), len(codes), np.int64)
+        order, present, keys, have, bits = suffix_array(codes, self.longest)
+        padded = np.concatenate([codes, np.full(self.longest, -1)])
+        # pieces as keys: one binary search gives the range of suffixes that begin with the first symbols
+        number = np.minimum(np.searchsorted(present, self.spelling), len(present) - 1)
+        used = np.arange(self.longest) < self.lengths[:, None]
+        known = ((present[number] == self.spelling) | ~used).all(axis=1)
+        row = np.flatnonzero(known)
+        number = np.where(used, number + 1, 0)[row, :have]
+        low = number @ (1 << (bits * np.arange(have - 1, -1, -1)[: number.shape[1]]))
+        high = low + (1 << (bits * (have - np.minimum(self.lengths[row], have))))
+        low, high = np.searchsorted(keys, low), np.searchsorted(keys, high)
         found = []
-        for depth in range(self.longest):
-            symbol = self.spelling[row, depth]
-            bounds = []
-            for right in (False, True):
-                a, b = low.copy(), high.copy()
-                while (a < b).any():
-                    mid = (a + b) >> 1
-                    value = padded[order[np.minimum(mid, len(order) - 1)] + depth]
-                    up = (a < b) & ((value < symbol) | (right & (value == symbol)))
-                    a, b = np.where(up, mid + 1, a), np.where((a < b) & ~up, mid, b)
-                bounds.append(a)
-            low, high = bounds
-            full = (self.lengths[row] == depth + 1) & (high > low)
+        for depth in range(have - 1, self.longest):
+            if depth >= have:  # the others are narrowed symbol by symbol
+                symbol = self.spelling[row, depth]
+                bounds = []
+                for right in (False, True):
+                    a, b = low.copy(), high.copy()
+                    while (a < b).any():
+                        mid = (a + b) >> 1
+                        value = padded[order[np.minimum(mid, len(order) - 1)] + depth]
+                        up = (a < b) & ((value < symbol) | (right & (value == symbol)))
+                        a, b = np.where(up, mid + 1, a), np.where((a < b) & ~up, mid, b)
+                    bounds.append(a)
+                low, high = bounds
+            full = (self.lengths[row] <= depth + 1) & (high > low)
             found.append((row[full], low[full], high[full]))
             on = (self.lengths[row] > depth + 1) & (high > low)
             row, low, high = row[on], low[on], high[on]
@@ -252,12 +290,17 @@ class Model:
 
 
 class Codec:
-    """Encodes and decodes texts; keeps the ids of short units, at most KEPT_UNITS of them."""
+    """Encodes texts; keeps the ids of short units, at most KEPT_UNITS of them."""
 
     def __init__(self, path: str):
         self.model = Model(path)
         self._forget()
 
+    def rest(self) -> None:
+        """Between tasks a worker keeps the model and a small table only."""
+        if len(self.known) > KEPT_UNITS // 4:
+            self._forget()
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -270,12 +313,14 @@ class Codec:
             self._forget()
         new = list(set().union(*parts) - self.known.keys())
         if new:
-            ids, count = m.encode_units(new)
+            ends = np.cumsum([len(u) for u in new])
+            cuts = np.unique([0, *np.searchsorted(ends, np.arange(SORTED, ends[-1], SORTED)).tolist(), len(new)]).tolist()
+            ids, count = (np.concatenate(x) for x in zip(*(m.encode_units(new[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
             self.known.update(zip(new, range(len(self.first), len(self.first) + len(new)), strict=True))
             self.first = np.r_[self.first, len(self.flat) + np.cumsum(count) - count]
             self.flat, self.count = np.r_[self.flat, ids], np.r_[self.count, count]
         sizes = np.array([len(p) for p in parts], np.int64)
-        unit = np.fromiter((i for p in parts for i in map(self.known.__getitem__, p)), np.int64, sizes.sum())
+        unit = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, sizes.sum())
         count = self.count[unit]
         ends = np.cumsum(count)
         place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count) + np.repeat(self.first[unit], count)
@@ -288,20 +333,17 @@ class Codec:
             self._forget()
         return ids, totals
 
-    def decode(self, rows: list[list[int]]) -> list[str]:
-        raw, marked = self.model.raw, self.model.prefix
-        out = []
-        for ids in rows:
-            text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace")
-            out.append(text[1:] if marked and text[:1] == " " else text)
-        return out
-
 
 @functools.lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@functools.lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
 def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, text_sha256, ids) for every row; `path` names the model file on every machine.
 
@@ -321,7 +363,14 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             ["doc_id", "n_bytes", "text_sha256", "ids"],
         )
 
-    return map_batches(rows, kernel, f"doc_id {key_type}, n_bytes long, text_sha256 string, ids array<int>", "text")
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                yield kernel(part)
+        codec(path).rest()
+        give_back()
+
+    return rows.mapInArrow(run, f"doc_id {key_type}, n_bytes long, text_sha256 string, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
@@ -331,7 +380,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     def kernel(batches):
         for batch in batches:
             rows = batch.column(batch.schema.get_field_index("ids"))
-            texts = [None if r is None else codec(path).decode([r])[0] for r in rows.to_pylist()]
+            texts = [None if r is None else vocabulary(path).decode(r) for r in (x.as_py() for x in rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return encoded.drop("decoded").mapInArrow(kernel, schema)
