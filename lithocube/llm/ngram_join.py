@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut, table
-from .arrow import slices
+from .arrow import give_back, slices
 from .blocks import block_batch, bucket_count, pack, split_by, unpack
 from .components import connected_components, local_roots
 from .shingles import TOKEN_BITS, set_signatures, shingle_tokens, text_bytes
@@ -29,7 +29,7 @@ from .shingles import TOKEN_BITS, set_signatures, shingle_tokens, text_bytes
 #: Sets in a block of a large component: a task holds two blocks.
 BLOCK = 2048
 #: Tokens a map task gathers before it sends blocks, and texts in a slice.
-GATHER, SLICE, TEXTS = 4_000_000, 4 << 20, 60_000
+GATHER, SLICE, TEXTS = 2_000_000, 2 << 20, 30_000
 LOW = np.uint64((1 << TOKEN_BITS) - 1)
 
 
@@ -74,10 +74,12 @@ def token_blocks(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             on = fresh[owner]
             held.append((tokens[on], number[owner[on]], sig[fresh], size[fresh]))
             many += int(on.sum())
-            if many >= GATHER or sum(len(h[2]) for h in held) > TEXTS - SLICE // 80:
+            if many >= GATHER or sum(len(h[2]) for h in held) > 60_000:
                 yield from flush(held)
                 held, seen, many = [], set(), 0
         yield from flush(held)
+        del held
+        give_back()
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         if not held:
