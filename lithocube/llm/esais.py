@@ -266,19 +266,26 @@ class Level:
         key = key[order]
         fresh = np.r_[True, key[1:] != key[:-1]]
         done = self.per
+        # places in the order where neighbours are still equal; a piece that ends here still differs from one that goes on
+        active, group = np.arange(len(order)), np.cumsum(fresh)
         while True:
-            group = np.cumsum(fresh)
-            tied = ~fresh
-            tied[:-1] |= ~fresh[1:]
-            active = np.flatnonzero(tied & (length[order] >= done))  # one that ends here still differs from one that goes on
+            tied = np.zeros(len(active), bool)
+            tied[1:] = group[1:] == group[:-1]
+            tied[:-1] |= tied[1:]
+            on = tied & (length[order[active]] >= done)
+            active, group = active[on], group[on]
             if not len(active):
                 break
             sub = order[active]
             key = self.key(star[sub] + done, length[sub] - done)
-            again = np.lexsort((key, group[active]))
-            order[active] = sub[again]
-            key, mine = key[again], group[active]
-            fresh[active[1:]] |= (key[1:] != key[:-1]) & (mine[1:] == mine[:-1])
+            again = np.lexsort((key, group))
+            order[active], key = sub[again], key[again]
+            split = np.ones(len(active), bool)
+            np.not_equal(key[1:], key[:-1], out=split[1:])
+            inside = np.zeros(len(active), bool)
+            np.equal(group[1:], group[:-1], out=inside[1:])
+            fresh[active[split & inside]] = True
+            group = np.cumsum(split | ~inside)
             done += self.per
         names = np.cumsum(fresh)
         if names[-1] == len(star):
