@@ -48,13 +48,13 @@ def fold_events(events: DataFrame) -> DataFrame:
     """Events (conv_id, message_id, seq, kind, role, text) -> messages (conv_id, message_id, seq, role, text).
 
     kind: `delta` appends its text; `edit` replaces the text by its own; `regenerate` clears it, later deltas write it
-    anew; `delete` removes the message unless a later event writes it again. Other kinds raise no error and do nothing. A
+    anew; `delete` removes the message unless a later event writes it again. Events of other kinds don't count. A
     message stands where its first event stood and has the role that its last event with a role gives. Events of
     equal seq count in order of kind, role and text. Null texts are empty; a null message_id is one message of its conversation.
     """
     last_reset = F.max(F.when(F.col("kind").isin("edit", "regenerate", "delete"), F.struct("seq", "kind", "role", "text"))).over(Window.partitionBy("conv_id", "message_id"))
     here = F.struct("seq", "kind", "role", "text")
-    marked = events.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_reset", last_reset).withColumn("_live", F.col("_reset").isNull() | (here >= F.col("_reset")))
+    marked = events.where(F.col("kind").isin("delta", "edit", "regenerate", "delete")).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_reset", last_reset).withColumn("_live", F.col("_reset").isNull() | (here >= F.col("_reset")))
     written = F.col("_live") & F.col("kind").isin("delta", "edit")
     parts = F.sort_array(F.collect_list(F.when(written, F.struct("seq", "kind", "role", "text"))))
     folded = marked.groupBy("conv_id", "message_id").agg(
