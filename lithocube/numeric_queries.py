@@ -154,3 +154,73 @@ def q76_interpolation_benchmark(s, d):
         return pd.DataFrame(out, columns=["scenario", "engine", "angle", "rmse", "mae", "rmss"])
 
     return names.groupBy("scenario").applyInPandas(score, "scenario string, engine string, angle double, rmse double, mae double, rmss double")
+
+
+@register
+def q77_tikhonov(s, d):
+    """Per column of layers at each epoch, from the surface and every fourth station as a well: the unconstrained and the non-negative
+    minimum. A group for each station; a column without a well has the surface only."""
+    import pandas as pd
+
+    from .kernels import least_squares as ls
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        station = int(pdf["station"].iloc[0])
+        wide = pdf.pivot(index="epoch", columns="layer", values="w").sort_index()
+        surface = pdf.groupby("epoch")["d"].first().sort_index().to_numpy()
+        well = 1.0 if station % 4 == 0 else 0.0
+        h = ls.layer_matrix(wide.shape[1], 0.01, 1.0, well)
+        right = surface[:, None] + well * wide.to_numpy()
+        free = np.array([ls.tikhonov(h, g) for g in right])
+        bound = np.array([ls.bounded_minimum(h + 1e-12 * np.eye(len(h)), g)[0] for g in right])
+        out = pd.DataFrame({"epoch": np.repeat(wide.index, wide.shape[1]), "layer": np.tile(wide.columns, len(wide)), "free": free.ravel(), "bounded": bound.ravel()})
+        return out.assign(station=station)[["station", "epoch", "layer", "free", "bounded"]]
+
+    return rows(s, d).groupBy("station").applyInPandas(solve, "station int, epoch int, layer int, free double, bounded double")
+
+
+@register
+def q78_bayes_aniso(s, d):
+    return inversion.bayes_epoch(rows(s, d), "anisotropic")
+
+
+@register
+def q79_fold_validation(s, d):
+    """Five spatial folds of each layer's stations: both engines with fixed parameters, refit without each fold."""
+    import pandas as pd
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("station")
+        x, y = pdf[["x", "y"]].to_numpy() / 1000, pdf["v"].to_numpy()
+        folds, whole = fields.spatial_folds(x, 5), fields.fit_field(x, y, trials=20)
+        var, span = float(y.var()) or 1.0, float(np.ptp(x, axis=0).max()) or 1.0
+        engines = {
+            "gp": lambda a, b: fields.Field(a, b, whole.angle, whole.lengths, whole.signal, whole.noise),
+            "kriging": lambda a, b: fields.Kriging(a, b, "spherical", var, span / 2, 0.1 * var),
+        }
+        out = []
+        for name, fit in engines.items():
+            got = fields.cross_validate(x, y, folds, fit)
+            for station, fold, (pred, std), truth in zip(pdf["station"], folds, got, y, strict=True):
+                out.append((int(pdf["layer"].iloc[0]), name, int(station), int(fold), pred, truth - pred, (truth - pred) / (std + 1e-8), abs(truth - pred)))
+        return pd.DataFrame(out, columns=["layer", "engine", "station", "fold", "pred", "residual", "zscore", "abs_error"])
+
+    return layer_points(s, d).groupBy("layer").applyInPandas(score, "layer int, engine string, station int, fold int, pred double, residual double, zscore double, abs_error double")
+
+
+@register
+def q80_run_summary(s, d):
+    """One row for each figure of a run with preset smoothing: (stage, name, value)."""
+    from .sources.files import RunConfig
+
+    config = RunConfig.parse("[Inversion]\nsolver = joint\nlam = 0.01\nlam_t = 3.0\n")
+    out = inversion.run(config, s, model(s, d), insar(s, d), tables.stations(s), N)
+    parts = [
+        out["model"].agg(F.max("kkt").alias("kkt"), F.max("m").alias("largest")),
+        out["weights"].groupBy("station").agg(F.sum("w").alias("w")).agg(F.avg("w").alias("mean_coverage"), F.min("w").alias("least_coverage")),
+        metrics.errors(out["forward"], ["fold"]).agg(F.avg("rmse").alias("mean_fold_rmse"), F.max("rmse").alias("largest_fold_rmse")),
+        metrics.errors(out["loso"], ["layer"]).agg(F.avg("rmse").alias("mean_loso_rmse"), F.max("rmse").alias("largest_loso_rmse")),
+    ]
+    stages = ["inversion", "weights", "forward", "loso"]
+    long = [p.unpivot([], p.columns, "name", "value").select(F.lit(k).alias("stage"), "name", F.col("value").cast("double").alias("value")) for k, p in zip(stages, parts, strict=True)]
+    return long[0].unionByName(long[1]).unionByName(long[2]).unionByName(long[3])

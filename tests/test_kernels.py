@@ -98,7 +98,7 @@ def test_toy_solvers_recover_the_world():
     assert m.shape == truth.shape and ((m - truth) ** 2).mean() < 10
 
 
-@pytest.mark.parametrize("name", ["q50_independent", "q51_joint", "q53_bayes_iso", "q55_post_std", "q60_forward_cv", "q61_loso", "q70_gp", "q72_kriging", "q76_interpolation_benchmark"])
+@pytest.mark.parametrize("name", ["q50_independent", "q51_joint", "q53_bayes_iso", "q55_post_std", "q60_forward_cv", "q61_loso", "q70_gp", "q72_kriging", "q76_interpolation_benchmark", "q77_tikhonov", "q79_fold_validation", "q80_run_summary"])
 def test_numeric_queries_run(spark, name):
     got = nq.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
     assert len(got)
