@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +31,9 @@ MARK = "▁"
 #: Fixed values of the model format: kinds of pieces.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Encoded units and pairs of pieces a worker keeps at most, and the longest unit it keeps.
-#: Code points of units whose suffixes are sorted together, and bytes of texts in a slice.
+#: Code points of units whose suffixes are sorted together, bytes of texts in a slice, ids decoded together.
 KEPT_UNITS, KEPT_PAIRS, KEPT_CHARS = 600_000, 2_000_000, 48
-SORTED, SLICE = 200_000, 3 << 20
+SORTED, SLICE, DECODED = 200_000, 3 << 20, 500_000
 
 
 def _fields(data: bytes):
@@ -114,6 +115,30 @@ class Vocabulary:
         for k in np.flatnonzero(self.kind != NORMAL):
             self.raw[k] = bytes([int(self.text[k][3:5], 16)]) if self.kind[k] == BYTE else " ⁇ ".encode() if self.kind[k] == UNKNOWN else b""
 
+        sizes = np.array([len(r) for r in self.raw], np.int64)
+        self.raw_bytes, self.raw_sizes, self.raw_starts = np.frombuffer(b"".join(self.raw), np.uint8), sizes, np.cumsum(sizes) - sizes
+
+    def decode_rows(self, ids: np.ndarray, count: np.ndarray) -> pa.Array:
+        """Texts of rows of ids laid end to end. All bytes are gathered at once; only if they aren't UTF-8 throughout, as
+        pieces of single bytes may make them, each row is decoded by itself."""
+        size = self.raw_sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = self.raw_bytes[np.arange(ends[-1]) - np.repeat(ends[:-1] - self.raw_starts[ids], size)]
+        bounds = ends[np.concatenate([[0], np.cumsum(count)])]
+        starts = bounds[:-1][bounds[:-1] < bounds[1:]]
+        try:
+            data.tobytes().decode()
+            whole = not ((data[starts] & 0xC0) == 0x80).any()
+        except UnicodeDecodeError:
+            whole = False
+        if not whole:
+            return pa.array([self.decode(r.tolist()) for r in np.split(ids, np.cumsum(count)[:-1])], pa.string())
+        keep = np.ones(len(data), bool)
+        if self.prefix:
+            keep[starts[data[starts] == 32]] = False
+        offsets = np.concatenate([[0], np.cumsum(keep)])[bounds].astype(np.int32)
+        return pa.StringArray.from_buffers(len(count), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[keep].tobytes()))
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
@@ -154,7 +179,7 @@ class Model(Vocabulary):
         pairs = {(x, y) for t in self.id_of for x, y in zip(t, t[1:], strict=False)}
         letters = {c for c in self.chars if c.isalpha()}
         signs = {c for c in "!\"#$%&()*+,./:;<=>?@[]^_`{|}~" if not any((x, c) in pairs for x in letters)}
-        word = f"{MARK}*\\p{{L}}+(?=[{''.join(map(regex.escape, sorted(signs)))}])|" if signs else ""
+        word = f"{MARK}*+\\p{{L}}++(?=[{''.join(map(regex.escape, sorted(signs)))}])|" if signs else ""
         self.units = regex.compile(f"{line + '|' if line else ''}{word}{MARK}+[^{MARK}{line}]*|[^{MARK}{line}]+").findall
 
     def _merge(self, rows: list[list[int]]) -> list[list[int]]:
@@ -378,10 +403,17 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "decoded"), "decoded string"])
 
     def kernel(batches):
-        for batch in batches:
-            rows = batch.column(batch.schema.get_field_index("ids"))
-            texts = [None if r is None else vocabulary(path).decode(r) for r in (x.as_py() for x in rows)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+        for whole in batches:
+            sizes = pc.fill_null(pc.list_value_length(whole.column(whole.schema.get_field_index("ids"))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            part = (np.cumsum(sizes) - 1) // DECODED  # slices of so many ids, a longer row alone
+            edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(sizes)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                batch, count = whole.slice(a, b - a), sizes[a:b]
+                rows = batch.column(batch.schema.get_field_index("ids"))
+                texts = vocabulary(path).decode_rows(rows.flatten().to_numpy(zero_copy_only=False), count) if len(count) else pa.array([], pa.string())
+                texts = pc.if_else(rows.is_valid(), texts, pa.scalar(None, pa.string())) if rows.null_count else texts
+                yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
+        give_back()
 
     return encoded.drop("decoded").mapInArrow(kernel, schema)
 
