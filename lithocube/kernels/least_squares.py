@@ -138,6 +138,6 @@ def solve_coupled(surface: np.ndarray, wells: np.ndarray, pairs: np.ndarray, wei
         before, z = z, capped_projection(x + u, cap)
         u = u + x - z
         primal, dual = float(np.abs(x - z).max()), float(rho * np.abs(z - before).max())
-        if max(primal, dual) < 1e-7:
+        if max(primal, dual) < 1e-6:
             break
     return z, primal, dual

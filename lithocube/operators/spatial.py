@@ -53,12 +53,10 @@ def in_direction(pairs_: DataFrame, directions: list[float], tolerance: float =
 
 
 def lag_parameters(points: DataFrame, key: str = "station", least: int = 6, most: int = 30, wanted: int = 30) -> dict:
-    """Width, reach and number of lags from median nearest-neighbour and largest distance. The distances are aggregated by
-    Spark; the loop over the number of lags is on two numbers."""
-    p = points.select(F.col(key).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    """Width, reach and number of lags from median nearest-neighbour and largest distance, over all pairs of a table of stations.
+    The distances are aggregated by Spark; the loop over the number of lags is on two numbers."""
     box = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count(F.lit(1))).first()
     n, reach = box[2], (box[0] ** 2 + box[1] ** 2) ** 0.5 or 1.0
-    del p
     every = pairs(points.withColumn("v", F.lit(0.0)), reach, key)
     both = every.select("a", "dist").unionAll(every.select(F.col("b").alias("a"), "dist"))
     nearest = both.groupBy("a").agg(F.min("dist").alias("nn"), F.max("dist").alias("far"))
