@@ -5,7 +5,8 @@ text between them get names in order, and the text of names, a third as long, is
 suffixes all L suffixes are induced in ascending order, from these all S suffixes in descending order: a monotone priority
 queue gives suffix tuples in order, and each popped suffix pushes the one before it, if that is of the kind wanted.
 A tuple carries its common prefix with the tuple pushed before it for the same symbol: one more than the least
-common prefix of the suffixes popped in between.
+common prefix of the suffixes popped in between. The recursion ends when all names differ, or at a text of names that is small
+against memory, which is sorted there.
 
 Work goes on in blocks: as many tuples are popped at once as can't be overtaken by a push of one among them. The queue
 holds its tuples in bins of symbols and writes far bins to disk when it holds more than its share of memory; arrays
@@ -206,11 +207,10 @@ class Level:
         out[has] = at[has] - np.where(k > 0, self.turns[np.maximum(k - 1, 0)] + 1, 0)
         return out
 
-    def with_repeats(self, symbol: np.ndarray, place: np.ndarray, prefix: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+    def with_repeats(self, symbol: np.ndarray, place: np.ndarray, prefix: np.ndarray, own: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, ...]:
         """Tuples from the queue that stand after repeats of their symbol push these one by one for the same symbol. All of
         them at once: first the tuples themselves, then one step back for each that has one, and so on. After t steps two of
         them share t symbols more than at first, and the first of a step shares t with the one before it."""
-        back = np.where(own, self.repeats(place), 0)
         which = np.flatnonzero(back)
         if not len(which):
             return symbol, place, prefix, own
@@ -337,17 +337,21 @@ class Level:
                 m, j, q = (int(np.searchsorted(x, limit, side=side)) for x in (mine[0][k:], late[0], seed_symbol[s:e]))
                 symbol, place, prefix = (np.concatenate(x) for x in zip([x[k : k + m] for x in mine], [x[:j] for x in late], (seed_symbol[s : s + q], seeds[s : s + q], common[s : s + q]), strict=True))
                 source = np.repeat(np.array([0, 1, 2], np.int8), [m, j, q])
-                if (m > 0) + (j > 0) + (q > 0) > 1:
+                single = queue.bins == queue.symbols  # a bin has one symbol: in order as it is, and nothing is overtaken
+                if not single and (m > 0) + (j > 0) + (q > 0) > 1:
                     order = np.argsort(2 * symbol + (source == 2), kind="stable")
                     symbol, place, prefix, source = symbol[order], place[order], prefix[order], source[order]
                 # a symbol waits if one before it has just got it another tuple
-                first = place - np.where(source < 2, self.repeats(place), 0)
-                goes = wanted[np.maximum(first - 1, 0)] & (first > 0)
-                bar = np.minimum.accumulate(np.where(goes, turn(self.text[np.maximum(first - 1, 0)].astype(np.int64)), never))
-                cut = np.flatnonzero(symbol[1:] >= bar[:-1])
+                back = np.where(source < 2, self.repeats(place), 0)
+                cut = ()
+                if not single:
+                    first = place - back
+                    goes = wanted[np.maximum(first - 1, 0)] & (first > 0)
+                    bar = np.minimum.accumulate(np.where(goes, turn(self.text[np.maximum(first - 1, 0)].astype(np.int64)), never))
+                    cut = np.flatnonzero(symbol[1:] >= bar[:-1])
                 if len(cut):
                     take = int(np.searchsorted(symbol, symbol[cut[0] + 1]))
-                    symbol, place, prefix, source = symbol[:take], place[:take], prefix[:take], source[:take]
+                    symbol, place, prefix, source, back = symbol[:take], place[:take], prefix[:take], source[:take], back[:take]
                     window = max(64, 2 * take)
                 else:
                     window = min(2 * window, 16 * WINDOW)
@@ -355,7 +359,7 @@ class Level:
                 k, s = k + m, s + q
                 late = [x[j:] for x in late]
                 own = source < 2
-                symbol, place, prefix, own = self.with_repeats(symbol, place, prefix, own)
+                symbol, place, prefix, own = self.with_repeats(symbol, place, prefix, own, back)
                 before = np.maximum(place - 1, 0)
                 pushed = turn(self.text[before].astype(np.int64))
                 pushes = wanted[before] & (place > 0) & (pushed != symbol)
@@ -382,8 +386,48 @@ class Level:
         return np.concatenate([empty, *out_place]), np.concatenate([np.zeros(0, np.int32), *out_common])
 
 
+def sort_small(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As `sort_level`, for a reduced text that is small against memory: ranks of doubling length, ties only, and common
+    prefixes from the ranks of all lengths."""
+    n = len(text)
+    order = np.argsort(text, kind="stable").astype(np.int32)
+    fresh = np.ones(n, bool)
+    np.not_equal(text[order[1:]], text[order[:-1]], out=fresh[1:])
+    place = np.arange(n, dtype=np.int32)
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(fresh, place, 0))
+    ranks, length, active = [rank.copy()], 1, place
+    while True:
+        group = rank[order[active]]
+        tied = np.zeros(len(active), bool)
+        np.equal(group[1:], group[:-1], out=tied[1:])
+        tied[:-1] |= tied[1:]
+        active, group = active[tied], group[tied]
+        if not len(active):
+            break
+        at = order[active].astype(np.int64)
+        beyond = np.where(at + length < n, rank[np.minimum(at + length, n - 1)], -1)
+        again = np.argsort(group.astype(np.int64) << 32 | (beyond + 1).astype(np.int64))
+        order[active], group, beyond = at[again], group[again], beyond[again]
+        split = np.ones(len(active), bool)
+        split[1:] = (group[1:] != group[:-1]) | (beyond[1:] != beyond[:-1])
+        rank[order[active]] = np.maximum.accumulate(np.where(split, active, 0))
+        ranks.append(rank.copy())
+        length *= 2
+    common = np.zeros(n, np.int32)
+    a, b = order[:-1].astype(np.int64), order[1:].astype(np.int64)
+    for r in range(len(ranks) - 1, -1, -1):
+        same = (np.maximum(a, b) < n) & (ranks[r][np.minimum(a, n - 1)] == ranks[r][np.minimum(b, n - 1)])
+        step = np.where(same, 1 << r, 0)
+        common[1:] += step.astype(np.int32)
+        a, b = a + step, b + step
+    return order, common
+
+
 def sort_level(level: Level, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(all suffixes of a level in order, common prefix of each with the one before)."""
+    if depth and level.n <= min(1 << 20, level.scratch.memory // 256):
+        return sort_small(level.text[: level.n])
     stars, common = level.sorted_stars(depth)
     large, large_common = level.induce(stars, common, small=False)
     down = np.r_[0, large_common[1:][::-1]].astype(np.int32)  # with the next greater one
