@@ -61,7 +61,7 @@ class SymbolQueue:
         self.held, self.at, self.out = 0, 0, None
 
     def bin_of(self, symbol):
-        return symbol * self.bins // self.symbols
+        return symbol if self.bins == self.symbols else symbol * self.bins // self.symbols
 
     def push(self, symbol: np.ndarray, position: np.ndarray, common: np.ndarray) -> None:
         """Tuples in order of symbol and time."""
@@ -304,17 +304,18 @@ class Level:
         """Suffixes of one kind in the order they are popped, each with its common prefix with the one popped before of the same
         symbol. Ascending L suffixes from starred ones, or descending S suffixes from L ones (`small`)."""
         top = self.symbols - 1
-        turn = (lambda s: top - s) if small else (lambda s: s)
+        kind = np.uint8 if self.symbols < 255 else np.int64
+        turn = (lambda s: kind(top) - s.astype(kind, copy=False)) if small else (lambda s: s.astype(kind, copy=False))
         wanted = self.small if small else ~self.small
         queue, lows = SymbolQueue(self.symbols, self.n, self.scratch), Lows(self.symbols)
-        seed_symbol = turn(self.text[seeds].astype(np.int64))
+        seed_symbol = turn(self.text[seeds])
         if not small:  # the virtual end comes first
-            end = np.array([self.text[self.n - 1]], np.int64)
+            end = np.array([self.text[self.n - 1]], kind)
             queue.push(end, np.array([self.n - 1], self.place), np.zeros(1, np.int32))
             lows.close(np.zeros(1, np.int32), np.zeros(1, np.int64), end)
         seed_edges = np.searchsorted(queue.bin_of(seed_symbol), np.arange(queue.bins + 1)).tolist()
         out_place, out_common = [], []
-        none = (np.zeros(0, np.int64), np.zeros(0, self.place), np.zeros(0, np.int32))
+        none = (np.zeros(0, kind), np.zeros(0, self.place), np.zeros(0, np.int32))
         never = np.iinfo(np.int64).max
         last = (-1, False, -1)  # symbol, whether from the queue, and place of what was popped last
         for b in range(queue.bins):
@@ -329,15 +330,18 @@ class Level:
                     late = [x[order] for x in late]
                 if k == len(mine[0]) and s == e and not len(late[0]):
                     break
-                # whole symbols, about a window of each kind of tuples
-                limit = min(int(x[window]) if window < len(x) else never for x in (mine[0][k : k + window + 1], late[0], seed_symbol[s : min(e, s + window + 1)]))
-                side = "left"
-                if limit < never and not any(len(x) and x[0] < limit for x in (mine[0][k : k + 1], late[0][:1], seed_symbol[s : min(e, s + 1)])):
-                    side = "right"
-                m, j, q = (int(np.searchsorted(x, limit, side=side)) for x in (mine[0][k:], late[0], seed_symbol[s:e]))
+                single = queue.bins == queue.symbols  # a bin has one symbol: in order as it is, and nothing is overtaken
+                if single:
+                    m, j, q = len(mine[0]) - k, len(late[0]), e - s
+                else:
+                    # whole symbols, about a window of each kind of tuples
+                    limit = min(int(x[window]) if window < len(x) else never for x in (mine[0][k : k + window + 1], late[0], seed_symbol[s : min(e, s + window + 1)]))
+                    side = "left"
+                    if limit < never and not any(len(x) and x[0] < limit for x in (mine[0][k : k + 1], late[0][:1], seed_symbol[s : min(e, s + 1)])):
+                        side = "right"
+                    m, j, q = (int(np.searchsorted(x, limit, side=side)) for x in (mine[0][k:], late[0], seed_symbol[s:e]))
                 symbol, place, prefix = (np.concatenate(x) for x in zip([x[k : k + m] for x in mine], [x[:j] for x in late], (seed_symbol[s : s + q], seeds[s : s + q], common[s : s + q]), strict=True))
                 source = np.repeat(np.array([0, 1, 2], np.int8), [m, j, q])
-                single = queue.bins == queue.symbols  # a bin has one symbol: in order as it is, and nothing is overtaken
                 if not single and (m > 0) + (j > 0) + (q > 0) > 1:
                     order = np.argsort(2 * symbol + (source == 2), kind="stable")
                     symbol, place, prefix, source = symbol[order], place[order], prefix[order], source[order]
@@ -347,7 +351,7 @@ class Level:
                 if not single:
                     first = place - back
                     goes = wanted[np.maximum(first - 1, 0)] & (first > 0)
-                    bar = np.minimum.accumulate(np.where(goes, turn(self.text[np.maximum(first - 1, 0)].astype(np.int64)), never))
+                    bar = np.minimum.accumulate(np.where(goes, turn(self.text[np.maximum(first - 1, 0)]), never))
                     cut = np.flatnonzero(symbol[1:] >= bar[:-1])
                 if len(cut):
                     take = int(np.searchsorted(symbol, symbol[cut[0] + 1]))
@@ -361,7 +365,7 @@ class Level:
                 own = source < 2
                 symbol, place, prefix, own = self.with_repeats(symbol, place, prefix, own, back)
                 before = np.maximum(place - 1, 0)
-                pushed = turn(self.text[before].astype(np.int64))
+                pushed = turn(self.text[before])
                 pushes = wanted[before] & (place > 0) & (pushed != symbol)
                 same, turned = np.empty(len(symbol), bool), np.empty(len(symbol), bool)
                 same[0], turned[0] = symbol[0] == last[0], own[0] != last[1]
@@ -377,7 +381,7 @@ class Level:
                 out_common.append(prefix[own])
                 at = np.flatnonzero(pushes)
                 key = pushed[at]
-                order = np.argsort(key.astype(np.uint8) if self.symbols <= 256 else key, kind="stable")
+                order = np.argsort(key, kind="stable")
                 at, key = at[order], key[order]
                 if len(at):
                     queue.push(key, before[at].astype(self.place, copy=False), lows.between(prefix, at, key) + np.int32(1))

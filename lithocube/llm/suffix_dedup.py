@@ -289,7 +289,7 @@ def removed_windows(strings: DataFrame, length: int, buckets: int, memory: int =
             at = np.flatnonzero(chosen[suffixes])
             place = suffixes[at].astype(np.int64)
             shared = np.minimum.reduceat(common[: at[-1] + 1], np.concatenate([[0], at[:-1] + 1])) if len(at) else np.zeros(0, np.int32)
-        run = np.searchsorted(offset, place, side="right") - 1
+        run = np.repeat(np.arange(len(size), dtype=np.int32), size)[place]
         order = np.lexsort((halves[:, 1], halves[:, 0], ids))
         change = np.ones(len(order), bool)
         change[1:] = (ids[order][1:] != ids[order][:-1]) | (halves[order][1:] != halves[order][:-1]).any(axis=1)
