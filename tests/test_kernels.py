@@ -104,3 +104,18 @@ def test_numeric_queries_run(spark, name):
     assert len(got)
     if "kkt" in got:
         assert got["kkt"].max() < 1e-6 and (got["m"] >= 0).all()
+
+
+def test_coupled_query_has_edges(spark, monkeypatch):
+    seen, real = {}, nq.inversion.invert_coupled
+
+    def kept(rows, edges, *more):
+        seen["edges"] = edges
+        return real(rows, edges, *more)
+
+    monkeypatch.setattr(nq.inversion, "invert_coupled", kept)
+    got = nq.QUERIES["q52_qp"](spark, "/root/testdata/sf0.001").toPandas()
+    assert seen["edges"].count() == 75  # FIXTURES B
+    assert got[["primal", "dual"]].to_numpy().max() < 1e-5 and (got["m"] >= 0).all()
+    each = got.groupby("station")["primal"].first()
+    assert each.nunique() < len(each)  # stations of a component are solved together
