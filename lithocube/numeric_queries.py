@@ -87,29 +87,29 @@ def q62_grid_search(s, d):
 
 @register
 def q70_gp(s, d):
-    return inversion.interpolate(layer_points(s, d), inversion.grid_pixels(s), "gp", 20)
+    return inversion.interpolate(layer_points(s, d), inversion.grid_pixels(s), "gp")
 
 
 @register
 def q71_rotated_gp(s, d):
-    return inversion.interpolate(layer_points(s, d), inversion.grid_pixels(s), "rotated", 20)
+    return inversion.interpolate(layer_points(s, d), inversion.grid_pixels(s), "rotated")
 
 
 @register
 def q72_kriging(s, d):
-    return inversion.interpolate(layer_points(s, d), inversion.grid_pixels(s), "kriging", 20)
+    return inversion.interpolate(layer_points(s, d), inversion.grid_pixels(s), "kriging")
 
 
 @register
 def q73_grid_product(s, d):
-    """Weights at pixels joined with the surface of each pixel's nearest station."""
+    """Weights at pixels joined with the surface of each pixel's nearest station that has one."""
     pixels = inversion.grid_pixels(s)
-    sta = tables.stations(s).select("station", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    sta = tables.stations(s).join(insar(s, d), "station", "left_semi").select("station", F.col("x").alias("sx"), F.col("y").alias("sy"))
     # 31 station rows
     square = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
     near = pixels.crossJoin(F.broadcast(sta)).groupBy("pixel").agg(F.min_by("station", F.struct(square, "station")).alias("station"))
     grid = near.join(insar(s, d), "station").select("pixel", "epoch", "d")
-    return inversion.grid_product(inversion.interpolate(layer_points(s, d), pixels, "gp", 10), grid)
+    return inversion.grid_product(inversion.interpolate(layer_points(s, d), pixels, "gp"), grid)
 
 
 @register

@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 from ..kernels import bayes, fields
 from ..kernels import least_squares as ls
 from ..operators import series, weights
+from ..sources import tables
 
 for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
     os.environ.setdefault(_name, "1")
 
 #: The search grid of the two smoothing parameters, as powers of ten.
 LAM, LAM_T = [10.0 ** (-5 + 0.5 * k) for k in range(11)], [10.0 ** (-2 + 0.25 * k) for k in range(13)]
+#: Trials of each engine's search.
+TRIALS = {"gp": 200, "rotated": 200, "kriging": 50}
 
 
 def station_rows(model: DataFrame, insar: DataFrame) -> DataFrame:
@@ -161,14 +164,24 @@ def grid_search(rows: DataFrame, train_end: int, val_end: int, lams: list[float]
     return layers.groupBy("lam", "lam_t").agg(F.avg("rmse").alias("mean_rmse"), F.max("rmse").alias("max_rmse"))
 
 
-def grid_pixels(spark: SparkSession, step: float = 5000.0) -> DataFrame:
-    """(pixel, x, y) of a coarse raster over the stations' extent."""
-    nx, ny = int(52500 / step) + 1, int(60000 / step) + 1
+def grid_pixels(spark: SparkSession) -> DataFrame:
+    """(pixel, x, y): every cell of the bound raster."""
+    (x0, dx, nx), (y0, dy, ny) = tables.X_AXIS, tables.Y_AXIS
     p = F.col("id").cast("int")
-    return spark.range(nx * ny).select(p.alias("pixel"), (160000.0 + (p % nx) * step).alias("x"), (2600000.0 + F.floor(p / nx) * step).alias("y"))
+    return spark.range(nx * ny).select(p.alias("pixel"), (x0 + (p % nx) * dx).alias("x"), (y0 + F.floor(p / nx) * dy).alias("y"))
 
 
-def interpolate(points: DataFrame, pixels: DataFrame, engine: str = "gp", trials: int = 40) -> DataFrame:
+def fit_engine(x: np.ndarray, y: np.ndarray, engine: str, trials: int | None = None) -> fields.Field | fields.Kriging:
+    """One layer's model by the search of its engine: gp (one length), rotated (angle and two lengths) or kriging."""
+    trials = trials or TRIALS[engine]
+    if engine == "kriging":
+        folds = fields.spatial_folds(x, 5)
+        best = min(fields.kriging_trials(x, y, trials), key=lambda t: fields.kriging_score(x, y, folds, t))
+        return fields.Kriging(x, y, **best)
+    return fields.fit_field(x, y, engine == "rotated", trials=trials)
+
+
+def interpolate(points: DataFrame, pixels: DataFrame, engine: str = "gp", trials: int | None = None) -> DataFrame:
     """(layer, pixel, w, std, angle, ratio): a model for each layer, predicted at the pixels. A layer of zeros is 0 without a fit. The
     stations of a layer, a few thousand at most, are its group; pixels come in blocks to the fitted models."""
     fitted = points.groupBy("layer").agg(F.collect_list(F.struct("station", "x", "y", "v")).alias("pts"))
@@ -186,12 +199,7 @@ def interpolate(points: DataFrame, pixels: DataFrame, engine: str = "gp", trials
                     mean, std = np.zeros(len(at)), np.zeros(len(at))
                 else:
                     if layer not in models:
-                        if engine == "kriging":
-                            folds = fields.spatial_folds(x, 5)
-                            best = min(fields.kriging_trials(x, y, trials), key=lambda t: fields.kriging_score(x, y, folds, t))
-                            models[layer] = fields.Kriging(x, y, **best)
-                        else:
-                            models[layer] = fields.fit_field(x, y, engine == "rotated", trials=trials)
+                        models[layer] = fit_engine(x, y, engine, trials)
                     m = models[layer]
                     angle, ratio = m.angle, m.ratio if engine == "kriging" else m.lengths[0] / m.lengths[1]
                     mean, std = m.predict(at)

@@ -119,3 +119,22 @@ def test_coupled_query_has_edges(spark, monkeypatch):
     assert got[["primal", "dual"]].to_numpy().max() < 1e-5 and (got["m"] >= 0).all()
     each = got.groupby("station")["primal"].first()
     assert each.nunique() < len(each)  # stations of a component are solved together
+
+
+def test_pixels_are_the_whole_raster(spark):
+    got = nq.inversion.grid_pixels(spark).toPandas()
+    assert len(got) == got[["x", "y"]].drop_duplicates().shape[0] == 106 * 121
+    assert (got["x"].min(), got["x"].max(), got["y"].min(), got["y"].max()) == (160000.0, 212500.0, 2600000.0, 2660000.0)
+
+
+@pytest.mark.parametrize(("name", "search"), [("q70_gp", ("gp", 200)), ("q71_rotated_gp", ("rotated", 200)), ("q72_kriging", ("kriging", 50)), ("q73_grid_product", ("gp", 200))])
+def test_gridding_predicts_every_cell_with_the_whole_search(spark, monkeypatch, name, search):
+    seen, real = [], nq.inversion.interpolate
+
+    def kept(points, pixels, engine="gp", trials=None):
+        seen.append((engine, trials or nq.inversion.TRIALS[engine], pixels.count()))
+        return real(points, pixels, engine, trials)
+
+    monkeypatch.setattr(nq.inversion, "interpolate", kept)
+    got = nq.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == [(*search, 12826)] and got.select("pixel").distinct().count() == 12826
