@@ -127,19 +127,17 @@ def forward_validation(rows: DataFrame, folds: DataFrame, lam: float, lam_t: flo
     return spread.groupBy("fold", "station").applyInPandas(solve, "fold int, station int, epoch int, layer int, pred double, truth double")
 
 
-def leave_one_out(points: DataFrame, engine: str = "gp") -> DataFrame:
-    """(layer, station, pred, std, truth): for each layer and station the value at its place from all other stations. The inversion
-    separates by station, so the others' solutions are reused."""
+def leave_one_out(points: DataFrame, engine: str = "gp", trials: int | None = None) -> DataFrame:
+    """(layer, station, pred, std, truth): for each layer and station the value at its place from all other stations. The engine's
+    whole search is made again without the station held out. The inversion separates by station, so the others' solutions are reused."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("station").reset_index(drop=True)
         x, y = pdf[["x", "y"]].to_numpy() / 1000, pdf["v"].to_numpy()
-        if not np.any(y):
-            got = np.zeros((len(y), 2))
-        else:
-            whole = fields.fit_field(x, y, trials=20)
-            fit = lambda a, b: fields.Field(a, b, whole.angle, whole.lengths, whole.signal, whole.noise)
-            got = fields.cross_validate(x, y, np.arange(len(y)), fit, least=3)
+        got = fields.cross_validate(x, y, np.arange(len(y)), lambda a, b: fit_engine(a, b, engine, trials), least=3)
+        for k in range(len(y)):
+            if not np.any(np.delete(y, k)):  # others of zeros are 0 without a fit
+                got[k] = 0.0
         return pd.DataFrame({"layer": pdf["layer"], "station": pdf["station"], "pred": got[:, 0], "std": got[:, 1], "truth": y})
 
     return points.groupBy("layer").applyInPandas(solve, "layer int, station int, pred double, std double, truth double")

@@ -138,3 +138,22 @@ def test_gridding_predicts_every_cell_with_the_whole_search(spark, monkeypatch,
     monkeypatch.setattr(nq.inversion, "interpolate", kept)
     got = nq.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert seen == [(*search, 12826)] and got.select("pixel").distinct().count() == 12826
+
+
+@pytest.mark.parametrize("engine", ["gp", "rotated", "kriging"])
+def test_left_out_station_has_no_say(spark, engine):
+    at = np.random.default_rng(8).random((14, 2)) * 40000
+    v = np.sin(at[:, 0] / 9000) + np.cos(at[:, 1] / 7000)
+
+    def left_out(values):
+        points = spark.createDataFrame([(1, k, float(a), float(b), float(c)) for k, ((a, b), c) in enumerate(zip(at, values, strict=True))], "layer int, station int, x double, y double, v double")
+        return nq.inversion.leave_one_out(points, engine).toPandas().set_index("station").sort_index()
+
+    other = v.copy()
+    other[5] += 20
+    one, two = left_out(v), left_out(other)
+    assert np.allclose(one.loc[5, ["pred", "std"]].astype(float), two.loc[5, ["pred", "std"]].astype(float))
+    assert not np.allclose(one["pred"].drop(5), two["pred"].drop(5))
+    x = np.delete(at, 5, axis=0) / 1000
+    pred, _ = nq.inversion.fit_engine(x, np.delete(v, 5), engine).predict(at[5:6] / 1000)
+    assert abs(one.loc[5, "pred"] - pred[0]) < 1e-8
