@@ -126,34 +126,46 @@ def q75_timed_world(s, d):
     return s.createDataFrame([(int(a), int(b), int(c) + 1, float(v)) for a, b, c, v in zip(t.ravel(), p.ravel(), k.ravel(), grown.ravel(), strict=True)], "epoch int, pixel int, layer int, m double")
 
 
-#: Angle, lengths along and across, sill and nugget of the benchmark's fields.
-SCENARIOS = {"S1": (45, 400, 50, 1.0, 0.05), "S2": (120, 200, 60, 0.5, 0.3), "S3": (0, 200, 200, 0.9, 0.1), "S4": (90, 300, 100, 0.4, 0.6), "S5": (0, 600, 80, 1.2, 0.02), "S6": (160, 120, 40, 0.8, 0.15)}
+#: Angle, lengths along and across, sill and nugget of the benchmark's fields; sampled densely, then sparsely.
+FIELDS = [(45, 400, 50, 1.0, 0.05), (120, 200, 60, 0.5, 0.3), (0, 200, 200, 0.9, 0.1), (90, 300, 100, 0.4, 0.6), (0, 600, 80, 1.2, 0.02), (160, 120, 40, 0.8, 0.15)]
+SCENARIOS = {f"S{k + 1}": (*field, part) for k, (field, part) in enumerate([(f, p) for p in (0.2, 0.01) for f in FIELDS])}
+#: The most points and the trials of each engine, and the largest ratio of lengths.
+ENGINES, MOST_RATIO = {"rotated": (1500, 200), "kriging": (2000, 80)}, 12.0
+
+
+def scenario_samples(name: str, engine: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cells, their truth, sampled places, sampled values) of a scenario, as many as the engine takes."""
+    *field, part = SCENARIOS[name]
+    z = fields.random_field(100, 10.0, *field, 42).ravel()
+    rng = np.random.default_rng(42)
+    pick = rng.choice(z.size, max(int(round(part * z.size)), 10), replace=False)
+    if len(pick) > ENGINES[engine][0]:
+        pick = rng.choice(pick, ENGINES[engine][0], replace=False)
+    at = np.column_stack([np.tile(np.arange(100), 100), np.repeat(np.arange(100), 100)]) * 10.0 + 5
+    return at, z, at[pick], z[pick]
 
 
 @register
 def q76_interpolation_benchmark(s, d):
-    """Six random fields of 100 x 100 cells, 100 samples each; both engines' errors at all cells. A group for each field."""
+    """Twelve random fields of 100 x 100 cells, a fifth (S1 to S6) or a hundredth (S7 to S12) of them sampled; both engines' errors at
+    all cells. A task for each field and engine."""
     import pandas as pd
 
-    names = s.createDataFrame([(k, *map(float, v)) for k, v in SCENARIOS.items()], "scenario string, angle double, major double, minor double, sill double, nugget double")
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        z = fields.random_field(100, 10.0, r.angle, r.major, r.minor, r.sill, r.nugget, 42)
-        rng = np.random.default_rng(42)
-        pick = rng.choice(z.size, 100, replace=False)
-        at = np.column_stack([np.tile(np.arange(100), 100), np.repeat(np.arange(100), 100)]) * 10.0 + 5
-        x, y = at[pick], z.ravel()[pick]
-        folds = fields.spatial_folds(x, 5)
-        best = min(fields.kriging_trials(x, y, 30), key=lambda t: fields.kriging_score(x, y, folds, t))
-        out = []
-        for engine, made in (("gp", fields.fit_field(x, y, True, trials=30)), ("kriging", fields.Kriging(x, y, **best))):
-            mean, std = made.predict(at)
-            e = z.ravel() - mean
-            out.append((r.scenario, engine, float(made.angle), float(np.sqrt(np.mean(e * e))), float(np.mean(np.abs(e))), float(np.sqrt(np.mean((e / (std + 1e-8)) ** 2)))))
-        return pd.DataFrame(out, columns=["scenario", "engine", "angle", "rmse", "mae", "rmss"])
-
-    return names.groupBy("scenario").applyInPandas(score, "scenario string, engine string, angle double, rmse double, mae double, rmss double")
+    jobs = [(name, engine) for name in SCENARIOS for engine in ENGINES]
+
+    def score(batches):
+        for pdf in batches:
+            for k in pdf["id"]:
+                name, engine = jobs[k]
+                at, z, x, y = scenario_samples(name, engine)
+                made = inversion.fit_engine(x, y, engine, ENGINES[engine][1], MOST_RATIO)
+                mean, std = made.predict(at)
+                e = z - mean
+                ratio = made.ratio if engine == "kriging" else made.lengths[0] / made.lengths[1]
+                out = (name, "gp" if engine == "rotated" else engine, len(x), float(made.angle), float(ratio), float(np.sqrt(np.mean(e * e))), float(np.mean(np.abs(e))), float(np.sqrt(np.mean((e / (std + 1e-8)) ** 2))))
+                yield pd.DataFrame([out], columns=["scenario", "engine", "n", "angle", "ratio", "rmse", "mae", "rmss"])
+
+    return s.range(0, len(jobs), 1, len(jobs)).mapInPandas(score, "scenario string, engine string, n int, angle double, ratio double, rmse double, mae double, rmss double")
 
 
 @register

@@ -169,14 +169,14 @@ def grid_pixels(spark: SparkSession) -> DataFrame:
     return spark.range(nx * ny).select(p.alias("pixel"), (x0 + (p % nx) * dx).alias("x"), (y0 + F.floor(p / nx) * dy).alias("y"))
 
 
-def fit_engine(x: np.ndarray, y: np.ndarray, engine: str, trials: int | None = None) -> fields.Field | fields.Kriging:
+def fit_engine(x: np.ndarray, y: np.ndarray, engine: str, trials: int | None = None, most_ratio: float = 10.0) -> fields.Field | fields.Kriging:
     """One layer's model by the search of its engine: gp (one length), rotated (angle and two lengths) or kriging."""
     trials = trials or TRIALS[engine]
     if engine == "kriging":
         folds = fields.spatial_folds(x, 5)
-        best = min(fields.kriging_trials(x, y, trials), key=lambda t: fields.kriging_score(x, y, folds, t))
+        best = min(fields.kriging_trials(x, y, trials, most_ratio), key=lambda t: fields.kriging_score(x, y, folds, t))
         return fields.Kriging(x, y, **best)
-    return fields.fit_field(x, y, engine == "rotated", trials=trials)
+    return fields.fit_field(x, y, engine == "rotated", most_ratio, trials)
 
 
 def interpolate(points: DataFrame, pixels: DataFrame, engine: str = "gp", trials: int | None = None) -> DataFrame:

@@ -157,3 +157,31 @@ def test_left_out_station_has_no_say(spark, engine):
     x = np.delete(at, 5, axis=0) / 1000
     pred, _ = nq.inversion.fit_engine(x, np.delete(v, 5), engine).predict(at[5:6] / 1000)
     assert abs(one.loc[5, "pred"] - pred[0]) < 1e-8
+
+
+def test_benchmark_has_twelve_scenarios_and_whole_searches():
+    assert list(nq.SCENARIOS) == [f"S{k}" for k in range(1, 13)]
+    sizes = {(n, e): len(nq.scenario_samples(n, e)[2]) for n in nq.SCENARIOS for e in nq.ENGINES}
+    for k in range(1, 7):
+        assert (sizes[f"S{k}", "rotated"], sizes[f"S{k}", "kriging"]) == (1500, 2000)
+        assert sizes[f"S{k + 6}", "rotated"] == sizes[f"S{k + 6}", "kriging"] == 100
+        assert nq.SCENARIOS[f"S{k}"][:5] == nq.SCENARIOS[f"S{k + 6}"][:5]
+    assert {e: t for e, (_, t) in nq.ENGINES.items()} == {"rotated": 200, "kriging": 80} and nq.MOST_RATIO == 12
+
+
+def test_kriging_score_is_the_folds_error():
+    rng = np.random.default_rng(4)
+    x, y = rng.random((60, 2)) * 40, rng.standard_normal(60)
+    folds = fields.spatial_folds(x, 5)
+    for trial in fields.kriging_trials(x, y, 20):
+        kept = trial | {"shape": trial["shape"] if trial["model"] in fields.SHAPED else 1.0}
+        got = fields.cross_validate(x, y, folds, lambda a, b: fields.Kriging(a, b, **kept))  # noqa: B023
+        assert np.isclose(fields.kriging_score(x, y, folds, trial), np.mean((got[:, 0] - y) ** 2), rtol=1e-6)
+
+
+def test_field_score_is_the_likelihood():
+    x, y = np.random.default_rng(5).random((2, 40, 2))[0], np.random.default_rng(6).standard_normal(40)
+    f = fields.Field(x, y, 30.0, (0.5, 0.2), 1.3, 0.05)
+    k = 1.3 * fields.matern52(fields.distances(f.placed, f.placed)) + (0.05 + 1e-10) * np.eye(40)
+    z = (y - f.mean) / f.spread
+    assert np.isclose(f.score, 0.5 * z @ np.linalg.solve(k, z) + 0.5 * np.linalg.slogdet(k)[1]) and np.allclose(k @ f.weights, z)
