@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -44,12 +45,7 @@ def q51_joint(s, d):
 def q52_qp(s, d):
     """Stations coupled along edges within 15 km; groups are the components of that graph, two of the 31 stations."""
     edges = system.neighbours(tables.stations(s), 15000.0)
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionAll(tables.stations(s).select(F.col("station").alias("a"), F.col("station").alias("b")))
-    label = both.select("a", "b").groupBy("a").agg(F.min("b").alias("root"))
-    for _ in range(5):  # minima spread along paths, twice as far each time
-        step = both.join(label.withColumnRenamed("a", "b").withColumnRenamed("root", "r"), "b").groupBy("a").agg(F.min("r").alias("root"))
-        label = step.join(step.select(F.col("a").alias("root"), F.col("root").alias("top")), "root").groupBy("a").agg(F.min("top").alias("root"))
-    return inversion.invert_coupled(rows(s, d), edges, label.withColumnRenamed("a", "station"), 0.01, 1.0)
+    return inversion.invert_coupled(rows(s, d), edges, system.components(tables.stations(s), edges), 0.01, 1.0)
 
 
 @register
@@ -104,11 +100,7 @@ def q72_kriging(s, d):
 def q73_grid_product(s, d):
     """Weights at pixels joined with the surface of each pixel's nearest station that has one."""
     pixels = inversion.grid_pixels(s)
-    sta = tables.stations(s).join(insar(s, d), "station", "left_semi").select("station", F.col("x").alias("sx"), F.col("y").alias("sy"))
-    # 31 station rows
-    square = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
-    near = pixels.crossJoin(F.broadcast(sta)).groupBy("pixel").agg(F.min_by("station", F.struct(square, "station")).alias("station"))
-    grid = near.join(insar(s, d), "station").select("pixel", "epoch", "d")
+    grid = inversion.pixel_surface(pixels, tables.stations(s), insar(s, d))
     return inversion.grid_product(inversion.interpolate(layer_points(s, d), pixels, "gp"), grid)
 
 
@@ -232,7 +224,9 @@ def q80_run_summary(s, d):
         out["weights"].groupBy("station").agg(F.sum("w").alias("w")).agg(F.avg("w").alias("mean_coverage"), F.min("w").alias("least_coverage")),
         metrics.errors(out["forward"], ["fold"]).agg(F.avg("rmse").alias("mean_fold_rmse"), F.max("rmse").alias("largest_fold_rmse")),
         metrics.errors(out["loso"], ["layer"]).agg(F.avg("rmse").alias("mean_loso_rmse"), F.max("rmse").alias("largest_loso_rmse")),
+        out["product"].agg(F.avg("residual").alias("mean_residual"), F.avg("residual_std").alias("mean_residual_std")),
+        out["total_std"].agg(F.avg("total_std").alias("mean_total_std"), F.max("total_std").alias("largest_total_std")),
     ]
-    stages = ["inversion", "weights", "forward", "loso"]
+    stages = ["inversion", "weights", "forward", "loso", "product", "total_std"]
     long = [p.unpivot([], p.columns, "name", "value").select(F.lit(k).alias("stage"), "name", F.col("value").cast("double").alias("value")) for k, p in zip(stages, parts, strict=True)]
-    return long[0].unionByName(long[1]).unionByName(long[2]).unionByName(long[3])
+    return functools.reduce(DataFrame.unionByName, long)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 
 def forward(model: DataFrame, dz: float = 1.0) -> DataFrame:
     """G: the surface each column of layers makes, (station, epoch, d)."""
@@ -46,6 +48,19 @@ def neighbours(stations: DataFrame, radius: float) -> DataFrame:
     return pairs.crossJoin(F.broadcast(top)).select("a", "b", "dist", (1 / F.col("dist") / F.col("top")).alias("weight"))
 
 
+def components(stations: DataFrame, edges: DataFrame) -> DataFrame:
+    """(station, root): the smallest station of each component; minima spread until none changes, twice as far each round."""
+    itself = stations.select(F.col("station").alias("a"), F.col("station").alias("b"))
+    both = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionAll(itself))
+    label = cut(both.groupBy("a").agg(F.min("b").alias("root")))
+    while True:
+        step = both.join(label.select(F.col("a").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("root"))
+        after = cut(step.join(label.select(F.col("a").alias("root"), F.col("root").alias("top")), "root").groupBy("a").agg(F.min("top").alias("root")))
+        if after.exceptAll(label).isEmpty():
+            return after.select(F.col("a").alias("station"), "root")
+        label = after
+
+
 def smoothness(model: DataFrame, edges: DataFrame) -> DataFrame:
     """L_s: weighted differences along edges, one row for each edge, layer and epoch."""
     left = model.select(F.col("station").alias("a"), "layer", "epoch", F.col("m").alias("ma"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..kernels import bayes, fields
 from ..kernels import least_squares as ls
-from ..operators import series, weights
+from ..operators import metrics, series, system, weights
 from ..sources import tables
 
 for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
@@ -43,6 +43,8 @@ def _long(pdf: pd.DataFrame, keys: dict, epochs: np.ndarray, layers: np.ndarray,
 
 def invert(rows: DataFrame, solver: str = "joint", lam: float = 0.01, lam_t: float = 3.0) -> DataFrame:
     """(station, epoch, layer, m, kkt): non-negative compaction. The problem separates by station, so each is one task's group."""
+    if solver not in ("joint", "independent"):
+        raise ValueError(f"unknown solver {solver!r}: joint or independent; cvxpy is invert_coupled")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         epochs, layers, w, d = _cube(pdf)
@@ -127,14 +129,14 @@ def forward_validation(rows: DataFrame, folds: DataFrame, lam: float, lam_t: flo
     return spread.groupBy("fold", "station").applyInPandas(solve, "fold int, station int, epoch int, layer int, pred double, truth double")
 
 
-def leave_one_out(points: DataFrame, engine: str = "gp", trials: int | None = None) -> DataFrame:
+def leave_one_out(points: DataFrame, engine: str = "gp", trials: int | None = None, most_ratio: float = 10.0) -> DataFrame:
     """(layer, station, pred, std, truth): for each layer and station the value at its place from all other stations. The engine's
     whole search is made again without the station held out. The inversion separates by station, so the others' solutions are reused."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("station").reset_index(drop=True)
         x, y = pdf[["x", "y"]].to_numpy() / 1000, pdf["v"].to_numpy()
-        got = fields.cross_validate(x, y, np.arange(len(y)), lambda a, b: fit_engine(a, b, engine, trials), least=3)
+        got = fields.cross_validate(x, y, np.arange(len(y)), lambda a, b: fit_engine(a, b, engine, trials, most_ratio), least=3)
         for k in range(len(y)):
             if not np.any(np.delete(y, k)):  # others of zeros are 0 without a fit
                 got[k] = 0.0
@@ -179,7 +181,7 @@ def fit_engine(x: np.ndarray, y: np.ndarray, engine: str, trials: int | None = N
     return fields.fit_field(x, y, engine == "rotated", most_ratio, trials)
 
 
-def interpolate(points: DataFrame, pixels: DataFrame, engine: str = "gp", trials: int | None = None) -> DataFrame:
+def interpolate(points: DataFrame, pixels: DataFrame, engine: str = "gp", trials: int | None = None, most_ratio: float = 10.0) -> DataFrame:
     """(layer, pixel, w, std, angle, ratio): a model for each layer, predicted at the pixels. A layer of zeros is 0 without a fit. The
     stations of a layer, a few thousand at most, are its group; pixels come in blocks to the fitted models."""
     fitted = points.groupBy("layer").agg(F.collect_list(F.struct("station", "x", "y", "v")).alias("pts"))
@@ -197,7 +199,7 @@ def interpolate(points: DataFrame, pixels: DataFrame, engine: str = "gp", trials
                     mean, std = np.zeros(len(at)), np.zeros(len(at))
                 else:
                     if layer not in models:
-                        models[layer] = fit_engine(x, y, engine, trials)
+                        models[layer] = fit_engine(x, y, engine, trials, most_ratio)
                     m = models[layer]
                     angle, ratio = m.angle, m.ratio if engine == "kriging" else m.lengths[0] / m.lengths[1]
                     mean, std = m.predict(at)
@@ -206,6 +208,15 @@ def interpolate(points: DataFrame, pixels: DataFrame, engine: str = "gp", trials
     return fitted.crossJoin(F.broadcast(blocks)).repartition("layer").mapInPandas(predict, "layer int, pixel int, w double, std double, angle double, ratio double")
 
 
+def pixel_surface(pixels: DataFrame, stations: DataFrame, insar: DataFrame) -> DataFrame:
+    """(pixel, epoch, d): the surface of each pixel's nearest station that has one."""
+    sta = stations.join(insar, "station", "left_semi").select("station", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    # 31 station rows
+    square = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
+    near = pixels.crossJoin(F.broadcast(sta)).groupBy("pixel").agg(F.min_by("station", F.struct(square, "station")).alias("station"))
+    return near.join(insar, "station").select("pixel", "epoch", "d")
+
+
 def grid_product(weights_: DataFrame, insar_grid: DataFrame) -> DataFrame:
     """(pixel, epoch, d, residual, residual_std, low_confidence): layers are summed before the join with time."""
     safe = weights.normalise(weights_, "pixel")
@@ -214,21 +225,70 @@ def grid_product(weights_: DataFrame, insar_grid: DataFrame) -> DataFrame:
     return deep.join(spread, "pixel").select("pixel", "epoch", "d", "residual", (F.col("s") * F.abs("d")).alias("residual_std"), (F.col("top") > 0.1).alias("low_confidence"))
 
 
+def _window(df: DataFrame, value: str, keys: list[str], start: int, end: int) -> DataFrame:
+    """A cumulative series of the months start to end, from 0 before start; epochs count from start."""
+    before = df.where(F.col("epoch") == start - 1).select(*keys, F.col(value).alias("_before"))
+    cut = df.where(F.col("epoch").between(start, end)).join(before, keys, "left")
+    return cut.withColumn(value, F.col(value) - F.coalesce("_before", F.lit(0.0))).withColumn("epoch", (F.col("epoch") - start).cast("int")).drop("_before")
+
+
+def engine_of(config) -> tuple[str, int, float]:
+    """(engine, trials, largest ratio) of the settings' interpolation sections."""
+    method, mode = config.get("SpatialInterpolation", "method", "gp"), config.get("GP", "gp_mode", "isotropic")
+    if method == "kriging":
+        return method, config.get("Kriging", "n_trials", TRIALS["kriging"], int), config.get("Kriging", "max_anisotropy", 3.0, float)
+    if method != "gp" or mode not in ("isotropic", "anisotropic"):
+        raise ValueError(f"unknown interpolation {method!r}, gp_mode {mode!r}")
+    engine = "gp" if mode == "isotropic" else "rotated"
+    return engine, TRIALS[engine], config.get("GP", "max_anisotropy", 10.0, float)
+
+
 def run(config, spark: SparkSession, model: DataFrame, insar: DataFrame, stations: DataFrame, n_epochs: int) -> dict[str, DataFrame]:
-    """The orchestrated run: tuning unless smoothing is preset, inversion, validation, gridding, summary; lazy tables by name."""
+    """The orchestrated run over the months of the settings: tuning unless smoothing is preset, inversion, validation, gridding, the
+    product and its total spread; lazy tables by name, their epochs count from month_start. Solver cvxpy couples stations within 15 km;
+    it validates in time by itself. Leaving a station out reuses the others' solutions, which is exact but for cvxpy."""
+    if config.solver not in ("joint", "independent", "cvxpy"):
+        raise ValueError(f"unknown solver {config.solver!r}")
+    engine, trials, most_ratio = engine_of(config)
+    start, end = config.months
+    end = n_epochs - 1 if end is None else min(end, n_epochs - 1)
+    n = end - start + 1
+    model, insar = _window(model, "m", ["station", "layer"], start, end), _window(insar, "d", ["station"], start, end)
     rows = station_rows(model, insar)
     lam, lam_t = config.smoothing
-    folds = series.fold_table(spark, n_epochs)
+    folds = series.fold_table(spark, n)
     out: dict[str, DataFrame] = {}
     if lam is None or lam_t is None:
-        last = series.folds(n_epochs)[-1]
+        last = series.folds(n)[-1]
         out["trials"] = grid_search(rows, last[1], last[3])
         best = out["trials"].orderBy("mean_rmse", "lam", "lam_t").first()
         lam, lam_t = best["lam"], best["lam_t"]
-    out["model"] = invert(rows, config.solver, lam, lam_t)
+    if config.solver == "cvxpy":
+        edges = system.neighbours(stations, 15000.0)
+        groups = system.components(stations, edges)
+        solved = lambda r: invert_coupled(r, edges, groups, lam, lam_t)
+    else:
+        solved = lambda r: invert(r, config.solver, lam, lam_t)
+    out["model"] = solved(rows)
     out["weights"] = weights.depth_weights(weights.totals(out["model"], insar))
-    out["forward"] = forward_validation(rows, folds, lam, lam_t)
+    if config.solver == "joint":
+        out["forward"] = forward_validation(rows, folds, lam, lam_t)
+    else:
+        parts = []
+        for fold, last_train, first, last in series.folds(n):
+            seen = F.col("epoch") <= last_train
+            w = weights.depth_weights(weights.totals(solved(rows.where(seen)), insar.where(seen)))
+            pred = weights.predict(w, insar.where(F.col("epoch").between(first, last)))
+            parts.append(pred.join(model.withColumnRenamed("m", "truth"), ["station", "layer", "epoch"]).select(F.lit(fold).alias("fold"), "station", "epoch", "layer", "pred", "truth"))
+        out["forward"] = parts[0].unionByName(parts[1]).unionByName(parts[2])
     points = out["weights"].join(stations, "station").select("layer", "station", "x", "y", F.col("w").alias("v"))
-    out["loso"] = leave_one_out(points)
-    out["grid"] = interpolate(points, grid_pixels(spark))
+    out["loso"] = leave_one_out(points, engine, trials, most_ratio)
+    pixels = grid_pixels(spark)
+    out["grid"] = interpolate(points, pixels, engine, trials, most_ratio)
+    surface = pixel_surface(pixels, stations, insar)
+    out["product"] = grid_product(out["grid"], surface)
+    spread = series.spread_folds(metrics.errors(out["forward"], ["fold", "layer"]).select("fold", "layer", "rmse"), folds, n)
+    sigma = spread.select("epoch", "layer", F.col("rmse").alias("sigma_t"))
+    pred = weights.predict(weights.normalise(out["grid"], "pixel"), surface, "pixel")
+    out["total_std"] = weights.total_std(pred, metrics.errors(out["loso"], ["layer"]).select("layer", "rmse"), sigma).select("pixel", "layer", "epoch", "pred", "total_std")
     return out

@@ -185,3 +185,22 @@ def test_field_score_is_the_likelihood():
     k = 1.3 * fields.matern52(fields.distances(f.placed, f.placed)) + (0.05 + 1e-10) * np.eye(40)
     z = (y - f.mean) / f.spread
     assert np.isclose(f.score, 0.5 * z @ np.linalg.solve(k, z) + 0.5 * np.linalg.slogdet(k)[1]) and np.allclose(k @ f.weights, z)
+
+
+def test_run_takes_solver_months_and_engine(spark):
+    from lithocube.sources.files import RunConfig
+
+    d, n = "/root/testdata/sf0.001", nq.N
+    tables = nq.model(spark, d), nq.insar(spark, d), nq.tables.stations(spark)
+    text = "[Inversion]\nsolver = {}\nlam = 0.01\nlam_t = 1.0\nmonth_start = 10\nmonth_end = 50\n[SpatialInterpolation]\nmethod = kriging\n[Kriging]\nn_trials = 3\n"
+    with pytest.raises(ValueError, match="solver"):
+        nq.inversion.run(RunConfig.parse(text.format("other")), spark, *tables, n)
+    with pytest.raises(ValueError, match="solver"):
+        nq.inversion.invert(nq.rows(spark, d), "cvxpy")
+    out = nq.inversion.run(RunConfig.parse(text.format("cvxpy")), spark, *tables, n)
+    got = out["model"].toPandas()
+    assert "primal" in got and got["epoch"].nunique() == 41 and got[["primal", "dual"]].to_numpy().max() < 1e-4
+    assert {"product", "total_std"} <= set(out)
+    quick = nq.inversion.run(RunConfig.parse(text.format("joint")), spark, *tables, n)
+    assert quick["total_std"].where("total_std is null or total_std < 0").isEmpty()
+    assert quick["grid"].where("ratio > 1").count() and quick["product"].agg({"epoch": "max"}).first()[0] == 40
