@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .arrow import map_batches
-from .tiff import DEFLATE, LZW, NAMES, PACKBITS, Page, read_tiff, write_tiff
+from .tiff import DEFLATE, LZW, NAMES, PACKBITS, Page, read_each, write_tiff
 
 #: Samples in a row of the stored images.
 ROW = 64
@@ -57,8 +57,8 @@ def read_pages(files: DataFrame, media: str = "tiff") -> DataFrame:
     """One row for each page of each file: the other columns, the file, and page, width, height, compression, predictor,
     tiled, samples, feature, error.
 
-    A null file has no page and no row. A file that can't be read gives one row whose page is null and whose error says
-    why. Columns of the files that have such a name are replaced.
+    A null file has no page and no row. A page that can't be read (damaged, or not one 8-bit sample a pixel) gives a row whose
+    error says why; a file whose directories can't be followed gives one whose page is null. Columns of the files that have such a name are replaced.
     """
     made = ["page int", "width int", "height int", "compression string", "predictor int", "tiled boolean", "samples binary", "feature string", "error string"]
     files = files.drop(*[m.split()[0] for m in made])
@@ -70,7 +70,10 @@ def read_pages(files: DataFrame, media: str = "tiff") -> DataFrame:
             if data is None:
                 continue
             try:
-                found = [(n, p.samples.shape[1], p.samples.shape[0], NAMES[p.compression], p.predictor, p.tile is not None, p.samples.tobytes(), page_feature(p.samples), None) for n, p in enumerate(read_tiff(data))]
+                found = [
+                    (n, *[None] * 7, str(p)) if isinstance(p, ValueError) else (n, p.samples.shape[1], p.samples.shape[0], NAMES[p.compression], p.predictor, p.tile is not None, p.samples.tobytes(), page_feature(p.samples), None)
+                    for n, p in enumerate(read_each(data))
+                ]
             except ValueError as error:
                 found = [(None, None, None, None, None, None, None, None, str(error))]
             index += [k] * len(found)

@@ -228,10 +228,19 @@ def write_tiff(pages: list[Page]) -> bytes:
 
 def read_tiff(data: bytes) -> list[Page]:
     """The pages of a file of either byte order, one 8-bit sample for each pixel. Raises ValueError for anything else."""
+    pages = read_each(data)
+    for page in pages:
+        if isinstance(page, ValueError):
+            raise page
+    return pages
+
+
+def read_each(data: bytes) -> list[Page | ValueError]:
+    """Each page, or why it can't be read. Raises ValueError if the file's directories can't be followed."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("no TIFF file")
-    at, pages, seen = struct.unpack_from(order + "I", data, 4)[0], [], set()
+    at, found, seen = struct.unpack_from(order + "I", data, 4)[0], [], set()
     try:
         while at:
             if at in seen:
@@ -249,9 +258,17 @@ def read_tiff(data: bytes) -> list[Page]:
                     (place,) = struct.unpack_from(order + "I", data, place)
                 fields[tag] = list(struct.unpack_from(f"{order}{n}{code}", data, place))
             (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * count)
-            pages.append(_page(data, fields))
-    except (struct.error, KeyError, IndexError, zlib.error) as error:
+            found.append(fields)
+    except (struct.error, KeyError, IndexError) as error:
         raise ValueError(f"a damaged TIFF file: {error!r}") from error
+    pages: list[Page | ValueError] = []
+    for fields in found:
+        try:
+            pages.append(_page(data, fields))
+        except ValueError as error:
+            pages.append(error)
+        except (struct.error, KeyError, IndexError, zlib.error) as error:
+            pages.append(ValueError(f"a damaged TIFF page: {error!r}"))
     return pages
 
 

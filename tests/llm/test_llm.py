@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -299,6 +300,16 @@ def test_media_of_odd_tables(spark, odd, empty):
     assert got == [(1, 0, True), (1, 1, True), (2, -1, False), (4, -1, False)]
 
 
+def test_unreadable_page_leaves_the_others(spark):
+    three = bytearray(tiff.write_tiff([tiff.Page(np.full((3, 4), k, np.uint8)) for k in range(3)]))
+    entry = struct.pack("<HHI", tiff.BITS, 3, 1)
+    second = three.index(entry, three.index(entry) + 1)
+    struct.pack_into("<H", three, second + 8, 16)
+    files = spark.createDataFrame([(1, three)], "id int, tiff binary")
+    got = sorted((r.page, None if r.samples is None else set(r.samples), r.error is None) for r in media.read_pages(files).collect())
+    assert got == [(0, {0}, True), (1, None, False), (2, {2}, True)]
+
+
 # quality
 
 
