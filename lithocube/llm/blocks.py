@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
 
+#: The most buckets: beyond some terabytes of text they grow with the data.
+MOST_BUCKETS = 1 << 18
 
-def bucket_count(spark: SparkSession, least: int = 64, each: int = 2) -> int:
-    """Buckets for entries: they grow with the session's shuffle partitions, which a user sets by the data's size."""
-    return max(least, each * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+def bucket_count(entries: int, each: int, least: int = 8) -> int:
+    """Buckets for so many entries, in proportion to them."""
+    return int(min(MOST_BUCKETS, max(least, -(-entries // each))))
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -25,17 +27,28 @@ def unpack(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def split_by(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, bounds): entries of bucket b are order[bounds[b]:bounds[b + 1]]."""
-    order = np.argsort(bucket.astype(np.uint16) if buckets <= 65536 else bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+def cells(data: bytes | np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A column of binary values: data cut at bounds, len + 1 places in it."""
+    buffer = pa.py_buffer(data if isinstance(data, bytes) else np.ascontiguousarray(data).data)
+    if bounds[-1] > 2**31 - 1:
+        raise ValueError("a block of more than 2 GB: ask for more buckets")
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), buffer])
 
 
-def block_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    """Rows (bucket, bytes, ...) as an Arrow batch."""
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names)
+def packed_batch(bucket: np.ndarray, columns: dict[str, tuple[np.ndarray, int]], more: dict[str, pa.Array] | None = None) -> pa.RecordBatch:
+    """Entries as one row for each bucket that has any, columns (values, bytes each) packed in the order they come. Values of
+    16 bytes are rows of two numbers."""
+    order = np.argsort(bucket, kind="stable")
+    sorted_bucket = bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_bucket[1:] != sorted_bucket[:-1]])) if len(order) else np.zeros(0, np.int64)
+    bounds = np.concatenate([first, [len(order)]])
+    arrays = [pa.array(sorted_bucket[first].astype(np.int32))]
+    for values, width in columns.values():
+        data = np.ascontiguousarray(values[order]) if width == 16 else pack(values[order], width)
+        arrays.append(cells(data if isinstance(data, bytes) else data.tobytes(), bounds * width))
+    return pa.RecordBatch.from_arrays(arrays, ["bucket", *columns])
 
 
-def column_bytes(table: pa.Table, name: str) -> list[bytes]:
-    return table.column(name).to_pylist()
+def joined(column: pa.ChunkedArray | pa.Array) -> bytes:
+    """The bytes of all values of a binary column."""
+    return b"".join(column.to_pylist())

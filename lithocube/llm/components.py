@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +30,3 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now = cut(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     tops = now.select(F.col("b").alias("node"), F.col("b").alias("root"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(tops).groupBy("node").agg(F.min("root").alias("root"))
-
-
-def local_roots(left: np.ndarray, right: np.ndarray, many: int) -> np.ndarray:
-    """Smallest index joined with each of 0 .. many - 1 by the links left - right, all in one task."""
-    root = np.arange(many)
-    while True:
-        low = np.minimum(root[left], root[right])
-        new = root.copy()
-        np.minimum.at(new, root[left], low)
-        np.minimum.at(new, root[right], low)
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == root).all():
-            return root
-        root = new

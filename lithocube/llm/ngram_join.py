@@ -1,13 +1,16 @@
 """Jaccard join of word n-gram sets by prefix trees.
 
-1. Every text becomes the set of its n-grams, as 48-bit tokens; equal sets share a signature and are one set from here on.
-2. Tokens are dealt out by value and counted over all sets. What occurs in one set only can't be shared, so a set keeps
-   a chance only if enough of its tokens occur in others.
-3. The global order is from rare to frequent. A set's first tokens (as many as it may lack, and one more) are its
-   keys: two sets that link share one. Sets that share a key, directly or in a chain, form a candidate component.
-4. The sets of a component meet in one task, or in one task for each two blocks of a large component. There they
-   are a trie, frequent tokens first; it is traversed once with a vector of overlaps with all other sets, which all sets below a
-   node share, and a subtree is left out when no set can reach the overlap it still needs.
+1. Every text becomes the set of its n-grams, as 56-bit tokens; equal sets share a 128-bit signature.
+2. Tokens are dealt out by value and counted. What occurs in one set only can't be shared, so a set keeps a chance only if
+   enough of its tokens occur in others.
+3. The global order is from rare to frequent. Two sets that link share at least `extra` tokens of their first ones (as many as
+   a set may lack, and `extra` more), its keys.
+4. The sets left are dealt to blocks, alike ones together. Which sets share keys with which blocks is counted by key: a set meets a
+   block only if it shares enough keys with the block's sets. No pair of sets is made on the way.
+5. For two blocks the sets that meet the other one come to one task as a trie, frequent tokens first; it is traversed once with a vector
+   of overlaps with the other sets, which all sets below a node share, and a subtree is left out when no set can reach the
+   overlap it still needs.
+6. Components are made of the links found.
 """
 
 from __future__ import annotations
@@ -18,18 +21,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import cut, table
 from .arrow import give_back, slices
-from .blocks import block_batch, bucket_count, pack, split_by, unpack
-from .components import connected_components, local_roots
-from .shingles import TOKEN_BITS, set_signatures, shingle_tokens, text_bytes
+from .blocks import bucket_count, cells, joined, pack, packed_batch, unpack
+from .components import connected_components
+from .shingles import TOKEN_BITS, mixed, set_signatures, shingle_tokens, text_bytes
 
-#: Sets in a block of a large component: a task holds two blocks.
+#: Sets in a block; a task holds two blocks at most.
 BLOCK = 2048
-#: Tokens a map task gathers before it sends blocks, and texts in a slice.
+#: Tokens a map task gathers before it sends blocks, and bytes and texts in a slice.
 GATHER, SLICE, TEXTS = 2_000_000, 2 << 20, 30_000
+#: Documents at most that are looked at for tokens of more than one in HOT documents, whose entries need not be counted.
+SAMPLE, HOT = 4_000, 100
+#: Pairs (set, block) that are counted together.
+COUNTED = 2_000_000
 LOW = np.uint64((1 << TOKEN_BITS) - 1)
 
 
@@ -38,6 +44,11 @@ def needed(size: np.ndarray, num: int, den: int) -> np.ndarray:
     return -(-num * size // den)
 
 
+def extra(size: np.ndarray) -> np.ndarray:
+    """Tokens by which a set's keys are more than it may lack."""
+    return np.maximum(size // 10, 1)
+
+
 def _text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", SLICE):
@@ -45,6 +56,10 @@ def _text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield part.slice(k, TEXTS)
 
 
+def _signature_column(sig: np.ndarray) -> pa.Array:
+    return cells(sig.tobytes(), np.arange(len(sig) + 1) * 16)
+
+
 def sign_sets(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, sig) of docs (doc_id, text without nulls)."""
 
@@ -52,13 +67,35 @@ def sign_sets(docs: DataFrame, width: int) -> DataFrame:
         for part in _text_slices(batches):
             tokens, owner = shingle_tokens(*text_bytes(part.column("text")), width)
             size, sig = set_signatures(tokens, owner, part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(sig)], ["doc_id", "n_shingles", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), _signature_column(sig)], ["doc_id", "n_shingles", "sig"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, sig binary")
+
+
+def frequent_tokens(docs: DataFrame, width: int, many: int) -> np.ndarray:
+    """Tokens that a sample of documents shows to be in more than one in HOT. At most HOT times a text's tokens come to the driver.
+    It decides where a token's entries go and where it stands in the global order, and has no effect on the result."""
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, many))) < SAMPLE)
+
+    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _text_slices(batches):
+            tokens, _ = shingle_tokens(*text_bytes(part.column("text")), width)
+            found, often = np.unique(tokens, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(often)], ["token", "n"])
+
+    least = max(10, min(many, SAMPLE) // HOT)
+    counted = some.select("text").mapInArrow(tokens_of, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") > least).select("token").toPandas()["token"]
+    return np.sort(found.to_numpy(np.int64).astype(np.uint64))
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, sig long")
 
+ENTRIES = "bucket int, kind int, flush long, which binary, tokens binary, sigs binary, sizes binary"
 
-def token_blocks(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """(bucket, sigs, sizes, which, tokens): packed entries (set, token), dealt out by the token's high bits."""
+
+def token_blocks(docs: DataFrame, width: int, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Packed entries (set, token), the set being a number within a flush of some million tokens. kind 0: dealt out by the
+    token, to be counted; 1: frequent tokens, which aren't; 2: the sets of a flush."""
+    names = [x.split()[0] for x in ENTRIES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen, many = [], set(), 0
@@ -66,15 +103,17 @@ def token_blocks(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             tokens, owner = shingle_tokens(*text_bytes(part.column("text")), width)
             size, sig = set_signatures(tokens, owner, part.num_rows)
             fresh = np.zeros(part.num_rows, bool)
-            for k, s in enumerate(sig.tolist()):
-                if size[k] and s not in seen:
+            raw = sig.tobytes()
+            for k in np.flatnonzero(size).tolist():
+                s = raw[16 * k : 16 * k + 16]
+                if s not in seen:
                     seen.add(s)
                     fresh[k] = True
             number = np.cumsum(fresh) - 1
             on = fresh[owner]
             held.append((tokens[on], number[owner[on]], sig[fresh], size[fresh]))
             many += int(on.sum())
-            if many >= GATHER or sum(len(h[2]) for h in held) > 60_000:
+            if many >= GATHER or len(seen) > TEXTS:
                 yield from flush(held)
                 held, seen, many = [], set(), 0
         yield from flush(held)
@@ -82,123 +121,158 @@ def token_blocks(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         give_back()
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
         base = np.cumsum([0, *(len(h[2]) for h in held)])
+        if not base[-1]:
+            return
         tokens = np.concatenate([h[0] for h in held])
         which = np.concatenate([h[1] + b for h, b in zip(held, base, strict=False)])
         sigs, sizes = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
-        bucket = (tokens % np.uint64(buckets)).astype(np.int64)
-        order, bounds = split_by(bucket, buckets)
-        for b in range(buckets):
-            mine = order[bounds[b] : bounds[b + 1]]
-            if len(mine):
-                present, index = np.unique(which[mine], return_inverse=True)
-                yield block_batch([(b, sigs[present].tobytes(), pack(sizes[present], 4), pack(index, 3), pack(tokens[mine], 6))], ["bucket", "sigs", "sizes", "which", "tokens"])
-
-    return docs.mapInArrow(run, "bucket int, sigs binary, sizes binary, which binary, tokens binary")
-
-
-def shared_tokens(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Counts the tokens of each bucket over all sets; those of two sets or more go on to their sets, with a class of frequency."""
-
-    def count(group: pa.Table) -> pa.Table:
-        sigs = [np.frombuffer(x, np.int64) for x in group.column("sigs").to_pylist()]
-        all_sigs = np.concatenate(sigs)
-        all_sizes = np.concatenate([unpack(x, 4) for x in group.column("sizes").to_pylist()])
-        base = np.cumsum([0, *map(len, sigs)])[:-1]
-        which = np.concatenate([unpack(x, 3).astype(np.int64) + b for x, b in zip(group.column("which").to_pylist(), base, strict=True)])
-        tokens = np.concatenate([unpack(x, 6) for x in group.column("tokens").to_pylist()])
-        known, first, back = np.unique(all_sigs, return_index=True, return_inverse=True)
+        name = int(mixed(sigs[:1, 0] ^ np.uint64(len(sigs)) ^ sigs[-1:, 1]).view(np.int64)[0])
+        common = np.zeros(len(tokens), bool)
+        if len(hot):
+            common = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
+        home = int(np.int64(name) % buckets)
+        rare = packed_batch((tokens[~common] % np.uint64(buckets)).astype(np.int64), {"which": (which[~common], 2), "tokens": (tokens[~common], 7)})
+        rows = rare.num_rows
+        none = pa.nulls(rows, pa.binary())
+        yield pa.RecordBatch.from_arrays([rare.column(0), pa.array(np.zeros(rows, np.int32)), pa.array(np.full(rows, name)), *rare.columns[1:], none, none], names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([home, home], pa.int32()), pa.array([1, 2], pa.int32()), pa.array([name, name]), *(pa.array(x, pa.binary()) for x in ([pack(which[common], 2), None], [pack(tokens[common], 7), None], [None, sigs.tobytes()], [None, pack(sizes, 5)]))],
+            names,
+        )
+
+    return docs.mapInArrow(run, ENTRIES)
+
+
+REPLIES = "flush long, which binary, values binary, sigs binary, sizes binary"
+
+
+def shared_tokens(blocks: DataFrame) -> DataFrame:
+    """Counts the tokens of each bucket; those of two entries or more go back to their flush, with a class of frequency before them."""
+    names = [x.split()[0] for x in REPLIES.split(", ")]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            for k, kind in enumerate(batch.column("kind").to_pylist()):
+                row = batch.slice(k, 1)
+                if kind == 0:
+                    held.append((row.column("flush")[0].as_py(), unpack(joined(row.column("which")), 2).astype(np.uint16), unpack(joined(row.column("tokens")), 7)))
+                elif kind == 1:
+                    values = unpack(joined(row.column("tokens")), 7) | np.uint64(255 << TOKEN_BITS)
+                    yield pa.RecordBatch.from_arrays([row.column("flush"), row.column("which"), pa.array([values.tobytes()], pa.binary()), *[pa.nulls(1, pa.binary())] * 2], names)
+                else:
+                    yield pa.RecordBatch.from_arrays([row.column("flush"), *[pa.nulls(1, pa.binary())] * 2, row.column("sigs"), row.column("sizes")], names)
+        if not held:
+            return
+        tokens = np.concatenate([h[2] for h in held])
+        flush = np.repeat(np.arange(len(held), dtype=np.int32), [len(h[2]) for h in held])
+        which = np.concatenate([h[1] for h in held])
         order = np.argsort(tokens)
-        tokens, doc = tokens[order], back[which[order]]
-        again = np.r_[tokens[1:] == tokens[:-1], False]
-        again |= np.r_[False, again[:-1]]
-        tokens, doc = tokens[again], doc[again]
-        order = np.lexsort((doc, tokens))
-        tokens, doc = tokens[order], doc[order]
-        fresh = np.r_[True, (tokens[1:] != tokens[:-1]) | (doc[1:] != doc[:-1])] if len(tokens) else np.zeros(0, bool)
-        tokens, doc = tokens[fresh], doc[fresh]
-        names = ["bucket", "sigs", "sizes", "which", "tokens"]
-        if not len(tokens):
-            return pa.Table.from_batches([block_batch([], names)])
-        starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        tokens = tokens[order]
+        starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, np.int64)
         often = np.diff(np.r_[starts, len(tokens)])
-        df = np.repeat(often, often)
-        shared = df > 1
-        level = np.minimum(np.floor(4 * np.log2(df)), 255).astype(np.uint64)
-        value = (level << np.uint64(TOKEN_BITS) | tokens)[shared]
-        doc = doc[shared]
-        sig, size = known, all_sizes[first]
-        to = (sig.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-        order, bounds = split_by(to[doc], buckets)
-        rows = []
-        for b in range(buckets):
-            mine = order[bounds[b] : bounds[b + 1]]
-            if len(mine):
-                present, index = np.unique(doc[mine], return_inverse=True)
-                rows.append((b, sig[present].tobytes(), pack(size[present], 4), pack(index, 3), pack(value[mine], 7)))
-        return pa.Table.from_batches([block_batch(rows, names)])
-
-    return blocks.groupBy("bucket").applyInArrow(count, "bucket int, sigs binary, sizes binary, which binary, tokens binary")
+        level = np.minimum(np.floor(4 * np.log2(np.maximum(often, 1))), 254).astype(np.uint64)
+        keep = np.repeat(often > 1, often)
+        value = (np.repeat(level, often) << np.uint64(TOKEN_BITS) | tokens)[keep]
+        order = order[keep]
+        if len(order):
+            back = packed_batch(flush[order], {"which": (which[order], 2), "values": (value, 8)})
+            of = np.array([h[0] for h in held])[back.column(0).to_numpy()]
+            yield pa.RecordBatch.from_arrays([pa.array(of), *back.columns[1:], *[pa.nulls(back.num_rows, pa.binary())] * 2], names)
+        del held
+        give_back()
+
+    return blocks.groupBy("bucket").applyInArrow(count, REPLIES)
 
 
 def candidate_sets(shared: DataFrame, num: int, den: int) -> DataFrame:
-    """(sig, size, tokens, n_keys): sets with enough shared tokens, these in global order from rare to frequent."""
+    """(sig, size, tokens, n_keys, alike): sets with enough shared tokens, these in global order from rare to frequent. alike: the
+    smallest hash of these tokens, by which sets that have much in common often agree."""
 
     def gather(group: pa.Table) -> pa.Table:
-        sigs = [np.frombuffer(x, np.int64) for x in group.column("sigs").to_pylist()]
-        base = np.cumsum([0, *map(len, sigs)])[:-1]
-        known, first, back = np.unique(np.concatenate(sigs), return_index=True, return_inverse=True)
-        size = np.concatenate([unpack(x, 4) for x in group.column("sizes").to_pylist()]).astype(np.int64)[first]
-        doc = back[np.concatenate([unpack(x, 3).astype(np.int64) + b for x, b in zip(group.column("which").to_pylist(), base, strict=True)])]
-        value = np.concatenate([unpack(x, 7) for x in group.column("tokens").to_pylist()])
-        have = np.bincount(doc, minlength=len(known))
-        keep = have >= needed(size, num, den)
+        parts = group.filter(group.column("sigs").is_valid())
+        sig = np.frombuffer(joined(parts.column("sigs")), np.uint64).reshape(-1, 2)
+        size = unpack(joined(parts.column("sizes")), 5).astype(np.int64)
+        entries = group.filter(group.column("which").is_valid())
+        doc = unpack(joined(entries.column("which")), 2).astype(np.int64)
+        value = np.frombuffer(joined(entries.column("values")), np.uint64)
+        have = np.bincount(doc, minlength=len(size))
+        keep = (have >= needed(size, num, den)) & (have > 0)
         on = keep[doc]
         doc, value = doc[on], value[on]
-        order = np.lexsort((value, doc))
+        order = np.argsort(value)
+        doc, value = doc[order], value[order]
+        order = np.argsort(doc.astype(np.uint16), kind="stable")
         doc, value = doc[order], value[order]
-        bounds = np.searchsorted(doc, np.arange(len(known) + 1))
         kept = np.flatnonzero(keep)
-        keys = have - needed(size, num, den) + 1  # the prefix less the tokens nobody else has, which come first in it
-        return pa.table({"sig": known[kept], "size": size[kept], "tokens": pa.array([value[bounds[k] : bounds[k + 1]].tobytes() for k in kept.tolist()], pa.binary()), "n_keys": keys[kept]})
+        bounds = np.searchsorted(doc, np.r_[kept, len(size)])
+        alike = np.minimum.reduceat(mixed(value & LOW), bounds[:-1]) if len(kept) else np.zeros(0, np.uint64)
+        # the prefix less the tokens nobody else has, which come first in it
+        keys = np.minimum(have - needed(size, num, den) + extra(size), have)[kept]
+        return pa.table({"sig": _signature_column(sig[kept]), "size": size[kept], "tokens": cells(value.tobytes(), bounds * 8), "n_keys": keys, "alike": alike.view(np.int64)})
 
-    return shared.groupBy("bucket").applyInArrow(gather, "sig long, size long, tokens binary, n_keys long")
+    return shared.groupBy("flush").applyInArrow(gather, "sig binary, size long, tokens binary, n_keys long, alike long")
 
 
-def candidate_edges(sets: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
-    """(a, b): sets that share a key and whose sizes allow a link, each with its component's smallest within a bucket of keys."""
+def place_in_blocks(sets: DataFrame) -> DataFrame:
+    """Adds block: about BLOCK sets each; those of one `alike` together, unless they fill a block by themselves and are dealt on."""
+    many = max(1, sets.count() // (BLOCK // 2))
+    slot = F.pmod(F.xxhash64("alike"), F.lit(many))
+    full = sets.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    placed = sets.withColumn("slot", slot).join(full, "slot", "left")
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("n", F.lit(1)) / (BLOCK // 2)))
+    return placed.withColumn("block", F.col("slot") * (1 << 24) + part).drop("slot", "n", "alike")
+
+
+def meetings(sets: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
+    """(id, home, other): a set of block `home` shares enough keys with sets of fitting size of block `other`."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [np.frombuffer(t, np.uint64, n) for t, n in zip(batch.column("tokens").to_pylist(), batch.column("n_keys").to_pylist(), strict=True)]
-            if not keys:
-                continue
-            count = np.array([len(k) for k in keys])
-            token = np.concatenate(keys)
-            sig, size = (np.repeat(batch.column(c).to_numpy(), count) for c in ("sig", "size"))
-            order, bounds = split_by((token % np.uint64(buckets)).astype(np.int64), buckets)
-            rows = []
-            for b in range(buckets):
-                mine = order[bounds[b] : bounds[b + 1]]
-                if len(mine):
-                    rows.append((b, token[mine].tobytes(), sig[mine].tobytes(), pack(size[mine], 4)))
-            yield block_batch(rows, ["bucket", "tokens", "sigs", "sizes"])
-
-    def link(group: pa.Table) -> pa.Table:
-        token, sig = (np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()]) for c, t in (("tokens", np.uint64), ("sigs", np.int64)))
-        size = np.concatenate([unpack(x, 4) for x in group.column("sizes").to_pylist()]).astype(np.int64)
-        order = np.lexsort((size, token))
-        token, sig, size = token[order], sig[order], size[order]
-        near = (token[1:] == token[:-1]) & (size[:-1] * den >= size[1:] * num)
-        known, back = np.unique(sig, return_inverse=True)
-        root = local_roots(back[:-1][near], back[1:][near], len(known))
-        moved = root != np.arange(len(known))
-        return pa.table({"a": known[moved], "b": known[root[moved]]})
-
-    sent = sets.mapInArrow(send, "bucket int, tokens binary, sigs binary, sizes binary")
-    return sent.groupBy("bucket").applyInArrow(link, "a long, b long")
+            count = batch.column("n_keys").to_numpy()
+            token = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(t, np.uint64, n) for t, n in zip(batch.column("tokens").to_pylist(), count.tolist(), strict=True))])
+            if len(token):
+                cols = {c: np.repeat(batch.column(c).to_numpy(), count) for c in ("id", "block", "size")}
+                yield packed_batch((mixed(token) % np.uint64(buckets)).astype(np.int64), {"token": (token, 8), "id": (cols["id"], 8), "block": (cols["block"], 8), "size": (cols["size"], 5)})
+
+    def meet(group: pa.Table) -> pa.Table:
+        token, of, block, size = (unpack(joined(group.column(c)), w) for c, w in (("token", 8), ("id", 8), ("block", 8), ("size", 5)))
+        of, block, size = of.astype(np.int64), block.astype(np.int64), size.astype(np.int64)
+        order = np.lexsort((block, token))
+        token, of, block, size = token[order], of[order], block[order], size[order]
+        n = len(token)
+        # of each key its blocks, with the sizes of their sets
+        first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (block[1:] != block[:-1])])
+        smallest, largest, sets_in = np.minimum.reduceat(size, first), np.maximum.reduceat(size, first), np.diff(np.r_[first, n])
+        key_first = np.flatnonzero(np.r_[True, token[first[1:]] != token[first[:-1]]])
+        cell_of = np.repeat(np.arange(len(first)), sets_in)
+        key_of_cell = np.repeat(np.arange(len(key_first)), np.diff(np.r_[key_first, len(first)]))
+        width = np.diff(np.r_[key_first, len(first)])[key_of_cell[cell_of]]
+        found = []
+        ends = np.cumsum(width)
+        edges = np.unique(np.r_[0, np.searchsorted(ends, np.arange(COUNTED, ends[-1] + COUNTED, COUNTED)), n])
+        for a, b in zip(edges, edges[1:], strict=False):
+            w = width[a:b]
+            entry = np.repeat(np.arange(a, b), w)
+            cell = np.arange(len(entry)) - np.repeat(np.cumsum(w) - w, w) + key_first[key_of_cell[cell_of[entry]]]
+            fits = (smallest[cell] * num <= size[entry] * den) & (size[entry] * num <= largest[cell] * den) & ((cell != cell_of[entry]) | (sets_in[cell] > 1))
+            entry, cell = entry[fits], cell[fits]
+            other = block[first[cell]]
+            order = np.lexsort((other, of[entry]))
+            i, o = of[entry][order], other[order]
+            if len(i):
+                k = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (o[1:] != o[:-1])])
+                e = entry[order][k]
+                found.append((i[k], block[e], o[k], extra(needed(size[e], num, den)), np.diff(np.r_[k, len(i)])))
+        none = [np.zeros(0, np.int64)] * 5
+        cols = [np.concatenate(x) for x in zip(none, *found, strict=True)]
+        return pa.table(dict(zip(("id", "home", "other", "least", "n"), cols, strict=True)))
+
+    sent = sets.select("id", "block", "size", "tokens", "n_keys").mapInArrow(send, "bucket int, token binary, id binary, block binary, size binary")
+    counted = sent.groupBy("bucket").applyInArrow(meet, "id long, home long, other long, least long, n long")
+    # a set that links with this one has as many keys more as one of the least fitting size has
+    return counted.groupBy("id", "home", "other", "least").agg(F.sum("n").alias("n")).where(F.col("n") >= F.col("least")).select("id", "home", "other")
 
 
 class Overlaps:
@@ -271,70 +345,52 @@ def trie_links(left: list[np.ndarray], left_size: np.ndarray, right: list[np.nda
             stack += [(a, b, depth, partial) for a, b in zip(borders, borders[1:], strict=False)]
 
 
-def trie_join(sets: DataFrame, components: DataFrame, copies: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, links): for each two linked sets of a block a chain of edges that joins them, and on rows a = b how many documents
-    of other sets set a links with in that block."""
-    spark = sets.sparkSession
-    # blocks are numbered on rows without tokens; these come after, once for each block pair a set is in
-    placed = sets.select("sig", "size").join(components, F.col("sig") == F.col("node")).join(copies, "sig").drop("node")
-    order = Window.partitionBy("root").orderBy("size", "sig")
-    numbered = placed.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-    numbered = numbered.withColumn("last", F.max("block").over(Window.partitionBy("root")))
-    spread = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    task = F.pmod(F.xxhash64("root", low, high), F.lit(4 * bucket_count(spark)))
-    marked = spread.select(task.cast("int").alias("task"), "root", low.alias("low"), high.alias("high"), "block", "sig", "size", "copies")
-    ready = marked.join(sets.select("sig", "tokens"), "sig")
+def trie_join(sets: DataFrame, met: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, links): for each two linked sets of two blocks a chain of edges that joins them, and on rows a = b how many documents
+    of other sets set a links with there."""
+    marked = met.select("id", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"), "home")
+    ready = marked.join(sets.select("id", "size", "copies", "tokens"), "id")
 
     def join(group: pa.Table) -> pa.Table:
-        cols = {c: group.column(c).to_numpy() for c in ("root", "low", "high", "block", "sig", "size", "copies")}
-        tokens = group.column("tokens")
-        order = np.lexsort((cols["sig"], cols["block"], cols["high"], cols["low"], cols["root"]))
+        cols = {c: group.column(c).to_numpy() for c in ("id", "low", "high", "home", "size", "copies")}
+        same = cols["low"][0] == cols["high"][0]
+        order = np.lexsort((cols["id"], cols["home"]))
         cols = {c: v[order] for c, v in cols.items()}
-        change = np.ones(len(order), bool)
-        change[1:] = (cols["root"][1:] != cols["root"][:-1]) | (cols["low"][1:] != cols["low"][:-1]) | (cols["high"][1:] != cols["high"][:-1])
-        borders = [*np.flatnonzero(change).tolist(), len(order)]
-        a, b, links = [], [], []
-        for s, e in zip(borders, borders[1:], strict=False):
-            own = [np.frombuffer(tokens[int(order[k])].as_py(), np.uint64) for k in range(s, e)]
-            sig, size, copies_here = cols["sig"][s:e], cols["size"][s:e], cols["copies"][s:e]
-            same = cols["low"][s] == cols["high"][s]
-            split = e - s if same else int((cols["block"][s:e] == cols["low"][s]).sum())
-            left, right = (slice(0, e - s), slice(0, e - s)) if same else (slice(0, split), slice(split, e - s))
-            if not own[left] or not own[right] or (not same and size[left].max() * den < size[right].min() * num):
-                continue
-            root = np.arange(e - s)
-            counts = np.zeros(e - s, np.int64)
-
-            def top(i: int, root: np.ndarray = root) -> int:
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            for i, found in trie_links(own[left], size[left], own[right], size[right], num, den):
-                found = found + right.start
-                if same:
-                    found = found[found != i]
-                    counts[i] += copies_here[found].sum()
-                else:
-                    counts[i] += copies_here[found].sum()
-                    counts[found] += copies_here[i]
-                mine = top(i)
-                for t in {top(int(r)) for r in np.unique(root[found]).tolist()}:
-                    low_, high_ = min(mine, t), max(mine, t)
-                    root[high_] = low_
-                    mine = low_
-            tops = np.array([top(k) for k in range(e - s)])
-            moved = tops != np.arange(e - s)
-            linked = counts > 0
-            a += [sig[moved], sig[linked]]
-            b += [sig[tops[moved]], sig[linked]]
-            links += [np.zeros(moved.sum(), np.int64), counts[linked]]
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b]), "links": np.concatenate([empty, *links])})
-
-    return ready.groupBy("task").applyInArrow(join, "a long, b long, links long")
+        tokens = group.column("tokens").to_pylist()
+        own = [np.frombuffer(tokens[k], np.uint64) for k in order.tolist()]
+        of, size, copies = cols["id"], cols["size"], cols["copies"]
+        many = len(of)
+        split = many if same else int((cols["home"] == cols["low"]).sum())
+        left, right = (slice(0, many), slice(0, many)) if same else (slice(0, split), slice(split, many))
+        empty = pa.table({"a": of[:0], "b": of[:0], "links": of[:0]})
+        if not own[left] or not own[right]:
+            return empty
+        root, counts = np.arange(many), np.zeros(many, np.int64)
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i, found in trie_links(own[left], size[left], own[right], size[right], num, den):
+            found = found + right.start
+            if same:
+                found = found[found != i]
+                counts[i] += copies[found].sum()
+            else:
+                counts[i] += copies[found].sum()
+                counts[found] += copies[i]
+            mine = top(i)
+            for t in {top(int(r)) for r in np.unique(root[found]).tolist()}:
+                low, high = min(mine, t), max(mine, t)
+                root[high] = low
+                mine = low
+        tops = np.array([top(k) for k in range(many)])
+        moved, linked = tops != np.arange(many), counts > 0
+        return pa.table({"a": np.r_[of[moved], of[linked]], "b": np.r_[of[tops[moved]], of[linked]], "links": np.r_[np.zeros(moved.sum(), np.int64), counts[linked]]})
+
+    return ready.groupBy("low", "high").applyInArrow(join, "a long, b long, links long")
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -343,25 +399,31 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int
     Sets: distinct shingles of `width` words, A-Z as a-z; the whole text's words as one if there are fewer. Two documents link
     if den * |intersection| >= num * |union|. component_id: the smallest id that links lead to. n_links: documents linked
     with this one, copies included, itself not. Null, empty and blank texts have no shingle and link with nothing; rows
-    of equal texts link with each other, also if their ids are equal. Null ids count as one id below all others.
+    of equal texts link with each other, also if their ids are equal. Null ids count as one id below all others. An empty table
+    gives no rows. Texts may be as long as a value of Spark; their sets are held one batch at a time. Further columns are ignored.
     """
-    spark = docs.sparkSession
     plain = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     signed = cut(sign_sets(plain, width))
-    copies = signed.where("n_shingles > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("copies"))
-    buckets = bucket_count(spark)
-    shared = shared_tokens(token_blocks(plain, width, buckets), buckets)
-    sets = cut(candidate_sets(shared, num, den))
-    candidates = connected_components(candidate_edges(sets, buckets, num, den))
-    found = cut(trie_join(sets, candidates, copies, num, den))
-    roots = connected_components(found.where("a <> b").select("a", "b"))
-    links = found.where("a = b").groupBy(F.col("a").alias("sig")).agg(F.sum("links").alias("others"))
-    groups = copies.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "copies", F.coalesce("root", "sig").alias("root")).join(links, "sig", "left")
-    members = signed.join(groups, "sig", "left")
-    first = members.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id"))["doc_id"].alias("first"))
-    out = members.join(first, "root", "left")
-    linked = F.when(F.col("n_shingles") > 0, F.coalesce("others", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0))
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"), linked.cast("long").alias("n_links"))
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id")).alias("first")
+    copies = signed.where("n_shingles > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("copies"), first)
+    total = signed.agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("tokens")).first()
+    buckets = bucket_count(total["tokens"] or 0, GATHER // 2)
+    hot = frequent_tokens(plain, width, total["docs"])
+    shared = shared_tokens(token_blocks(plain, width, buckets, hot))
+    found = candidate_sets(shared, num, den).dropDuplicates(["sig"]).join(copies.select("sig", "copies"), "sig")
+    # rows of a checkpoint keep their places, so their numbers are the same whenever they are made
+    sets = cut(place_in_blocks(cut(found).withColumn("id", F.monotonically_increasing_id())))
+    links = cut(trie_join(sets, meetings(sets, buckets, num, den), num, den))
+    roots = connected_components(links.where("a <> b").select("a", "b"))
+    others = links.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("others"))
+    named = sets.select("id", "sig").join(roots, F.col("id") == F.col("node")).join(others, "id", "left").select("sig", "root", "others")
+    known = copies.join(named, "sig", "left")
+    firsts = known.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
+    groups = known.join(firsts, "root", "left").select("sig", "copies", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("least", "first")["doc_id"].alias("least"))
+    out = signed.join(groups, "sig", "left")
+    has = F.col("n_shingles") > 0
+    linked = F.when(has, F.col("others") + F.col("copies") - 1).otherwise(F.lit(0))
+    return out.select("doc_id", "n_shingles", F.when(has, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), linked.cast("long").alias("n_links"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
