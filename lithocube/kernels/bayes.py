@@ -5,25 +5,37 @@ from __future__ import annotations
 import numpy as np
 
 
-def posterior(at: np.ndarray, data: np.ndarray, design: np.ndarray, noise: np.ndarray, prior: np.ndarray, sigma: float, length: float, length_z: float | None = None, block: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and variance of every voxel. at: voxel coordinates (row, column, layer); prior covariance sigma^2 exp(-r / length), or
-    exp(-r) of coordinates scaled by length and length_z. Blocks of voxels against the observations: never voxels x voxels."""
-    scale = np.array([length, length, length_z]) if length_z else None
-    place = at / scale if scale is not None else at / length
-
-    def cov(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-        return sigma**2 * np.exp(-np.sqrt(np.maximum(square, 0)))
-
-    used = np.flatnonzero(np.abs(design).sum(axis=0))
-    small = design[:, used]
-    gain = small @ cov(place[used], place[used]) @ small.T + np.diag(noise)
+def posterior(at: np.ndarray, data: np.ndarray, column: np.ndarray, wells: np.ndarray, noise: np.ndarray, prior: np.ndarray, sigma: float, length: float, length_z: float | None = None, block: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of every voxel. at: voxel coordinates (row, column, layer); column: the number of the column of layers that
+    each voxel is in, or -1; data: a sum for each column, then a value for each voxel of `wells`. Prior covariance sigma^2 exp(-r /
+    length), or exp(-r) of coordinates scaled by length and length_z.
+
+    Observations see covariances as sums over columns and as picked voxels, so they need blocks of rows only: voxels x
+    observations numbers are held, never voxels x voxels.
+    """
+    place = at / (np.array([length, length, length_z]) if length_z else length)
+    columns = int(column.max(initial=-1)) + 1
+    order = np.argsort(column, kind="stable")
+    order = order[column[order] >= 0]
+    starts = np.searchsorted(column[order], np.arange(columns))
+
+    def seen(values: np.ndarray) -> np.ndarray:
+        """What the observations see of values (n, voxels): (n, observations)."""
+        sums = np.add.reduceat(values[:, order], starts, axis=1) if columns else np.zeros((len(values), 0))
+        return np.concatenate([sums, values[:, wells]], axis=1)
+
+    def rows(k: int) -> np.ndarray:
+        """Covariances of a block of voxels with the observations."""
+        a = place[k : k + block]
+        square = (a * a).sum(1)[:, None] + (place * place).sum(1)[None, :] - 2 * a @ place.T
+        return seen(sigma**2 * np.exp(-np.sqrt(np.maximum(square, 0))))
+
+    cross = np.concatenate([rows(k) for k in range(0, len(at), block)])
+    gain = seen(cross.T) + np.diag(noise)
     root = np.linalg.cholesky(gain)
-    seen = np.linalg.solve(gain, data - design @ prior)
-    mean, var = np.empty(len(at)), np.empty(len(at))
+    step = np.linalg.solve(gain, data - seen(prior[None])[0])
+    mean, var = prior + cross @ step, np.empty(len(at))
     for k in range(0, len(at), block):
-        c = cov(place[k : k + block], place[used]) @ small.T
-        mean[k : k + block] = prior[k : k + block] + c @ seen
-        half = np.linalg.solve(root, c.T)
+        half = np.linalg.solve(root, cross[k : k + block].T)
         var[k : k + block] = sigma**2 - (half * half).sum(axis=0)
     return mean, np.maximum(var, 0)

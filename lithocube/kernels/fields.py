@@ -116,9 +116,15 @@ def fit_field(x: np.ndarray, y: np.ndarray, rotated: bool = False, most_ratio: f
 
     rng = np.random.default_rng(seed)
     tried = [np.clip(np.log([span * 0.2, 1.0, 1e-2] + ([1.5, 1.0] if rotated else [])), low, high)] + [low + (high - low) * rng.random(len(low)) for _ in range(trials)]
-    start = min(tried, key=cost)
-    best, _ = simplex_search(cost, start, low, high)
-    return made(best)
+    if not rotated:
+        return made(simplex_search(cost, min(tried, key=cost), low, high)[0])
+    # the best of each sector of angles is refined a little, the best of these to the end: there are several optima
+    costs = np.array([cost(p) for p in tried])
+    sector = np.array([p[4] // 45 for p in tried])
+    starts = [tried[int(k)] for c in np.unique(sector) for k in [np.flatnonzero(sector == c)[costs[sector == c].argmin()]]]
+    ends = [simplex_search(cost, p, low, high, 40) for p in starts]
+    best = min(ends, key=lambda e: e[1])[0]
+    return made(simplex_search(cost, best, low, high)[0])
 
 
 @dataclass
@@ -219,6 +225,18 @@ def kriging_score(x: np.ndarray, y: np.ndarray, folds: np.ndarray, trial: dict,
     return score if np.isfinite(score) else np.inf
 
 
+def refine_kriging(x: np.ndarray, y: np.ndarray, folds: np.ndarray, trial: dict, most_ratio: float, rounds: int = 40) -> dict:
+    """The trial, its numbers moved by a simplex search within the ranges they were drawn from."""
+    var, span = float(y.var()) or 1.0, float(np.ptp(x, axis=0).max()) or 1.0
+    names = ["sill", "reach", "nugget", "shape", "angle", "ratio"]
+    low = np.array([0.05 * var, 0.02 * span, 0.0, 0.1, -90.0, 1.0])
+    high = np.array([3 * var, 1.5 * span, 0.8 * var, 2.0, 270.0, max(most_ratio, 1.0 + 1e-9)])
+    made = lambda p: {**trial, **dict(zip(names, p.tolist(), strict=True))}
+    start = np.array([trial[n] for n in names], float)
+    best, score = simplex_search(lambda p: kriging_score(x, y, folds, made(p)), start, low, high, rounds)
+    return {**made(best), "angle": float(best[4] % 180)} if score < kriging_score(x, y, folds, trial) else trial
+
+
 def smooth(a: np.ndarray, sigmas: tuple[float, ...]) -> np.ndarray:
     """A Gaussian filter with mirrored edges along each axis."""
     for axis, sigma in enumerate(sigmas):
@@ -229,23 +247,43 @@ def smooth(a: np.ndarray, sigmas: tuple[float, ...]) -> np.ndarray:
     return a
 
 
-def static_world(side: int = 10, layers: int = 5, wells: tuple[int, ...] = (11, 33, 55, 77, 89), sigma: tuple[float, float] = (0.5, 0.1), dz: float = 1.0, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(truth (pixels, layers), surface, wells (n, layers)): smoothed noise, scaled to a mean of 5 and a spread of 3."""
-    rng = np.random.default_rng(seed)
+def layered_field(rng: np.random.Generator, side: int, layers: int, mean: float, spread: float) -> np.ndarray:
+    """(pixels, layers): smoothed noise, scaled to a mean and a spread, no value below 0."""
     field = smooth(rng.standard_normal((side, side, layers)), (2.0, 2.0, 0.5))
-    truth = np.clip(5 + 3 * field / field.std(), 0, None).reshape(-1, layers)
-    surface = dz * truth.sum(axis=1) + rng.normal(0, sigma[0], len(truth)) if sigma[0] else dz * truth.sum(axis=1)
-    seen = truth[list(wells)]
-    return truth, surface, seen + rng.normal(0, sigma[1], seen.shape) if sigma[1] else seen
+    return np.clip(mean + spread * field / field.std(), 0, None).reshape(-1, layers)
+
+
+def observed(rng: np.random.Generator, truth: np.ndarray, wells: tuple[int, ...], sigma: tuple[float, float], dz: float) -> tuple[np.ndarray, np.ndarray]:
+    """(surface, wells) that a world (..., pixels, layers) shows, with noise of each kind's spread."""
+    surface, seen = dz * truth.sum(axis=-1), truth[..., list(wells), :]
+    return surface + rng.normal(0, sigma[0], surface.shape) if sigma[0] else surface, seen + rng.normal(0, sigma[1], seen.shape) if sigma[1] else seen
+
 
+#: The toy world's pixels with a well, and the spreads of surface and well noise.
+WELLS, NOISE = (11, 33, 55, 77, 89), (0.5, 0.1)
 
-def timed_world(base: np.ndarray, epochs: int = 12, drift: float = 0.05, seed: int = 42) -> np.ndarray:
-    """(epochs, pixels, layers): a base grown along a logistic curve from 0.1 to 1 with drift, never shrinking."""
+
+def static_world(side: int = 10, layers: int = 5, wells: tuple[int, ...] = WELLS, sigma: tuple[float, float] = NOISE, dz: float = 1.0, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(truth (pixels, layers), surface, wells (n, layers)): a mean of 5 and a spread of 3."""
+    rng = np.random.default_rng(seed)
+    truth = layered_field(rng, side, layers, 5.0, 3.0)
+    return truth, *observed(rng, truth, wells, sigma, dz)
+
+
+def timed_world(side: int = 10, layers: int = 5, epochs: int = 12, wells: tuple[int, ...] = WELLS, sigma: tuple[float, float] = NOISE, dz: float = 1.0, drift: float = 0.05, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(truth (epochs, pixels, layers), surface (epochs, pixels), wells (epochs, n, layers)): a field of mean 1 and spread 1 that grows
+    along a logistic curve from a tenth to all of it, with drift, never shrinking."""
     rng = np.random.default_rng(seed)
-    g = 1 / (1 + np.exp(-np.linspace(-3, 3, epochs)))
-    g = 0.1 + 0.9 * (g - g.min()) / (g.max() - g.min())
-    grown = np.clip(base[None] * g[:, None, None] + rng.normal(0, drift, (epochs, *base.shape)), 0, None)
-    return np.maximum.accumulate(grown, axis=0)
+    base = layered_field(rng, side, layers, 1.0, 1.0)
+    curve = 1 / (1 + np.exp(-np.linspace(-3, 3, epochs)))
+    share = np.interp(curve, (curve[0], curve[-1]), (0.1, 1.0)) if epochs > 1 else np.ones(1)
+    truth = np.maximum.accumulate(np.clip(share[:, None, None] * base + rng.normal(0, drift, (epochs, *base.shape)), 0, None), axis=0)
+    return truth, *observed(rng, truth, wells, sigma, dz)
+
+
+def random_wells(pixels: int, wells: int, seed: int = 42) -> tuple[int, ...]:
+    """Different pixels for wells, in ascending order."""
+    return tuple(np.sort(np.random.default_rng(seed).choice(pixels, wells, replace=False)).tolist())
 
 
 def random_field(side: int, cell: float, angle: float, major: float, minor: float, sill: float, nugget: float, seed: int) -> np.ndarray:
@@ -255,6 +293,6 @@ def random_field(side: int, cell: float, angle: float, major: float, minor: floa
     kx, ky = np.meshgrid(k, k)
     a = np.radians(angle)
     u, v = kx * np.cos(a) + ky * np.sin(a), ky * np.cos(a) - kx * np.sin(a)
-    root = np.exp(-((u * major) ** 2 + (v * minor) ** 2) / 16)
+    root = np.exp(-((u * major) ** 2 + (v * minor) ** 2) / 24)  # of the spectrum of exp(-3 (h / a)^2)
     field = np.fft.ifft2(np.fft.fft2(rng.standard_normal((side, side))) * root).real
     return (field - field.mean()) / field.std() * np.sqrt(sill) + rng.normal(0, np.sqrt(nugget), (side, side))

@@ -74,6 +74,31 @@ def q61_loso(s, d):
     return metrics.errors(inversion.leave_one_out(layer_points(s, d)), ["layer"])
 
 
+@register
+def q91_loso_stations(s, d):
+    """For each station left out the sums over its layers and every layer's error."""
+    out = inversion.leave_one_out(layer_points(s, d))
+    return metrics.column_errors(out, list(range(1, tables.LAYERS + 1)))
+
+
+@register
+def q92_forward_station_layers(s, d):
+    return metrics.station_layer_errors(inversion.forward_validation(rows(s, d), series.fold_table(s, N), 0.01, 3.0), ["fold", "station", "layer"])
+
+
+@register
+def q93_solver_sweep(s, d):
+    """Mean square error at the wells after inversion by both solvers, for five strengths of smoothing in time."""
+    return inversion.solver_sweep(rows(s, d))
+
+
+@register
+def q98_layer_models(s, d):
+    """The fitted model of each layer by kriging and by the rotated Gaussian process, in one schema."""
+    p = layer_points(s, d)
+    return inversion.fit_layers(p, "kriging").unionByName(inversion.fit_layers(p, "rotated")).drop("sx", "sy", "sv")
+
+
 @register
 def q62_grid_search(s, d):
     """All 143 cells of the grid, on the last fold."""
@@ -106,16 +131,29 @@ def q73_grid_product(s, d):
 
 @register
 def q74_static_world(s, d):
-    truth, surface, _ = fields.static_world()
-    return s.createDataFrame([(p, k + 1, float(truth[p, k]), float(surface[p])) for p in range(len(truth)) for k in range(truth.shape[1])], "pixel int, layer int, m double, d double")
+    """(pixel, layer, m, d, w): the toy world, its surface, and what the wells show; null where there is none."""
+    import pandas as pd
+
+    truth, surface, wells = fields.static_world()
+    p, k = (x.ravel() for x in np.indices(truth.shape))
+    seen = np.full(truth.shape, np.nan)
+    seen[list(fields.WELLS)] = wells
+    made = s.createDataFrame(pd.DataFrame({"pixel": p, "layer": k + 1, "m": truth.ravel(), "d": surface[p], "w": seen.ravel()}))
+    return made.select(F.col("pixel").cast("int").alias("pixel"), F.col("layer").cast("int").alias("layer"), "m", "d", F.nanvl("w", F.lit(None).cast("double")).alias("w"))
 
 
 @register
 def q75_timed_world(s, d):
-    truth, _, _ = fields.static_world()
-    grown = fields.timed_world(truth / 5)
-    t, p, k = np.indices(grown.shape)
-    return s.createDataFrame([(int(a), int(b), int(c) + 1, float(v)) for a, b, c, v in zip(t.ravel(), p.ravel(), k.ravel(), grown.ravel(), strict=True)], "epoch int, pixel int, layer int, m double")
+    """(epoch, pixel, layer, m, d, w): the growing toy world and its observations."""
+    import pandas as pd
+
+    truth, surface, wells = fields.timed_world()
+    t, p, k = (x.ravel() for x in np.indices(truth.shape))
+    seen = np.full(truth.shape, np.nan)
+    seen[:, list(fields.WELLS)] = wells
+    made = s.createDataFrame(pd.DataFrame({"epoch": t, "pixel": p, "layer": k + 1, "m": truth.ravel(), "d": surface[t, p], "w": seen.ravel()}))
+    ints = [F.col(c).cast("int").alias(c) for c in ("epoch", "pixel")] + [F.col("layer").cast("int").alias("layer")]
+    return made.select(*ints, "m", "d", F.nanvl("w", F.lit(None).cast("double")).alias("w"))
 
 
 #: Angle, lengths along and across, sill and nugget of the benchmark's fields; sampled densely, then sparsely.
@@ -217,11 +255,14 @@ def q80_run_summary(s, d):
     """One row for each figure of a run with preset smoothing: (stage, name, value)."""
     from .sources.files import RunConfig
 
+    d = tables.shared(s, d)
     config = RunConfig.parse("[Inversion]\nsolver = joint\nlam = 0.01\nlam_t = 3.0\n")
     out = inversion.run(config, s, model(s, d), insar(s, d), tables.stations(s), N)
     parts = [
         out["model"].agg(F.max("kkt").alias("kkt"), F.max("m").alias("largest")),
-        out["weights"].groupBy("station").agg(F.sum("w").alias("w")).agg(F.avg("w").alias("mean_coverage"), F.min("w").alias("least_coverage")),
+        out["weights"].groupBy("station").agg(F.sum("w").alias("w")).agg(
+            F.avg("w").alias("mean_coverage"), F.min("w").alias("least_coverage"), F.max("w").alias("largest_coverage"), *[F.percentile("w", F.lit(p / 100)).alias(f"coverage_p{p}") for p in (25, 50, 75)]
+        ),
         metrics.errors(out["forward"], ["fold"]).agg(F.avg("rmse").alias("mean_fold_rmse"), F.max("rmse").alias("largest_fold_rmse")),
         metrics.errors(out["loso"], ["layer"]).agg(F.avg("rmse").alias("mean_loso_rmse"), F.max("rmse").alias("largest_loso_rmse")),
         out["product"].agg(F.avg("residual").alias("mean_residual"), F.avg("residual_std").alias("mean_residual_std")),

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 
 def errors(df: DataFrame, keys: list[str], spread: bool = True) -> DataFrame:
     """rmse, mae, bias and population spread of pred - truth for each key."""
@@ -21,6 +23,31 @@ def fold_errors(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(some(F.sqrt(F.avg(e * e))).alias("rmse"), some(F.avg(F.abs(e))).alias("mae"), some(F.avg(e)).alias("bias"), some(F.corr("pred", "truth")).alias("correlation"), n.alias("n_valid"))
 
 
+def station_layer_errors(df: DataFrame, keys: list[str]) -> DataFrame:
+    """rmse, mae and count; without rows that have both values rmse and mae are null."""
+    e = F.col("pred") - F.col("truth")
+    return df.groupBy(*keys).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.count(e).alias("n_valid"))
+
+
+def column_errors(df: DataFrame, layers: list[int], depth: int = 10) -> DataFrame:
+    """For each station the sums of its layers, predicted and true, their error, and every layer's error in a column error_l<depth>."""
+    e = F.col("pred") - F.col("truth")
+    sums = [F.sum("pred").alias("total_pred"), F.sum("truth").alias("total_true")]
+    wide = [F.max(F.when(F.col("layer") == k, e)).alias(f"error_l{depth * k}") for k in layers]
+    out = df.groupBy("station").agg(*sums, *wide).withColumn("total_error", F.col("total_pred") - F.col("total_true"))
+    return out.withColumn("total_abs_error", F.abs("total_error"))
+
+
+def worst_groups(df: DataFrame, group: str, value: str, k: int) -> DataFrame:
+    """The k groups of the largest mean; missing values don't count, ties go to the smaller group."""
+    return df.groupBy(group).agg(F.avg(value).alias("mean")).where("mean is not null").orderBy(F.desc("mean"), group).limit(k)
+
+
+def worst_deep_fraction(weights: DataFrame, k: int = 3) -> DataFrame:
+    """The k stations at which the largest part of the surface lies below all layers: (station, deep_fraction)."""
+    return weights.groupBy("station").agg((1 - F.sum("w")).alias("deep_fraction")).orderBy(F.round("deep_fraction", 9).desc(), "station").limit(k)
+
+
 def station_errors(df: DataFrame, least: float = 1e-9) -> DataFrame:
     """rmse and mae for each station that has observations: the largest is above `least`."""
     e = F.col("pred") - F.col("truth")
@@ -42,21 +69,33 @@ def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))).where("_r = 1").drop("_r")
 
 
+def ranked(df: DataFrame, *order: str) -> DataFrame:
+    """Adds rank, from 0 on, by `order`: rows are sorted by range, each partition numbers its own, and the partitions' counts, a row
+    each, are summed up before. No task sees all rows."""
+    placed = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    # a row for each partition
+    return placed.withColumn("_row", inside).join(F.broadcast(starts), "_part").withColumn("rank", (F.col("_start") + F.col("_row") - 1).cast("long")).drop("_part", "_row", "_start")
+
+
 def rank_picks(df: DataFrame, value: str, key: str) -> DataFrame:
     """The rows at the lowest and highest rank and a third and two thirds between, each once."""
-    order = Window.orderBy(value, key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    ranked = df.withColumn("_r", F.row_number().over(order) - 1).withColumn("_n", n)
-    third = lambda k: F.floor(F.col("_n") * k / 3)
-    return ranked.where((F.col("_r") == 0) | (F.col("_r") == F.col("_n") - 1) | (F.col("_r") == third(1)) | (F.col("_r") == third(2))).drop("_r", "_n")
+    rows = ranked(df, value, key)
+    n = rows.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    wanted = F.array(F.lit(0).cast("long"), F.col("_n") - 1, F.floor(F.col("_n") / 3), F.floor(F.col("_n") * 2 / 3))
+    return rows.crossJoin(F.broadcast(n)).where(F.array_contains(wanted, F.col("rank"))).drop("rank", "_n")
 
 
 def interval_sums(df: DataFrame, bounds: list[tuple[float, float]]) -> DataFrame:
-    """Sums over depth intervals that hold both their ends; without values 0."""
-    spans = df.sparkSession.createDataFrame([(float(a), float(b)) for a, b in bounds], "lo double, hi double")
-    # as many rows as bounds were given
-    hit = df.join(F.broadcast(spans), F.col("depth").between(F.col("lo"), F.col("hi")))
-    return hit.groupBy("station", "lo", "hi").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"))
+    """Sums over depth intervals that hold both their ends, for each station; without values 0."""
+    spans = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("lo"), F.lit(float(b)).alias("hi")) for a, b in bounds])).alias("span")
+    # each row meets as many intervals as were given
+    inside = F.when(F.col("depth").between(F.col("span.lo"), F.col("span.hi")), F.col("value"))
+    spread = df.select("station", "depth", "value", spans)
+    return spread.groupBy("station", F.col("span.lo").alias("lo"), F.col("span.hi").alias("hi")).agg(F.coalesce(F.sum(inside), F.lit(0.0)).alias("total"))
 
 
 def verdict(df: DataFrame, threshold: float) -> DataFrame:

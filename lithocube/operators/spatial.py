@@ -15,15 +15,20 @@ def nearest_regular(value: Column, origin: float, step: float, cells: int) -> Co
 
 
 def nearest_on_axis(points: DataFrame, axis: DataFrame, coordinate: str, out: str) -> DataFrame:
-    """Index of the nearest value of any axis (idx, coordinate). Cells between the axis' values are found by sorting both
-    together: the values before and after each point are the only candidates, so there is no product of the two."""
-    a = axis.select(F.col(coordinate).alias("_c"), F.struct(F.col(coordinate).alias("c"), F.col("idx").alias("i")).alias("_axis"), F.lit(None).cast(points.schema["station"].dataType).alias("station"))
-    p = points.select(F.col(coordinate).alias("_c"), F.lit(None).cast(a.schema["_axis"].dataType).alias("_axis"), "station")
-    order = Window.orderBy("_c", F.col("_axis").isNull())
-    both = a.unionByName(p)
-    both = both.withColumn("_lo", F.last("_axis", True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_hi", F.first("_axis", True).over(order.rowsBetween(0, Window.unboundedFollowing)))
-    near = F.when(F.col("_lo").isNull(), F.col("_hi")).when(F.col("_hi").isNull() | (F.col("_c") - F.col("_lo.c") <= F.col("_hi.c") - F.col("_c")), F.col("_lo")).otherwise(F.col("_hi"))
-    return points.join(both.where("station is not null").select("station", near["i"].alias(out)), "station")
+    """Adds the index of the nearest value of any axis (idx, coordinate) to each point; of two as near, the lower index. The axis, one
+    side of a raster, travels as one array; points stay where they are."""
+    whole = axis.agg(F.collect_list(F.struct(F.col(coordinate).alias("c"), F.col("idx").alias("i"))).alias("_axis"))
+    # one row, as long as a raster is wide
+    near = F.array_min(F.transform("_axis", lambda a: F.struct(F.abs(a["c"] - F.col(coordinate)).alias("d"), a["i"].alias("i"))))
+    return points.crossJoin(F.broadcast(whole)).withColumn(out, near["i"]).drop("_axis")
+
+
+def profile(stations: DataFrame, grid: DataFrame, axis_x: DataFrame, axis_y: DataFrame, columns: int) -> DataFrame:
+    """What a raster (pixel, ...) holds at each station's nearest pixel."""
+    placed = nearest_on_axis(nearest_on_axis(stations, axis_x, "x", "col"), axis_y, "y", "row")
+    at = placed.select("station", (F.col("row") * columns + F.col("col")).cast("int").alias("pixel"))
+    # a row for each station
+    return grid.join(F.broadcast(at), "pixel")
 
 
 def pairs(points: DataFrame, reach: float, key: str = "station", value: str = "v") -> DataFrame:

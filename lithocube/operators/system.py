@@ -83,6 +83,19 @@ def objective(model: DataFrame, insar: DataFrame, wells: DataFrame, lam: float,
     return out.withColumn("total", F.col("insar_part") + F.col("well_part") + F.col("vertical_part") + F.col("temporal_part"))
 
 
-def coo(model: DataFrame, n_layers: int, dz: float = 1.0) -> DataFrame:
-    """G's entries (row, col, val) for inspection: one row for each voxel."""
-    return model.select("station", (F.col("station") * n_layers + F.col("layer") - 1).cast("long").alias("col"), F.lit(dz).alias("val")).distinct().select(F.col("station").cast("long").alias("row"), "col", "val")
+def valid_surface(insar: DataFrame, floor: float = 10.0) -> DataFrame:
+    """(station, top, valid): whether a station's surface ever moves by `floor` or more; others give no data and no bound."""
+    return insar.groupBy("station").agg(F.max(F.abs("d")).alias("top")).withColumn("valid", F.coalesce(F.col("top") >= floor, F.lit(False)))
+
+
+def stacked(model: DataFrame, insar: DataFrame, wells: DataFrame, lam: float, lam_t: float, dz: float = 1.0) -> DataFrame:
+    """The augmented least-squares system as rows (part, station, epoch, layer, left, right): G m and the surface, the wells, and the
+    smoothness rows scaled by the roots of lam and lam_t against 0."""
+    none = F.lit(None).cast("int")
+    parts = [
+        forward(model, dz).withColumnRenamed("d", "gm").join(insar, ["station", "epoch"]).select(F.lit("surface").alias("part"), "station", "epoch", none.alias("layer"), F.col("gm").alias("left"), F.col("d").alias("right")),
+        model.join(wells, ["station", "layer", "epoch"]).select(F.lit("well").alias("part"), "station", "epoch", "layer", F.col("m").alias("left"), F.col("w").alias("right")),
+        vertical(model).select(F.lit("vertical").alias("part"), "station", "epoch", "layer", (lam**0.5 * F.col("lm")).alias("left"), F.lit(0.0).alias("right")),
+        temporal(model).select(F.lit("temporal").alias("part"), "station", "epoch", "layer", (lam_t**0.5 * F.col("ltm")).alias("left"), F.lit(0.0).alias("right")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -9,24 +9,45 @@ from pyspark.sql.window import Window
 CAP = 0.99
 
 
-def totals(model: DataFrame, insar: DataFrame, mode: str = "last") -> DataFrame:
-    """(station, layer, total, surface): the last epoch of cumulative series, or sums over epochs (mode epoch_sum)."""
+def totals(model: DataFrame, insar: DataFrame, mode: str = "last", keys: tuple[str, ...] = ("station",)) -> DataFrame:
+    """(keys, layer, total, surface): the last epoch of cumulative series, or sums over epochs (mode epoch_sum)."""
     if mode == "last":
-        layers = model.groupBy("station", "layer").agg(F.max_by("m", "epoch").alias("total"))
-        top = insar.groupBy("station").agg(F.max_by("d", "epoch").alias("surface"))
+        layers = model.groupBy(*keys, "layer").agg(F.max_by("m", "epoch").alias("total"))
+        top = insar.groupBy(*keys).agg(F.max_by("d", "epoch").alias("surface"))
     else:
-        layers = model.groupBy("station", "layer").agg(F.sum("m").alias("total"))
-        top = insar.groupBy("station").agg(F.sum("d").alias("surface"))
-    return layers.join(top, "station")
+        layers = model.groupBy(*keys, "layer").agg(F.sum("m").alias("total"))
+        top = insar.groupBy(*keys).agg(F.sum("d").alias("surface"))
+    return layers.join(top, list(keys))
 
 
-def depth_weights(totals_: DataFrame, cap: float | None = CAP) -> DataFrame:
-    """(station, layer, w): a layer's part of the surface; a surface of 0 or less counts as 1; sums over the cap shrink to it."""
+def depth_weights(totals_: DataFrame, cap: float | None = CAP, keys: tuple[str, ...] = ("station",)) -> DataFrame:
+    """(keys, layer, w): a layer's part of the surface; a surface of 0 or less counts as 1; sums over the cap shrink to it."""
     w = totals_.withColumn("w", F.col("total") / F.when(F.col("surface") > 0, F.col("surface")).otherwise(F.lit(1.0)))
     if cap is not None:
-        s = F.sum("w").over(Window.partitionBy("station"))
+        s = F.sum("w").over(Window.partitionBy(*keys))
         w = w.withColumn("_s", s).withColumn("w", F.when(F.col("_s") > cap, F.col("w") * (cap / F.col("_s"))).otherwise(F.col("w"))).drop("_s")
-    return w.select("station", "layer", "w")
+    return w.select(*keys, "layer", "w")
+
+
+def fold_predictions(model: DataFrame, insar: DataFrame, folds: DataFrame) -> DataFrame:
+    """(fold, station, layer, epoch, pred, truth): each fold's weights come from the series up to its train_end, and are applied to its
+    window's surface."""
+    # three fold rows
+    f = F.broadcast(folds)
+    keys = ("fold", "station")
+    seen = lambda df: df.join(f, F.col("epoch") <= F.col("train_end"))
+    w = depth_weights(totals(seen(model), seen(insar), keys=keys), keys=keys)
+    inside = insar.join(f, F.col("epoch").between(F.col("val_start"), F.col("val_end"))).select("fold", "station", "epoch", "d")
+    pred = predict(w, inside, ["fold", "station"])
+    return pred.join(model, ["station", "layer", "epoch"]).select("fold", "station", "layer", "epoch", "pred", F.col("m").alias("truth"))
+
+
+def mean_of_others(weights: DataFrame) -> DataFrame:
+    """(station, layer, pred, truth): each station's weight as the mean of all others', of which it has no part. With one station null."""
+    per = weights.groupBy("layer").agg(F.sum("w").alias("_s"), F.count("w").alias("_n"))
+    # a row for each layer
+    out = weights.join(F.broadcast(per), "layer")
+    return out.select("station", "layer", ((F.col("_s") - F.col("w")) / F.nullif(F.col("_n") - 1, F.lit(0))).alias("pred"), F.col("w").alias("truth"))
 
 
 def station_coverage(weights: DataFrame) -> DataFrame:
@@ -40,7 +61,7 @@ def normalise(weights: DataFrame, key: str = "station", value: str = "w") -> Dat
     return clipped.withColumn("_s", s).withColumn(value, F.when(F.col("_s") > 1, F.col(value) / F.col("_s")).otherwise(F.col(value))).drop("_s")
 
 
-def predict(weights: DataFrame, insar: DataFrame, key: str = "station") -> DataFrame:
+def predict(weights: DataFrame, insar: DataFrame, key: str | list[str] = "station") -> DataFrame:
     """Weight times surface, for each layer and epoch; with a column std also the predicted spread."""
     out = insar.join(weights, key).withColumn("pred", F.col("w") * F.col("d"))
     return out.withColumn("pred_std", F.col("std") * F.abs("d")) if "std" in weights.columns else out

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..kernels import bayes, fields
 from ..kernels import least_squares as ls
 from ..operators import metrics, series, system, weights
+from ..session import cut
 from ..sources import tables
 
 for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
@@ -54,6 +55,23 @@ def invert(rows: DataFrame, solver: str = "joint", lam: float = 0.01, lam_t: flo
     return rows.groupBy("station").applyInPandas(solve, "station int, epoch int, layer int, m double, kkt double")
 
 
+#: Strengths of smoothing in time that the sweep goes through.
+SWEEP = (1.0, 3.0, 4.0, 5.0, 6.0)
+
+
+def solver_sweep(rows: DataFrame, lam: float = 0.01, lams_t: tuple[float, ...] = SWEEP) -> DataFrame:
+    """(solver, lam_t, mse): mean square difference from the wells after inversion. A station's rows go through all runs in one task."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, _, w, d = _cube(pdf)
+        alone = float(((ls.solve_independent(d, w, lam)[0] - w) ** 2).sum())  # the independent solver has no smoothing in time
+        found = [("independent", t, alone) for t in lams_t] + [("joint", t, float(((ls.solve_joint(d, w, lam, t)[0] - w) ** 2).sum())) for t in lams_t]
+        return pd.DataFrame(found, columns=["solver", "lam_t", "sse"]).assign(n=float(w.size))
+
+    per = rows.groupBy("station").applyInPandas(solve, "solver string, lam_t double, sse double, n double")
+    return per.groupBy("solver", "lam_t").agg((F.sum("sse") / F.sum("n")).alias("mse"))
+
+
 def invert_coupled(rows: DataFrame, edges: DataFrame, groups: DataFrame, lam: float = 0.01, lam_t: float = 1.0) -> DataFrame:
     """(station, epoch, layer, m, primal, dual) with neighbours coupled and layers bounded by the surface. Components of the graph of
     neighbours (station, root) don't touch, so each is a group of its own; edges travel with their component."""
@@ -86,10 +104,7 @@ def bayes_epoch(rows: DataFrame, kind: str = "isotropic", sigma: float = 3.0, le
         side = int(np.ceil(np.sqrt(stations.max() + 1)))
         s, at_layer = pdf["station"].to_numpy(), np.searchsorted(layers, pdf["layer"])
         place = np.column_stack([s // side, s % side, at_layer]).astype(float)
-        sums = (s[None, :] == stations[:, None]).astype(float)
         well = np.flatnonzero(s % 4 == 0)
-        pick = np.zeros((len(well), len(s)))
-        pick[np.arange(len(well)), well] = 1
         surface = pdf.groupby("station")["d"].first().sort_index().to_numpy()
         seen = pdf["w"].to_numpy()
         data = np.r_[surface, seen[well]]
@@ -98,7 +113,7 @@ def bayes_epoch(rows: DataFrame, kind: str = "isotropic", sigma: float = 3.0, le
             prior = pdf["w"].where(s % 4 == 0).groupby(pdf["layer"]).transform("mean").fillna(seen[well].mean()).to_numpy()
         else:
             prior = np.full(len(s), seen[well].mean())
-        mean, var = bayes.posterior(place, data, np.vstack([sums, pick]), err, prior, sigma, length, None if kind == "isotropic" else length_z)
+        mean, var = bayes.posterior(place, data, np.searchsorted(stations, s), well, err, prior, sigma, length, None if kind == "isotropic" else length_z)
         return pd.DataFrame({"epoch": pdf["epoch"], "station": s, "layer": pdf["layer"], "mean": mean, "std": np.sqrt(var)})
 
     return rows.groupBy("epoch").applyInPandas(solve, "epoch int, station int, layer int, mean double, std double")
@@ -146,20 +161,21 @@ def leave_one_out(points: DataFrame, engine: str = "gp", trials: int | None = No
 
 
 def grid_search(rows: DataFrame, train_end: int, val_end: int, lams: list[float] = LAM, lams_t: list[float] = LAM_T) -> DataFrame:
-    """(lam, lam_t, mean_rmse, max_rmse): the whole grid on one fold, a group for each cell and station."""
-    cells = rows.sparkSession.createDataFrame(list(itertools.product(lams, lams_t)), "lam double, lam_t double")
-    # as many rows as the grid has cells
-    spread = rows.where(F.col("epoch") <= val_end).crossJoin(F.broadcast(cells))
+    """(lam, lam_t, mean_rmse, max_rmse): the whole grid on one fold. A station's rows come to one task once, which goes through all
+    cells of the grid."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         epochs, layers, w, d = _cube(pdf)
         train = epochs <= train_end
-        m, _ = ls.solve_joint(d[train], w[train], float(pdf["lam"].iloc[0]), float(pdf["lam_t"].iloc[0]))
-        share = m[-1] / (d[train][-1] if d[train][-1] > 0 else 1.0)
-        e = d[~train, None] * share[None, :] - w[~train]
-        return pd.DataFrame({"lam": pdf["lam"].iloc[0], "lam_t": pdf["lam_t"].iloc[0], "layer": layers, "sse": (e * e).sum(axis=0), "n": float(len(e))})
-
-    per = spread.groupBy("lam", "lam_t", "station").applyInPandas(solve, "lam double, lam_t double, layer int, sse double, n double")
+        out = []
+        for lam, lam_t in itertools.product(lams, lams_t):
+            m, _ = ls.solve_joint(d[train], w[train], lam, lam_t)
+            share = m[-1] / (d[train][-1] if d[train][-1] > 0 else 1.0)
+            e = d[~train, None] * share[None, :] - w[~train]
+            out.append(pd.DataFrame({"lam": lam, "lam_t": lam_t, "layer": layers, "sse": (e * e).sum(axis=0), "n": float(len(e))}))
+        return pd.concat(out)
+
+    per = rows.where(F.col("epoch") <= val_end).groupBy("station").applyInPandas(solve, "lam double, lam_t double, layer int, sse double, n double")
     layers = per.groupBy("lam", "lam_t", "layer").agg(F.sqrt(F.sum("sse") / F.sum("n")).alias("rmse"))
     return layers.groupBy("lam", "lam_t").agg(F.avg("rmse").alias("mean_rmse"), F.max("rmse").alias("max_rmse"))
 
@@ -168,7 +184,7 @@ def grid_pixels(spark: SparkSession) -> DataFrame:
     """(pixel, x, y): every cell of the bound raster."""
     (x0, dx, nx), (y0, dy, ny) = tables.X_AXIS, tables.Y_AXIS
     p = F.col("id").cast("int")
-    return spark.range(nx * ny).select(p.alias("pixel"), (x0 + (p % nx) * dx).alias("x"), (y0 + F.floor(p / nx) * dy).alias("y"))
+    return spark.range(0, nx * ny, 1, max(1, nx * ny // 4096)).select(p.alias("pixel"), (x0 + (p % nx) * dx).alias("x"), (y0 + F.floor(p / nx) * dy).alias("y"))
 
 
 def fit_engine(x: np.ndarray, y: np.ndarray, engine: str, trials: int | None = None, most_ratio: float = 10.0) -> fields.Field | fields.Kriging:
@@ -177,35 +193,66 @@ def fit_engine(x: np.ndarray, y: np.ndarray, engine: str, trials: int | None = N
     if engine == "kriging":
         folds = fields.spatial_folds(x, 5)
         best = min(fields.kriging_trials(x, y, trials, most_ratio), key=lambda t: fields.kriging_score(x, y, folds, t))
-        return fields.Kriging(x, y, **best)
+        best = fields.refine_kriging(x, y, folds, best, most_ratio)
+        return fields.Kriging(x, y, **{**best, "shape": best["shape"] if best["model"] in fields.SHAPED else 1.0})
     return fields.fit_field(x, y, engine == "rotated", most_ratio, trials)
 
 
-def interpolate(points: DataFrame, pixels: DataFrame, engine: str = "gp", trials: int | None = None, most_ratio: float = 10.0) -> DataFrame:
-    """(layer, pixel, w, std, angle, ratio): a model for each layer, predicted at the pixels. A layer of zeros is 0 without a fit. The
-    stations of a layer, a few thousand at most, are its group; pixels come in blocks to the fitted models."""
-    fitted = points.groupBy("layer").agg(F.collect_list(F.struct("station", "x", "y", "v")).alias("pts"))
-    blocks = pixels.withColumn("block", F.floor(F.col("pixel") / 20000)).groupBy("block").agg(F.collect_list(F.struct("pixel", "x", "y")).alias("px"))
+#: What a fitted model is, the same for all engines: a row for each layer.
+MODEL = "layer int, engine string, variogram string, angle double, ratio double, major double, minor double, sill double, nugget double, shape double, sx array<double>, sy array<double>, sv array<double>"
+
+
+def fit_layers(points: DataFrame, engine: str = "gp", trials: int | None = None, most_ratio: float = 10.0) -> DataFrame:
+    """(layer, engine, variogram, angle, ratio, major, minor, sill, nugget, shape, sx, sy, sv): each layer's model, a task each, with its
+    points in km, a few thousand at most. A layer of zeros has no engine."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("station")
+        x, y = pdf[["x", "y"]].to_numpy() / 1000, pdf["v"].to_numpy(float)
+        out = {"layer": int(pdf["layer"].iloc[0]), "engine": None, "variogram": None, "angle": 0.0, "ratio": 1.0, "major": 0.0, "minor": 0.0, "sill": 0.0, "nugget": 0.0, "shape": 1.0, "sx": x[:, 0].tolist(), "sy": x[:, 1].tolist(), "sv": y.tolist()}
+        if np.any(y):
+            m = fit_engine(x, y, engine, trials, most_ratio)
+            if engine == "kriging":
+                out |= {"engine": engine, "variogram": m.model, "angle": m.angle, "ratio": m.ratio, "major": m.reach, "minor": m.reach / m.ratio, "sill": m.sill, "nugget": m.nugget, "shape": m.shape}
+            else:
+                out |= {"engine": engine, "variogram": "matern52", "angle": m.angle, "ratio": m.lengths[0] / m.lengths[1], "major": m.lengths[0], "minor": m.lengths[1], "sill": m.signal, "nugget": m.noise}
+        return pd.DataFrame([out])
+
+    return points.groupBy("layer").applyInPandas(fit, MODEL)
+
+
+def predict_layers(models: DataFrame, pixels: DataFrame) -> DataFrame:
+    """(layer, pixel, w, std, angle, ratio) of all pixels: the fitted models, a row for each layer, go to the partitions of pixels."""
+    packed = models.agg(F.collect_list(F.struct("*")).alias("models"))
 
     def predict(batches):
-        models: dict = {}
+        fitted = None
         for pdf in batches:
-            for layer, pts, px in zip(pdf["layer"], pdf["pts"], pdf["px"], strict=True):
-                rows = sorted(((p["station"], p["x"], p["y"], p["v"]) for p in pts))
-                x, y = np.array([r[1:3] for r in rows]) / 1000, np.array([r[3] for r in rows])
-                at = np.array([(p["x"], p["y"]) for p in px]) / 1000
-                angle, ratio = 0.0, 1.0
-                if not np.any(y):
-                    mean, std = np.zeros(len(at)), np.zeros(len(at))
-                else:
-                    if layer not in models:
-                        models[layer] = fit_engine(x, y, engine, trials, most_ratio)
-                    m = models[layer]
-                    angle, ratio = m.angle, m.ratio if engine == "kriging" else m.lengths[0] / m.lengths[1]
-                    mean, std = m.predict(at)
-                yield pd.DataFrame({"layer": layer, "pixel": [p["pixel"] for p in px], "w": mean, "std": std, "angle": angle, "ratio": ratio})
-
-    return fitted.crossJoin(F.broadcast(blocks)).repartition("layer").mapInPandas(predict, "layer int, pixel int, w double, std double, angle double, ratio double")
+            if not len(pdf):
+                continue
+            if fitted is None:
+                fitted = [(m, _refitted(m)) for m in sorted(pdf["models"].iloc[0], key=lambda m: m["layer"])]
+            at = pdf[["x", "y"]].to_numpy() / 1000
+            for m, model in fitted:
+                mean, std = model.predict(at) if model else (np.zeros(len(at)), np.zeros(len(at)))
+                yield pd.DataFrame({"layer": m["layer"], "pixel": pdf["pixel"], "w": mean, "std": std, "angle": m["angle"], "ratio": m["ratio"]})
+
+    # one row: as many models as there are layers
+    return pixels.crossJoin(F.broadcast(packed)).mapInPandas(predict, "layer int, pixel int, w double, std double, angle double, ratio double")
+
+
+def _refitted(m) -> fields.Field | fields.Kriging | None:
+    x, y = np.column_stack([m["sx"], m["sy"]]), np.array(m["sv"])
+    if m["engine"] is None:
+        return None
+    if m["engine"] == "kriging":
+        return fields.Kriging(x, y, m["variogram"], m["sill"], m["major"], m["nugget"], m["shape"], m["angle"], m["ratio"])
+    return fields.Field(x, y, m["angle"], (m["major"], m["minor"]), m["sill"], m["nugget"])
+
+
+def interpolate(points: DataFrame, pixels: DataFrame, engine: str = "gp", trials: int | None = None, most_ratio: float = 10.0) -> DataFrame:
+    """(layer, pixel, w, std, angle, ratio): a model for each layer, fitted once, predicted at the pixels of every partition."""
+    return predict_layers(cut(fit_layers(points, engine, trials, most_ratio)), pixels)
 
 
 def pixel_surface(pixels: DataFrame, stations: DataFrame, insar: DataFrame) -> DataFrame:
@@ -269,7 +316,7 @@ def run(config, spark: SparkSession, model: DataFrame, insar: DataFrame, station
         solved = lambda r: invert_coupled(r, edges, groups, lam, lam_t)
     else:
         solved = lambda r: invert(r, config.solver, lam, lam_t)
-    out["model"] = solved(rows)
+    out["model"] = cut(solved(rows))  # all that follows looks at it
     out["weights"] = weights.depth_weights(weights.totals(out["model"], insar))
     if config.solver == "joint":
         out["forward"] = forward_validation(rows, folds, lam, lam_t)
@@ -282,9 +329,11 @@ def run(config, spark: SparkSession, model: DataFrame, insar: DataFrame, station
             parts.append(pred.join(model.withColumnRenamed("m", "truth"), ["station", "layer", "epoch"]).select(F.lit(fold).alias("fold"), "station", "epoch", "layer", "pred", "truth"))
         out["forward"] = parts[0].unionByName(parts[1]).unionByName(parts[2])
     points = out["weights"].join(stations, "station").select("layer", "station", "x", "y", F.col("w").alias("v"))
-    out["loso"] = leave_one_out(points, engine, trials, most_ratio)
+    out["loso"] = cut(leave_one_out(points, engine, trials, most_ratio))
+    out["forward"] = cut(out["forward"])
     pixels = grid_pixels(spark)
-    out["grid"] = interpolate(points, pixels, engine, trials, most_ratio)
+    out["models"] = cut(fit_layers(points, engine, trials, most_ratio))
+    out["grid"] = cut(predict_layers(out["models"], pixels))
     surface = pixel_surface(pixels, stations, insar)
     out["product"] = grid_product(out["grid"], surface)
     spread = series.spread_folds(metrics.errors(out["forward"], ["fold", "layer"]).select("fold", "layer", "rmse"), folds, n)

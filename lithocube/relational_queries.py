@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 from .functions.directions import compass, rotated, turned
 from .functions.variograms import variogram
 from .operators import metrics, series, spatial, system, weights
+from .session import shared_dir
 from .sources import files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +50,10 @@ lastm AS (SELECT c.station, c.layer, c.m AS total, s.d AS surface FROM cum c JOI
 raw AS (SELECT station, layer, total / CASE WHEN surface > 0 THEN surface ELSE 1 END AS w FROM lastm),
 wt AS (SELECT station, layer, CASE WHEN sum(w) OVER p > 0.99::DOUBLE THEN w * (0.99::DOUBLE / sum(w) OVER p) ELSE w END AS w FROM raw WINDOW p AS (PARTITION BY station)),
 fold AS (SELECT * FROM (VALUES (1, 52, 53, 62), (2, 62, 63, 72), (3, 72, 73, 82)) t(fold, train_end, val_start, val_end)),
+ftot AS (SELECT fold, c.station, c.layer, c.m / CASE WHEN s.d > 0 THEN s.d ELSE 1 END AS w FROM fold JOIN cum c ON c.epoch = train_end JOIN scum s ON s.station = c.station AND s.epoch = train_end),
+fw AS (SELECT fold, station, layer, CASE WHEN sum(w) OVER p > 0.99::DOUBLE THEN w * (0.99::DOUBLE / sum(w) OVER p) ELSE w END AS w FROM ftot WINDOW p AS (PARTITION BY fold, station)),
+fpred AS (SELECT fold, fw.station, fw.layer, s.epoch, w * d AS pred, m AS truth FROM fw JOIN fold USING (fold) JOIN scum s ON s.station = fw.station AND s.epoch BETWEEN val_start AND val_end JOIN cum c ON c.station = fw.station AND c.layer = fw.layer AND c.epoch = s.epoch),
+loo AS (SELECT station, layer, (sum(w) OVER p - w) / (count(w) OVER p - 1) AS pred, w AS truth FROM wt WINDOW p AS (PARTITION BY layer)),
 pred AS (SELECT s.station, w.layer, s.epoch, w.w * s.d AS pred, c.m AS truth FROM scum s JOIN wt w USING (station) JOIN cum c ON c.station = s.station AND c.layer = w.layer AND c.epoch = s.epoch)
 """
 
@@ -91,6 +97,16 @@ def predicted(s: SparkSession, d: str) -> DataFrame:
     return weights.predict(depth_weights(s, d), insar(s, d)).join(model(s, d), ["station", "layer", "epoch"]).select("station", "layer", "epoch", "pred", F.col("m").alias("truth"))
 
 
+def fold_predicted(s: SparkSession, d: str) -> DataFrame:
+    """What each fold's past says of its window."""
+    return weights.fold_predictions(model(s, d), insar(s, d), series.fold_table(s, N))
+
+
+def left_out(s: SparkSession, d: str) -> DataFrame:
+    """Each station's weights as the others give them."""
+    return weights.mean_of_others(depth_weights(s, d))
+
+
 def points(s: SparkSession, d: str) -> DataFrame:
     """Stations with the weight of layer 1: (station, x, y, v)."""
     return tables.stations(s).join(depth_weights(s, d).where("layer = 1").select("station", F.col("w").alias("v")), "station")
@@ -139,10 +155,8 @@ def q07_excluded_anti(s, d):
 @register("""SELECT station, xi::INT AS col, yi::INT AS row, (yi * 106 + xi)::INT AS pixel FROM (
   SELECT station, (SELECT arg_min(k, (abs(x - (160000 + 500 * k)), k)) FROM range(106) t(k)) AS xi, (SELECT arg_min(k, (abs(y - (2600000 + 500 * k)), k)) FROM range(121) t(k)) AS yi FROM sta)""")
 def q08_nearest_pixel(s, d):
-    xs = s.range(106).select(F.col("id").cast("int").alias("idx"), (160000.0 + 500 * F.col("id")).alias("x"))
-    ys = s.range(121).select(F.col("id").cast("int").alias("idx"), (2600000.0 + 500 * F.col("id")).alias("y"))
-    sta = tables.stations(s)
-    both = spatial.nearest_on_axis(sta, xs, "x", "col").join(spatial.nearest_on_axis(sta, ys, "y", "row").select("station", "row"), "station")
+    near = spatial.nearest_on_axis(tables.stations(s), tables.axis(s, "x"), "x", "col")
+    both = spatial.nearest_on_axis(near, tables.axis(s, "y"), "y", "row")
     return both.select("station", "col", "row", (F.col("row") * 106 + F.col("col")).cast("int").alias("pixel"))
 
 
@@ -184,12 +198,11 @@ def q15_folds(s, d):
     return series.fold_table(s, N)
 
 
-FOLD_RMSE = "frmse AS (SELECT fold, layer, sqrt(avg((pred - truth) * (pred - truth))) AS rmse FROM pred JOIN fold ON epoch BETWEEN val_start AND val_end GROUP BY 1, 2)"
+FOLD_RMSE = "frmse AS (SELECT fold, layer, sqrt(avg((pred - truth) * (pred - truth))) AS rmse FROM fpred GROUP BY 1, 2)"
 
 
 def fold_rmse(s, d):
-    inside = series.in_validation(predicted(s, d), series.fold_table(s, N))
-    return metrics.fold_errors(inside, ["fold", "layer"]).select("fold", "layer", "rmse")
+    return metrics.fold_errors(fold_predicted(s, d), ["fold", "layer"]).select("fold", "layer", "rmse")
 
 
 @register(f", {FOLD_RMSE} SELECT epoch, layer, round(rmse, 6) + 0.0 AS sigma_t FROM frmse JOIN ep ON fold = CASE WHEN epoch < 63 THEN 1 WHEN epoch < 73 THEN 2 ELSE 3 END")
@@ -231,6 +244,7 @@ def q21_L_t(s, d):
  (SELECT 0.01::DOUBLE * sum(x * x) AS c FROM (SELECT coalesce(m - lead(m) OVER (PARTITION BY station, epoch ORDER BY layer), 0) AS x FROM cum)),
  (SELECT 3.0::DOUBLE * sum(x * x) AS e FROM (SELECT lead(m) OVER (PARTITION BY station, layer ORDER BY epoch) - m AS x FROM cum))""")
 def q22_objective(s, d):
+    d = tables.shared(s, d)
     wells = tables.observations(s, d).select("station", "layer", "epoch", (-F.col("value")).alias("w"))
     out = system.objective(model(s, d), insar(s, d), wells, 0.01, 3.0)
     return out.select(*[F.round(c, 4).alias(c) for c in out.columns])
@@ -281,14 +295,17 @@ def q28_layer_compaction(s, d):
 
 @register("SELECT station, epoch, round(d, 6) + 0.0 AS d, round(d * (1 - t), 6) + 0.0 AS residual FROM scum JOIN (SELECT station, sum(w) AS t FROM wt GROUP BY 1) USING (station)")
 def q29_deep_residual(s, d):
+    d = tables.shared(s, d)
     return weights.deep_residual(depth_weights(s, d), insar(s, d)).select("station", "epoch", r6("d").alias("d"), r6("residual").alias("residual"))
 
 
-@register(f""", {STD}, {FOLD_RMSE}, lr AS (SELECT layer, sqrt(avg((pred - truth) * (pred - truth))) AS rmse FROM pred GROUP BY 1)
- SELECT station, ws.layer, epoch, round(sqrt((std * abs(d)) * (std * abs(d)) + (lr.rmse * d) * (lr.rmse * d) + f.rmse * f.rmse), 4) AS total_std FROM ws JOIN scum USING (station) JOIN lr ON lr.layer = ws.layer JOIN frmse f ON f.layer = ws.layer AND f.fold = CASE WHEN epoch < 63 THEN 1 WHEN epoch < 73 THEN 2 ELSE 3 END""")
+@register(f""", {STD}, {FOLD_RMSE}, lr AS (SELECT layer, sqrt(avg((pred - truth) * (pred - truth))) AS rmse FROM loo WHERE layer <> 7 GROUP BY 1)
+ SELECT station, ws.layer, epoch, round(sqrt((std * abs(d)) * (std * abs(d)) + (coalesce(lr.rmse, 0) * d) * (coalesce(lr.rmse, 0) * d) + f.rmse * f.rmse), 4) AS total_std FROM ws JOIN scum USING (station) LEFT JOIN lr ON lr.layer = ws.layer JOIN frmse f ON f.layer = ws.layer AND f.fold = CASE WHEN epoch < 63 THEN 1 WHEN epoch < 73 THEN 2 ELSE 3 END""")
 def q30_total_std(s, d):
+    """The deepest layer has no figure of the validation in space: it counts as 0."""
+    d = tables.shared(s, d)
     sigma = series.spread_folds(fold_rmse(s, d), series.fold_table(s, N), N).select("epoch", "layer", F.col("rmse").alias("sigma_t"))
-    layer = metrics.errors(predicted(s, d), ["layer"]).select("layer", "rmse")
+    layer = metrics.errors(left_out(s, d), ["layer"]).where("layer <> 7").select("layer", "rmse")
     out = weights.total_std(weights.predict(with_std(s, d), insar(s, d)), layer, sigma)
     return out.select("station", "layer", "epoch", F.round("total_std", 4).alias("total_std"))
 
@@ -298,21 +315,24 @@ def q31_low_conf(s, d):
     return weights.low_confidence(with_std(s, d), "station", 0.085)
 
 
-@register("SELECT layer, round(sqrt(avg((pred - truth) * (pred - truth))), 6) AS rmse, round(avg(abs(pred - truth)), 6) AS mae, round(avg(pred - truth), 6) + 0.0 AS bias, round(stddev_pop(pred - truth), 6) AS std_error FROM pred GROUP BY 1")
+@register("SELECT layer, round(sqrt(avg((pred - truth) * (pred - truth))), 6) AS rmse, round(avg(abs(pred - truth)), 6) AS mae, round(avg(pred - truth), 6) + 0.0 AS bias, round(stddev_pop(pred - truth), 6) AS std_error FROM loo GROUP BY 1")
 def q32_loso_metrics(s, d):
-    out = metrics.errors(predicted(s, d), ["layer"])
+    out = metrics.errors(left_out(s, d), ["layer"])
     return out.select("layer", *[r6(c).alias(c) for c in ("rmse", "mae", "bias", "std_error")])
 
 
-@register("""SELECT fold, layer, round(sqrt(avg((pred - truth) * (pred - truth))), 6) AS rmse, round(avg(abs(pred - truth)), 6) AS mae, round(avg(pred - truth), 6) + 0.0 AS bias, round(corr(pred, truth), 6) AS correlation, count(*)::BIGINT AS n_valid FROM pred JOIN fold ON epoch BETWEEN val_start AND val_end GROUP BY 1, 2""")
+@register("""SELECT fold, layer, round(sqrt(avg((pred - truth) * (pred - truth))), 6) AS rmse, round(avg(abs(pred - truth)), 6) AS mae, round(avg(pred - truth), 6) + 0.0 AS bias, round(corr(pred, truth), 6) AS correlation, count(*)::BIGINT AS n_valid FROM fpred GROUP BY 1, 2""")
 def q33_fold_metrics(s, d):
-    out = metrics.fold_errors(series.in_validation(predicted(s, d), series.fold_table(s, N)), ["fold", "layer"])
+    out = metrics.fold_errors(fold_predicted(s, d), ["fold", "layer"])
     return out.select("fold", "layer", *[r6(c).alias(c) for c in ("rmse", "mae", "bias", "correlation")], "n_valid")
 
 
-@register("SELECT station, round(sqrt(avg((pred - truth) * (pred - truth))), 6) AS rmse, round(avg(abs(pred - truth)), 6) AS mae, max(abs(truth)) > 1e-9 AS has_obs FROM pred GROUP BY 1")
+@register("""SELECT station, CASE WHEN max(abs(truth)) > 1e-9 THEN round(sqrt(avg((pred - truth) * (pred - truth))), 6) END AS rmse, CASE WHEN max(abs(truth)) > 1e-9 THEN round(avg(abs(pred - truth)), 6) END AS mae,
+ max(abs(truth)) > 1e-9 AS has_obs FROM (SELECT station, pred, CASE WHEN station = 3 THEN 0 ELSE truth END AS truth FROM pred) GROUP BY 1""")
 def q34_station_metrics(s, d):
-    return metrics.station_errors(predicted(s, d)).select("station", r6("rmse").alias("rmse"), r6("mae").alias("mae"), "has_obs")
+    """Station 3 is taken to have no observations."""
+    seen = predicted(s, d).withColumn("truth", F.when(F.col("station") != 3, F.col("truth")).otherwise(F.lit(0.0)))
+    return metrics.station_errors(seen).select("station", r6("rmse").alias("rmse"), r6("mae").alias("mae"), "has_obs")
 
 
 TRIALS = "trials AS (SELECT layer AS lam, (epoch % 4)::INT AS lam_t, avg(abs(value)) AS mean_rmse, max(abs(value)) AS max_rmse FROM cube GROUP BY 1, 2)"
@@ -345,9 +365,9 @@ def q38_coverage_percentiles(s, d):
     return c.agg(*[r6(F.percentile("coverage", F.lit(p / 100))).alias(f"p{p}") for p in (25, 50, 75)])
 
 
-@register("""SELECT station, lo, hi, round(coalesce(sum(value), 0), 6) + 0.0 AS total FROM (SELECT station, layer * 10.0::DOUBLE AS depth, value FROM filled) JOIN (VALUES (0.0::DOUBLE, 20.0::DOUBLE), (20.0, 50.0), (50.0, 70.0)) t(lo, hi) ON depth BETWEEN lo AND hi GROUP BY 1, 2, 3""")
+@register("""SELECT station, lo, hi, round(coalesce(sum(value) FILTER (depth BETWEEN lo AND hi), 0), 6) + 0.0 AS total FROM (SELECT station, layer * 10.0::DOUBLE AS depth, value FROM filled) CROSS JOIN (VALUES (0.0::DOUBLE, 20.0::DOUBLE), (20.0, 50.0), (50.0, 70.0), (300.0, 400.0)) t(lo, hi) GROUP BY 1, 2, 3""")
 def q39_depth_intervals(s, d):
-    out = metrics.interval_sums(filled(s, d).withColumn("depth", F.col("layer") * 10.0), [(0, 20), (20, 50), (50, 70)])
+    out = metrics.interval_sums(filled(s, d).withColumn("depth", F.col("layer") * 10.0), [(0, 20), (20, 50), (50, 70), (300, 400)])
     return out.select("station", "lo", "hi", r6("total").alias("total"))
 
 
@@ -445,7 +465,7 @@ def q59_lag_parameters(s, d):
     return s.createDataFrame([(p["n_lags"], round(p["lag_width"], 4), round(p["max_lag"], 4), round(p["median_nn"], 4), p["n_total_pairs"])], "n_lags int, lag_width double, max_lag double, median_nn double, n_total_pairs long")
 
 
-@register("SELECT layer, round(max(rmse) FILTER (fold = 1), 6) AS fold_1, round(max(rmse) FILTER (fold = 2), 6) AS fold_2, round(max(rmse) FILTER (fold = 3), 6) AS fold_3 FROM (SELECT fold, layer, sqrt(avg((pred - truth) * (pred - truth))) AS rmse FROM pred JOIN fold ON epoch BETWEEN val_start AND val_end GROUP BY 1, 2) GROUP BY 1")
+@register("SELECT layer, round(max(rmse) FILTER (fold = 1), 6) AS fold_1, round(max(rmse) FILTER (fold = 2), 6) AS fold_2, round(max(rmse) FILTER (fold = 3), 6) AS fold_3 FROM (SELECT fold, layer, sqrt(avg((pred - truth) * (pred - truth))) AS rmse FROM fpred GROUP BY 1, 2) GROUP BY 1")
 def q63_fold_matrix(s, d):
     wide = fold_rmse(s, d).groupBy("layer").pivot("fold", [1, 2, 3]).agg(F.first("rmse"))
     return wide.select("layer", *[r6(F.col(str(k))).alias(f"fold_{k}") for k in (1, 2, 3)])
@@ -486,3 +506,125 @@ def q68_station_exclusion(s, d):
 @register(f", {EDGES} SELECT a, b, layer, epoch, round(weight * (p.m - q.m), 6) + 0.0 AS lsm FROM edge JOIN cum p ON p.station = a JOIN cum q ON q.station = b AND q.layer = p.layer AND q.epoch = p.epoch".replace("SELECT a, b, layer, epoch", "SELECT a, b, p.layer, p.epoch"))
 def q69_spatial_smoothness(s, d):
     return system.smoothness(model(s, d), system.neighbours(tables.stations(s), 15000.0)).select("a", "b", "layer", "epoch", r6("lsm").alias("lsm"))
+
+
+@register("SELECT station, round(f, 6) + 0.0 AS deep_fraction FROM (SELECT station, 1 - sum(w) AS f FROM wt GROUP BY 1) ORDER BY round(f, 9) DESC, station LIMIT 3")
+def q81_worst_deep_fraction(s, d):
+    return metrics.worst_deep_fraction(depth_weights(s, d)).select("station", r6("deep_fraction").alias("deep_fraction"))
+
+
+@register("SELECT station, round(avg(rmse), 6) + 0.0 AS mean FROM (SELECT station, layer, sqrt(avg((pred - truth) * (pred - truth))) AS rmse FROM fpred WHERE fold = 3 GROUP BY 1, 2) GROUP BY 1 ORDER BY avg(rmse) DESC, station LIMIT 5")
+def q82_worst_group_mean(s, d):
+    last = metrics.station_layer_errors(fold_predicted(s, d).where("fold = 3"), ["station", "layer"])
+    return metrics.worst_groups(last, "station", "rmse", 5).select("station", r6("mean").alias("mean"))
+
+
+@register("""SELECT station, epoch, round((pixel % 97) * epoch / 10.0::DOUBLE, 6) AS value FROM ep, (
+ SELECT station, (SELECT arg_min(k, (abs(y - (2600000 + 500 * k)), k)) FROM range(121) t(k)) * 106 + (SELECT arg_min(k, (abs(x - (160000 + 500 * k)), k)) FROM range(106) t(k)) AS pixel FROM sta)""")
+def q83_station_profile(s, d):
+    """Series of a raster at the stations' nearest pixels."""
+    cells = s.range(106 * 121).select(F.col("id").cast("int").alias("pixel"), F.explode(F.sequence(F.lit(0), F.lit(N - 1))).alias("epoch"))
+    grid = cells.withColumn("value", F.col("pixel") % 97 * F.col("epoch") / 10.0)
+    return spatial.profile(tables.stations(s), grid, tables.axis(s, "x"), tables.axis(s, "y"), 106).select("station", "epoch", r6("value").alias("value"))
+
+
+def scratch(s: SparkSession, name: str) -> str:
+    """A new folder in the shared one for what a query writes and reads again."""
+    return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("""SELECT t, y_idx, x_idx, round(-(CASE WHEN count(v) OVER p > 0 THEN sum(coalesce(v, 0)) OVER (PARTITION BY y_idx, x_idx ORDER BY t) END), 6) + 0.0 AS disp FROM (
+ SELECT epoch AS t, (c // 10)::INT AS y_idx, (c % 10)::INT AS x_idx, CASE WHEN (c % 10 + c // 10 + epoch) % 13 <> 0 THEN d END AS v FROM surf JOIN range(120) r(c) ON c % 31 = station) WINDOW p AS (PARTITION BY y_idx, x_idx)""")
+def q84_raster_io(s, d):
+    """A raster cube written, its surface slice read again, cumulated and negated."""
+    path = scratch(s, "raster")
+    files.write_result(tables.raster(s, d), path, "t")
+    return files.read_raster(s, path, depth=0).select("t", "y_idx", "x_idx", r6("disp").alias("disp"))
+
+
+@register("SELECT station, layer, round(w, 6) + 0.0 AS w, n FROM wt JOIN (SELECT station, layer, count(*)::BIGINT AS n FROM cum GROUP BY 1, 2) USING (station, layer)")
+def q85_result_io(s, d):
+    """An inversion's tables stored and read again."""
+    path, d = scratch(s, "result"), tables.shared(s, d)
+    files.write_result(model(s, d), f"{path}/model", "epoch")
+    files.write_result(depth_weights(s, d), f"{path}/weights")
+    found = files.read_result(s, path)
+    n = found["model"].groupBy("station", "layer").agg(F.count(F.lit(1)).alias("n"))
+    return found["weights"].join(n, ["station", "layer"]).select("station", "layer", r6("w").alias("w"), "n")
+
+
+@register("SELECT station::VARCHAR AS station, layer * 10 AS depth, 'Month_' || lpad((epoch + 1)::VARCHAR, 3, '0') AS label, round(value, 6) + 0.0 AS value FROM obs")
+def q86_wide_csv_io(s, d):
+    """Wide files, one for each station, written and read again."""
+    path, months = scratch(s, "csv"), [f"Month_{k + 1:03d}" for k in range(N)]
+    named = tables.observations(s, d).withColumn("label", F.format_string("Month_%03d", F.col("epoch") + 1)).withColumn("Depth", F.col("layer") * 10)
+    files.write_wide_csv(named.groupBy("station", "Depth").pivot("label", months).agg(F.first("value")), path)
+    return files.read_wide_csv(s, f"{path}/*.csv").where("value is not null").select("station", "depth", "label", r6("value").alias("value"))
+
+
+PRODUCT = {"residual": {"units": "mm", "long_name": "surface less all layers"}, "w": {"units": "1"}}
+
+
+@register("SELECT station, epoch AS t, round((d * (1 - t.t))::FLOAT::DOUBLE, 3) + 0.0 AS residual FROM scum JOIN (SELECT station, sum(w) AS t FROM wt GROUP BY 1) t USING (station)".replace("epoch AS t,", "epoch AS t,"))
+def q87_product_io(s, d):
+    """A product of two variables with attributes, in single precision, split by time."""
+    path, d = scratch(s, "product"), tables.shared(s, d)
+    deep = weights.deep_residual(depth_weights(s, d), insar(s, d)).withColumnRenamed("epoch", "t")
+    files.write_product({"weights": depth_weights(s, d), "residual": deep.select("station", "t", "residual")}, path, PRODUCT)
+    found, _ = files.read_product(s, path, "residual")
+    return found.select("station", "t", (F.round(F.col("residual").cast("double"), 3) + F.lit(0.0)).alias("residual"))
+
+
+@register("SELECT station, round(sum(pred), 6) + 0.0 AS total_pred, round(sum(truth), 6) + 0.0 AS total_true, round(sum(pred) - sum(truth), 6) + 0.0 AS total_error, round(abs(sum(pred) - sum(truth)), 6) + 0.0 AS total_abs_error, " + ", ".join(f"round(max(pred - truth) FILTER (layer = {k}), 6) + 0.0 AS error_l{10 * k}" for k in range(1, 8)) + " FROM loo GROUP BY 1")
+def q88_column_errors(s, d):
+    out = metrics.column_errors(left_out(s, d), list(range(1, 8)))
+    return out.select("station", *[r6(c).alias(c) for c in out.columns if c != "station"])
+
+
+@register("SELECT fold, station, layer, round(sqrt(avg((pred - truth) * (pred - truth))), 6) + 0.0 AS rmse, round(avg(abs(pred - truth)), 6) + 0.0 AS mae, count(*)::BIGINT AS n_valid FROM fpred GROUP BY 1, 2, 3")
+def q89_station_layer_errors(s, d):
+    return metrics.station_layer_errors(fold_predicted(s, d), ["fold", "station", "layer"]).select("fold", "station", "layer", r6("rmse").alias("rmse"), r6("mae").alias("mae"), "n_valid")
+
+
+@register("SELECT station, round(max(abs(d)), 6) AS top, max(abs(d)) >= 10 AS valid FROM scum GROUP BY 1")
+def q90_valid_surface(s, d):
+    return system.valid_surface(insar(s, d)).select("station", r6("top").alias("top"), "valid")
+
+
+@register("""SELECT part, count(*)::BIGINT AS n, round(sum((l - r) * (l - r)), 3) + 0.0 AS square FROM (
+ SELECT 'surface' AS part, g AS l, d AS r FROM (SELECT station, epoch, sum(m) AS g FROM cum GROUP BY 1, 2) JOIN scum USING (station, epoch)
+ UNION ALL SELECT 'well', c.m, -o.value FROM cum c JOIN obs o USING (station, layer, epoch)
+ UNION ALL SELECT 'vertical', sqrt(0.01::DOUBLE) * coalesce(m - lead(m) OVER (PARTITION BY station, epoch ORDER BY layer), 0), 0 FROM cum
+ UNION ALL SELECT 'temporal', sqrt(3.0::DOUBLE) * x, 0 FROM (SELECT lead(m) OVER (PARTITION BY station, layer ORDER BY epoch) - m AS x FROM cum) WHERE x IS NOT NULL) GROUP BY 1""")
+def q94_augmented_stack(s, d):
+    d = tables.shared(s, d)
+    wells = tables.observations(s, d).select("station", "layer", "epoch", (-F.col("value")).alias("w"))
+    out = system.stacked(model(s, d), insar(s, d), wells, 0.01, 3.0)
+    e = F.col("left") - F.col("right")
+    return out.groupBy("part").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum(e * e), 3) + F.lit(0.0)).alias("square"))
+
+
+@register("SELECT * FROM (VALUES ('lam', '0.01'), ('lam_t', '3.0')) t(key, value)")
+def q95_key_value_io(s, d):
+    """Best parameters as lines key=value, written and read again."""
+    path = scratch(s, "params")
+    files.save_key_values(files.write_key_values({"lam": 0.01, "lam_t": 3.0}, s), path)
+    return files.read_key_values(s, path)
+
+
+@register("SELECT station::VARCHAR AS name, x, y FROM sta")
+def q96_coordinates_io(s, d):
+    """Coordinates appended to a CSV file twice, and read again once each."""
+    path = scratch(s, "coordinates")
+    sta = tables.stations(s).select(F.col("station").cast("string").alias("Ename"), F.col("x").alias("X_TWD97"), F.col("y").alias("Y_TWD97"))
+    files.append_csv(sta.where("Ename < '2'"), path)
+    files.append_csv(sta.where("Ename >= '2'"), path)
+    return files.read_coordinates(s, path)
+
+
+@register("SELECT layer, round(max(w), 6) AS top, count(*)::BIGINT AS n FROM wt GROUP BY 1")
+def q97_sidecar_io(s, d):
+    """A sidecar of figures for each layer as JSON, written and read again."""
+    path = scratch(s, "sidecar")
+    files.write_sidecar(depth_weights(s, d).groupBy("layer").agg(r6(F.max("w")).alias("top"), F.count(F.lit(1)).alias("n")), path)
+    return files.read_sidecar(s, path, "layer int, top double, n long")

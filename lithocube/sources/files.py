@@ -15,10 +15,27 @@ def read_wide_csv(spark: SparkSession, path: str, depth: str = "Depth", prefix:
     """One file for each station, a row for each depth, a column for each month -> (station, depth, label, value). NaN is null."""
     raw = spark.read.option("header", True).csv(path)
     months = [c for c in raw.columns if c.startswith(prefix)]
+    # the header gives the columns, all of the same two types
+    raw = spark.read.option("header", True).schema(", ".join(f"`{c}` {'double' if c in months else 'int' if c == depth else 'string'}" for c in raw.columns)).csv(path)
     named = raw.withColumn("station", F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), f"{suffix}$", ""))
     return clean(unpivot_months(named.withColumn("depth", F.col(depth).cast("int")), ["station", "depth"], months))
 
 
+def write_wide_csv(wide: DataFrame, path: str, station: str = "station", suffix: str = "_insar_mlcw.csv") -> None:
+    """Wide station tables as one file for each station, named after it. Spark writes the files; a file system call each names them."""
+    spark = wide.sparkSession
+    wide.repartition(station).write.mode("overwrite").partitionBy(station).option("header", True).csv(path)
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(of(path)):
+        name = folder.getPath().getName()
+        if folder.isDirectory() and name.startswith(f"{station}="):
+            for part in fs.listStatus(folder.getPath()):
+                if part.getPath().getName().startswith("part-"):
+                    fs.rename(part.getPath(), of(f"{path}/{name.split('=', 1)[1]}{suffix}"))
+            fs.delete(folder.getPath(), True)
+
+
 def unpivot_months(wide: DataFrame, keys: list[str], months: list[str]) -> DataFrame:
     typed = wide.select(*keys, *[F.col(m).cast("double").alias(m) for m in months])
     return typed.unpivot(keys, months, "label", "value")
@@ -34,16 +51,42 @@ def read_coordinates(spark: SparkSession, path: str, name: str = "Ename", x: str
     return raw.select(F.col(name).alias("name"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
 
 
-def read_raster(spark: SparkSession, path: str, cumulate: bool = True, negate: bool = True) -> DataFrame:
-    """Long raster Parquet (t, y_idx, x_idx, x, y, disp), cumulated in time if asked; a pixel without any value stays null."""
+def read_raster(spark: SparkSession, path: str, cumulate: bool = True, negate: bool = True, depth: int | None = None) -> DataFrame:
+    """Long raster Parquet (t, y_idx, x_idx, x, y, disp, and depth where it has layers): the slice at `depth`, if one is asked for,
+    cumulated in time and negated if asked; a pixel without any value stays null."""
     from ..operators.series import safe_cumsum
 
     grid = clean(spark.read.parquet(path), "disp")
+    keys = ["y_idx", "x_idx"] + (["depth"] if "depth" in grid.columns else [])
+    if depth is not None:
+        grid = grid.where(F.col("depth") == depth)
     if cumulate:
-        grid = safe_cumsum(grid, ["y_idx", "x_idx"], "t", "disp").withColumn("disp", F.col("cum")).drop("cum")
+        grid = safe_cumsum(grid, keys, "t", "disp").withColumn("disp", F.col("cum")).drop("cum")
     return grid.withColumn("disp", -F.col("disp")) if negate else grid
 
 
+def write_product(tables: Mapping[str, DataFrame], path: str, attributes: Mapping[str, Mapping[str, str]] | None = None, by: str = "t") -> None:
+    """A gridded product: a Parquet table for each variable, floats of single precision, those that have a time split by it; a variable's
+    attributes (units, long name) are metadata of its columns."""
+    for name, df in tables.items():
+        for column, of in (attributes or {}).items():
+            if column in df.columns:
+                df = df.withMetadata(column, dict(of))
+        single = [F.col(f.name).cast("float").alias(f.name, metadata=f.metadata) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema]
+        write_result(df.select(*single), f"{path}/{name}", by if by in df.columns else None)
+
+
+def read_product(spark: SparkSession, path: str, variable: str) -> tuple[DataFrame, dict[str, dict]]:
+    """(table, attributes of its columns) of a variable of a product."""
+    df = spark.read.parquet(f"{path}/{variable}")
+    return df, {f.name: f.metadata for f in df.schema if f.metadata}
+
+
+def read_result(spark: SparkSession, path: str, tables: tuple[str, ...] = ("model", "weights")) -> dict[str, DataFrame]:
+    """The tables of a stored inversion by name."""
+    return {t: spark.read.parquet(f"{path}/{t}") for t in tables}
+
+
 def axes_of(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The raster's axes as small tables (idx, coordinate)."""
     return grid.select("x_idx", "x").distinct(), grid.select("y_idx", "y").distinct()
@@ -58,6 +101,10 @@ def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
 
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
 def write_sidecar(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -114,6 +161,58 @@ class RunConfig:
         return preset if None not in preset else (self.get("Tuning", "fixed_lam", None, float), self.get("Tuning", "fixed_lam_t", None, float))
 
 
+    @property
+    def dataset(self) -> dict[str, str | int | float]:
+        """Names of files, columns and dimensions, as far as they are given."""
+        kinds = {**dict.fromkeys(DATASET_KEYS, str), "insar_surface_depth": int, "min_insar_fraction": float}
+        return {k: kinds[k](v.strip()) for k, v in self.sections.get("Dataset", {}).items() if k in kinds}
+
+    @property
+    def interpolation(self) -> str:
+        return self.get("SpatialInterpolation", "method", "gp").lower()
+
+    @property
+    def kriging(self) -> dict[str, int | float | bool]:
+        kinds = {"n_trials": int, "n_splits": int, "max_anisotropy": float, "verbose": bool}
+        return {k: self.get("Kriging", k, kind=kind) for k, kind in kinds.items() if self.get("Kriging", k) is not None}
+
+
+#: Keys of the settings' dataset section that are texts.
+DATASET_KEYS = (
+    "grid_metrics_file", "station_coords_file", "csv_dir_name", "csv_name_pattern", "x_col", "y_col", "depth_col", "month_col_prefix",
+    "nc_depth_dim", "x_dim", "y_dim", "time_dim", "time_label_var", "displacement_var", "crs", "station_name_col",
+)
+
+
+def read_scenarios(text: str) -> tuple[dict, dict[str, int], dict[str, dict]]:
+    """(grid, most points of each engine, scenarios by name) of a benchmark's YAML file; JSON where no YAML reader is installed."""
+    try:
+        import yaml
+    except ImportError:
+        import json
+
+        found = json.loads(text)
+    else:
+        found = yaml.safe_load(text)
+    grid, caps = found.pop("grid", {}), found.pop("engine_caps", {"gpr": 1500, "kriging": 2000})
+    return grid, caps, found
+
+
+def parse_key_values(lines: DataFrame) -> DataFrame:
+    """Text lines `key=value` (value) -> (key, value); lines without a sign of equality don't count."""
+    at = F.instr("value", "=")
+    return lines.where(at > 0).select(F.trim(F.substring(F.col("value"), F.lit(1), at - 1)).alias("key"), F.trim(F.substring(F.col("value"), at + 1, F.length("value"))).alias("value"))
+
+
+def read_key_values(spark: SparkSession, path: str) -> DataFrame:
+    return parse_key_values(spark.read.text(path))
+
+
+def save_key_values(table: DataFrame, path: str) -> None:
+    """(key, value) as lines `key=value`."""
+    table.select(F.concat_ws("=", "key", "value").alias("value")).write.mode("overwrite").text(path)
+
+
 def write_key_values(values: Mapping[str, object], spark: SparkSession) -> DataFrame:
     """One row for each key: the best parameters as a table."""
     return spark.createDataFrame([(k, str(v)) for k, v in values.items()], "key string, value string")

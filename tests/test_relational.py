@@ -117,3 +117,70 @@ def test_running_totals_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.value, r.n) for r in spark.table("totals").collect()] == [(3.0, 2)]
+
+
+def test_settings_of_all_sections():
+    text = "[Dataset]\nx_col = X\nmin_insar_fraction = 0.4\ninsar_surface_depth = 0\nother = 1\n[SpatialInterpolation]\nmethod = Kriging\n[Kriging]\nn_trials = 9\nverbose = true\n"
+    c = RunConfig.parse(text)
+    assert c.dataset == {"x_col": "X", "min_insar_fraction": 0.4, "insar_surface_depth": 0} and c.interpolation == "kriging" and c.kriging == {"n_trials": 9, "verbose": True}
+    assert (RunConfig.parse("").dataset, RunConfig.parse("").interpolation, RunConfig.parse("").kriging) == ({}, "gp", {})
+
+
+def test_scenarios():
+    from lithocube.sources.files import read_scenarios
+
+    grid, caps, found = read_scenarios('{"grid": {"nx": 100}, "S1": {"angle": 45.0}}')
+    assert (grid, caps, found) == ({"nx": 100}, {"gpr": 1500, "kriging": 2000}, {"S1": {"angle": 45.0}})
+
+
+def test_product_keeps_attributes(spark, tmp_path):
+    from lithocube.sources import files
+
+    df = spark.createDataFrame([(0, 1, 2.5), (1, 1, None)], "t int, station int, residual double")
+    files.write_product({"residual": df}, str(tmp_path), rq.PRODUCT)
+    got, attributes = files.read_product(spark, str(tmp_path), "residual")
+    assert attributes == {"residual": rq.PRODUCT["residual"]} and dict(got.dtypes)["residual"] == "float" and got.count() == 2
+
+
+def test_ranks_over_partitions(spark):
+    df = spark.createDataFrame([(k * 37 % 101 % 7, k) for k in range(101)], "v int, k int").repartition(7)
+    got = [(r.v, r.k) for r in metrics.ranked(df, "v", "k").orderBy("rank").collect()]
+    assert got == sorted(got) and [r.rank for r in metrics.ranked(df, "v", "k").orderBy("rank").collect()] == list(range(101))
+
+
+def test_leave_one_out_mean_and_worst(spark):
+    w = spark.createDataFrame([(1, 1, 0.2), (2, 1, 0.4), (3, 1, 0.9)], "station int, layer int, w double")
+    assert {r.station: round(r.pred, 9) for r in weights.mean_of_others(w).collect()} == {1: 0.65, 2: 0.55, 3: 0.3}
+    assert weights.mean_of_others(w.where("station = 1")).first().pred is None
+    assert [r.station for r in metrics.worst_deep_fraction(w, 2).collect()] == [1, 2]
+    g = spark.createDataFrame([("a", 1.0), ("a", None), ("b", 3.0), ("c", None)], "g string, v double")
+    assert [(r.g, r["mean"]) for r in metrics.worst_groups(g, "g", "v", 5).collect()] == [("b", 3.0), ("a", 1.0)]
+
+
+def test_nearest_of_an_irregular_axis(spark):
+    axis = spark.createDataFrame([(0, 0.0), (1, 10.0), (2, 11.0)], "idx int, x double")
+    p = spark.createDataFrame([(1, -5.0), (2, 5.0), (3, 10.5), (4, 99.0)], "station int, x double")
+    assert {r.station: r.c for r in spatial.nearest_on_axis(p, axis, "x", "c").collect()} == {1: 0, 2: 0, 3: 1, 4: 2}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lithocube.session import shared_dir
+
+    def session(master):
+        context = SimpleNamespace(master=master, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))))
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(session("spark://host:7077"))
+    assert shared_dir(session("local[4]")).endswith("lithocube")
+
+
+def test_entry_without_the_corpus_operators(monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "lithocube.llm", None)
+    for name in [m for m in sys.modules if m.startswith("lithocube.llm.") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    assert "q29_deep_residual" in entry.queries() and not any(n.startswith("op") for n in entry.queries()) and not any(n.startswith("op") for n in entry.oracle_sql())
