@@ -20,7 +20,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or that a learned rule rejects go."""
     learned = quality_rules.learn_rules(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.apply_rules(docs, learned).where("kept").select(*docs.columns)
+    # the row as it came travels in one column, so that none of its columns is taken for a statistic
+    rows = docs.select("text", F.struct("*").alias("row"))
+    return quality_rules.apply_rules(rows, learned).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = ngram_join.ngram_jaccard_join(docs, 5, 80, 100)
     first = groups.where((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     alone = groups.where(F.col("n_shingles") == 0).select("doc_id").distinct()
-    stay = first.union(alone).distinct().withColumnRenamed("doc_id", "_id")
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    stay = first.union(alone).distinct()
+    return docs.alias("d").join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture of sources takes it."""
     taken = mixing.mix(docs.select(*COLUMNS), payload=("text", "lang", "n_chars"))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1)).cast("int")))).where("copies > 0").select(*COLUMNS)
+    return taken.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,15 +65,22 @@ STAGES = [
     ("pieces", pieces),
 ]
 
-#: SQL can't learn the rules nor encode; the stages are tested against brute force.
+#: SQL can't learn the rules nor encode; the rows of the stages are tested against brute force.
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each stage's rows written to the shared folder."""
+    """All stages over documents, each stage's rows written to the shared folder; a stage's rows go when the next one's are there."""
     folder = f"{shared_dir(spark)}/corpus_pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            _remove(spark, f"{folder}/{k - 1}")
     return docs
