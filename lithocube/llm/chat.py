@@ -29,31 +29,56 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("<\\n"), F.lit("\n")))
 
 
-def messages_to_events(rows: DataFrame) -> DataFrame:
-    """conversations (conv_id, turn, role, text) as an event log: each row is a message of its own that one delta fills.
+#: Code points of a streamed delta, and what a discarded draft says.
+DELTA, DRAFT = 400, "<|im_start|>a draft that is discarded"
 
-    Rows are numbered within a conversation by turn (null first), role and text; equal turns stay apart.
+
+def messages_to_events(rows: DataFrame, delta: int = DELTA) -> DataFrame:
+    """conversations (conv_id, turn, role, text) as the event log of how they came about: (conv_id, message_id, seq, kind, role, text).
+
+    Rows are numbered within a conversation by turn (null first), role and text; equal turns stay apart. A row is a message
+    that deltas of `delta` code points stream, in one of five ways in turn: as it is; after a draft that is regenerated; as a
+    draft that an edit replaces; with its role on the last event only; after a deletion of what was written first. The fourth also
+    leaves a further message that is deleted. Folded, the log gives the rows back.
     """
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    return rows.select(
-        "conv_id",
-        F.row_number().over(order).cast("long").alias("seq"),
-        F.lit("delta").alias("kind"),
-        F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("message_id", F.col("seq"))
+    plain = rows.select("conv_id", F.row_number().over(order).cast("long").alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    n, role, text = F.col("n"), F.col("role"), F.col("text")
+    none = F.lit(None).cast("string")
+
+    def event(kind: str, of: Column, who: Column, said: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), of.alias("message_id"), who.alias("role"), said.alias("text"))
+
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(delta))
+    streamed = lambda who: F.transform(starts, lambda k: event("delta", n, who, F.substring(text, k, F.lit(delta))))
+    draft, last = event("delta", n, role, F.lit(DRAFT)), event("delta", n, role, F.lit(""))
+    ways = [
+        streamed(role),
+        F.concat(F.array(draft, event("regenerate", n, none, none)), streamed(none)),
+        F.concat(streamed(role), F.array(draft, event("edit", n, none, text))),
+        F.concat(streamed(none), F.array(last, event("delta", -n, role, F.lit(DRAFT)), event("delete", -n, none, none))),
+        F.concat(F.array(draft, event("delete", n, none, none)), streamed(role)),
+    ]
+    way = F.when(n % 5 == 0, ways[0])
+    for k, w in enumerate(ways[1:], 1):
+        way = way.when(n % 5 == k, w)
+    told = plain.select("conv_id", "n", F.posexplode(way).alias("at", "e"))
+    # seq: by message, then by event
+    return told.select("conv_id", "e.message_id", (n * F.lit(1 << 32) + F.col("at")).alias("seq"), "e.kind", "e.role", "e.text")
 
 
 def fold_events(events: DataFrame) -> DataFrame:
     """Events (conv_id, message_id, seq, kind, role, text) -> messages (conv_id, message_id, seq, role, text).
 
     kind: `delta` appends its text; `edit` replaces the text by its own; `regenerate` clears it, later deltas write it
-    anew; `delete` removes the message unless a later event writes it again. Events of other kinds don't count. A
+    anew; `delete` removes the message unless a later event writes it again. Events of other kinds and further columns don't count. A
     message stands where its first event stood and has the role that its last event with a role gives. Events of
     equal seq count in order of kind, role and text. Null texts are empty; a null message_id is one message of its conversation.
+    Repeated rows are events like others. An empty log gives no messages; a text may be as long as a value of Spark.
     """
     last_reset = F.max(F.when(F.col("kind").isin("edit", "regenerate", "delete"), F.struct("seq", "kind", "role", "text"))).over(Window.partitionBy("conv_id", "message_id"))
     here = F.struct("seq", "kind", "role", "text")
+    events = events.select("conv_id", "message_id", "seq", "kind", "role", "text")
     marked = events.where(F.col("kind").isin("delta", "edit", "regenerate", "delete")).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_reset", last_reset).withColumn("_live", F.col("_reset").isNull() | (here >= F.col("_reset")))
     written = F.col("_live") & F.col("kind").isin("delta", "edit")
     parts = F.sort_array(F.collect_list(F.when(written, F.struct("seq", "kind", "role", "text"))))

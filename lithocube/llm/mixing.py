@@ -12,7 +12,7 @@ from ..session import table
 from .columns import md5_bucket, unit_interval, word_count
 
 #: Groups into which rows of one source and one size are dealt, so that a hot size is counted by many tasks.
-SALTS = 64
+SALTS = 4096
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
@@ -70,15 +70,20 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: float
     order of size and key within the source, so that neighbours are alike and the words taken come near the target; one
     offset for each source, hashed from the seed and its name, makes reruns agree. A document is taken
     once for each integer that its share of the sum crosses. Sources of size 0 and the documents of an empty table are
-    taken 0 times; a null source is a source; null texts have size 0. Repeated rows are rows of their own.
+    taken 0 times; a null source is a source; null texts have size 0. Repeated rows are rows of their own. Texts may be as long as a
+    value of Spark. Payload columns with a name of the result's own are refused, other columns are ignored.
     """
-    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *payload)
+    if {"doc_id", "source", "size", "source_size", "target", "copies"} & set(payload):
+        raise ValueError("payload: no name of the result's own")
+    inner = [f"payload_{k}" for k in range(len(payload))]
+    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *(F.col(f"`{p}`").alias(i) for p, i in zip(payload, inner, strict=True)))
     totals = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     ranked = prefix_ranks(sized, "source", "size", ["doc_id"])
     joined = ranked.join(totals, ranked["source"].eqNullSafe(totals["source"])).drop(totals["source"])
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = unit_interval(F.lit(seed), F.col("source"))
-    return joined.withColumn("copies", copies_of(F.col("rank"), expected, offset)).drop("rank", "weight")
+    out = joined.withColumn("copies", copies_of(F.col("rank"), expected, offset)).drop("rank", "weight")
+    return out.withColumnsRenamed(dict(zip(inner, payload, strict=True)))
 
 
 def op5_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ targets AS (
   FROM levels l CROSS JOIN water w),
 numbered AS (
   SELECT s.*, t.source_size, t.target,
-         row_number() OVER (PARTITION BY s.source ORDER BY size, ('0x' || substr(md5(doc_id::VARCHAR), 1, 6))::BIGINT % 64, doc_id) AS rank,
+         row_number() OVER (PARTITION BY s.source ORDER BY size, ('0x' || substr(md5(doc_id::VARCHAR), 1, 6))::BIGINT % 4096, doc_id) AS rank,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS expected,
          (('0x' || substr(md5('20:' || coalesce(s.source, chr(0) || 'null')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS start
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
@@ -123,56 +123,88 @@ def score_documents(docs: DataFrame, model: DocumentModel) -> DataFrame:
     return map_batches(docs, kernel, schema, "text", 2 << 20)
 
 
-def _posterior(rates: DataFrame, keys: list[str], parent: str) -> DataFrame:
-    """Adds the mean of a beta posterior around column `parent`. Its strength by moments: how much the rates of
-    siblings vary beyond what counts of their size would by chance."""
-    mean = F.col("good") / F.col("n")
-    p = F.least(F.greatest(F.col(parent), F.lit(1e-4)), F.lit(1 - 1e-4))
+def _strength(rates: DataFrame, parent: str) -> DataFrame:
+    """One row: the strength of the beta prior around column `parent`, by moments: how much the rates of siblings vary
+    beyond what counts of their size would by chance."""
+    mean, p = F.col("good") / F.col("n"), _inside(F.col(parent))
     moments = rates.agg(
         F.sum(F.col("n") * (mean - p) * (mean - p)).alias("spread"),
         F.sum(p * (1 - p)).alias("chance"),
         F.sum(F.col("n") * p * (1 - p)).alias("size"),
     )
     between = F.greatest(F.col("spread") - F.col("chance"), F.lit(0.0)) / F.greatest(F.col("size") - F.col("chance"), F.lit(1e-9))
-    strength = moments.select(F.least(F.greatest(1 / F.greatest(between, F.lit(1e-6)) - 1, F.lit(1.0)), F.lit(1e5)).alias("strength"))
-    # one row of one number
-    joined = rates.crossJoin(F.broadcast(strength))
-    return joined.withColumn("rate", (F.col("good") + F.col("strength") * p) / (F.col("n") + F.col("strength"))).select(*keys, "rate")
+    return moments.select(F.least(F.greatest(1 / F.greatest(between, F.lit(1e-6)) - 1, F.lit(1.0)), F.lit(1e5)).alias("strength"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", rows: int = LABELLED_ROWS, threshold: float = 0.5) -> DataFrame:
+def _inside(p: Column) -> Column:
+    return F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4))
+
+
+def posterior_rate(good: Column, n: Column, parent: Column, strength: Column) -> Column:
+    """Mean of the beta posterior: the parent's rate, moved by what has been counted."""
+    return (good + strength * _inside(parent)) / (n + strength)
+
+
+def url_host(url: Column) -> Column:
+    """The host of a URL in lower case, without user, port and a leading `www.`; null if there is none."""
+    return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), r"^www\.", ""), F.lit(""))
+
+
+def url_path(url: Column, levels: int = 1) -> Column:
+    """The first `levels` directories of a URL's path; empty for a page at the top."""
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1)
+    parts = F.split(path, "/", -1)
+    return F.array_join(F.slice(parts, F.lit(1), F.least(F.lit(levels), F.greatest(F.size(parts) - 1, F.lit(0)))), "/")
+
+
+def site_rates(judged: DataFrame) -> DataFrame:
+    """(host, path, n, good, host_rate, all_rate, strength) of each site, from rows (host, path, weight, value): grouped aggregations of
+    counts; paths shrink to their host's rate, hosts to the rate of all."""
+    paths = cut(judged.groupBy("host", "path").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("value")).alias("good")))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    # tables of one row
+    hosts = hosts.crossJoin(F.broadcast(hosts.agg(((F.sum("good") + 1) / (F.sum("n") + 2)).alias("all_rate"))))
+    hosts = hosts.crossJoin(F.broadcast(_strength(hosts, "all_rate")))
+    rated = hosts.select(F.col("host").alias("of"), "all_rate", posterior_rate(F.col("good"), F.col("n"), F.col("all_rate"), F.col("strength")).alias("host_rate"))
+    both = paths.join(rated, F.col("host").eqNullSafe(F.col("of"))).drop("of")
+    return both.crossJoin(F.broadcast(_strength(both, "host_rate")))
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: Column | str = "source", path: Column | str = "lang", rows: int = LABELLED_ROWS, threshold: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, evidence, host_rate, path_rate, posterior, keep) for every row.
 
-    Labels: (doc_id, quality 1 or 0); rows with a null don't count, and of repeated ids the labels all count. Null hosts and
-    paths are sites of their own; null texts are empty and judged by the features of an empty text and the site. posterior:
-    the document's odds times its path's odds over the global odds; keep: posterior >= threshold. Without labels all
-    evidence is 0 and all documents have posterior 0.5.
+    Labels: (doc_id, quality 1 or 0); rows with a null don't count, and of repeated ids the labels all count. host and path: columns
+    or expressions, as url_host and url_path of a table with URLs. Null hosts and paths are sites of their own; null texts are empty and
+    judged by the features of an empty text and the site. path_rate: what the rest of its site says of a document, its own label or
+    evidence left out of the path's counts (host_rate and all rates count it). posterior: the document's odds times its
+    path's odds over the global odds; keep: posterior >= threshold. Without labels all evidence is 0 and all documents have
+    posterior 0.5. An empty table gives no rows; texts may be as long as a value of Spark; repeated rows are rows like others;
+    further columns are ignored, whatever their names.
     """
-    known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_good"))
-    some = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    as_column = lambda c: F.col(c) if isinstance(c, str) else c
+    plain = docs.select(F.col(key).alias("doc_id"), as_column(host).alias("host"), as_column(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("of"), F.col("quality").cast("double").alias("good"))
+    some = known.orderBy(F.xxhash64("of"), "of").limit(rows)
     # at most `rows` rows of two numbers
-    sample = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_good")
+    sample = plain.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("of")).select("doc_id", "text", "good")
     # what comes to the driver: at most `rows` rows of 16-bit features, a text's distinct words and rates
     taken = text_features(sample).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
-    model = fit_document_model([np.frombuffer(r["features"], "<u2") for r in taken], np.array([r["_good"] > 0.5 for r in taken], bool))
-    plain = docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    model = fit_document_model([np.frombuffer(r["features"], "<u2") for r in taken], np.array([r["good"] > 0.5 for r in taken], bool))
     scored = cut(score_documents(plain, model))
     odds = lambda p: F.log(p / (1 - p))
     logistic = lambda x: 1 / (1 + F.exp(-x))
-    truth = known.groupBy("_id").agg(F.avg("_good").alias("_good"))
-    judged = scored.join(truth, F.col("doc_id") == F.col("_id"), "left")
-    weight = F.when(F.col("_good").isNotNull(), F.lit(1.0)).otherwise(F.lit(SOFT))
-    value = F.coalesce("_good", logistic(F.col("evidence")))
-    paths = cut(judged.groupBy("host", "path").agg(F.sum(weight).alias("n"), F.sum(weight * value).alias("good")))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    everything = hosts.agg(((F.sum("good") + 1) / (F.sum("n") + 2)).alias("all_rate"))
-    hosts = _posterior(hosts.crossJoin(F.broadcast(everything)), ["host", "all_rate"], "all_rate").select(F.col("host").alias("_host"), "all_rate", F.col("rate").alias("host_rate"))
-    both = paths.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).select("host", "path", "n", "good", "host_rate", "all_rate")
-    sites = _posterior(both, ["host", "path", "host_rate", "all_rate"], "host_rate").select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_rate", "all_rate", F.col("rate").alias("path_rate"))
-    out = scored.join(sites, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")))
+    truth = known.groupBy("of").agg(F.avg("good").alias("truth"))
+    judged = scored.join(truth, F.col("doc_id") == F.col("of"), "left").select(
+        "doc_id", "host", "path", "evidence", F.when(F.col("truth").isNotNull(), F.lit(1.0)).otherwise(F.lit(SOFT)).alias("weight"), F.coalesce("truth", logistic(F.col("evidence"))).alias("value")
+    )
+    sites = site_rates(judged).withColumnsRenamed({"host": "of_host", "path": "of_path"})
+    out = judged.join(sites, F.col("host").eqNullSafe(F.col("of_host")) & F.col("path").eqNullSafe(F.col("of_path")))
+    rest = posterior_rate(F.greatest(F.col("good") - F.col("weight") * F.col("value"), F.lit(0.0)), F.greatest(F.col("n") - F.col("weight"), F.lit(0.0)), F.col("host_rate"), F.col("strength"))
+    rated = out.withColumn("path_rate", rest)
     total = F.col("evidence") + odds(F.col("path_rate")) - odds(F.col("all_rate"))
-    return out.select("doc_id", "evidence", "host_rate", "path_rate", logistic(total).alias("posterior")).withColumn("keep", F.col("posterior") >= threshold)
+    return rated.select("doc_id", "evidence", "host_rate", "path_rate", logistic(total).alias("posterior")).withColumn("keep", F.col("posterior") >= threshold)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no URL: their source is taken as host and their language as path."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

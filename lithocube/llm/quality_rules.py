@@ -41,23 +41,31 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the ratios of FEATURES (double).
 
     All of it is built-in functions over the whole text. Windows of five words are compared by a 64-bit hash; texts
-    without a repeated window, nearly all, stop at one pass over the hashes. Null texts count as empty: all counts are 0.
+    without a repeated window, nearly all, stop at one pass over the hashes. Null texts count as empty: all counts are 0. Repeated rows
+    are rows like others, an empty table gives none; columns with a name of the statistics are replaced, all others stay.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
+    taken = set(docs.columns)
+    name = {}
+    for short in ("words", "lines", "stat", "distinct", "solo", "n_lines", "upper", "punct", "digit"):
+        name[short] = short
+        while name[short] in taken:  # no column of the table's own
+            name[short] += "_"
+    words = name["words"]
     lines = F.filter(F.split(whole, "\n", -1), lambda x: F.trim(F.translate(x, BREAKS, " " * len(BREAKS))) != "")
-    df = docs.withColumn("_words", word_list(F.col(text))).withColumn("_lines", lines)
-    df = df.withColumn("_words_stat", let(F.transform("_words", lambda w: F.xxhash64(w)), _window_counts))
-    df = df.withColumns({"n_words": F.size("_words").cast("long"), "n_repeat_words": F.col("_words_stat")["repeats"].cast("long"), "_distinct": F.col("_words_stat")["distinct"]})
+    df = docs.withColumn(words, word_list(F.col(text))).withColumn(name["lines"], lines)
+    df = df.withColumn(name["stat"], let(F.transform(words, lambda w: F.xxhash64(w)), _window_counts))
+    df = df.withColumns({"n_words": F.size(words).cast("long"), "n_repeat_words": F.col(name["stat"])["repeats"].cast("long"), name["distinct"]: F.col(name["stat"])["distinct"]})
     df = df.withColumns(
         {
             "word_chars": chars_without(whole, " " + BREAKS),
             "n_symbols": (F.length(whole) - F.length(F.translate(whole, "#*$%&|<>", ""))).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_solo": F.size(F.filter("_words", lambda w: F.length(w) == 1)),
-            "_n_lines": F.size("_lines"),
-            "_upper": F.length(whole) - F.length(F.translate(whole, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")),
-            "_punct": F.length(whole) - F.length(F.translate(whole, "!?;:=/\\@_~^{}[]()\"", "")),
-            "_digit": F.length(whole) - F.length(F.translate(whole, "0123456789", "")),
+            "n_dup_lines": (F.size(name["lines"]) - F.size(F.array_distinct(name["lines"]))).cast("long"),
+            name["solo"]: F.size(F.filter(words, lambda w: F.length(w) == 1)),
+            name["n_lines"]: F.size(name["lines"]),
+            name["upper"]: F.length(whole) - F.length(F.translate(whole, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")),
+            name["punct"]: F.length(whole) - F.length(F.translate(whole, "!?;:=/\\@_~^{}[]()\"", "")),
+            name["digit"]: F.length(whole) - F.length(F.translate(whole, "0123456789", "")),
         }
     )
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
@@ -65,16 +73,16 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         {
             "mean_word": per("word_chars", "n_words"),
             "symbol_rate": per("n_symbols", "n_words"),
-            "dup_line_rate": per("n_dup_lines", "_n_lines"),
+            "dup_line_rate": per("n_dup_lines", name["n_lines"]),
             "repeat_rate": per("n_repeat_words", "n_words"),
-            "upper_rate": per("_upper", "word_chars"),
-            "punct_rate": per("_punct", "n_words"),
-            "digit_rate": per("_digit", "word_chars"),
-            "distinct_rate": per("_distinct", "n_words"),
-            "solo_rate": per("_solo", "n_words"),
+            "upper_rate": per(name["upper"], "word_chars"),
+            "punct_rate": per(name["punct"], "n_words"),
+            "digit_rate": per(name["digit"], "word_chars"),
+            "distinct_rate": per(name["distinct"], "n_words"),
+            "solo_rate": per(name["solo"], "n_words"),
         }
     )
-    return df.drop("_words", "_lines", "_words_stat", "_distinct", "_solo", "_n_lines", "_upper", "_punct", "_digit")
+    return df.drop(*name.values())
 
 
 def base_failed(n_words: str = "n_words", n_repeat: str = "n_repeat_words") -> Column:
@@ -184,19 +192,20 @@ def verdict(rules: list[Rule]) -> tuple[Column, Column]:
 
 def learn_rules(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> list[Rule]:
     """Learns from at most `rows` labelled documents, those with the smallest hash of their id; labels with a null don't count."""
-    known = labels.select(F.col("doc_id").alias("_id"), (F.col("quality") == 0).alias("_bad")).where("_id is not null and _bad is not null")
-    some = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    known = labels.select(F.col("doc_id").alias("of"), (F.col("quality") == 0).alias("bad")).where("of is not null and bad is not null")
+    some = known.orderBy(F.xxhash64("of"), "of").limit(rows)
     # at most `rows` rows of 9 bytes: small whatever the tables hold
-    labelled = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).drop("_id")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("of")).drop("of")
     # no filter on the statistics: the optimizer would take it, and with it the statistics of every document, below the join
-    made = base_statistics(labelled).select("doc_id", "_bad", base_failed().alias("_failed"), *FEATURES)
-    got = [r for r in made.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect() if not r["_failed"]]
+    made = base_statistics(labelled).select("doc_id", "bad", base_failed().alias("failed"), *FEATURES)
+    got = [r for r in made.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect() if not r["failed"]]
     x = {name: np.array([r[name] for r in got], float) for name in FEATURES}
-    return learn_decision_list(x, np.array([r["_bad"] for r in got], bool)) if got else []
+    return learn_decision_list(x, np.array([r["bad"] for r in got], bool)) if got else []
 
 
 def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """docs with the statistics, base_failed, rule (int, null if none) and kept. Columns of these names are replaced."""
+    """docs with the statistics, base_failed, rule (int, null if none) and kept. Columns of these names are replaced. Null texts
+    are empty and fail the base rules, texts may be as long as a value of Spark, an empty table gives no rows."""
     rule, reject = verdict(rules)
     made = base_statistics(docs).withColumn("base_failed", base_failed())
     return made.withColumn("rule", F.when(~F.col("base_failed"), rule)).withColumn("kept", ~F.col("base_failed") & ~reject)

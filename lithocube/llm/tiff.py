@@ -14,6 +14,8 @@ PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 NAMES = {PLAIN: "none", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 CLEAR, END, FIRST, LAST = 256, 257, 258, 4094
+#: Samples that a byte of a file may stand for: more is taken for damage, before memory is asked for. Deflate reaches 1,032.
+MOST_RATIO = 2048
 
 
 def packbits_encode(rows: np.ndarray) -> bytes:
@@ -50,7 +52,7 @@ def packbits_encode(rows: np.ndarray) -> bytes:
 
 def packbits_decode(data: bytes, size: int) -> bytes:
     out, k, have = [], 0, 0
-    while have < size:
+    while have < size and k < len(data):
         n = data[k]
         if n < 128:
             out.append(data[k + 1 : k + n + 2])
@@ -159,7 +161,7 @@ def decode_block(data: bytes, shape: tuple[int, int], compression: int, predicto
     elif compression == LZW:
         data = lzw_decode(data, size)
     elif compression in (DEFLATE, OLD_DEFLATE):
-        data = zlib.decompress(data)
+        data = zlib.decompressobj().decompress(data, size)  # no more than the block holds, whatever the data say
     elif compression != PLAIN:
         raise ValueError(f"compression {compression} isn't supported")
     if len(data) < size:
@@ -179,9 +181,9 @@ class Page:
     rows_per_strip: int = 128
 
 
-def write_tiff(pages: list[Page]) -> bytes:
-    """A little-endian file with a directory for each page, blocks before it."""
-    out = bytearray(b"II*\0\0\0\0\0")
+def write_tiff(pages: list[Page], order: str = "<") -> bytes:
+    """A file with a directory for each page, blocks before it; order: `<` little-endian, `>` big-endian."""
+    out = bytearray(struct.pack(order + "2sHI", b"II" if order == "<" else b"MM", 42, 0))
     link = 4
     for page in pages:
         height, width = page.samples.shape
@@ -202,10 +204,10 @@ def write_tiff(pages: list[Page]) -> bytes:
             out += data + b"\0" * (len(data) % 2)
 
         def offsets(values: list[int]) -> tuple[int, int, bytes]:
-            return 4, len(values), struct.pack(f"<{len(values)}I", *values)
+            return 4, len(values), struct.pack(f"{order}{len(values)}I", *values)
 
-        short = lambda v: (3, 1, struct.pack("<HH", v, 0))
-        long = lambda v: (4, 1, struct.pack("<I", v))
+        short = lambda v: (3, 1, struct.pack(order + "HH", v, 0))
+        long = lambda v: (4, 1, struct.pack(order + "I", v))
         fields = {WIDTH: long(width), LENGTH: long(height), BITS: short(8), COMPRESSION: short(page.compression), PHOTOMETRIC: short(1), SAMPLES: short(1), PREDICTOR: short(page.predictor)}
         if page.tile:
             fields |= {TILE_WIDTH: long(page.tile[1]), TILE_LENGTH: long(page.tile[0]), TILE_AT: offsets(at), TILE_BYTES: offsets(sizes)}
@@ -217,10 +219,10 @@ def write_tiff(pages: list[Page]) -> bytes:
             if len(value) > 4:
                 place = len(out)
                 out += value
-                value = struct.pack("<I", place)
-            entries.append(struct.pack("<HHI", tag, kind, count) + value)
-        struct.pack_into("<I", out, link, len(out))
-        out += struct.pack("<H", len(entries)) + b"".join(entries)
+                value = struct.pack(order + "I", place)
+            entries.append(struct.pack(order + "HHI", tag, kind, count) + value)
+        struct.pack_into(order + "I", out, link, len(out))
+        out += struct.pack(order + "H", len(entries)) + b"".join(entries)
         link = len(out)
         out += b"\0\0\0\0"
     return bytes(out)
@@ -259,7 +261,7 @@ def read_each(data: bytes) -> list[Page | ValueError]:
                 fields[tag] = list(struct.unpack_from(f"{order}{n}{code}", data, place))
             (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * count)
             found.append(fields)
-    except (struct.error, KeyError, IndexError) as error:
+    except (struct.error, KeyError, IndexError, OverflowError, MemoryError) as error:
         raise ValueError(f"a damaged TIFF file: {error!r}") from error
     pages: list[Page | ValueError] = []
     for fields in found:
@@ -267,7 +269,7 @@ def read_each(data: bytes) -> list[Page | ValueError]:
             pages.append(_page(data, fields))
         except ValueError as error:
             pages.append(error)
-        except (struct.error, KeyError, IndexError, zlib.error) as error:
+        except (struct.error, KeyError, IndexError, OverflowError, zlib.error) as error:
             pages.append(ValueError(f"a damaged TIFF page: {error!r}"))
     return pages
 
@@ -278,17 +280,21 @@ def _page(data: bytes, fields: dict[int, list[int]]) -> Page:
     compression, predictor = one(COMPRESSION, PLAIN), one(PREDICTOR, 1)
     if one(BITS, 1) != 8 or one(SAMPLES, 1) != 1 or predictor not in (1, 2):
         raise ValueError("only one 8-bit sample a pixel, without or with horizontal differences")
+    if not width or not height or width * height > min(2**31 - 1, MOST_RATIO * len(data)):
+        raise ValueError(f"{width} x {height} samples in a file of {len(data)} bytes")
+    tiled = TILE_AT in fields
+    th, tw = (fields[TILE_LENGTH][0], fields[TILE_WIDTH][0]) if tiled else (min(one(ROWS, height), height), width)
+    if not th or not tw or th * tw > min(2**31 - 1, MOST_RATIO * len(data)):
+        raise ValueError(f"strips or tiles of {tw} x {th} samples")
+    at, sizes = (fields[TILE_AT], fields[TILE_BYTES]) if tiled else (fields[STRIP_AT], fields[STRIP_BYTES])
+    across, down = -(-width // tw), -(-height // th)
+    if len(at) != across * down or len(sizes) != len(at):
+        raise ValueError(f"{len(at)} strips or tiles, {across * down} are needed")
     out = np.zeros((height, width), np.uint8)
-    if TILE_AT in fields:
-        th, tw = fields[TILE_LENGTH][0], fields[TILE_WIDTH][0]
-        across = -(-width // tw)
-        for k, (at, n) in enumerate(zip(fields[TILE_AT], fields[TILE_BYTES], strict=True)):
-            y, x = k // across * th, k % across * tw
-            block = decode_block(data[at : at + n], (th, tw), compression, predictor)
-            out[y : y + th, x : x + tw] = block[: height - y, : width - x]
-        return Page(out, compression, predictor, (th, tw))
-    rows = min(one(ROWS, height), height)
-    for k, (at, n) in enumerate(zip(fields[STRIP_AT], fields[STRIP_BYTES], strict=True)):
-        y = k * rows
-        out[y : y + rows] = decode_block(data[at : at + n], (min(rows, height - y), width), compression, predictor)
-    return Page(out, compression, predictor, None, rows)
+    for k, (place, n) in enumerate(zip(at, sizes, strict=True)):
+        y, x = k // across * th, k % across * tw
+        if place + n > len(data):
+            raise ValueError("a strip or tile beyond the end of the file")
+        block = decode_block(data[place : place + n], (th if tiled else min(th, height - y), tw), compression, predictor)
+        out[y : y + th, x : x + tw] = block[: height - y, : width - x]
+    return Page(out, compression, predictor, (th, tw) if tiled else None, th)
