@@ -1,8 +1,8 @@
 """SentencePiece BPE encoding by suffix-array matching, and decoding.
 
-A batch's distinct units (a word with the marks before it) are put end to end and their suffixes sorted. Every piece of the
-vocabulary is binary-searched in that array; its range of suffixes are its occurrences, the edges of a lattice over the
-text. Edges are sorted by position and relaxed from left to right.
+A batch's text is cut into units (a word with the marks before it); these are put end to end, a repeated one once, and their
+suffixes sorted: each batch has an index of its own. Every piece of the vocabulary is binary-searched in that array; its range of
+suffixes are its occurrences, the edges of a lattice over the text. Edges are sorted by position and relaxed from left to right.
 
 The model is of BPE kind, so an edge isn't relaxed by a sum of scores. A row of pieces is what BPE makes of a text
 exactly if BPE makes each two neighbours of the two together: until a merge crosses a border, what happens on either
@@ -30,10 +30,10 @@ from .arrow import give_back, slices
 MARK = "▁"
 #: Fixed values of the model format: kinds of pieces.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Encoded units and pairs of pieces a worker keeps at most, and the longest unit it keeps.
-#: Code points of units whose suffixes are sorted together, bytes of texts in a slice, ids decoded together.
-KEPT_UNITS, KEPT_PAIRS, KEPT_CHARS = 600_000, 2_000_000, 48
-SORTED, SLICE, DECODED = 200_000, 3 << 20, 500_000
+#: Pairs of pieces that a worker keeps what it knows of, at most.
+KEPT_PAIRS = 2_000_000
+#: Code points of units whose suffixes are sorted together, bytes of texts in a batch, ids decoded together.
+SORTED, SLICE, DECODED = 200_000, 4 << 20, 500_000
 
 
 def _fields(data: bytes):
@@ -315,48 +315,30 @@ class Model(Vocabulary):
 
 
 class Codec:
-    """Encodes texts; keeps the ids of short units, at most KEPT_UNITS of them."""
+    """Encodes texts batch by batch. What it keeps between batches is the model and what is known of pairs of pieces."""
 
     def __init__(self, path: str):
         self.model = Model(path)
-        self._forget()
-
-    def rest(self) -> None:
-        """Between tasks a worker keeps the model and a small table only."""
-        if len(self.known) > KEPT_UNITS // 4:
-            self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and how many each has."""
+        """Ids of all texts of a batch one after the other, and how many each has."""
         m = self.model
         parts = [m.units(((MARK if m.prefix else "") + t).replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) > KEPT_UNITS:
-            self._forget()
-        new = list(set().union(*parts) - self.known.keys())
-        if new:
-            ends = np.cumsum([len(u) for u in new])
-            cuts = np.unique([0, *np.searchsorted(ends, np.arange(SORTED, ends[-1], SORTED)).tolist(), len(new)]).tolist()
-            ids, count = (np.concatenate(x) for x in zip(*(m.encode_units(new[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
-            self.known.update(zip(new, range(len(self.first), len(self.first) + len(new)), strict=True))
-            self.first = np.r_[self.first, len(self.flat) + np.cumsum(count) - count]
-            self.flat, self.count = np.r_[self.flat, ids], np.r_[self.count, count]
+        number: dict[str, int] = dict.fromkeys(chain.from_iterable(parts), 0)
+        units = list(number)
+        number = dict(zip(units, range(len(units)), strict=True))
         sizes = np.array([len(p) for p in parts], np.int64)
-        unit = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, sizes.sum())
-        count = self.count[unit]
+        if not units:
+            return np.zeros(0, np.int32), sizes
+        ends = np.cumsum([len(u) for u in units])
+        cuts = np.unique([0, *np.searchsorted(ends, np.arange(SORTED, ends[-1], SORTED)).tolist(), len(units)]).tolist()
+        flat, count = (np.concatenate(x) for x in zip(*(m.encode_units(units[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+        first = np.cumsum(count) - count
+        unit = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), np.int64, sizes.sum())
+        count = count[unit]
         ends = np.cumsum(count)
-        place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count) + np.repeat(self.first[unit], count)
-        totals = np.diff(np.r_[0, np.r_[0, ends][np.cumsum(sizes)]])
-        ids = self.flat[place]
-        for u in new:
-            if len(u) > KEPT_CHARS:
-                del self.known[u]
-        if len(self.flat) > 8 * KEPT_UNITS:
-            self._forget()
-        return ids, totals
+        place = np.arange(ends[-1]) - np.repeat(ends - count, count) + np.repeat(first[unit], count)
+        return flat[place], np.diff(np.r_[0, np.r_[0, ends][np.cumsum(sizes)]])
 
 
 @functools.lru_cache(maxsize=2)
@@ -392,7 +374,6 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 yield kernel(part)
-        codec(path).rest()
         give_back()
 
     return rows.mapInArrow(run, f"doc_id {key_type}, n_bytes long, text_sha256 string, ids array<int>")
