@@ -46,7 +46,7 @@ def needed(size: np.ndarray, num: int, den: int) -> np.ndarray:
 
 def extra(size: np.ndarray) -> np.ndarray:
     """Tokens by which a set's keys are more than it may lack."""
-    return np.maximum(size // 10, 1)
+    return np.maximum(size // 20, 1)
 
 
 def _text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,17 +216,17 @@ def candidate_sets(shared: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def place_in_blocks(sets: DataFrame) -> DataFrame:
-    """Adds block: about BLOCK sets each; those of one `alike` together, unless they fill a block by themselves and are dealt on."""
-    many = max(1, sets.count() // (BLOCK // 2))
-    slot = F.pmod(F.xxhash64("alike"), F.lit(many))
-    full = sets.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
-    placed = sets.withColumn("slot", slot).join(full, "slot", "left")
+    """Adds block: those of one slot together, unless they fill a block by themselves and are dealt on."""
+    full = sets.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    few = full.count() <= 1_000_000
+    placed = sets.join(F.broadcast(full) if few else full, "slot", "left")
     part = F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("n", F.lit(1)) / (BLOCK // 2)))
-    return placed.withColumn("block", F.col("slot") * (1 << 24) + part).drop("slot", "n", "alike")
+    return placed.withColumn("block", F.col("slot") * (1 << 24) + part).drop("n")
 
 
 def meetings(sets: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
-    """(id, home, other): a set of block `home` shares enough keys with sets of fitting size of block `other`."""
+    """(bucket, ids, homes, others, least, n): packed counts of keys that a set of block `home` shares with sets of fitting size of block
+    `other`, dealt out by set, and how many keys a set that links with it shares at least."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,10 +234,10 @@ def meetings(sets: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
             token = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(t, np.uint64, n) for t, n in zip(batch.column("tokens").to_pylist(), count.tolist(), strict=True))])
             if len(token):
                 cols = {c: np.repeat(batch.column(c).to_numpy(), count) for c in ("id", "block", "size")}
-                yield packed_batch((mixed(token) % np.uint64(buckets)).astype(np.int64), {"token": (token, 8), "id": (cols["id"], 8), "block": (cols["block"], 8), "size": (cols["size"], 5)})
+                yield packed_batch((mixed(token) % np.uint64(buckets)).astype(np.int64), {"token": (token, 8), "id": (cols["id"], 7), "block": (cols["block"], 7), "size": (cols["size"], 4)})
 
     def meet(group: pa.Table) -> pa.Table:
-        token, of, block, size = (unpack(joined(group.column(c)), w) for c, w in (("token", 8), ("id", 8), ("block", 8), ("size", 5)))
+        token, of, block, size = (unpack(joined(group.column(c)), w) for c, w in (("token", 8), ("id", 7), ("block", 7), ("size", 4)))
         of, block, size = of.astype(np.int64), block.astype(np.int64), size.astype(np.int64)
         order = np.lexsort((block, token))
         token, of, block, size = token[order], of[order], block[order], size[order]
@@ -264,15 +264,33 @@ def meetings(sets: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
             if len(i):
                 k = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (o[1:] != o[:-1])])
                 e = entry[order][k]
+                # a set that links with this one has as many keys more as one of the least fitting size has
                 found.append((i[k], block[e], o[k], extra(needed(size[e], num, den)), np.diff(np.r_[k, len(i)])))
-        none = [np.zeros(0, np.int64)] * 5
-        cols = [np.concatenate(x) for x in zip(none, *found, strict=True)]
-        return pa.table(dict(zip(("id", "home", "other", "least", "n"), cols, strict=True)))
+        cols = [np.concatenate(x) for x in zip([np.zeros(0, np.int64)] * 5, *found, strict=True)]
+        return pa.Table.from_batches([packed_batch(cols[0] % buckets, dict(zip(("ids", "homes", "others", "least", "n"), zip(cols, (7, 7, 7, 4, 4), strict=True), strict=True)))])
 
     sent = sets.select("id", "block", "size", "tokens", "n_keys").mapInArrow(send, "bucket int, token binary, id binary, block binary, size binary")
-    counted = sent.groupBy("bucket").applyInArrow(meet, "id long, home long, other long, least long, n long")
-    # a set that links with this one has as many keys more as one of the least fitting size has
-    return counted.groupBy("id", "home", "other", "least").agg(F.sum("n").alias("n")).where(F.col("n") >= F.col("least")).select("id", "home", "other")
+    return sent.groupBy("bucket").applyInArrow(meet, "bucket int, ids binary, homes binary, others binary, least binary, n binary")
+
+
+def met_sets(sets: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
+    """(low, high, home, id, size, copies, tokens): each set once for each block that it shares enough keys with, with the two blocks."""
+    rows = sets.select(F.pmod("id", F.lit(buckets)).cast("int").alias("bucket"), "id", "size", "copies", "tokens")
+
+    def pick(table_: pa.Table, packed: pa.Table) -> pa.Table:
+        of, home, other, least, n = (unpack(joined(packed.column(c)), w).astype(np.int64) for c, w in (("ids", 7), ("homes", 7), ("others", 7), ("least", 4), ("n", 4)))
+        order = np.lexsort((other, of))
+        of, home, other, least, n = of[order], home[order], other[order], least[order], n[order]
+        k = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (other[1:] != other[:-1])]) if len(of) else np.zeros(0, np.int64)
+        enough = k[np.add.reduceat(n, k) >= least[k]] if len(k) else k
+        known = table_.column("id").to_numpy()
+        by_id = np.argsort(known)
+        at = by_id[np.searchsorted(known[by_id], of[enough])] if len(enough) else enough
+        low, high = np.minimum(home, other)[enough], np.maximum(home, other)[enough]
+        found = table_.select(["id", "size", "copies", "tokens"]).take(pa.array(at, pa.int64()))
+        return pa.table({"low": low, "high": high, "home": home[enough], **{c: found.column(c) for c in found.column_names}})
+
+    return rows.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(pick, "low long, high long, home long, id long, size long, copies long, tokens binary")
 
 
 class Overlaps:
@@ -345,12 +363,9 @@ def trie_links(left: list[np.ndarray], left_size: np.ndarray, right: list[np.nda
             stack += [(a, b, depth, partial) for a, b in zip(borders, borders[1:], strict=False)]
 
 
-def trie_join(sets: DataFrame, met: DataFrame, num: int, den: int) -> DataFrame:
+def trie_join(met: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b, links): for each two linked sets of two blocks a chain of edges that joins them, and on rows a = b how many documents
     of other sets set a links with there."""
-    marked = met.select("id", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"), "home")
-    ready = marked.join(sets.select("id", "size", "copies", "tokens"), "id")
-
     def join(group: pa.Table) -> pa.Table:
         cols = {c: group.column(c).to_numpy() for c in ("id", "low", "high", "home", "size", "copies")}
         same = cols["low"][0] == cols["high"][0]
@@ -390,7 +405,7 @@ def trie_join(sets: DataFrame, met: DataFrame, num: int, den: int) -> DataFrame:
         moved, linked = tops != np.arange(many), counts > 0
         return pa.table({"a": np.r_[of[moved], of[linked]], "b": np.r_[of[tops[moved]], of[linked]], "links": np.r_[np.zeros(moved.sum(), np.int64), counts[linked]]})
 
-    return ready.groupBy("low", "high").applyInArrow(join, "a long, b long, links long")
+    return met.groupBy("low", "high").applyInArrow(join, "a long, b long, links long")
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -411,9 +426,11 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int
     hot = frequent_tokens(plain, width, total["docs"])
     shared = shared_tokens(token_blocks(plain, width, buckets, hot))
     found = candidate_sets(shared, num, den).dropDuplicates(["sig"]).join(copies.select("sig", "copies"), "sig")
+    slots = max(1, copies.count() // (2 * BLOCK))  # about half of the sets are candidates at most
     # rows of a checkpoint keep their places, so their numbers are the same whenever they are made
-    sets = cut(place_in_blocks(cut(found).withColumn("id", F.monotonically_increasing_id())))
-    links = cut(trie_join(sets, meetings(sets, buckets, num, den), num, den))
+    sets = cut(found.withColumn("slot", F.pmod(F.xxhash64("alike"), F.lit(slots))).drop("alike")).withColumn("id", F.monotonically_increasing_id())
+    counts = meetings(place_in_blocks(sets), buckets, num, den)
+    links = cut(trie_join(met_sets(sets, counts, buckets), num, den))
     roots = connected_components(links.where("a <> b").select("a", "b"))
     others = links.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("others"))
     named = sets.select("id", "sig").join(roots, F.col("id") == F.col("node")).join(others, "id", "left").select("sig", "root", "others")
