@@ -41,6 +41,17 @@ def q51_joint(s, d):
     return inversion.invert(rows(s, d), "joint", 0.01, 3.0)
 
 
+@register
+def q99_inversion_at_full_size(s, d):
+    """39 stations, 83 epochs and 30 layers, 97,110 voxels: a sixth of the series rises where it should sink, so that bounds hold. For the bench."""
+    at = s.range(0, 39 * 83 * 30, 1, 39).select((F.col("id") / 2490).cast("int").alias("station"), (F.col("id") / 30 % 83).cast("int").alias("epoch"), (F.col("id") % 30 + 1).cast("int").alias("layer"))
+    sign = F.when((F.col("layer") + F.col("station")) % 6 == 0, -1.0).otherwise(1.0)
+    w = sign * (F.col("epoch") * (1 + F.col("layer") % 7) / 8.0 + 3 * F.sin(F.col("epoch") * F.col("layer") + F.col("station")))
+    cells = at.withColumn("w", w)
+    surface = cells.groupBy("station", "epoch").agg((F.sum("w") * 1.15).alias("d"))
+    return inversion.invert(cells.join(surface, ["station", "epoch"]), "joint", 0.01, 3.0)
+
+
 @register
 def q52_qp(s, d):
     """Stations coupled along edges within 15 km; groups are the components of that graph, two of the 31 stations."""

@@ -29,6 +29,30 @@ def test_joint_equals_the_dense_problem_and_separates():
     assert rough(ls.solve_joint(d, w, 0.3, 20.0)[0]) < rough(m) < rough(ls.solve_independent(d, w, 0.3)[0])
 
 
+def test_elimination_by_epochs_equals_the_dense_solution():
+    rng = np.random.default_rng(11)
+    for t, n in ((1, 3), (2, 4), (9, 5)):
+        layer, right = ls.layer_matrix(n, 0.3, 1.0), rng.standard_normal((t, n)) * 3
+        solve, times = ls.banded_solver(layer, t, 1.7, right)
+        dense = ls.station_hessian(t, n, 0.3, 1.7)
+        for _ in range(5):
+            free = rng.random(t * n) < 0.7
+            x = np.zeros(t * n)
+            x[free] = np.linalg.solve(dense[np.ix_(free, free)], right.ravel()[free])
+            assert np.allclose(solve(free), x) and np.allclose(times(x), dense @ x)
+
+
+def test_wide_station_with_bounds_that_hold():
+    """83 epochs of 30 layers, a fifth of them at the bound, in seconds."""
+    import time
+
+    rng = np.random.default_rng(12)
+    w = np.cumsum(np.abs(rng.standard_normal((83, 30))), axis=0) * np.where(np.arange(30) % 5 == 0, -1.0, 1.0)
+    began = time.process_time()
+    m, off = ls.solve_joint(w.sum(axis=1) * 1.15, w, 0.01, 3.0)
+    assert (m >= 0).all() and off < 1e-6 and (m == 0).mean() > 0.1 and time.process_time() - began < 10
+
+
 def test_posterior_std_is_exact():
     t, n = 7, 3
     exact = np.sqrt(np.diag(np.linalg.inv(ls.station_hessian(t, n, 0.4, 1.5)))).reshape(t, n)
