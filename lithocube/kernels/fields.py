@@ -225,16 +225,27 @@ def kriging_score(x: np.ndarray, y: np.ndarray, folds: np.ndarray, trial: dict,
     return score if np.isfinite(score) else np.inf
 
 
-def refine_kriging(x: np.ndarray, y: np.ndarray, folds: np.ndarray, trial: dict, most_ratio: float, rounds: int = 40) -> dict:
-    """The trial, its numbers moved by a simplex search within the ranges they were drawn from."""
+def search_kriging(x: np.ndarray, y: np.ndarray, folds: np.ndarray, trials: int, most_ratio: float, refined: int = 4, rounds: int = 20) -> dict:
+    """The trial of the least score, after the best ones of `refined` sectors of angles have been moved by a simplex search
+    within the ranges that trials are drawn from."""
+    tried = kriging_trials(x, y, trials, most_ratio)
+    scores = np.array([kriging_score(x, y, folds, t) for t in tried])
     var, span = float(y.var()) or 1.0, float(np.ptp(x, axis=0).max()) or 1.0
     names = ["sill", "reach", "nugget", "shape", "angle", "ratio"]
     low = np.array([0.05 * var, 0.02 * span, 0.0, 0.1, -90.0, 1.0])
     high = np.array([3 * var, 1.5 * span, 0.8 * var, 2.0, 270.0, max(most_ratio, 1.0 + 1e-9)])
-    made = lambda p: {**trial, **dict(zip(names, p.tolist(), strict=True))}
-    start = np.array([trial[n] for n in names], float)
-    best, score = simplex_search(lambda p: kriging_score(x, y, folds, made(p)), start, low, high, rounds)
-    return {**made(best), "angle": float(best[4] % 180)} if score < kriging_score(x, y, folds, trial) else trial
+    chosen: dict[int, int] = {}
+    for k in np.argsort(scores, kind="stable").tolist():
+        chosen.setdefault(int(tried[k]["angle"] // 45), k)
+        if len(chosen) == refined:
+            break
+    best, least = tried[int(np.argmin(scores))], float(scores.min())
+    for k in chosen.values():
+        made = lambda p, t=tried[k]: {**t, **dict(zip(names, p.tolist(), strict=True))}
+        p, score = simplex_search(lambda p, m=made: kriging_score(x, y, folds, m(p)), np.array([tried[k][n] for n in names], float), low, high, rounds)
+        if score < least:
+            best, least = {**made(p), "angle": float(p[4] % 180)}, score
+    return best
 
 
 def smooth(a: np.ndarray, sigmas: tuple[float, ...]) -> np.ndarray:

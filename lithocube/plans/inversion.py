@@ -192,8 +192,7 @@ def fit_engine(x: np.ndarray, y: np.ndarray, engine: str, trials: int | None = N
     trials = trials or TRIALS[engine]
     if engine == "kriging":
         folds = fields.spatial_folds(x, 5)
-        best = min(fields.kriging_trials(x, y, trials, most_ratio), key=lambda t: fields.kriging_score(x, y, folds, t))
-        best = fields.refine_kriging(x, y, folds, best, most_ratio)
+        best = fields.search_kriging(x, y, folds, trials, most_ratio)
         return fields.Kriging(x, y, **{**best, "shape": best["shape"] if best["model"] in fields.SHAPED else 1.0})
     return fields.fit_field(x, y, engine == "rotated", most_ratio, trials)
 
