@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Bytes that one sort may hold in memory; a third is the queue's, a sixteenth may be one array's.
+#: Bytes that one sort may hold in memory; a third is the queue's, an eighth may be one array's.
 MEMORY = 128 << 20
 
 
@@ -40,7 +40,7 @@ class Scratch:
     """Arrays and runs on disk for one sort."""
 
     def __init__(self, memory: int = MEMORY):
-        self.memory, self.share = memory, memory // 16
+        self.memory, self.share = memory, memory // 8
         #: Entries of a block, and of a bin of several symbols: a block's arrays take some 200 bytes an entry.
         self.block = max(16, min(1 << 17, memory // 512))
         self.files, self.spilled, self.depth, self.touched = 0, 0, 0, 0

@@ -30,10 +30,12 @@ from .shingles import _BASE, _BYTE, mixed, text_bytes
 
 SEED = 32  # bytes of the substrings that minimizers are taken from, less for shorter windows
 #: Runs a map task gathers before it sends blocks, bytes of a slice, and bytes of text that a bucket stands for.
-GATHER, SLICE, BUCKET_BYTES = 1_500_000, 2 << 20, 8 << 20
+GATHER, SLICE, BUCKET_BYTES = 1_500_000, 2 << 20, 4 << 20
 DIGEST = 16
 #: Digests a map task remembers; when they are more it starts anew, and sends texts again.
 SEEN = 1_000_000
+#: A text with more than one in HOT of all documents as copies is frequent: there are fewer than HOT of these, which can be broadcast.
+HOT = 10_000
 _BACK = np.uint64(pow(int(_BASE), -1, 2**64))
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _SIGN = np.uint64(1 << 63)
@@ -454,16 +456,19 @@ def cut_texts(rows: DataFrame, removed: DataFrame, length: int, as_text: bool =
 SPANS = "spans array<struct<start:bigint,stop:bigint>>"
 
 
-def later_copies(plain: DataFrame, length: int, payload: tuple[str, ...], as_text: bool) -> DataFrame:
+def later_copies(plain: DataFrame, total: int, length: int, payload: tuple[str, ...], as_text: bool) -> DataFrame:
     """(doc_id, n_bytes, spans, kept, payload) of all documents but the first of each text, by built-in aggregations on digests: a
-    copy loses all its bytes, if they are `length` at least."""
+    copy loses all its bytes, if they are `length` at least. Copies of frequent texts stay where they are."""
     keys = ["doc_id", *payload]
     size = F.octet_length("text").cast("long")
     short = F.when(size < length, F.col("text"))
     rows = plain.select(*keys, F.substring(F.sha2("text", 256), 1, 2 * DIGEST).alias("digest"), size.alias("n_bytes"), short.alias("short"))
     content = rows.groupBy("digest", "n_bytes", "short", *keys).agg(F.count(F.lit(1)).alias("times"))
     firsts = content.groupBy("digest").agg(F.min(F.struct(*keys)).alias("first"), F.sum("times").alias("all")).where(F.col("all") > 1)
-    copies = content.join(firsts, "digest").withColumn("times", F.col("times") - F.struct(*keys).eqNullSafe(F.col("first")).cast("long")).where("times > 0")
+    often = F.col("all") > max(1, total // HOT)
+    hot = firsts.where(often)  # fewer than HOT rows
+    rest = content.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(firsts.where(~often), "digest")
+    copies = content.join(F.broadcast(hot), "digest").unionByName(rest).withColumn("times", F.col("times") - F.struct(*keys).eqNullSafe(F.col("first")).cast("long")).where("times > 0")
     each = copies.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     gone = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
     kept = F.coalesce("short", F.lit(""))
@@ -490,11 +495,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text
         raise ValueError("length: 1 at least; payload: no doc_id, n_bytes, spans or kept")
     inner = tuple(f"payload_{k}" for k in range(len(payload)))
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(f"`{p}`").alias(i) for p, i in zip(payload, inner, strict=True)))
-    buckets = bucket_count(plain.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0, BUCKET_BYTES)
+    size = plain.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("docs")).first()
+    buckets = bucket_count(size["bytes"] or 0, BUCKET_BYTES)
     runs = repeated_runs(run_blocks(plain, length, buckets), buckets)
     rows = text_rows(plain, buckets)
     removed = removed_windows(shard_strings(rows, runs, length, buckets), length, buckets)
-    out = cut_texts(rows, removed, length, as_text).unionByName(later_copies(plain, length, inner, as_text))
+    out = cut_texts(rows, removed, length, as_text).unionByName(later_copies(plain, size["docs"], length, inner, as_text))
     return out.withColumnsRenamed(dict(zip(inner, payload, strict=True)))
 
 
