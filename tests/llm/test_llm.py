@@ -19,7 +19,7 @@ from lithocube.llm.registry import oracle_sql, queries
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, rank int, size int, copies int, page int, features int, bucket int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, rank int, size int, copies int, page int, features int, bucket int, _words string, _id int, _copy int, kept string, words int, `row` int"
 LONG = "lorem ipsum dolor sit amet consectetur " * 400
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "a"), (5, LONG), (6, LONG), (6, LONG), (None, "x y z"), (7, "é漢字 <|endoftext|> ▁ \x00"), (8, "a" * 3000), (9, "one two three four five six seven eight nine ten eleven")]
 
@@ -36,7 +36,7 @@ def texts(docs):
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    rows = [(i, t, None if k % 3 else "en", None if k % 2 else f"s{k % 4}", 1, 2, 3, 4, 5, 6, 7, 8) for k, (i, t) in enumerate(ODD)]
+    rows = [(i, t, None if k % 3 else "en", None if k % 2 else f"s{k % 4}", 1, 2, 3, 4, 5, 6, 7, 8, 'w', 9, 10, 'own', 11, 12) for k, (i, t) in enumerate(ODD)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -98,6 +98,87 @@ def test_op1(spark, texts):
     assert got == wanted
 
 
+@pytest.mark.parametrize("length", [1, 31, 32, 287, 288, 400])
+def test_dedup_of_any_length(spark, length):
+    rng = random.Random(length)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 7))) for _ in range(40)]
+    base = " ".join(rng.choice(words) for _ in range(500))
+    rows = []
+    for i in range(60):
+        a = rng.randrange(1000)
+        rows.append((i, " ".join(rng.choice(words) for _ in range(rng.randrange(60))) + base[a : a + rng.randrange(2500)]))
+    rows += [(100, rows[7][1]), (100, rows[7][1]), (3, rows[9][1])]
+    wanted = brute_removed(sorted(((i, t.encode()) for i, t in rows[:60])), length)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows[:60], "doc_id long, text string").repartition(5), length).collect()
+    line = lambda r: (r.n_bytes, sum(x.stop - x.start for x in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest())
+    assert {r.doc_id: line(r) for r in got} == wanted
+    more = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), length, payload=("text",)).collect()
+    assert sorted((r.doc_id, r.text) for r in more) == sorted(rows)
+    assert all(not r.kept for r in more if r.doc_id == 100)
+
+
+def test_dedup_refuses_what_it_can_not_do(odd):
+    for bad in ({"length": 0}, {"payload": ("kept",)}):
+        with pytest.raises(ValueError):
+            suffix_dedup.remove_repeats(odd, **bad)
+
+
+SORT = """
+import resource, sys
+import numpy as np
+from lithocube.llm import esais
+data = np.memmap(sys.argv[1], np.uint8, "r")
+start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+with esais.Scratch(int(sys.argv[2])) as s:
+    order, common = esais.suffix_lcp(data, s)
+    peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    print(peak - start, s.depth, s.spilled, s.files)
+    np.asarray(order).astype("<i8").tofile(sys.argv[3])
+    np.asarray(common).astype("<i8").tofile(sys.argv[4])
+"""
+
+
+def test_shard_of_twenty_times_the_memory(tmp_path):
+    """Sorted in memory of 128 KiB, a text of 2.7 MB takes less than 24 MB more of memory (mapped pages included; arrays in memory would be
+    some hundred), goes to disk, recurses to level 3 at least, and gives what a sort in memory gives."""
+    import os
+    import subprocess
+    import sys
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(2000)]
+    parts, size = [], 0
+    while size < 2_700_000:
+        parts.append(" ".join(rng.choices(words, k=100)) if rng.random() > 0.2 or not parts else rng.choice(parts))
+        parts += ["-" * rng.randrange(3000)] if rng.random() < 0.02 else []
+        size = sum(map(len, parts[-2:])) + size
+    (tmp_path / "text").write_bytes("\n".join(parts).encode())
+    env = {**os.environ, "PYTHONPATH": str(__import__("pathlib").Path(__file__).parents[2])}
+    out = []
+    for k, memory in enumerate((128 << 10, 1 << 30)):
+        made = [str(tmp_path / f"{name}{k}") for name in ("order", "common")]
+        out.append([int(x) for x in subprocess.run([sys.executable, "-c", SORT, str(tmp_path / "text"), str(memory), *made], env=env, capture_output=True, text=True, check=True, timeout=900).stdout.split()])
+    assert out[0][0] < 24_000 and out[0][1] == out[1][1] >= 3 and out[0][2] > 20e6 and out[1][2:] == [0, 0]
+    for name in ("order", "common"):
+        assert (tmp_path / f"{name}0").read_bytes() == (tmp_path / f"{name}1").read_bytes()
+
+
+def test_shard_in_little_memory(spark, texts):
+    """The windows found don't depend on how much of a shard is held."""
+    rows = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    runs = suffix_dedup.repeated_runs(suffix_dedup.run_blocks(rows, 100, 2), 2)
+    strings = suffix_dedup.shard_strings(suffix_dedup.text_rows(rows, 2), runs, 100, 2)
+    found = []
+    for memory in (1 << 28, 1 << 16):
+        windows = set()
+        for r in suffix_dedup.removed_windows(strings, 100, 2, memory).collect():
+            starts, counts = (suffix_dedup.unpack(bytes(r[c]), 5).tolist() for c in ("starts", "counts"))
+            for k, (s, c) in enumerate(zip(starts, counts, strict=True)):
+                windows |= {(bytes(r.digests)[16 * k : 16 * k + 16], w) for w in range(s, s + c)}
+        found.append(windows)
+    assert found[0] == found[1] and found[0]
+
+
 def test_dedup_of_odd_tables(odd, empty):
     got = sorted((r.doc_id or 0, r.n_bytes, len(r.kept)) for r in suffix_dedup.remove_repeats(odd).collect())
     assert len(got) == len(ODD)
@@ -111,11 +192,23 @@ def test_dedup_of_odd_tables(odd, empty):
 # sharding and mixing
 
 
+def brute_shard(key, weights):
+    """The highest -w / ln(u), u from 48 bits of the md5 of key and shard."""
+    import math
+
+    scores = []
+    for shard, w in enumerate(weights):
+        u = (int(hashlib.md5(f"{key}:{shard}".encode()).hexdigest()[:12], 16) + 0.5) / 16.0**12
+        scores.append((-w / math.log(u), -shard))
+    return -max(scores)[1]
+
+
 def test_op2(spark, texts):
     rows = sharding.op2_rendezvous_sharding(spark, DATA).collect()
     for r in rows:
         raw = texts[r.doc_id].encode()
         assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
+        assert (r.shard, r.grown_shard) == (brute_shard(r.doc_id, [1] * 8), brute_shard(r.doc_id, [1] * 9))
         assert r.grown_shard in (r.shard, 8)
     for s in range(8):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
@@ -203,6 +296,15 @@ def test_large_component_goes_in_blocks(spark, monkeypatch):
     assert got == brute_links(texts, 4, 85, 100)
 
 
+def test_one_shingle_of_many_sets_that_do_not_link(spark):
+    """50,000 sets hold one shingle and link with nothing else; three near copies among them do."""
+    own = spark.range(50_000).select("id", F.concat(F.lit("a b c d "), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id") % (997 + k)) for k in range(8)])).alias("text"))
+    near = spark.createDataFrame([(60_000 + k, "q " * 3 + " ".join(f"z{j}" for j in range(60)) + f" end{k}") for k in range(3)], "id long, text string")
+    got = ngram_join.ngram_jaccard_join(own.union(near), 4, 85, 100, key="id")
+    assert [(r.component_id, r.n_links) for r in got.where("doc_id >= 60000").collect()] == [(60_000, 2)] * 3
+    assert got.where("doc_id < 60000 and (component_id <> doc_id or n_links > 0)").count() == 0
+
+
 def test_ngram_join_of_odd_tables(odd, empty):
     rows = ngram_join.ngram_jaccard_join(odd).collect()
     assert len(rows) == len(ODD)
@@ -264,6 +366,18 @@ def test_chat_folds_events(spark):
     assert chat.format_chats(events.limit(0)).count() == 0
 
 
+def test_log_of_a_conversation_tells_its_whole_story(spark):
+    """The log has several deltas a text, drafts, edits, regenerations and deletions; in any order of rows it folds back."""
+    said = [(1, t, "user" if t % 2 else "assistant", f"{t}" * (t * 150)) for t in range(12)] + [(None, 1, None, None), (2, None, "user", "a"), (2, None, "user", "a")]
+    rows = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    log = chat.messages_to_events(rows)
+    kinds = Counter(r.kind for r in log.collect())
+    assert set(kinds) == {"delta", "edit", "regenerate", "delete"} and kinds["delta"] > 2 * len(said)
+    shuffled = log.withColumn("kept", F.lit(1)).orderBy(F.md5(F.concat_ws(":", "conv_id", "seq")))
+    back = {(r.conv_id, r.message_id): (r.role, r.text) for r in chat.fold_events(shuffled).collect()}
+    assert back == {**{(1, t + 1): (r, x) for c, t, r, x in said[:12]}, (None, 1): ("", ""), (2, 1): ("user", "a"), (2, 2): ("user", "a")}
+
+
 def test_escape_round_trip(spark):
     some = fuzz([*"\\<|>n\n a", "<|", "<\\|", "<\\n"], 800)
     df = spark.createDataFrame([(t,) for t in some], "t string")
@@ -274,25 +388,89 @@ def test_escape_round_trip(spark):
 # media
 
 
+def test_known_packbits_and_lzw():
+    """The examples of the published descriptions of both."""
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    plain = bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    assert tiff.packbits_decode(packed, len(plain)) == plain and tiff.packbits_decode(tiff.packbits_encode(np.frombuffer(plain, np.uint8)[None]), len(plain)) == plain
+    codes, plain = [256, 7, 258, 8, 8, 258, 6, 6, 257], bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    bits = "".join(f"{c:09b}" for c in codes)
+    packed = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert tiff.lzw_decode(packed, 9) == plain and tiff.lzw_encode(plain) == packed
+
+
+def by_hand(fields, blocks=b"", order=">"):
+    """A file of one directory made here, not by the writer: (tag, kind, values), values that don't fit stand behind it."""
+    head = struct.pack(order + "2sHI", b"MM" if order == ">" else b"II", 42, 8)
+    body, extra, at = b"", b"", 8 + 2 + 12 * len(fields) + 4
+    for tag, kind, values in sorted(fields):
+        raw = struct.pack(f"{order}{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        if len(raw) > 4:
+            body += struct.pack(order + "HHII", tag, kind, len(values), at + len(extra))
+            extra += raw
+        else:
+            body += struct.pack(order + "HHI", tag, kind, len(values)) + raw.ljust(4, b"\0")
+    return head + struct.pack(order + "H", len(fields)) + body + struct.pack(order + "I", 0) + extra + blocks
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_file_made_by_hand(order):
+    """Strips in LZW with horizontal differences: rows 10 11 13 and 7 7 7."""
+    fields = lambda at: [(256, 3, [3]), (257, 3, [2]), (258, 3, [8]), (259, 3, [5]), (262, 3, [1]), (273, 4, at), (277, 3, [1]), (278, 3, [1]), (279, 4, [6, 6]), (317, 3, [2])]
+
+    def lzw(values):
+        bits = "".join(f"{c:09b}" for c in [256, *values, 257])
+        return int(bits.ljust(48, "0"), 2).to_bytes(6, "big")
+
+    start = len(by_hand(fields([0, 0]), order=order))
+    data = by_hand(fields([start, start + 6]), lzw([10, 1, 2]) + lzw([7, 0, 0]), order)
+    assert tiff.read_tiff(data)[0].samples.tolist() == [[10, 11, 13], [7, 7, 7]]
+
+
+@pytest.mark.parametrize(
+    "change",
+    [{256: [0]}, {257: [0]}, {256: [4_000_000_000]}, {278: [0]}, {279: [4_000_000]}, {273: [9_999_999]}, {259: [77]}, {258: [16]}, {322: [0], 323: [16], 324: [8], 325: [4]}, {322: [4_000_000_000], 323: [4_000_000_000], 324: [8], 325: [4]}, {273: [8, 8]}],
+)
+def test_damaged_sizes_give_errors(spark, change):
+    fields = {256: [4], 257: [1], 258: [8], 259: [1], 273: [8], 277: [1], 278: [1], 279: [4]} | change
+    data = by_hand([(tag, 4, v) for tag, v in fields.items()])
+    assert isinstance(tiff.read_each(data)[0], ValueError)
+
+
+def test_inflated_data_are_bounded():
+    bomb = zlib.compress(bytes(50_000_000), 9)
+    assert tiff.decode_block(bomb, (2, 3), tiff.DEFLATE, 1).tolist() == [[0] * 3] * 2
+
+
 def test_tiff_round_trip():
     rng = np.random.default_rng(1)
     for _ in range(60):
         a = rng.integers(0, rng.choice([2, 4, 256]), (int(rng.integers(1, 300)), int(rng.integers(1, 200)))).astype(np.uint8)
         pages = [tiff.Page(a, c, p, t, int(rng.integers(1, 100))) for c in (tiff.PLAIN, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS) for p in (1, 2) for t in (None, (16, 32))]
-        back = tiff.read_tiff(tiff.write_tiff(pages))
+        back = tiff.read_tiff(tiff.write_tiff(pages, rng.choice(["<", ">"])))
         assert len(back) == len(pages) and all((p.samples == q.samples).all() for p, q in zip(pages, back, strict=True))
 
 
 def test_op8(spark, texts):
+    ways, pages = set(), set()
     for r in media.op8_media_tiff(spark, DATA).collect():
         raw = texts[r.doc_id].encode()
         padded = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        file = media.payload_file(padded)
+        assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
+        ways |= set(r.layout.split("|"))
+        said = [dict(x.split("=") for x in page.split(";")) for page in r.feature.split("|")]
+        assert sum(int(x["h"]) for x in said) * 64 == len(padded) and sum(int(x["sum"]) for x in said) == sum(padded) and sum(int(x["sq"]) for x in said) == sum(b * b for b in padded)
+        pages.add(len(said))
+    assert pages == {1, 2, 3} and {"lzw/2/true", "lzw/2/false", "packbits/1/false", "deflate/2/true"} <= ways
 
 
 def test_media_of_odd_tables(spark, odd, empty):
     pages = media.read_pages(media.store_texts(odd))
-    assert pages.count() == len(ODD) and pages.where("error is not null").count() == 0
+    assert pages.where("page = 0").count() == len(ODD) < pages.count() and pages.where("error is not null").count() == 0
+    whole = media.joined_pages(pages.withColumn("name", F.sha2("tiff", 256)), ["doc_id", "n_bytes", "name"]).collect()
+    assert sorted((r.doc_id or 0, len(r.samples)) for r in whole) == sorted((i or 0, -(-max(1, len((t or "").encode())) // 64) * 64) for i, t in ODD)
     assert media.read_pages(media.store_texts(empty)).count() == 0
     two = tiff.write_tiff([tiff.Page(np.zeros((3, 4), np.uint8)), tiff.Page(np.ones((2, 2), np.uint8))])
     files = spark.createDataFrame([(1, bytearray(two)), (2, bytearray(b"no")), (3, None), (4, bytearray(two[:-9]))], "id int, tiff binary")
@@ -331,6 +509,36 @@ def test_op10_statistics(spark, texts):
         assert r.base_failed == (n < 10 or 100 * repeats > 20 * n) and not (r.base_failed and r.kept)
 
 
+def brute_features(text):
+    n, chars, signs, dups, repeats = brute_base(text)
+    w, text = WORD.findall(text or ""), text or ""
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    count = lambda of: sum(text.count(c) for c in of)
+    per = lambda a, b: a / b if b else 0.0
+    return {
+        "n_words": n, "mean_word": per(chars, n), "symbol_rate": per(signs, n), "dup_line_rate": per(dups, len(lines)), "repeat_rate": per(repeats, n),
+        "upper_rate": per(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), chars), "punct_rate": per(count("!?;:=/\\@_~^{}[]()\""), n), "digit_rate": per(count("0123456789"), chars),
+        "distinct_rate": per(len(set(w)), n), "solo_rate": per(sum(len(x) == 1 for x in w), n),
+    }
+
+
+def rejected(text, rules):
+    f = brute_features(text)
+    n, repeats = f["n_words"], brute_base(text)[4]
+    holds = lambda r: all(f[a] > t if s == ">" else f[a] <= t for a, s, t in r.conditions)
+    return n < 10 or 100 * repeats > 20 * n or any(holds(r) for r in rules)
+
+
+def test_op10_verdict(spark, texts):
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rules = quality_rules.learn_rules(docs, labels)
+    # a list of several conditions too, whatever these labels teach
+    rules = [*rules, quality_rules.Rule((("mean_word", ">", 5.2), ("punct_rate", "<=", 0.05)), 0, 0.0), quality_rules.Rule((("digit_rate", ">", 0.01), ("upper_rate", "<=", 0.03)), 0, 0.0)]
+    got = {r.doc_id: r.kept for r in quality_rules.apply_rules(docs, rules).select("doc_id", "kept").collect()}
+    assert got == {i: not rejected(t, rules) for i, t in texts.items()} and len(set(got.values())) == 2
+
+
 def test_decision_list_finds_a_planted_rule():
     rng = np.random.default_rng(5)
     x = {"a": rng.random(600), "b": rng.random(600), "c": rng.random(600)}
@@ -353,6 +561,56 @@ def test_quality_of_odd_tables(spark, odd, empty):
     assert {r.evidence for r in quality_classifier.classify(odd, labels.limit(0)).collect()} == {0.0}
 
 
+def test_sites_shrink_to_their_parents(spark):
+    """Rates of sites, sparse ones among them, against the formula in numpy; then a document's posterior without its own part."""
+    rng = np.random.default_rng(7)
+    sites = [(f"h{h}", f"p{p}", int(n)) for h in range(6) for p, n in enumerate(rng.choice([1, 2, 40, 300], 5))]
+    rows = []
+    for h, p, n in sites:
+        good = rng.beta(2 + 3 * (h in ("h1", "h2")), 3)
+        rows += [(h, p if p != "p4" else None, 1.0 if rng.random() < 0.5 else 0.25, float(rng.random() < good)) for _ in range(n)]
+    got = {(r.host, r.path): r for r in quality_classifier.site_rates(spark.createDataFrame(rows, "host string, path string, weight double, value double")).collect()}
+    n, good = defaultdict(float), defaultdict(float)
+    for h, p, w, v in rows:
+        n[h, p] += w
+        good[h, p] += w * v
+    hosts = sorted({h for h, _ in n})
+    hn, hg = (np.array([sum(x[k] for k in n if k[0] == h) for h in hosts]) for x in (n, good))
+    inside = lambda p: np.clip(p, 1e-4, 1 - 1e-4)
+
+    def strength(n, good, parent):
+        p = inside(parent)
+        spread, chance, size = (n * (good / n - p) ** 2).sum(), (p * (1 - p)).sum(), (n * p * (1 - p)).sum()
+        between = max(spread - chance, 0) / max(size - chance, 1e-9)
+        return min(max(1 / max(between, 1e-6) - 1, 1.0), 1e5)
+
+    whole = np.full(len(hosts), (hg.sum() + 1) / (hn.sum() + 2))
+    k = strength(hn, hg, whole)
+    rate = dict(zip(hosts, (hg + k * inside(whole)) / (hn + k), strict=True))
+    keys = sorted(n, key=str)
+    pn, pg, parent = np.array([n[k] for k in keys]), np.array([good[k] for k in keys]), np.array([rate[k[0]] for k in keys])
+    k2 = strength(pn, pg, parent)
+    for key, a, b, p in zip(keys, pn, pg, parent, strict=True):
+        r = got[key]
+        assert np.allclose([r.n, r.good, r.host_rate, r.strength], [a, b, p, k2])
+        made = (b + k2 * p) / (a + k2)
+        assert min(b / a, p) - 1e-9 <= made <= max(b / a, p) + 1e-9
+    sparse = [abs((b + k2 * p) / (a + k2) - p) <= abs(b / a - p) * a / (a + k2) + 1e-9 for a, b, p in zip(pn, pg, parent, strict=True)]
+    assert all(sparse)
+
+
+def test_classifier_takes_hosts_and_paths_of_urls(spark):
+    rows = [("http://WWW.a.org/x/y/1.html?q=/z",), ("https://u:p@b.net:8080/",), ("ftp://c.com",), ("no url",), (None,), ("http://a.org/x/",)]
+    got = spark.createDataFrame(rows, "url string").select(quality_classifier.url_host(F.col("url")).alias("h"), quality_classifier.url_path(F.col("url")).alias("p"), quality_classifier.url_path(F.col("url"), 2).alias("q")).collect()
+    assert [tuple(r) for r in got] == [("a.org", "x", "x/y"), ("b.net", "", ""), ("c.com", "", ""), (None, "", ""), (None, None, None), ("a.org", "x", "x")]
+    # two hosts of the same words: labels of one are bad throughout
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three "), F.col("id") % 7).alias("text"), F.concat(F.when(F.col("id") % 2 == 0, "http://good.org/a/").otherwise("http://bad.org/b/"), "id").alias("url"))
+    labels = spark.range(100).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, 1).otherwise(0).alias("quality"))
+    out = quality_classifier.classify(docs, labels, quality_classifier.url_host(F.col("url")), quality_classifier.url_path(F.col("url")))
+    right = out.where("doc_id >= 100").agg(F.avg((F.col("keep") == (F.col("doc_id") % 2 == 0)).cast("double"))).first()[0]
+    assert right > 0.95 and out.count() == 400
+
+
 def test_classifier_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -376,3 +634,57 @@ def test_pipeline_stages(spark, odd, empty, docs):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, table, DATA).collect()
             assert not (table is empty and out)
+    passed = corpus_pipeline.rules(spark, odd, DATA)
+    assert passed.columns == odd.columns and {r.kept for r in passed.collect()} <= {"own"}
+    assert corpus_pipeline.near_duplicates(spark, odd, DATA).columns == odd.columns
+
+
+def test_rows_of_the_stages(spark, docs):
+    """Each stage's rows against brute force on the same input."""
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs.collect()]
+    schema = docs.schema
+    # rules: the base rules and the learned ones on statistics made here
+    learned = quality_rules.learn_rules(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    kept = [r for r in rows if not rejected(r[1], learned)]
+    got = corpus_pipeline.rules(spark, docs, DATA).collect()
+    assert sorted(map(tuple, got)) == sorted(kept)
+    # near duplicates: the smallest id of each component
+    links = brute_links({r[0]: r[1] for r in kept}, 5, 80, 100)
+    first = [r for r in kept if links[r[0]][0] == 0 or links[r[0]][1] == r[0]]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(kept, schema), DATA).collect()
+    assert sorted(map(tuple, got)) == sorted(first)
+    # passages: bytes covered by earlier strings of 100, drawn in to whole characters
+    spans, seen = {}, set()
+    for i, text, *_ in sorted(first):
+        b = text.encode()
+        gone = bytearray(len(b) + 1)
+        for s in range(len(b) - 99):
+            if b[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(b[s : s + 100])
+        found, k = [], 0
+        while k < len(b):
+            if gone[k]:
+                e = gone.index(0, k)
+                x, y = k, e
+                while x < y and b[x] & 0xC0 == 0x80:
+                    x += 1
+                while x < y < len(b) and b[y] & 0xC0 == 0x80:
+                    y -= 1
+                found += [(x, y)] if x < y else []
+                k = e
+            k += 1
+        spans[i] = found
+    left = []
+    for i, text, lang, source, _ in first:
+        b, at = text.encode(), [0, *(x for s in spans[i] for x in s), None]
+        cut = b"".join(b[x:y] for x, y in zip(at[::2], at[1::2], strict=True)).decode()
+        if not spans[i] or cut.strip(" "):
+            left.append((i, cut, lang, source, len(cut)))
+    got = corpus_pipeline.repeated_passages(spark, spark.createDataFrame(first, schema), DATA).collect()
+    assert sorted(tuple(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars")) for r in got) == sorted(left)
+    # mixture: as often as the systematic sample takes each
+    table = spark.createDataFrame(left, schema)
+    copies = {r.doc_id: r.copies for r in mixing.mix(table).collect()}
+    got = Counter(tuple(r) for r in corpus_pipeline.mixture(spark, table, DATA).collect())
+    assert got == Counter({r: copies[r[0]] for r in left if copies[r[0]]})
