@@ -167,6 +167,13 @@ def q75_timed_world(s, d):
     return made.select(*ints, "m", "d", F.nanvl("w", F.lit(None).cast("double")).alias("w"))
 
 
+@register
+def q100_random_wells(s, d):
+    """(pixel, x, y): twenty wells on a raster of 20 x 20 pixels, as drawn by the seed."""
+    wells = s.createDataFrame([(p,) for p in fields.random_wells(400, 20)], "pixel int")
+    return wells.select("pixel", (F.col("pixel") % 20).alias("x"), F.floor(F.col("pixel") / 20).cast("int").alias("y"))
+
+
 #: Angle, lengths along and across, sill and nugget of the benchmark's fields; sampled densely, then sparsely.
 FIELDS = [(45, 400, 50, 1.0, 0.05), (120, 200, 60, 0.5, 0.3), (0, 200, 200, 0.9, 0.1), (90, 300, 100, 0.4, 0.6), (0, 600, 80, 1.2, 0.02), (160, 120, 40, 0.8, 0.15)]
 SCENARIOS = {f"S{k + 1}": (*field, part) for k, (field, part) in enumerate([(f, p) for p in (0.2, 0.01) for f in FIELDS])}
