@@ -24,6 +24,14 @@ def coverage(surface: DataFrame, total: int, fraction: float = 0.5) -> DataFrame
     return n.withColumn("kept", F.col("n_valid") >= fraction * total)
 
 
+def without(df: DataFrame, stations: DataFrame, held_out: int) -> DataFrame:
+    """All rows but one station's, the others numbered from 0 on without a gap in column `index`."""
+    left = stations.select("station").where(F.col("station") != held_out)
+    # a row for each station
+    numbers = left.withColumn("index", (F.row_number().over(Window.orderBy("station")) - 1).cast("int"))
+    return df.join(F.broadcast(numbers), "station")
+
+
 def valid_depths(obs: DataFrame, stations: DataFrame) -> DataFrame:
     """Layers with any value at any of the stations."""
     return obs.where(F.col("value").isNotNull()).join(stations.select("station"), "station", "left_semi").select("layer").distinct()

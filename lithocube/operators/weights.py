@@ -74,6 +74,14 @@ def deep_residual(weights: DataFrame, insar: DataFrame, key: str = "station") ->
     return insar.join(whole, key).select(key, "epoch", "d", (F.col("d") * (1 - F.col("_w"))).alias("residual"))
 
 
+def deep_residual_std(weights: DataFrame, insar: DataFrame, key: str = "station") -> DataFrame:
+    """(key, epoch, residual, residual_std): as `deep_residual` for weights with a column std, with the root of the layers' summed
+    variances times the surface; a missing spread makes it null."""
+    spread = weights.groupBy(key).agg(F.when(F.count("std") == F.count(F.lit(1)), F.sqrt(F.sum(F.col("std") * F.col("std")))).alias("_std"))
+    out = deep_residual(weights, insar, key).join(spread, key)
+    return out.select(key, "epoch", "residual", (F.col("_std") * F.abs("d")).alias("residual_std"))
+
+
 def total_std(pred: DataFrame, layer_rmse: DataFrame, epoch_std: DataFrame) -> DataFrame:
     """Spread of the model, of the layer's validation error times the surface, and of the epoch's fold, in one."""
     both = pred.join(F.broadcast(layer_rmse), "layer", "left").join(epoch_std, ["layer", "epoch"], "left")

@@ -197,6 +197,15 @@ def fit_engine(x: np.ndarray, y: np.ndarray, engine: str, trials: int | None = N
     return fields.fit_field(x, y, engine == "rotated", most_ratio, trials)
 
 
+def held_out_error(x: np.ndarray, y: np.ndarray, model: fields.Field | fields.Kriging, clusters: int = 5) -> float:
+    """Root mean square error at clusters of points left out in turn, by the model's parameters on the others."""
+    folds = fields.spatial_folds(x, clusters)
+    if isinstance(model, fields.Kriging):
+        return float(np.sqrt(fields.kriging_score(x, y, folds, {k: getattr(model, k) for k in ("model", "sill", "reach", "nugget", "shape", "angle", "ratio")})))
+    got = fields.cross_validate(x, y, folds, lambda a, b: fields.Field(a, b, model.angle, model.lengths, model.signal, model.noise))
+    return float(np.sqrt(np.nanmean((got[:, 0] - y) ** 2)))
+
+
 #: What a fitted model is, the same for all engines: a row for each layer.
 MODEL = "layer int, engine string, variogram string, angle double, ratio double, major double, minor double, sill double, nugget double, shape double, sx array<double>, sy array<double>, sv array<double>"
 

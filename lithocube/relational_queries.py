@@ -628,3 +628,25 @@ def q97_sidecar_io(s, d):
     path = scratch(s, "sidecar")
     files.write_sidecar(depth_weights(s, d).groupBy("layer").agg(r6(F.max("w")).alias("top"), F.count(F.lit(1)).alias("n")), path)
     return files.read_sidecar(s, path, "layer int, top double, n long")
+
+
+@register("""SELECT DISTINCT 'x' AS axis, (c % 10)::INT AS idx, (160000.0 + 500 * (c % 10))::DOUBLE AS value FROM obs JOIN range(120) r(c) ON c % 31 = station
+ UNION ALL SELECT DISTINCT 'y', (c // 10)::INT, (2600000.0 + 500 * (c // 10))::DOUBLE FROM obs JOIN range(120) r(c) ON c % 31 = station""")
+def q101_raster_axes(s, d):
+    """The axes of a raster cube."""
+    x, y = files.axes_of(tables.raster(s, d))
+    one = lambda df, name: df.select(F.lit(name).alias("axis"), F.col(f"{name}_idx").alias("idx"), F.col(name).alias("value"))
+    return one(x, "x").unionByName(one(y, "y"))
+
+
+@register("SELECT o.station, n.index, layer, epoch, round(value, 6) + 0.0 AS value FROM obs o JOIN (SELECT station, (row_number() OVER (ORDER BY station) - 1)::INT AS index FROM sta WHERE station <> 5) n USING (station)".replace("SELECT o.station, n.index", "SELECT station, n.index"))
+def q102_station_subset(s, d):
+    """What is left without station 5."""
+    return series.without(tables.observations(s, d), tables.stations(s), 5).select("station", "index", "layer", "epoch", r6("value").alias("value"))
+
+
+@register(f", {STD} SELECT station, epoch, round(d * (1 - t), 6) + 0.0 AS residual, round(v * abs(d), 9) + 0.0 AS residual_std FROM scum JOIN (SELECT station, sum(w) AS t, sqrt(sum(std * std)) AS v FROM ws GROUP BY 1) USING (station)")
+def q103_deep_residual_std(s, d):
+    d = tables.shared(s, d)
+    out = weights.deep_residual_std(with_std(s, d), insar(s, d))
+    return out.select("station", "epoch", r6("residual").alias("residual"), (F.round("residual_std", 9) + F.lit(0.0)).alias("residual_std"))
