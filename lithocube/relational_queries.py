@@ -565,7 +565,7 @@ def q86_wide_csv_io(s, d):
 PRODUCT = {"residual": {"units": "mm", "long_name": "surface less all layers"}, "w": {"units": "1"}}
 
 
-@register("SELECT station, epoch AS t, round((d * (1 - t.t))::FLOAT::DOUBLE, 3) + 0.0 AS residual FROM scum JOIN (SELECT station, sum(w) AS t FROM wt GROUP BY 1) t USING (station)".replace("epoch AS t,", "epoch AS t,"))
+@register("SELECT station, epoch AS t, round((d * (1 - t.t))::FLOAT::DOUBLE, 3) + 0.0 AS residual FROM scum JOIN (SELECT station, sum(w) AS t FROM wt GROUP BY 1) t USING (station)")
 def q87_product_io(s, d):
     """A product of two variables with attributes, in single precision, split by time."""
     path, d = scratch(s, "product"), tables.shared(s, d)
@@ -639,7 +639,7 @@ def q101_raster_axes(s, d):
     return one(x, "x").unionByName(one(y, "y"))
 
 
-@register("SELECT o.station, n.index, layer, epoch, round(value, 6) + 0.0 AS value FROM obs o JOIN (SELECT station, (row_number() OVER (ORDER BY station) - 1)::INT AS index FROM sta WHERE station <> 5) n USING (station)".replace("SELECT o.station, n.index", "SELECT station, n.index"))
+@register("SELECT station, n.index, layer, epoch, round(value, 6) + 0.0 AS value FROM obs o JOIN (SELECT station, (row_number() OVER (ORDER BY station) - 1)::INT AS index FROM sta WHERE station <> 5) n USING (station)")
 def q102_station_subset(s, d):
     """What is left without station 5."""
     return series.without(tables.observations(s, d), tables.stations(s), 5).select("station", "index", "layer", "epoch", r6("value").alias("value"))

@@ -101,10 +101,6 @@ def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.option("header", True).schema(schema).csv(path)
-
-
 def write_sidecar(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
