@@ -422,7 +422,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id")).alias("first")
     copies = signed.where("n_shingles > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("copies"), first)
     total = signed.agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("tokens")).first()
-    buckets = bucket_count(total["tokens"] or 0, GATHER // 2)
+    buckets = bucket_count(docs.sparkSession, total["tokens"] or 0, GATHER // 2)
     hot = frequent_tokens(plain, width, total["docs"])
     shared = shared_tokens(token_blocks(plain, width, buckets, hot))
     found = candidate_sets(shared, num, den).dropDuplicates(["sig"]).join(copies.select("sig", "copies"), "sig")

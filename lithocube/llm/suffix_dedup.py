@@ -496,7 +496,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text
     inner = tuple(f"payload_{k}" for k in range(len(payload)))
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(f"`{p}`").alias(i) for p, i in zip(payload, inner, strict=True)))
     size = plain.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("docs")).first()
-    buckets = bucket_count(size["bytes"] or 0, BUCKET_BYTES)
+    buckets = bucket_count(docs.sparkSession, size["bytes"] or 0, BUCKET_BYTES)
     runs = repeated_runs(run_blocks(plain, length, buckets), buckets)
     rows = text_rows(plain, buckets)
     removed = removed_windows(shard_strings(rows, runs, length, buckets), length, buckets)
