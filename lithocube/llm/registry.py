@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, importance, media, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, sharding, suffix_dedup, token_counts
+from . import chat, importance, media, mixing, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, sharding, suffix_dedup, token_counts
 from .oracles import ORACLES
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         quality_classifier.op9_quality_classifier,
         quality_rules.op10_quality_rules,
         importance.op11_importance_resampling,
+        packing.op12_packing,
     ]
     import corpus_pipeline
 
