@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, importance, media, mixing, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, sharding, suffix_dedup, token_counts
+from . import chat, importance, media, mixing, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, sharding, spelling, suffix_dedup, token_counts
 from .oracles import ORACLES
 
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         quality_rules.op10_quality_rules,
         importance.op11_importance_resampling,
         packing.op12_packing,
+        spelling.op13_spelling_variants,
     ]
     import corpus_pipeline
 
