@@ -13,34 +13,68 @@ the powers of two, are asked for one by one. A cut costs nothing after a documen
 from __future__ import annotations
 
 import functools
-import itertools
 import json
 import os
+import re
 import zlib
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
 from .arrow import give_back, slices
-from .token_counts import SPLIT, byte_alphabet
+from .token_counts import byte_alphabet
 
 #: Costs of a cut after a sentence and anywhere else inside a document, in tokens of padding.
 SENTENCE, INSIDE = 2, 8
 #: Ids packed at once, sequences at a batch's end that are packed again with the next one, bytes of text encoded at once, and
-#: pre-tokens whose ids a worker keeps.
+#: strings between blanks whose ids a worker keeps.
 BATCH, AGAIN, SLICE, KEPT = 1 << 18, 8, 1 << 20, 1_000_000
+#: New strings that are encoded as one text.
+JOINED = 1000
+PARTING = re.compile(r" (?=\S)").split
+
+
+class Kept(dict):
+    """Strings' numbers in the order they are first asked for, and the ids of each, as `make` gives them for a list of new ones."""
+
+    def __init__(self, make: Callable[[list], tuple[np.ndarray, np.ndarray]]):
+        self.make, self.new = make, []
+        self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def __missing__(self, key: object) -> int:
+        self.new.append(key)
+        self[key] = out = len(self)
+        return out
+
+    def ids(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all keys end to end, how many each has)."""
+        which = np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+        if self.new:
+            flat, sizes = self.make(self.new)
+            self.new = []
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.flat = np.concatenate([self.flat, flat])
+        sizes = (self.starts[1:] - self.starts[:-1])[which]
+        ends = np.cumsum(sizes)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[:-1][which] - ends + sizes, sizes)], sizes
+
+
+def summed(values: np.ndarray, counts: list[int]) -> np.ndarray:
+    """Sums of runs of so many values."""
+    return np.diff(np.r_[0, np.cumsum(values)][np.cumsum([0, *counts])])
 
 
 class Encoder:
-    """Ids of texts as the file's own library gives them, without begin and end tokens, and which ids end and follow sentences. A byte-level
-    file's pre-tokens are encoded by the library once and then kept by number; other files' texts are encoded whole."""
+    """Ids of texts as the file's own library gives them, without begin and end tokens, and which ids end and follow sentences.
+
+    Pre-tokens of a byte-level file always part before a blank that something other than white space follows. What stands between two such
+    places is kept by number with its ids. New ones are joined to long texts for the library, whose ids are dealt out again by the
+    bytes they stand for. Other files' texts are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -50,56 +84,56 @@ class Encoder:
         self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_pre_token = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        specials = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
-        self.special = regex.compile(f"({'|'.join(map(regex.escape, specials))})") if specials else None
-        self.pre_tokens = regex.compile(SPLIT).findall
+        pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens", [])
+        plain = not any(t.get(x) for t in added for x in ("lstrip", "rstrip", "single_word")) and not any(" " in t["content"] for t in added)
+        self.in_parts = plain and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.forget()
-        alphabet = byte_alphabet()
+        alphabet, whole = byte_alphabet(), {t["content"] for t in added}
         many = self.tokenizer.get_vocab_size()
-        self.ends, self.opens = np.zeros(many, bool), np.zeros(many, bool)
+        self.ends, self.opens, self.bytes = np.zeros(many, bool), np.zeros(many, bool), np.zeros(many, np.int64)
         for token, k in self.tokenizer.get_vocab().items():
-            raw = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+            raw = token.encode() if token in whole or not all(c in alphabet for c in token) else bytes(alphabet[c] for c in token)
             self.ends[k] = raw.endswith((b".", b"!", b"?", b"\n", "。".encode(), "！".encode(), "？".encode()))
-            self.opens[k] = raw[:1].isspace()
-
-    def numbers(self, tokens: list[str]) -> np.ndarray:
-        """Numbers of pre-tokens in `flat`; what is new is encoded first."""
-        try:
-            return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
-        except KeyError:
-            new = list(set(tokens) - self.known.keys())
-        base = len(self.known)
-        ids = [e.ids for e in self.encode_batch(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
-        self.known.update(zip(new, range(base, base + len(new)), strict=True))
-        return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+            self.opens[k], self.bytes[k] = raw[:1].isspace(), len(raw)
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def split(self, text: str) -> list[str]:
-        """Pre-tokens, and special strings as they are."""
-        out = []
-        for k, piece in enumerate(self.special.split(text) if self.special else [text]):
-            out += [piece] if k % 2 else self.pre_tokens(piece)
-        return out
+        self.parts = Kept(self.encoded)
+
+    def encoded(self, parts: list[str | tuple[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Parts are strings without the blank before them; a text's first part, which has none, comes as a tuple."""
+        alone = np.array([isinstance(p, tuple) for p in parts])
+        texts = [p[0] for p in parts if isinstance(p, tuple)]
+        later = [" " + p for p in parts if not isinstance(p, tuple)]
+        joined = ["".join(later[k : k + JOINED]) for k in range(0, len(later), JOINED)]
+        made = [np.array(e.ids, np.uint32) for e in self.encode_batch(texts + joined, add_special_tokens=False)]
+        sizes = np.zeros(len(parts), np.int64)
+        sizes[alone] = [len(m) for m in made[: len(texts)]]
+        rest = np.concatenate([np.zeros(0, np.uint32), *made[len(texts) :]])
+        ends = np.cumsum(np.fromiter((len(t.encode()) for t in later), np.int64, len(later)))
+        stops = np.searchsorted(np.cumsum(self.bytes[rest]), ends, side="right")
+        if len(later) and (self.bytes[rest].sum() != ends[-1] or (np.cumsum(self.bytes[rest])[stops - 1] != ends).any()):
+            raise ValueError("the library's ids don't part before blanks")
+        sizes[~alone] = np.diff(np.r_[0, stops])
+        # ids in the order of parts
+        flat = np.concatenate([np.zeros(0, np.uint32), *made])
+        order = np.r_[np.flatnonzero(alone), np.flatnonzero(~alone)]
+        begin = np.empty(len(parts), np.int64)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        return flat[np.arange(len(flat)) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)], sizes
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_pre_token:
+        if not self.in_parts:
             return [np.array(e.ids, np.uint32) for e in self.encode_batch(texts, add_special_tokens=False)]
-        if len(self.known) > KEPT:
+        if len(self.parts) > KEPT:
             self.forget()
-        tokens = [self.split(t) for t in texts]
-        which = self.numbers([t for x in tokens for t in x])
-        sizes = (self.starts[1:] - self.starts[:-1])[which]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[:-1][which] - ends + sizes, sizes)]
-        bounds = np.r_[0, ends][np.cumsum([0, *map(len, tokens)])].tolist()
+        parts, counts = [], []
+        for text in texts:
+            found = PARTING(text)
+            found[0] = (found[0],)
+            parts += found
+            counts.append(len(found))
+        ids, sizes = self.parts.ids(parts)
+        bounds = np.cumsum(np.r_[0, summed(sizes, counts)]).tolist()
         return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
@@ -111,48 +145,52 @@ def encoder(path: str) -> Encoder:
 def candidates(n: int, base: np.ndarray, limit: int, last: bool) -> np.ndarray:
     """Places from 0 to n where a sequence may end: those of `base`, a full sequence after each of these, full sequences through what has no
     place for longer, and all places of the last `limit` ids if no more come."""
-    base = np.unique(np.r_[0, base, n])
-    gaps = np.diff(base)
-    wide = np.flatnonzero(gaps > limit)
-    through = [np.arange(base[k] + limit, base[k + 1], limit) for k in wide.tolist()]
-    tail = np.arange(max(0, n - limit), n) if last else base[:0]
-    places = np.unique(np.concatenate([base, base + limit, tail, *through]))
-    return places[places <= n]
+    mark = np.zeros(n + 1, bool)
+    mark[[0, n]] = True
+    mark[base] = True
+    base = np.flatnonzero(mark)
+    wide = np.flatnonzero(np.diff(base) > limit)
+    for k in wide.tolist():
+        mark[base[k] + limit : base[k + 1] : limit] = True
+    full = base + limit
+    mark[full[full <= n]] = True
+    if last:
+        mark[max(0, n - limit) :] = True
+    return np.flatnonzero(mark)
 
 
 def best_cuts(places: np.ndarray, penalty: np.ndarray, limit: int) -> np.ndarray:
     """The places (ascending, from 0) at which the cheapest packing cuts, the first and the last included. No place is more than
     `limit` after the one before."""
     many = len(places)
+    number = np.full(int(places[-1]) + 1, -1, np.int32)
+    number[places] = np.arange(many)
+    # the places a power of two before each, one after the other
     powers = [1 << k for k in range(limit.bit_length()) if 1 << k <= limit]
-    exact_j, exact_i = [], []
-    for p in powers:
-        at = np.minimum(np.searchsorted(places, places - p), many - 1)
-        hit = np.flatnonzero(places[at] == places - p)
-        exact_j.append(hit)
-        exact_i.append(at[hit])
-    exact_j, exact_i = np.concatenate(exact_j), np.concatenate(exact_i)
-    order = np.argsort(exact_j, kind="stable")
-    bounds = np.searchsorted(exact_j[order], np.arange(many + 1)).tolist()
-    exact = exact_i[order].tolist()
-    at, pay = places.tolist(), penalty.tolist()
-    cost, before = [0.0] * many, [0] * many
-    queue: deque[tuple[float, int, int]] = deque([(at[0], at[0], 0)])  # (cost + place, place, number)
+    earlier = np.stack([np.where(places >= p, number[np.maximum(places - p, 0)], -1) for p in powers], axis=1)
+    bounds = np.r_[0, np.cumsum((earlier >= 0).sum(axis=1))].tolist()
+    exact = earlier[earlier >= 0].tolist()
+    at, pay = places.tolist(), (penalty + 1).tolist()
+    cost, before = [0] * many, [0] * many
+    # the queue, from `head` on: values cost + place rise along it
+    keys, queue, head, low = at[:], [0], 0, 0
     for j in range(1, many):
         here = at[j]
-        while queue[0][1] < here - limit:
-            queue.popleft()
-        key, _, i = queue[0]
-        least = key + limit - here
-        for e in exact[bounds[j] : bounds[j + 1]]:
+        while at[queue[head]] < here - limit:
+            head += 1
+        i = queue[head]
+        least = keys[i] + limit - here
+        high = bounds[j + 1]
+        for e in exact[low:high]:
             if cost[e] < least:
                 least, i = cost[e], e
-        least += pay[j] + 1
+        low = high
+        least += pay[j]
         cost[j], before[j] = least, i
-        key = least + here
-        while queue and queue[-1][0] >= key:
+        keys[j] = key = least + here
+        while len(queue) > head and keys[queue[-1]] >= key:
             queue.pop()
-        queue.append((key, here, j))
+        queue.append(j)
     path, j = [many - 1], many - 1
     while j:
         j = before[j]
@@ -185,11 +223,11 @@ class Packer:
         whole = np.array([h[1] + len(h[2]) == h[3] for h in self.held])
         docs = ends[whole]
         sentence = np.flatnonzero(self.code.ends[ids[:-1]] & self.code.opens[ids[1:]]) + 1
-        places = candidates(len(ids), np.union1d(docs, sentence), self.limit, last)
-        penalty = np.full(len(places), INSIDE)
-        penalty[np.isin(places, sentence)] = SENTENCE
-        penalty[np.isin(places, docs)] = 0
-        cuts = best_cuts(places, penalty, self.limit)
+        places = candidates(len(ids), np.r_[docs, sentence], self.limit, last)
+        penalty = np.full(len(ids) + 1, INSIDE)
+        penalty[sentence] = SENTENCE
+        penalty[docs] = 0
+        cuts = best_cuts(places, penalty[places], self.limit)
         if not last:
             cuts = cuts[: max(2, len(cuts) - AGAIN)]
         out, begins = [], ends - sizes

@@ -48,7 +48,7 @@ def empty(odd):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got, wanted = queries()[name](spark, DATA).toPandas(), con.sql(oracle_sql()[name]).df()
     line = lambda f: sorted(tuple(f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in f[sorted(f.columns)].itertuples(index=False))
