@@ -5,20 +5,24 @@
    enough of its tokens occur in others.
 3. The global order is from rare to frequent. Two sets that link share at least `extra` tokens of their first ones (as many as
    a set may lack, and `extra` more), its keys.
-4. The sets left are dealt to blocks, alike ones together. Which sets share keys with which blocks is counted by key: a set meets a
-   block only if it shares enough keys with the block's sets. No pair of sets is made on the way.
-5. For two blocks the sets that meet the other one come to one task as a trie, frequent tokens first; it is traversed once with a vector
-   of overlaps with the other sets, which all sets below a node share, and a subtree is left out when no set can reach the
-   overlap it still needs.
-6. Components are made of the links found.
+4. The sets left are dealt to blocks, alike ones together, and each block is joined by itself. Of the sets that are then known to hang
+   together in a block, one represents them.
+5. Which representatives share keys with which blocks of them is counted by key: a set meets a block only if it shares enough keys with
+   the block's sets. For two blocks the sets that meet the other one come to one task, the components of all representatives are made.
+6. What is left are pairs of sets of which one at least represents nobody. Blocks are met in the same way, but keys only count
+   between sets not yet in one component. So a large group of near copies costs what its blocks cost, not what its pairs would.
+7. Two blocks are joined by a trie, frequent tokens first; it is traversed once with a vector of overlaps with the other sets, which all sets
+   below a node share, and a subtree is left out when no set can reach the overlap it still needs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,16 +93,18 @@ def frequent_tokens(docs: DataFrame, width: int, many: int) -> np.ndarray:
     return np.sort(found.to_numpy(np.int64).astype(np.uint64))
 
 
-ENTRIES = "bucket int, kind int, flush long, which binary, tokens binary, sigs binary, sizes binary"
+ENTRIES = "bucket int, kind int, flush long, digest long, which binary, tokens binary, sigs binary, sizes binary"
 
 
 def token_blocks(docs: DataFrame, width: int, buckets: int, hot: np.ndarray) -> DataFrame:
     """Packed entries (set, token), the set being a number within a flush of some million tokens. kind 0: dealt out by the
-    token, to be counted; 1: frequent tokens, which aren't; 2: the sets of a flush."""
+    token, to be counted; 1: frequent tokens, which aren't; 2: the sets of a flush. A flush is named by its partition and its number there;
+    its digest, of all its sets in order, shows whether rows that name it mean the same sets."""
     names = [x.split()[0] for x in ENTRIES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen, many = [], set(), 0
+        name = (TaskContext.get().partitionId() + 1) << 32
         for part in _text_slices(batches):
             tokens, owner = shingle_tokens(*text_bytes(part.column("text")), width)
             size, sig = set_signatures(tokens, owner, part.num_rows)
@@ -114,37 +120,38 @@ def token_blocks(docs: DataFrame, width: int, buckets: int, hot: np.ndarray) ->
             held.append((tokens[on], number[owner[on]], sig[fresh], size[fresh]))
             many += int(on.sum())
             if many >= GATHER or len(seen) > TEXTS:
-                yield from flush(held)
-                held, seen, many = [], set(), 0
-        yield from flush(held)
+                yield from flush(held, name)
+                held, seen, many, name = [], set(), 0, name + 1
+        yield from flush(held, name)
         del held
         give_back()
 
-    def flush(held: list) -> Iterator[pa.RecordBatch]:
+    def flush(held: list, name: int) -> Iterator[pa.RecordBatch]:
         base = np.cumsum([0, *(len(h[2]) for h in held)])
         if not base[-1]:
             return
         tokens = np.concatenate([h[0] for h in held])
         which = np.concatenate([h[1] + b for h, b in zip(held, base, strict=False)])
         sigs, sizes = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
-        name = int(mixed(sigs[:1, 0] ^ np.uint64(len(sigs)) ^ sigs[-1:, 1]).view(np.int64)[0])
+        place = np.arange(1, len(sigs) + 1, dtype=np.uint64)
+        digest = int(np.add.reduce(mixed(sigs[:, 0] ^ mixed(sigs[:, 1] ^ mixed(place)))).view(np.int64))
         common = np.zeros(len(tokens), bool)
         if len(hot):
             common = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
-        home = int(np.int64(name) % buckets)
+        home = int(mixed(np.array([name], np.uint64))[0] % np.uint64(buckets))
         rare = packed_batch((tokens[~common] % np.uint64(buckets)).astype(np.int64), {"which": (which[~common], 2), "tokens": (tokens[~common], 7)})
         rows = rare.num_rows
         none = pa.nulls(rows, pa.binary())
-        yield pa.RecordBatch.from_arrays([rare.column(0), pa.array(np.zeros(rows, np.int32)), pa.array(np.full(rows, name)), *rare.columns[1:], none, none], names)
+        yield pa.RecordBatch.from_arrays([rare.column(0), pa.array(np.zeros(rows, np.int32)), pa.array(np.full(rows, name)), pa.array(np.full(rows, digest)), *rare.columns[1:], none, none], names)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([home, home], pa.int32()), pa.array([1, 2], pa.int32()), pa.array([name, name]), *(pa.array(x, pa.binary()) for x in ([pack(which[common], 2), None], [pack(tokens[common], 7), None], [None, sigs.tobytes()], [None, pack(sizes, 5)]))],
+            [pa.array([home, home], pa.int32()), pa.array([1, 2], pa.int32()), pa.array([name, name]), pa.array([digest, digest]), *(pa.array(x, pa.binary()) for x in ([pack(which[common], 2), None], [pack(tokens[common], 7), None], [None, sigs.tobytes()], [None, pack(sizes, 5)]))],
             names,
         )
 
     return docs.mapInArrow(run, ENTRIES)
 
 
-REPLIES = "flush long, which binary, values binary, sigs binary, sizes binary"
+REPLIES = "flush long, digest long, which binary, values binary, sigs binary, sizes binary"
 
 
 def shared_tokens(blocks: DataFrame) -> DataFrame:
@@ -157,12 +164,12 @@ def shared_tokens(blocks: DataFrame) -> DataFrame:
             for k, kind in enumerate(batch.column("kind").to_pylist()):
                 row = batch.slice(k, 1)
                 if kind == 0:
-                    held.append((row.column("flush")[0].as_py(), unpack(joined(row.column("which")), 2).astype(np.uint16), unpack(joined(row.column("tokens")), 7)))
+                    held.append(((row.column("flush")[0].as_py(), row.column("digest")[0].as_py()), unpack(joined(row.column("which")), 2).astype(np.uint16), unpack(joined(row.column("tokens")), 7)))
                 elif kind == 1:
                     values = unpack(joined(row.column("tokens")), 7) | np.uint64(255 << TOKEN_BITS)
-                    yield pa.RecordBatch.from_arrays([row.column("flush"), row.column("which"), pa.array([values.tobytes()], pa.binary()), *[pa.nulls(1, pa.binary())] * 2], names)
+                    yield pa.RecordBatch.from_arrays([row.column("flush"), row.column("digest"), row.column("which"), pa.array([values.tobytes()], pa.binary()), *[pa.nulls(1, pa.binary())] * 2], names)
                 else:
-                    yield pa.RecordBatch.from_arrays([row.column("flush"), *[pa.nulls(1, pa.binary())] * 2, row.column("sigs"), row.column("sizes")], names)
+                    yield pa.RecordBatch.from_arrays([row.column("flush"), row.column("digest"), *[pa.nulls(1, pa.binary())] * 2, row.column("sigs"), row.column("sizes")], names)
         if not held:
             return
         tokens = np.concatenate([h[2] for h in held])
@@ -178,8 +185,8 @@ def shared_tokens(blocks: DataFrame) -> DataFrame:
         order = order[keep]
         if len(order):
             back = packed_batch(flush[order], {"which": (which[order], 2), "values": (value, 8)})
-            of = np.array([h[0] for h in held])[back.column(0).to_numpy()]
-            yield pa.RecordBatch.from_arrays([pa.array(of), *back.columns[1:], *[pa.nulls(back.num_rows, pa.binary())] * 2], names)
+            of, digest = np.array([h[0] for h in held], np.int64)[back.column(0).to_numpy()].T
+            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(digest), *back.columns[1:], *[pa.nulls(back.num_rows, pa.binary())] * 2], names)
         del held
         give_back()
 
@@ -191,6 +198,8 @@ def candidate_sets(shared: DataFrame, num: int, den: int) -> DataFrame:
     smallest hash of these tokens, by which sets that have much in common often agree."""
 
     def gather(group: pa.Table) -> pa.Table:
+        if len(pc.unique(group.column("digest"))) > 1:
+            raise ValueError("a partition came with its rows in another order: checkpoint the input")
         parts = group.filter(group.column("sigs").is_valid())
         sig = np.frombuffer(joined(parts.column("sigs")), np.uint64).reshape(-1, 2)
         size = unpack(joined(parts.column("sizes")), 5).astype(np.int64)
@@ -215,40 +224,52 @@ def candidate_sets(shared: DataFrame, num: int, den: int) -> DataFrame:
     return shared.groupBy("flush").applyInArrow(gather, "sig binary, size long, tokens binary, n_keys long, alike long")
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """Small rows marked for broadcast if they are a million at most."""
+    return F.broadcast(rows) if rows.count() <= 1_000_000 else rows
+
+
 def place_in_blocks(sets: DataFrame) -> DataFrame:
-    """Adds block: those of one slot together, unless they fill a block by themselves and are dealt on."""
+    """Adds block: the sets of one slot together, unless they fill more than a block and are dealt on; and dealt: whether they are. If sets have
+    that column already, slots dealt on before get blocks of other numbers (bit 23)."""
     full = sets.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
-    few = full.count() <= 1_000_000
-    placed = sets.join(F.broadcast(full) if few else full, "slot", "left")
+    placed = sets.join(few(full), "slot", "left")
     part = F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("n", F.lit(1)) / (BLOCK // 2)))
-    return placed.withColumn("block", F.col("slot") * (1 << 24) + part).drop("n")
+    again = F.when(F.col("dealt"), F.lit(1 << 23)).otherwise(F.lit(0)) if "dealt" in sets.columns else F.lit(0)
+    dealt = F.col("dealt") if "dealt" in sets.columns else F.col("n").isNotNull()
+    return placed.withColumns({"block": F.col("slot") * (1 << 24) + again + part, "dealt": dealt}).drop("n")
 
 
-def meetings(sets: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
+def meetings(sets: DataFrame, buckets: int, num: int, den: int, skip: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """(bucket, ids, homes, others, least, n): packed counts of keys that a set of block `home` shares with sets of fitting size of block
-    `other`, dealt out by set, and how many keys a set that links with it shares at least."""
+    `other`, dealt out by set, and how many keys a set that links with it shares at least. Keys of sets of one component don't count, nor those of two
+    sets that stand for their components (column `first`). skip: which blocks have been joined with themselves."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count = batch.column("n_keys").to_numpy()
             token = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(t, np.uint64, n) for t, n in zip(batch.column("tokens").to_pylist(), count.tolist(), strict=True))])
             if len(token):
-                cols = {c: np.repeat(batch.column(c).to_numpy(), count) for c in ("id", "block", "size")}
-                yield packed_batch((mixed(token) % np.uint64(buckets)).astype(np.int64), {"token": (token, 8), "id": (cols["id"], 7), "block": (cols["block"], 7), "size": (cols["size"], 4)})
+                cols = {c: np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64), count) for c in ("id", "block", "size", "comp", "first")}
+                size = cols["size"] * 2 + cols["first"]
+                yield packed_batch((mixed(token) % np.uint64(buckets)).astype(np.int64), {"token": (token, 8), "id": (cols["id"], 7), "block": (cols["block"], 7), "size": (size, 5), "comp": (cols["comp"], 7)})
 
     def meet(group: pa.Table) -> pa.Table:
-        token, of, block, size = (unpack(joined(group.column(c)), w) for c, w in (("token", 8), ("id", 7), ("block", 7), ("size", 4)))
-        of, block, size = of.astype(np.int64), block.astype(np.int64), size.astype(np.int64)
+        token, of, block, size, comp = (unpack(joined(group.column(c)), w) for c, w in (("token", 8), ("id", 7), ("block", 7), ("size", 5), ("comp", 7)))
+        of, block, size, comp = (x.astype(np.int64) for x in (of, block, size, comp))
         order = np.lexsort((block, token))
-        token, of, block, size = token[order], of[order], block[order], size[order]
+        token, of, block, comp = token[order], of[order], block[order], comp[order]
+        size, alone = size[order] >> 1, size[order] & 1
         n = len(token)
-        # of each key its blocks, with the sizes of their sets
+        # of each key its blocks, with the sizes and components of their sets
         first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (block[1:] != block[:-1])])
         smallest, largest, sets_in = np.minimum.reduceat(size, first), np.maximum.reduceat(size, first), np.diff(np.r_[first, n])
+        least_comp, most_comp, only_first = np.minimum.reduceat(comp, first), np.maximum.reduceat(comp, first), np.minimum.reduceat(alone, first)
         key_first = np.flatnonzero(np.r_[True, token[first[1:]] != token[first[:-1]]])
         cell_of = np.repeat(np.arange(len(first)), sets_in)
         key_of_cell = np.repeat(np.arange(len(key_first)), np.diff(np.r_[key_first, len(first)]))
         width = np.diff(np.r_[key_first, len(first)])[key_of_cell[cell_of]]
+        joined_blocks = skip(block[first])
         found = []
         ends = np.cumsum(width)
         edges = np.unique(np.r_[0, np.searchsorted(ends, np.arange(COUNTED, ends[-1] + COUNTED, COUNTED)), n])
@@ -256,7 +277,10 @@ def meetings(sets: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
             w = width[a:b]
             entry = np.repeat(np.arange(a, b), w)
             cell = np.arange(len(entry)) - np.repeat(np.cumsum(w) - w, w) + key_first[key_of_cell[cell_of[entry]]]
-            fits = (smallest[cell] * num <= size[entry] * den) & (size[entry] * num <= largest[cell] * den) & ((cell != cell_of[entry]) | (sets_in[cell] > 1))
+            fits = (smallest[cell] * num <= size[entry] * den) & (size[entry] * num <= largest[cell] * den)
+            fits &= (cell != cell_of[entry]) | ((sets_in[cell] > 1) & ~joined_blocks[cell])
+            fits &= (least_comp[cell] != comp[entry]) | (most_comp[cell] != comp[entry])
+            fits &= (only_first[cell] == 0) | (alone[entry] == 0)
             entry, cell = entry[fits], cell[fits]
             other = block[first[cell]]
             order = np.lexsort((other, of[entry]))
@@ -269,13 +293,13 @@ def meetings(sets: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
         cols = [np.concatenate(x) for x in zip([np.zeros(0, np.int64)] * 5, *found, strict=True)]
         return pa.Table.from_batches([packed_batch(cols[0] % buckets, dict(zip(("ids", "homes", "others", "least", "n"), zip(cols, (7, 7, 7, 4, 4), strict=True), strict=True)))])
 
-    sent = sets.select("id", "block", "size", "tokens", "n_keys").mapInArrow(send, "bucket int, token binary, id binary, block binary, size binary")
+    sent = sets.select("id", "block", "size", "tokens", "n_keys", "comp", "first").mapInArrow(send, "bucket int, token binary, id binary, block binary, size binary, comp binary")
     return sent.groupBy("bucket").applyInArrow(meet, "bucket int, ids binary, homes binary, others binary, least binary, n binary")
 
 
 def met_sets(sets: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
-    """(low, high, home, id, size, copies, tokens): each set once for each block that it shares enough keys with, with the two blocks."""
-    rows = sets.select(F.pmod("id", F.lit(buckets)).cast("int").alias("bucket"), "id", "size", "copies", "tokens")
+    """(low, high, home, id, size, tokens): each set once for each block that it shares enough keys with, with the two blocks."""
+    rows = sets.select(F.pmod("id", F.lit(buckets)).cast("int").alias("bucket"), "id", "size", "tokens")
 
     def pick(table_: pa.Table, packed: pa.Table) -> pa.Table:
         of, home, other, least, n = (unpack(joined(packed.column(c)), w).astype(np.int64) for c, w in (("ids", 7), ("homes", 7), ("others", 7), ("least", 4), ("n", 4)))
@@ -287,10 +311,10 @@ def met_sets(sets: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
         by_id = np.argsort(known)
         at = by_id[np.searchsorted(known[by_id], of[enough])] if len(enough) else enough
         low, high = np.minimum(home, other)[enough], np.maximum(home, other)[enough]
-        found = table_.select(["id", "size", "copies", "tokens"]).take(pa.array(at, pa.int64()))
+        found = table_.select(["id", "size", "tokens"]).take(pa.array(at, pa.int64()))
         return pa.table({"low": low, "high": high, "home": home[enough], **{c: found.column(c) for c in found.column_names}})
 
-    return rows.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(pick, "low long, high long, home long, id long, size long, copies long, tokens binary")
+    return rows.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(pick, "low long, high long, home long, id long, size long, tokens binary")
 
 
 class Overlaps:
@@ -363,84 +387,119 @@ def trie_links(left: list[np.ndarray], left_size: np.ndarray, right: list[np.nda
             stack += [(a, b, depth, partial) for a, b in zip(borders, borders[1:], strict=False)]
 
 
+def linked(own: list[np.ndarray], size: np.ndarray, left: slice, right: slice, num: int, den: int) -> np.ndarray:
+    """For each set the first one of those that links of left and right sets join it with."""
+    root = np.arange(len(own))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    if own[left] and own[right]:
+        for i, found in trie_links(own[left], size[left], own[right], size[right], num, den):
+            mine = top(left.start + i)
+            for t in {top(int(r)) for r in np.unique(root[found + right.start]).tolist()}:
+                low, high = min(mine, t), max(mine, t)
+                root[high] = low
+                mine = low
+    return np.array([top(k) for k in range(len(own))], np.int64)
+
+
+def block_components(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, comp) of every set that links of its own block join with one of smaller id, comp being the smallest."""
+
+    def join(group: pa.Table) -> pa.Table:
+        of = group.column("id").to_numpy()
+        order = np.argsort(of)
+        tokens = group.column("tokens").to_pylist()
+        every = slice(0, len(of))
+        tops = linked([np.frombuffer(tokens[k], np.uint64) for k in order.tolist()], group.column("size").to_numpy()[order], every, every, num, den)
+        moved = tops != np.arange(len(of))
+        return pa.table({"id": of[order][moved], "comp": of[order][tops[moved]]})
+
+    return placed.select("id", "size", "tokens", "block").groupBy("block").applyInArrow(join, "id long, comp long")
+
+
 def trie_join(met: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, links): for each two linked sets of two blocks a chain of edges that joins them, and on rows a = b how many documents
-    of other sets set a links with there."""
+    """(a, b): for each two linked sets of two blocks a chain of edges that joins them."""
+
     def join(group: pa.Table) -> pa.Table:
-        cols = {c: group.column(c).to_numpy() for c in ("id", "low", "high", "home", "size", "copies")}
+        cols = {c: group.column(c).to_numpy() for c in ("id", "low", "high", "home", "size")}
         same = cols["low"][0] == cols["high"][0]
         order = np.lexsort((cols["id"], cols["home"]))
         cols = {c: v[order] for c, v in cols.items()}
         tokens = group.column("tokens").to_pylist()
         own = [np.frombuffer(tokens[k], np.uint64) for k in order.tolist()]
-        of, size, copies = cols["id"], cols["size"], cols["copies"]
-        many = len(of)
+        many = len(own)
         split = many if same else int((cols["home"] == cols["low"]).sum())
         left, right = (slice(0, many), slice(0, many)) if same else (slice(0, split), slice(split, many))
-        empty = pa.table({"a": of[:0], "b": of[:0], "links": of[:0]})
-        if not own[left] or not own[right]:
-            return empty
-        root, counts = np.arange(many), np.zeros(many, np.int64)
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i, found in trie_links(own[left], size[left], own[right], size[right], num, den):
-            found = found + right.start
-            if same:
-                found = found[found != i]
-                counts[i] += copies[found].sum()
-            else:
-                counts[i] += copies[found].sum()
-                counts[found] += copies[i]
-            mine = top(i)
-            for t in {top(int(r)) for r in np.unique(root[found]).tolist()}:
-                low, high = min(mine, t), max(mine, t)
-                root[high] = low
-                mine = low
-        tops = np.array([top(k) for k in range(many)])
-        moved, linked = tops != np.arange(many), counts > 0
-        return pa.table({"a": np.r_[of[moved], of[linked]], "b": np.r_[of[tops[moved]], of[linked]], "links": np.r_[np.zeros(moved.sum(), np.int64), counts[linked]]})
-
-    return met.groupBy("low", "high").applyInArrow(join, "a long, b long, links long")
+        tops = linked(own, cols["size"], left, right, num, den)
+        moved = tops != np.arange(many)
+        return pa.table({"a": cols["id"][moved], "b": cols["id"][tops[moved]]})
+
+    return met.groupBy("low", "high").applyInArrow(join, "a long, b long")
+
+
+def set_components(sets: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
+    """(id, comp) of the sets (id, slot, size, tokens, n_keys): comp is one id for all sets that links join."""
+    placed = place_in_blocks(sets)
+    inside = cut(block_components(placed, num, den))
+    # first: sets that stand for their component
+    known = placed.join(few(inside), "id", "left").withColumns({"first": F.col("comp").isNull(), "comp": F.coalesce("comp", "id")})
+    # here each stands for itself, so that the pairs of all of them are asked for
+    stand = place_in_blocks(known.where("first").drop("block")).withColumn("first", F.lit(False))
+    joined_already = lambda block: (block >> 23) & 1 == 0
+    between = cut(trie_join(met_sets(stand, meetings(stand, buckets, num, den, joined_already), buckets), num, den))
+    wider = known
+    if not between.isEmpty():
+        tops = connected_components(between).select(F.col("node").alias("comp"), "root")
+        wider = known.join(few(cut(tops)), "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+    labels = cut(wider.select("id", "comp"))
+    if inside.isEmpty():
+        return labels
+    rest = cut(trie_join(met_sets(wider, meetings(wider, buckets, num, den, lambda block: np.ones(len(block), bool)), buckets), num, den))
+    if rest.isEmpty():
+        return labels
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_comp"))
+    edges = rest.join(of("a"), "a").join(of("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+    last = cut(connected_components(edges).select(F.col("node").alias("comp"), "root"))
+    return labels.join(few(last), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """df, checkpointed if its rows have come through a shuffle: a task that is run again would get them in another order."""
+    return cut(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) for every row.
+    """(doc_id, n_shingles, component_id) for every row.
 
     Sets: distinct shingles of `width` words, A-Z as a-z; the whole text's words as one if there are fewer. Two documents link
-    if den * |intersection| >= num * |union|. component_id: the smallest id that links lead to. n_links: documents linked
-    with this one, copies included, itself not. Null, empty and blank texts have no shingle and link with nothing; rows
-    of equal texts link with each other, also if their ids are equal. Null ids count as one id below all others. An empty table
-    gives no rows. Texts may be as long as a value of Spark; their sets are held one batch at a time. Further columns are ignored.
+    if den * |intersection| >= num * |union|. component_id: the smallest id that links lead to. Null, empty and blank texts have no shingle
+    and link with nothing; rows of equal texts link with each other, also if their ids are equal. Null ids count as one id
+    below all others. An empty table gives no rows. Texts may be as long as a value of Spark; their sets are held one batch at
+    a time. Further columns are ignored.
     """
-    plain = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    plain = steady(docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     signed = cut(sign_sets(plain, width))
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id")).alias("first")
-    copies = signed.where("n_shingles > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("copies"), first)
+    copies = signed.where("n_shingles > 0").groupBy("sig").agg(first)
     total = signed.agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("tokens")).first()
     buckets = bucket_count(docs.sparkSession, total["tokens"] or 0, GATHER // 2)
     hot = frequent_tokens(plain, width, total["docs"])
     shared = shared_tokens(token_blocks(plain, width, buckets, hot))
-    found = candidate_sets(shared, num, den).dropDuplicates(["sig"]).join(copies.select("sig", "copies"), "sig")
     slots = max(1, copies.count() // (2 * BLOCK))  # about half of the sets are candidates at most
+    found = candidate_sets(shared, num, den).dropDuplicates(["sig"])
     # rows of a checkpoint keep their places, so their numbers are the same whenever they are made
     sets = cut(found.withColumn("slot", F.pmod(F.xxhash64("alike"), F.lit(slots))).drop("alike")).withColumn("id", F.monotonically_increasing_id())
-    counts = meetings(place_in_blocks(sets), buckets, num, den)
-    links = cut(trie_join(met_sets(sets, counts, buckets), num, den))
-    roots = connected_components(links.where("a <> b").select("a", "b"))
-    others = links.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("others"))
-    named = sets.select("id", "sig").join(roots, F.col("id") == F.col("node")).join(others, "id", "left").select("sig", "root", "others")
+    named = sets.select("id", "sig").join(set_components(sets.drop("sig"), buckets, num, den), "id").select("sig", "comp")
     known = copies.join(named, "sig", "left")
-    firsts = known.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
-    groups = known.join(firsts, "root", "left").select("sig", "copies", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("least", "first")["doc_id"].alias("least"))
+    firsts = known.where("comp is not null").groupBy("comp").agg(F.min("first").alias("least"))
+    groups = known.join(firsts, "comp", "left").select("sig", F.coalesce("least", "first")["doc_id"].alias("least"))
     out = signed.join(groups, "sig", "left")
-    has = F.col("n_shingles") > 0
-    linked = F.when(has, F.col("others") + F.col("copies") - 1).otherwise(F.lit(0))
-    return out.select("doc_id", "n_shingles", F.when(has, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), linked.cast("long").alias("n_links"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

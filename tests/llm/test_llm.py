@@ -271,45 +271,84 @@ def brute_links(texts, width, num, den):
     for i, t in texts.items():
         w = WORD.findall((t or "").translate(low))
         sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
-    root, links, ids = {i: i for i in sets}, Counter(), sorted(sets)
+    root, ids = {i: i for i in sets}, sorted(sets)
     for a in ids:
         for b in ids:
             if a < b and sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
-                links[a] += 1
-                links[b] += 1
                 x, y = root[a], root[b]
                 root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
-    return {i: (len(sets[i]), root[i], links[i]) for i in sets}
+    return {i: (len(sets[i]), root[i]) for i in sets}
 
 
 @pytest.mark.parametrize(("width", "num"), [(4, 85), (5, 80)])
 def test_ngram_join(docs, texts, width, num):
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.ngram_jaccard_join(docs, width, num, 100).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(docs, width, num, 100).collect()}
     assert got == brute_links(texts, width, num, 100)
 
 
-def test_large_component_goes_in_blocks(spark, monkeypatch):
-    rng, base = random.Random(2), [f"w{k}" for k in range(80)]
-    texts = {i: " ".join(w if rng.random() > 0.01 else f"v{rng.randrange(50)}" for w in base) for i in range(60)}
-    monkeypatch.setattr(ngram_join, "BLOCK", 16)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 4, 85, 100).collect()}
+def near_and_far(rng, groups=4, each=40):
+    """Groups of near copies, some of them on the edge of linking, and texts that share a part only."""
+    texts = []
+    for g in range(groups):
+        base = [f"w{g}x{k}" for k in range(80)]
+        for _ in range(each):
+            rate = rng.choice([0.0, 0.01, 0.01, 0.02, 0.04])
+            texts.append(" ".join(w if rng.random() > rate else f"v{rng.randrange(50)}" for w in base))
+        texts += [" ".join(base[:k] + [f"u{g}x{j}" for j in range(80 - k)]) for k in (20, 50, 70, 75)]
+    return dict(enumerate(texts))
+
+
+@pytest.mark.parametrize("block", [4, 16, 2048])
+@pytest.mark.parametrize("seed", [2, 3])
+def test_large_components_go_in_blocks(spark, monkeypatch, block, seed):
+    """Within blocks, between representatives and between the rest: small blocks need all three."""
+    texts = near_and_far(random.Random(seed))
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(rows, 4, 85, 100).collect()}
     assert got == brute_links(texts, 4, 85, 100)
 
 
+def test_partitions_that_look_alike(spark):
+    """The same texts in two partitions; one text that fills two partitions beside one that doesn't link with it."""
+    texts = list(near_and_far(random.Random(5), 3, 10).values())
+    twice = {k: t for k, t in enumerate(texts + texts)}
+    far = [f"w{k}" for k in range(60)]
+    full = {k: " ".join(far) for k in range(20)} | {20: " ".join(far[:45] + [f"z{k}" for k in range(15)])}
+    parts = lambda rows, n: spark.sparkContext.parallelize(rows, n).toDF("doc_id long, text string")
+    tables = [
+        (twice, parts(list(twice.items()), 2)),
+        (twice, parts(list(twice.items())[: len(texts)], 1).union(parts(list(twice.items())[len(texts) :], 1))),
+        (full, parts(list(full.items())[:10], 1).union(parts(list(full.items())[10:20], 1)).union(parts(list(full.items())[20:], 1))),
+        (twice, parts(list(twice.items()), 2).repartition(5)),
+    ]
+    for wanted, rows in tables:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(rows, 4, 85, 100).collect()}
+        assert got == brute_links(wanted, 4, 85, 100)
+    once = ngram_join.ngram_jaccard_join(tables[1][1].union(tables[1][1]), 4, 85, 100).distinct()  # a table read twice
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in once.collect()} == brute_links(twice, 4, 85, 100)
+
+
+def test_flush_of_other_sets_is_refused(spark):
+    rows = spark.createDataFrame([(1, d, None, None, b"", b"") for d in (5, 6)], ngram_join.REPLIES)
+    with pytest.raises(Exception, match="another order"):
+        ngram_join.candidate_sets(rows, 85, 100).collect()
+
+
 def test_one_shingle_of_many_sets_that_do_not_link(spark):
     """50,000 sets hold one shingle and link with nothing else; three near copies among them do."""
     own = spark.range(50_000).select("id", F.concat(F.lit("a b c d "), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id") % (997 + k)) for k in range(8)])).alias("text"))
     near = spark.createDataFrame([(60_000 + k, "q " * 3 + " ".join(f"z{j}" for j in range(60)) + f" end{k}") for k in range(3)], "id long, text string")
     got = ngram_join.ngram_jaccard_join(own.union(near), 4, 85, 100, key="id")
-    assert [(r.component_id, r.n_links) for r in got.where("doc_id >= 60000").collect()] == [(60_000, 2)] * 3
-    assert got.where("doc_id < 60000 and (component_id <> doc_id or n_links > 0)").count() == 0
+    assert [r.component_id for r in got.where("doc_id >= 60000").collect()] == [60_000] * 3
+    assert got.where("doc_id < 60000 and component_id <> doc_id").count() == 0
 
 
 def test_ngram_join_of_odd_tables(odd, empty):
     rows = ngram_join.ngram_jaccard_join(odd).collect()
     assert len(rows) == len(ODD)
-    assert {(r.n_shingles, r.component_id, r.n_links) for r in rows if r.doc_id in (1, 2, 3)} == {(0, 1, 0), (0, 2, 0), (0, 3, 0)}
-    assert [(r.component_id, r.n_links) for r in rows if r.doc_id == 6] == [(5, 2), (5, 2)]
+    assert {(r.n_shingles, r.component_id) for r in rows if r.doc_id in (1, 2, 3)} == {(0, 1), (0, 2), (0, 3)}
+    assert [r.component_id for r in rows if r.doc_id == 6] == [5, 5]
     assert ngram_join.ngram_jaccard_join(empty).count() == 0
 
 
