@@ -6,13 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-#: The most buckets: beyond some terabytes of text they grow with the data.
-MOST_BUCKETS = 1 << 18
-
 
 def bucket_count(spark: SparkSession, entries: int, each: int) -> int:
     """Buckets for so many entries, in proportion to them; at least one for each shuffle partition."""
-    return int(min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // each))))
+    return int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // each)))
 
 
 def pack(values: np.ndarray, width: int) -> bytes:

@@ -481,7 +481,7 @@ def later_copies(plain: DataFrame, total: int, length: int, payload: tuple[str,
     )
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", payload: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", payload: tuple[str, ...] = (), as_text: bool = False, memory: int = MEMORY) -> DataFrame:
     """(doc_id, n_bytes, spans, kept, payload columns) for every row.
 
     spans: the bytes covered by strings of `length` bytes, 1 at least, that also start earlier, in a document of smaller id or further
@@ -489,7 +489,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text
     digests, rows of equal ids and texts in order of payload, whose columns have types that can be compared. With as_text, kept is
     a string and spans are drawn in to whole characters. Null texts are empty. No text shorter than `length` loses a byte. Texts may
     be as long as a value of Spark. An empty table gives no rows. Columns that aren't asked for are ignored, whatever their names;
-    payload columns with a name of the result's own are refused.
+    payload columns with a name of the result's own are refused. memory: bytes a shard takes before it goes to disk. An id of -2^63 counts as null.
     """
     if length < 1 or {"doc_id", "n_bytes", "spans", "kept"} & set(payload):
         raise ValueError("length: 1 at least; payload: no doc_id, n_bytes, spans or kept")
@@ -499,7 +499,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text
     buckets = bucket_count(docs.sparkSession, size["bytes"] or 0, BUCKET_BYTES)
     runs = repeated_runs(run_blocks(plain, length, buckets), buckets)
     rows = text_rows(plain, buckets)
-    removed = removed_windows(shard_strings(rows, runs, length, buckets), length, buckets)
+    removed = removed_windows(shard_strings(rows, runs, length, buckets), length, buckets, memory)
     out = cut_texts(rows, removed, length, as_text).unionByName(later_copies(plain, size["docs"], length, inner, as_text))
     return out.withColumnsRenamed(dict(zip(inner, payload, strict=True)))
 

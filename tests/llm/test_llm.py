@@ -98,6 +98,14 @@ def test_op1(spark, texts):
     assert got == wanted
 
 
+def test_op1_on_disk(spark):
+    """All texts of sf0.01 with shards of at most 64 KiB in memory: the same rows as with all of it."""
+    docs = spark.read.parquet(f"{DATA}/../sf0.01/documents.parquet")
+    little, much = (suffix_dedup.remove_repeats(docs, memory=m).select("doc_id", "n_bytes", "spans", "kept") for m in (1 << 16, suffix_dedup.MEMORY))
+    line = lambda r: (r.doc_id, r.n_bytes, tuple((s.start, s.stop) for s in r.spans), bytes(r.kept))
+    assert sorted(map(line, little.collect())) == sorted(map(line, much.collect()))
+
+
 @pytest.mark.parametrize("length", [1, 31, 32, 287, 288, 400])
 def test_dedup_of_any_length(spark, length):
     rng = random.Random(length)
