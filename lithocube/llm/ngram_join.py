@@ -496,8 +496,8 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int
     sets = cut(found.withColumn("slot", F.pmod(F.xxhash64("alike"), F.lit(slots))).drop("alike")).withColumn("id", F.monotonically_increasing_id())
     named = sets.select("id", "sig").join(set_components(sets.drop("sig"), buckets, num, den), "id").select("sig", "comp")
     known = copies.join(named, "sig", "left")
-    firsts = known.where("comp is not null").groupBy("comp").agg(F.min("first").alias("least"))
-    groups = known.join(firsts, "comp", "left").select("sig", F.coalesce("least", "first")["doc_id"].alias("least"))
+    firsts = known.where("comp is not null").groupBy("comp").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    groups = known.join(few(cut(firsts)), "comp", "left").select("sig", F.coalesce("least", "first")["doc_id"].alias("least"))
     out = signed.join(groups, "sig", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
