@@ -68,10 +68,11 @@ class Field:
     signal: float
     noise: float
     score: float = 0.0
+    scaling: tuple[float, float, float, float] | None = None  # centre (x, y), mean and spread, if not those of the points
 
     def __post_init__(self) -> None:
-        self.centre, self.mean = self.x.mean(axis=0), float(self.y.mean())
-        self.spread = float(self.y.std()) or 1.0
+        cx, cy, mean, spread = self.scaling or (*self.x.mean(axis=0), self.y.mean(), self.y.std())
+        self.centre, self.mean, self.spread = np.array([cx, cy]), float(mean), float(spread) or 1.0
         self.placed = self._place(self.x)
         z, n, least = (self.y - self.mean) / self.spread, len(self.x), self.noise + 1e-10
         k = np.empty((n + 1, n + 1))
@@ -98,33 +99,53 @@ class Field:
         return self.mean + self.spread * (c @ self.weights), self.spread * np.sqrt(np.maximum(var, 0))
 
 
-def fit_field(x: np.ndarray, y: np.ndarray, rotated: bool = False, most_ratio: float = 10.0, trials: int = 60, seed: int = 42) -> Field:
-    """By marginal likelihood: a seeded random search, then a simplex from the best. rotated: angle and two lengths are searched too."""
-    span = float(np.ptp(x, axis=0).max()) or 1.0
-    low = np.log([span * 0.01, 1e-2, 1e-8] + ([1.0, 1.0] if rotated else []))
-    high = np.log([span * 4, 1e2, 1.0] + ([most_ratio, np.exp(180.0)] if rotated else []))
+class FieldSearch:
+    """Trials of a Gaussian process by marginal likelihood: rows of log length, log signal, log noise and, if rotated, log ratio and angle."""
 
-    def made(p: np.ndarray) -> Field:
+    refined, last = None, 200  # every sector of angles is refined, the best of them to the end
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, rotated: bool, most_ratio: float = 10.0, trials: int = 60, seed: int = 42):
+        self.x, self.y, self.rotated, self.rounds = x, y, rotated, 40 if rotated else 0
+        span = float(np.ptp(x, axis=0).max()) or 1.0
+        self.low = np.log([span * 0.01, 1e-2, 1e-8] + ([1.0, 1.0] if rotated else []))
+        self.high = np.log([span * 4, 1e2, 1.0] + ([most_ratio, np.exp(180.0)] if rotated else []))
+        start = np.clip(np.log([span * 0.2, 1.0, 1e-2] + ([1.5, 1.0] if rotated else [])), self.low, self.high)
+        self.trials = np.vstack([start, self.low + (self.high - self.low) * np.random.default_rng(seed).random((trials, len(start)))])
+
+    def made(self, p: np.ndarray) -> Field:
         length, signal, noise = np.exp(p[:3])
-        return Field(x, y, float(p[4]) if rotated else 0.0, (length, length / np.exp(p[3]) if rotated else length), signal, noise)
+        return Field(self.x, self.y, float(p[4]) if self.rotated else 0.0, (length, length / np.exp(p[3]) if self.rotated else length), signal, noise)
 
-    def cost(p: np.ndarray) -> float:
+    def cost(self, p: np.ndarray) -> float:
         try:
-            return made(p).score
+            return self.made(p).score
         except np.linalg.LinAlgError:
             return np.inf
 
-    rng = np.random.default_rng(seed)
-    tried = [np.clip(np.log([span * 0.2, 1.0, 1e-2] + ([1.5, 1.0] if rotated else [])), low, high)] + [low + (high - low) * rng.random(len(low)) for _ in range(trials)]
-    if not rotated:
-        return made(simplex_search(cost, min(tried, key=cost), low, high)[0])
-    # the best of each sector of angles is refined a little, the best of these to the end: there are several optima
-    costs = np.array([cost(p) for p in tried])
-    sector = np.array([p[4] // 45 for p in tried])
-    starts = [tried[int(k)] for c in np.unique(sector) for k in [np.flatnonzero(sector == c)[costs[sector == c].argmin()]]]
-    ends = [simplex_search(cost, p, low, high, 40) for p in starts]
-    best = min(ends, key=lambda e: e[1])[0]
-    return made(simplex_search(cost, best, low, high)[0])
+    def scores(self, part: slice) -> np.ndarray:
+        return np.array([self.cost(p) for p in self.trials[part]])
+
+    def sectors(self, part: slice) -> np.ndarray:
+        return (self.trials[part, 4] // 45).astype(int) if self.rotated else np.zeros(len(self.trials[part]), int)
+
+    def refine(self, p: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+        return simplex_search(self.cost, p, self.low, self.high, rounds) if rounds else (p, self.cost(p))
+
+
+def searched(search: FieldSearch | KrigingSearch) -> np.ndarray:
+    """The whole search in one place: the best trial of each sector of angles is refined a little, the best of these to the end."""
+    scores, sector = search.scores(slice(None)), search.sectors(slice(None))
+    starts = {int(c): int(np.flatnonzero(sector == c)[scores[sector == c].argmin()]) for c in np.unique(sector)}
+    chosen = sorted(starts.values(), key=lambda k: (scores[k], k))[: search.refined]
+    ends = [(scores[k], 0, j, search.trials[k]) for j, k in enumerate(chosen[:1])] + [(v, 1, j, p) for j, k in enumerate(chosen) for p, v in [search.refine(search.trials[k], search.rounds)]]
+    best = min(ends, key=lambda e: e[:3])[3]
+    return search.refine(best, search.last)[0] if search.last else best
+
+
+def fit_field(x: np.ndarray, y: np.ndarray, rotated: bool = False, most_ratio: float = 10.0, trials: int = 60, seed: int = 42) -> Field:
+    """By marginal likelihood: a seeded random search, then a simplex from the best. rotated: angle and two lengths are searched too."""
+    search = FieldSearch(x, y, rotated, most_ratio, trials, seed)
+    return search.made(searched(search))
 
 
 @dataclass
@@ -225,85 +246,39 @@ def kriging_score(x: np.ndarray, y: np.ndarray, folds: np.ndarray, trial: dict,
     return score if np.isfinite(score) else np.inf
 
 
-def search_kriging(x: np.ndarray, y: np.ndarray, folds: np.ndarray, trials: int, most_ratio: float, refined: int = 4, rounds: int = 20) -> dict:
-    """The trial of the least score, after the best ones of `refined` sectors of angles have been moved by a simplex search
-    within the ranges that trials are drawn from."""
-    tried = kriging_trials(x, y, trials, most_ratio)
-    scores = np.array([kriging_score(x, y, folds, t) for t in tried])
-    var, span = float(y.var()) or 1.0, float(np.ptp(x, axis=0).max()) or 1.0
-    names = ["sill", "reach", "nugget", "shape", "angle", "ratio"]
-    low = np.array([0.05 * var, 0.02 * span, 0.0, 0.1, -90.0, 1.0])
-    high = np.array([3 * var, 1.5 * span, 0.8 * var, 2.0, 270.0, max(most_ratio, 1.0 + 1e-9)])
-    chosen: dict[int, int] = {}
-    for k in np.argsort(scores, kind="stable").tolist():
-        chosen.setdefault(int(tried[k]["angle"] // 45), k)
-        if len(chosen) == refined:
-            break
-    best, least = tried[int(np.argmin(scores))], float(scores.min())
-    for k in chosen.values():
-        made = lambda p, t=tried[k]: {**t, **dict(zip(names, p.tolist(), strict=True))}
-        p, score = simplex_search(lambda p, m=made: kriging_score(x, y, folds, m(p)), np.array([tried[k][n] for n in names], float), low, high, rounds)
-        if score < least:
-            best, least = {**made(p), "angle": float(p[4] % 180)}, score
-    return best
-
-
-def smooth(a: np.ndarray, sigmas: tuple[float, ...]) -> np.ndarray:
-    """A Gaussian filter with mirrored edges along each axis."""
-    for axis, sigma in enumerate(sigmas):
-        reach = int(4 * sigma + 0.5)
-        kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-        padded = np.pad(a, [(reach, reach) if k == axis else (0, 0) for k in range(a.ndim)], mode="symmetric")
-        a = np.apply_along_axis(lambda v: np.convolve(v, kernel / kernel.sum(), "valid"), axis, padded)  # noqa: B023
-    return a
-
-
-def layered_field(rng: np.random.Generator, side: int, layers: int, mean: float, spread: float) -> np.ndarray:
-    """(pixels, layers): smoothed noise, scaled to a mean and a spread, no value below 0."""
-    field = smooth(rng.standard_normal((side, side, layers)), (2.0, 2.0, 0.5))
-    return np.clip(mean + spread * field / field.std(), 0, None).reshape(-1, layers)
-
-
-def observed(rng: np.random.Generator, truth: np.ndarray, wells: tuple[int, ...], sigma: tuple[float, float], dz: float) -> tuple[np.ndarray, np.ndarray]:
-    """(surface, wells) that a world (..., pixels, layers) shows, with noise of each kind's spread."""
-    surface, seen = dz * truth.sum(axis=-1), truth[..., list(wells), :]
-    return surface + rng.normal(0, sigma[0], surface.shape) if sigma[0] else surface, seen + rng.normal(0, sigma[1], seen.shape) if sigma[1] else seen
-
-
-#: The toy world's pixels with a well, and the spreads of surface and well noise.
-WELLS, NOISE = (11, 33, 55, 77, 89), (0.5, 0.1)
-
-
-def static_world(side: int = 10, layers: int = 5, wells: tuple[int, ...] = WELLS, sigma: tuple[float, float] = NOISE, dz: float = 1.0, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(truth (pixels, layers), surface, wells (n, layers)): a mean of 5 and a spread of 3."""
-    rng = np.random.default_rng(seed)
-    truth = layered_field(rng, side, layers, 5.0, 3.0)
-    return truth, *observed(rng, truth, wells, sigma, dz)
-
-
-def timed_world(side: int = 10, layers: int = 5, epochs: int = 12, wells: tuple[int, ...] = WELLS, sigma: tuple[float, float] = NOISE, dz: float = 1.0, drift: float = 0.05, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(truth (epochs, pixels, layers), surface (epochs, pixels), wells (epochs, n, layers)): a field of mean 1 and spread 1 that grows
-    along a logistic curve from a tenth to all of it, with drift, never shrinking."""
-    rng = np.random.default_rng(seed)
-    base = layered_field(rng, side, layers, 1.0, 1.0)
-    curve = 1 / (1 + np.exp(-np.linspace(-3, 3, epochs)))
-    share = np.interp(curve, (curve[0], curve[-1]), (0.1, 1.0)) if epochs > 1 else np.ones(1)
-    truth = np.maximum.accumulate(np.clip(share[:, None, None] * base + rng.normal(0, drift, (epochs, *base.shape)), 0, None), axis=0)
-    return truth, *observed(rng, truth, wells, sigma, dz)
-
-
-def random_wells(pixels: int, wells: int, seed: int = 42) -> tuple[int, ...]:
-    """Different pixels for wells, in ascending order."""
-    return tuple(np.sort(np.random.default_rng(seed).choice(pixels, wells, replace=False)).tolist())
-
-
-def random_field(side: int, cell: float, angle: float, major: float, minor: float, sill: float, nugget: float, seed: int) -> np.ndarray:
-    """A Gaussian random field of Gaussian covariance on a square raster, by the spectrum of its covariance."""
-    rng = np.random.default_rng(seed)
-    k = 2 * np.pi * np.fft.fftfreq(side, cell)
-    kx, ky = np.meshgrid(k, k)
-    a = np.radians(angle)
-    u, v = kx * np.cos(a) + ky * np.sin(a), ky * np.cos(a) - kx * np.sin(a)
-    root = np.exp(-((u * major) ** 2 + (v * minor) ** 2) / 24)  # of the spectrum of exp(-3 (h / a)^2)
-    field = np.fft.ifft2(np.fft.fft2(rng.standard_normal((side, side))) * root).real
-    return (field - field.mean()) / field.std() * np.sqrt(sill) + rng.normal(0, np.sqrt(nugget), (side, side))
+class KrigingSearch:
+    """Trials of ordinary kriging by the error of spatial folds: rows of the model's number, sill, reach, nugget, shape, angle and ratio."""
+
+    names = ("sill", "reach", "nugget", "shape", "angle", "ratio")
+    refined, rounds, last = 4, 20, 0  # the best trials of four sectors of angles
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, most_ratio: float = 10.0, trials: int = 50, splits: int = 5):
+        self.x, self.y, self.folds = x, y, spatial_folds(x, splits)
+        var, span = float(y.var()) or 1.0, float(np.ptp(x, axis=0).max()) or 1.0
+        self.low = np.array([0.05 * var, 0.02 * span, 0.0, 0.1, -90.0, 1.0])
+        self.high = np.array([3 * var, 1.5 * span, 0.8 * var, 2.0, 270.0, max(most_ratio, 1.0 + 1e-9)])
+        models = list(ARRAYS)
+        self.trials = np.array([[models.index(t["model"]), *(t[n] for n in self.names)] for t in kriging_trials(x, y, trials, most_ratio)])
+
+    def trial(self, p: np.ndarray) -> dict:
+        return {"model": list(ARRAYS)[int(p[0])], **dict(zip(self.names, p[1:].tolist(), strict=True))}
+
+    def cost(self, p: np.ndarray) -> float:
+        return kriging_score(self.x, self.y, self.folds, self.trial(p))
+
+    def scores(self, part: slice) -> np.ndarray:
+        return np.array([self.cost(p) for p in self.trials[part]])
+
+    def sectors(self, part: slice) -> np.ndarray:
+        return (self.trials[part, 5] // 45).astype(int)
+
+    def refine(self, p: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+        if not rounds:
+            return p, self.cost(p)
+        end, score = simplex_search(lambda q: self.cost(np.r_[p[0], q]), p[1:], self.low, self.high, rounds)
+        end[4] %= 180
+        return np.r_[p[0], end], score
+
+    def made(self, p: np.ndarray) -> Kriging:
+        t = self.trial(p)
+        return Kriging(self.x, self.y, **{**t, "shape": t["shape"] if t["model"] in SHAPED else 1.0})

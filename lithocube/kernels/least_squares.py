@@ -195,3 +195,53 @@ def solve_coupled(surface: np.ndarray, wells: np.ndarray, pairs: np.ndarray, wei
         if max(primal, dual) < 1e-6:
             break
     return z, primal, dual
+
+
+class Station:
+    """One station's part of the coupled problem: its data, its bound, and what it agrees on with its neighbours.
+
+    Consensus by alternating directions: each edge has a copy of either end, pulled together by lam weight^2 / 2 |a - b|^2. A round takes the
+    neighbours' proposals, sets the copies, which has a closed form, moves the prices, solves the station's own bounded problem with the copies as
+    further data, and makes the next proposals. All a station knows of others are proposals along its edges.
+    """
+
+    def __init__(self, surface: np.ndarray, wells: np.ndarray, weight: np.ndarray, lam: float, lam_t: float, sigma: tuple[float, float] = (1.0, 1.0), floor: float = 10.0):
+        t, n = wells.shape
+        live = bool(np.abs(surface).max(initial=0.0) >= floor)
+        self.ws, self.ww = live / sigma[0] ** 2, 1 / sigma[1] ** 2
+        self.data = self.ws * surface[:, None] + self.ww * wells
+        self.cap = np.maximum(surface, 0) if live else np.full(t, np.inf)
+        self.pull = lam * weight**2
+        self.rho = np.maximum(np.sqrt(self.pull * self.ww), 1e-12)  # between an edge's pull and the hold of the data
+        self.inner = self.ww + lam_t + self.rho.sum()
+        layer = (self.ww + self.rho.sum() + self.inner) * np.eye(n) + self.ws * np.ones((n, n))
+        d = first_difference(t)
+        a, self.u = np.linalg.eigh(layer)
+        b, self.v = np.linalg.eigh(d.T @ d)
+        self.scale = lam_t * b[:, None] + a[None, :]
+        self.x, self.price = np.maximum(wells, 0), np.zeros((t, n))
+        self.copies, self.prices = np.zeros((len(weight), t, n)), np.zeros((len(weight), t, n))
+
+    def solve(self, tolerance: float = 1e-10, rounds: int = 2000) -> None:
+        """The bounded problem with the copies as data, from where it stood: one linear system by two small eigendecompositions and a
+        projection, in turn."""
+        right = self.data + np.tensordot(self.rho, self.copies - self.prices, 1)
+        for _ in range(rounds):
+            m = self.v @ ((self.v.T @ (right + self.inner * (self.x - self.price)) @ self.u) / self.scale) @ self.u.T
+            before, self.x = self.x, capped_projection(m + self.price, self.cap)
+            self.price = self.price + m - self.x
+            if max(np.abs(m - self.x).max(initial=0.0), self.inner * np.abs(self.x - before).max(initial=0.0)) < tolerance:
+                return
+
+    def proposals(self) -> np.ndarray:
+        """What the station tells each neighbour."""
+        return self.x[None] + self.prices
+
+    def agree(self, theirs: np.ndarray) -> tuple[float, float]:
+        """(primal, dual) residuals after the copies are set from the neighbours' proposals, one for each edge."""
+        mine = self.proposals()
+        share = (self.rho / (self.rho + 2 * self.pull))[:, None, None]
+        copies = (mine + theirs) / 2 + share * (mine - theirs) / 2
+        primal, dual = np.abs(self.x[None] - copies).max(initial=0.0), np.abs(copies - self.copies).max(initial=0.0)
+        self.copies, self.prices = copies, mine - copies
+        return float(primal), float(dual)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import itertools
 import os
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..kernels import bayes, fields
 from ..kernels import least_squares as ls
@@ -72,57 +75,153 @@ def solver_sweep(rows: DataFrame, lam: float = 0.01, lams_t: tuple[float, ...] =
     return per.groupBy("solver", "lam_t").agg((F.sum("sse") / F.sum("n")).alias("mse"))
 
 
-def invert_coupled(rows: DataFrame, edges: DataFrame, groups: DataFrame, lam: float = 0.01, lam_t: float = 1.0) -> DataFrame:
-    """(station, epoch, layer, m, primal, dual) with neighbours coupled and layers bounded by the surface. Components of the graph of
-    neighbours (station, root) don't touch, so each is a group of its own; edges travel with their component."""
-    per = groups.join(edges.select(F.col("a").alias("station"), "b", "weight"), "station").groupBy("root").agg(F.collect_list(F.struct("station", "b", "weight")).alias("edges"))
-    placed = rows.join(groups, "station").join(per, "root", "left")
-    first = placed.withColumn("edges", F.when((F.col("epoch") == 0) & (F.col("layer") == 1), F.col("edges")))
+#: Rounds of consensus in one job, between checkpoints, and in all.
+ROUNDS, MOST_ROUNDS = 8, 2000
+#: A station's own row (sender null: what it knows, packed) or a neighbour's proposal.
+MESSAGES = "station int, sender int, body binary, primal double, dual double"
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.sort(pdf["station"].unique())
-        at = {s: k for k, s in enumerate(names.tolist())}
-        cubes = [_cube(pdf[pdf["station"] == s]) for s in names]
-        epochs, layers = cubes[0][0], cubes[0][1]
-        found = next((e for e in pdf["edges"] if e is not None), [])
-        pairs = np.array([(at[e["station"]], at[e["b"]]) for e in found if e["station"] in at and e["b"] in at], int).reshape(-1, 2)
-        weight = np.array([e["weight"] for e in found if e["station"] in at and e["b"] in at])
-        m, primal, dual = ls.solve_coupled(np.stack([c[3] for c in cubes], 1), np.stack([c[2] for c in cubes], 1), pairs, weight, lam, lam_t)
-        out = [_long(pdf, {"station": s}, epochs, layers, m[:, k], primal=primal, dual=dual) for s, k in at.items()]
-        return pd.concat(out)[["station", "epoch", "layer", "m", "primal", "dual"]]
 
-    return first.groupBy("root").applyInPandas(solve, "station int, epoch int, layer int, m double, primal double, dual double")
+def invert_coupled(rows: DataFrame, edges: DataFrame, lam: float = 0.01, lam_t: float = 1.0, tolerance: float = 1e-6) -> DataFrame:
+    """(station, epoch, layer, m, primal, dual) with neighbours coupled along edges (a, b, weight) and layers bounded by the surface.
+
+    Consensus among stations (`least_squares.Station`): in a round every station gets its neighbours' proposals by one shuffle on the station
+    and sends its own, so that no task holds more than one station and what its edges tell it. Residuals are aggregated after each job
+    of several rounds; the rounds go on until the largest is below the tolerance. Edges to stations without rows don't count.
+    """
+    known = rows.select("station").distinct()
+    ends = edges.select(F.col("a").alias("station"), F.col("b").alias("other"), "weight").unionAll(edges.select(F.col("b").alias("station"), F.col("a").alias("other"), "weight"))
+    ends = ends.join(known, "station", "left_semi").join(known.withColumnRenamed("station", "other"), "other", "left_semi")
+    near = ends.groupBy("station").agg(F.sort_array(F.collect_list(F.struct("other", "weight"))).alias("near"))
+    # a station's neighbours are within a radius; they travel on its first row only
+    first = F.row_number().over(Window.partitionBy("station").orderBy("epoch", "layer")) == 1
+    placed = rows.join(near, "station", "left").withColumn("near", F.when(first, F.col("near")))
 
+    def told(station: int, others: list[int], part: ls.Station, axes: tuple, residuals: tuple[float, float]) -> pd.DataFrame:
+        bodies = [pickle.dumps((others, part, axes)), *(np.ascontiguousarray(x).tobytes() for x in part.proposals())]
+        out = pd.DataFrame({"station": [station, *others], "sender": pd.array([None] + [station] * len(others), "Int32"), "body": bodies})
+        return out.assign(primal=residuals[0], dual=residuals[1])
 
-def bayes_epoch(rows: DataFrame, kind: str = "isotropic", sigma: float = 3.0, length: float = 3.0, length_z: float = 0.5, noise: tuple[float, float] = (0.5, 0.1)) -> DataFrame:
-    """(epoch, station, layer, mean, std): each epoch's voxels, the stations on a square raster; kind: isotropic, anisotropic or depth
-    (a prior mean for each layer)."""
+    def begin(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = next((x for x in pdf["near"] if x is not None), [])
+        epochs, layers, w, d = _cube(pdf)
+        part = ls.Station(d, w, np.array([e["weight"] for e in found]), lam, lam_t)
+        part.rho, keep = part.rho * 0, part.rho  # no copies yet
+        part.solve()
+        part.rho = keep
+        return told(int(pdf["station"].iloc[0]), [int(e["other"]) for e in found], part, (epochs, layers), (np.inf, np.inf))
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf["sender"].isna().to_numpy()
+        others, part, axes = pickle.loads(pdf["body"][own].iloc[0])
+        bodies = dict(zip(pdf["sender"][~own].astype(int), pdf["body"][~own], strict=True))
+        theirs = np.stack([np.frombuffer(bodies[o]).reshape(part.x.shape) for o in others]) if others else np.zeros((0, *part.x.shape))
+        residuals = part.agree(theirs)
+        part.solve()
+        return told(int(pdf["station"].iloc[0]), others, part, axes, residuals)
+
+    now = placed.groupBy("station").applyInPandas(begin, MESSAGES)
+    for _ in range(0, MOST_ROUNDS, ROUNDS):
+        for _ in range(ROUNDS):
+            now = now.groupBy("station").applyInPandas(step, MESSAGES)
+        now = cut(now)
+        worst = now.agg(F.max(F.greatest("primal", "dual"))).first()[0]
+        if worst is None or worst < tolerance:
+            break
+
+    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for station, body, primal, dual in zip(pdf["station"], pdf["body"], pdf["primal"], pdf["dual"], strict=True):
+                _, part, (epochs, layers) = pickle.loads(body)
+                yield _long(pdf, {"station": station}, epochs, layers, part.x, primal=primal, dual=dual)[["station", "epoch", "layer", "m", "primal", "dual"]]
+
+    return now.where("sender is null").mapInPandas(unpacked, "station int, epoch int, layer int, m double, primal double, dual double")
+
+
+#: Observations of an epoch at most, whose factor every worker gets (72 MB); epochs solved together, and voxels of a block.
+MOST_OBSERVED, TOGETHER, VOXELS = 3000, 16, 512
+
+
+def bayes_epochs(rows: DataFrame, kind: str = "isotropic", sigma: float = 3.0, length: float = 3.0, length_z: float = 0.5, noise: tuple[float, float] = (0.5, 0.1)) -> DataFrame:
+    """(epoch, station, layer, mean, std) of all voxels, the stations on a square raster, every fourth a well; kind: isotropic, anisotropic or
+    depth (a prior mean for each layer). Every epoch has the same voxels.
+
+    What observations make of each other is the same at all epochs: one row for each observation, made in tasks by station, factored once and
+    broadcast (MOST_OBSERVED at most). Some epochs at a time are solved in the space of observations, and voxels come in blocks that
+    are met with these solutions one after the other, so that memory depends on neither the number of epochs nor that of voxels.
+    """
+    spark = rows.sparkSession
+    voxels = rows.select("station", "layer").distinct()
+    stations_, wells_ = (voxels.where(c).count() if c else voxels.select("station").distinct().count() for c in (None, "station % 4 = 0"))
+    if stations_ + wells_ > MOST_OBSERVED:
+        raise ValueError(f"{stations_ + wells_} observations: {MOST_OBSERVED} at most")
+    known = voxels.orderBy("station", "layer").toPandas()  # each station is observed, so these are few
+    s, layers = known["station"].to_numpy(), np.sort(known["layer"].unique())
+    names = np.unique(s)
+    side = int(np.ceil(np.sqrt(names.max(initial=0) + 1)))
+    place = lambda station, layer: np.column_stack([station // side, station % side, np.searchsorted(layers, layer)]).astype(float)
+    well = np.flatnonzero(s % 4 == 0)
+    model = bayes.Observed(place(s, known["layer"].to_numpy()), np.searchsorted(names, s), well, sigma, length, None if kind == "isotropic" else length_z)
+    many = len(names) + len(well)
+    sent = spark.sparkContext.broadcast(model)
+
+    def observe(pdf: pd.DataFrame) -> pd.DataFrame:
+        of, cov = sent.value.covered(np.flatnonzero(s == pdf["station"].iloc[0]))
+        return pd.DataFrame({"observation": of, "row": list(cov)})
+
+    found = voxels.groupBy("station").applyInPandas(observe, "observation int, row array<double>").toPandas()
+    gain = np.zeros((many, many))
+    gain[found["observation"].to_numpy(int)] = np.array(found["row"].tolist()).reshape(-1, many)
+    gain[np.arange(many), np.arange(many)] += np.r_[np.full(len(names), noise[0] ** 2), np.full(len(well), noise[1] ** 2)]
+    factor = spark.sparkContext.broadcast(np.linalg.cholesky(gain) if many else gain)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["station", "layer"]).reset_index(drop=True)
-        stations, layers = np.sort(pdf["station"].unique()), np.sort(pdf["layer"].unique())
-        side = int(np.ceil(np.sqrt(stations.max() + 1)))
-        s, at_layer = pdf["station"].to_numpy(), np.searchsorted(layers, pdf["layer"])
-        place = np.column_stack([s // side, s % side, at_layer]).astype(float)
-        well = np.flatnonzero(s % 4 == 0)
-        surface = pdf.groupby("station")["d"].first().sort_index().to_numpy()
-        seen = pdf["w"].to_numpy()
-        data = np.r_[surface, seen[well]]
-        err = np.r_[np.full(len(stations), noise[0] ** 2), np.full(len(well), noise[1] ** 2)]
+        epochs = np.sort(pdf["epoch"].unique())
+        w = pdf.pivot(index=["station", "layer"], columns="epoch", values="w").sort_index().to_numpy()
+        d = pdf.groupby(["station", "epoch"])["d"].first().unstack().sort_index().to_numpy()
+        if w.shape[0] != len(s) or np.isnan(w).any() or np.isnan(d).any():
+            raise ValueError("every epoch has the same voxels and a surface at every station")
+        prior = np.broadcast_to(w[well].mean(axis=0), w.shape).copy()
         if kind == "depth":
-            prior = pdf["w"].where(s % 4 == 0).groupby(pdf["layer"]).transform("mean").fillna(seen[well].mean()).to_numpy()
-        else:
-            prior = np.full(len(s), seen[well].mean())
-        mean, var = bayes.posterior(place, data, np.searchsorted(stations, s), well, err, prior, sigma, length, None if kind == "isotropic" else length_z)
-        return pd.DataFrame({"epoch": pdf["epoch"], "station": s, "layer": pdf["layer"], "mean": mean, "std": np.sqrt(var)})
+            for layer in layers:
+                here, seen_ = known["layer"].to_numpy() == layer, well[known["layer"].to_numpy()[well] == layer]
+                if len(seen_):
+                    prior[here] = w[seen_].mean(axis=0)
+        off = np.concatenate([d, w[well]]) - sent.value.seen(prior.T).T
+        step = np.linalg.solve(factor.value.T, np.linalg.solve(factor.value, off))
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "epochs": [epochs.tolist()], "step": [step.tobytes()], "prior": [prior.tobytes()]})
+
+    parted = rows.withColumn("part", F.floor(F.col("epoch") / TOGETHER).cast("int"))
+    steps = cut(parted.select("part", "epoch", "station", "layer", "w", "d").groupBy("part").applyInPandas(solve, "part int, epochs array<int>, step binary, prior binary"))
+    numbers = spark.range(0, len(s), 1, max(1, len(s) // VOXELS)).select(F.floor(F.col("id") / VOXELS).cast("int").alias("block")).distinct()
+    parts = [r["part"] for r in steps.select("part").collect()]  # a number for each TOGETHER epochs
+    jobs = numbers.withColumn("part", F.explode(F.array(*[F.lit(k) for k in parts]).cast("array<int>"))).join(steps, "part")
+
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for pdf in batches:
+            for block, epochs, step, prior in zip(pdf["block"], pdf["epochs"], pdf["step"], pdf["prior"], strict=True):
+                mine = np.arange(block * VOXELS, min(len(s), (block + 1) * VOXELS))
+                if last != block:
+                    cross = sent.value.cross(sent.value.place[mine] * sent.value.scale)
+                    last, std = block, np.sqrt(sent.value.variance(cross, factor.value))
+                mean = np.frombuffer(prior).reshape(len(s), -1)[mine] + cross @ np.frombuffer(step).reshape(many, -1)
+                t = len(epochs)
+                yield pd.DataFrame({"epoch": np.tile(epochs, len(mine)), "station": np.repeat(s[mine], t), "layer": np.repeat(known["layer"].to_numpy()[mine], t), "mean": mean.ravel(), "std": np.repeat(std, t)})
+
+    dealt = jobs.repartition("block", "part").sortWithinPartitions("block", "part")
+    return dealt.mapInPandas(predict, "epoch int, station int, layer int, mean double, std double")
+
 
-    return rows.groupBy("epoch").applyInPandas(solve, "epoch int, station int, layer int, mean double, std double")
+def posterior_spread(rows: DataFrame, lam: float, lam_t: float) -> DataFrame:
+    """(station, epoch, layer, std): exact spread of the joint solution, from the epochs and layers that each station has. It takes the place
+    of an estimate by random probes."""
 
+    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
+        epochs, layers = np.sort(pdf["epoch"].unique()), np.sort(pdf["layer"].unique())
+        std = ls.posterior_std(len(epochs), len(layers), lam, lam_t)
+        return _long(pdf, {"station": int(pdf["station"].iloc[0])}, epochs, layers, std).rename(columns={"m": "std"})[["station", "epoch", "layer", "std"]]
 
-def posterior_table(spark: SparkSession, epochs: int, layers: int, lam: float, lam_t: float) -> DataFrame:
-    """(epoch, layer, std): the same for every station with all wells, so it is computed once: epochs x layers rows."""
-    std = ls.posterior_std(epochs, layers, lam, lam_t)
-    return spark.createDataFrame([(t, k + 1, float(std[t, k])) for t in range(epochs) for k in range(layers)], "epoch int, layer int, std double")
+    return rows.select("station", "epoch", "layer").groupBy("station").applyInPandas(spread, "station int, epoch int, layer int, std double")
 
 
 def forward_validation(rows: DataFrame, folds: DataFrame, lam: float, lam_t: float) -> DataFrame:
@@ -144,20 +243,118 @@ def forward_validation(rows: DataFrame, folds: DataFrame, lam: float, lam_t: flo
     return spread.groupBy("fold", "station").applyInPandas(solve, "fold int, station int, epoch int, layer int, pred double, truth double")
 
 
-def leave_one_out(points: DataFrame, engine: str = "gp", trials: int | None = None, most_ratio: float = 10.0) -> DataFrame:
-    """(layer, station, pred, std, truth): for each layer and station the value at its place from all other stations. The engine's
-    whole search is made again without the station held out. The inversion separates by station, so the others' solutions are reused."""
+def engine_search(x: np.ndarray, y: np.ndarray, engine: str, trials: int | None = None, most_ratio: float = 10.0, splits: int = 5) -> fields.FieldSearch | fields.KrigingSearch:
+    """The search of an engine: gp (one length), rotated (angle and two lengths) or kriging."""
+    trials = trials or TRIALS[engine]
+    if engine == "kriging":
+        return fields.KrigingSearch(x, y, most_ratio, trials, splits)
+    return fields.FieldSearch(x, y, engine == "rotated", most_ratio, trials)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("station").reset_index(drop=True)
-        x, y = pdf[["x", "y"]].to_numpy() / 1000, pdf["v"].to_numpy()
-        got = fields.cross_validate(x, y, np.arange(len(y)), lambda a, b: fit_engine(a, b, engine, trials, most_ratio), least=3)
-        for k in range(len(y)):
-            if not np.any(np.delete(y, k)):  # others of zeros are 0 without a fit
-                got[k] = 0.0
-        return pd.DataFrame({"layer": pdf["layer"], "station": pdf["station"], "pred": got[:, 0], "std": got[:, 1], "truth": y})
 
-    return points.groupBy("layer").applyInPandas(solve, "layer int, station int, pred double, std double, truth double")
+#: Trials that are scored together.
+CHUNK = 25
+
+
+def search_models(points: DataFrame, engine: str = "gp", trials: int | None = None, most_ratio: float = 10.0, hold_out: bool = False, splits: int = 5) -> DataFrame:
+    """(layer, held, points, params): each layer's best parameters, and if asked those without each station; null where all values are 0 or
+    fewer than three points are left. points: (station, x, y, v) in km of the layer, a few thousand at most.
+
+    Trials are rows: chunks of them are dealt out as (layer, station held out, chunk) and scored, the best of each sector of angles is
+    found by aggregation; these starts are rows again and refined, and so is the best of them. No job is one layer's.
+    """
+    count, parts = trials or TRIALS[engine], 4 * points.sparkSession.sparkContext.defaultParallelism
+    point = F.struct("station", (F.col("x") / 1000).alias("x"), (F.col("y") / 1000).alias("y"), F.col("v").cast("double").alias("v"))
+    layers = cut(points.groupBy("layer").agg(F.sort_array(F.collect_list(point)).alias("points")))
+    jobs = layers.withColumn("held", F.explode("points.station") if hold_out else F.lit(None).cast("int"))
+    key = ["layer", "held"]
+
+    def search_of(points_: list, held: object) -> fields.FieldSearch | fields.KrigingSearch | None:
+        left = [p for p in points_ if held is None or p["station"] != held]
+        x, y = np.array([[p["x"], p["y"]] for p in left]).reshape(-1, 2), np.array([p["v"] for p in left])
+        return engine_search(x, y, engine, count, most_ratio, splits) if np.any(y) and (held is None or len(y) >= 3) else None
+
+    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        last, search = None, None
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                held = None if pd.isna(r["held"]) else int(r["held"])
+                if last != (r["layer"], held):
+                    last, search = (r["layer"], held), search_of(r["points"], held)
+                if search is not None:
+                    yield r, held, search
+
+    def frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({"held": "Int32"})
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r, held, search in rows_of(batches):
+            part = slice(r["chunk"] * CHUNK, (r["chunk"] + 1) * CHUNK)
+            scores, sectors = search.scores(part), search.sectors(part)
+            best = [int(np.flatnonzero(sectors == c)[scores[sectors == c].argmin()]) for c in np.unique(sectors)]
+            yield frame([(r["layer"], held, int(sectors[k]), float(scores[k]), part.start + k, search.trials[part.start + k].tolist()) for k in best], [*key, "sector", "score", "trial", "params"])
+
+    def refine(rounds_of: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for r, held, search in rows_of(batches):
+                p, found = search.refine(np.array(r["params"]), getattr(search, rounds_of))
+                yield frame([(r["layer"], held, 1, float(found), r["trial"], p.tolist())], [*key, "step", "score", "trial", "params"])
+
+        return run
+
+    def best(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+        picked = F.min_by(F.struct("score", "trial", "params"), F.struct("score", *order)).alias("b")
+        return rows.groupBy(*keys).agg(picked).select(*keys, "b.*")
+
+    def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.repartition(parts, *keys).sortWithinPartitions(*key)
+
+    def with_points(rows: DataFrame) -> DataFrame:
+        # a row for each layer
+        return rows.join(F.broadcast(layers), "layer")
+
+    chunk = F.explode(F.sequence(F.lit(0), F.lit((count + (engine != "kriging") - 1) // CHUNK))).alias("chunk")
+    ints = "layer int, held int"
+    scored = dealt(jobs.select("layer", "held", "points", chunk), *key, "chunk").mapInPandas(score, f"{ints}, sector int, score double, trial int, params array<double>")
+    starts = best(scored, [*key, "sector"], "trial")
+    kind = fields.KrigingSearch if engine == "kriging" else fields.FieldSearch
+    if kind.refined:  # a few sectors for each layer and station
+        starts = starts.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("score", "trial"))).where(F.col("_r") <= kind.refined).drop("_r")
+    starts = cut(starts)
+    ends = dealt(with_points(starts), *key, "sector").mapInPandas(refine("rounds"), f"{ints}, step int, score double, trial int, params array<double>")
+    ends = best(ends.unionByName(starts.select(*key, F.lit(0).alias("step"), "score", "trial", "params")), key, "step", "trial")
+    if kind.last:
+        ends = dealt(with_points(cut(ends)), *key).mapInPandas(refine("last"), f"{ints}, step int, score double, trial int, params array<double>")
+    found = ends.select(F.col("layer").alias("_l"), F.col("held").alias("_h"), "params")
+    return jobs.join(found, (F.col("layer") == F.col("_l")) & F.col("held").eqNullSafe(F.col("_h")), "left").drop("_l", "_h")
+
+
+def leave_one_out(points: DataFrame, engine: str = "gp", trials: int | None = None, most_ratio: float = 10.0, splits: int = 5) -> DataFrame:
+    """(layer, station, pred, std, truth): for each layer and station the value at its place from all other stations. The engine's
+    whole search is made again without the station held out (`search_models`). The inversion separates by station, so the others' solutions
+    are reused."""
+    found = search_models(points, engine, trials, most_ratio, hold_out=True, splits=splits)
+
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                at = {bool(p["station"] == r["held"]): [] for p in r["points"]}
+                for p in r["points"]:
+                    at[p["station"] == r["held"]].append((p["x"], p["y"], p["v"]))
+                (x0, y0, truth), left = at[True][0], np.array(at.get(False, [])).reshape(-1, 3)
+                pred, std = np.nan, np.nan
+                if r["params"] is not None:
+                    try:
+                        mean, spread = engine_search(left[:, :2], left[:, 2], engine, 1, most_ratio, splits).made(np.array(r["params"])).predict(np.array([[x0, y0]]))
+                        pred, std = float(mean[0]), float(spread[0])
+                    except np.linalg.LinAlgError:
+                        pass
+                elif not np.any(left[:, 2]):  # others of zeros are 0 without a fit
+                    pred, std = 0.0, 0.0
+                out.append((r["layer"], int(r["held"]), pred, std, truth))
+            yield pd.DataFrame(out, columns=["layer", "station", "pred", "std", "truth"])
+
+    return found.mapInPandas(predict, "layer int, station int, pred double, std double, truth double")
 
 
 def grid_search(rows: DataFrame, train_end: int, val_end: int, lams: list[float] = LAM, lams_t: list[float] = LAM_T) -> DataFrame:
@@ -188,13 +385,9 @@ def grid_pixels(spark: SparkSession) -> DataFrame:
 
 
 def fit_engine(x: np.ndarray, y: np.ndarray, engine: str, trials: int | None = None, most_ratio: float = 10.0) -> fields.Field | fields.Kriging:
-    """One layer's model by the search of its engine: gp (one length), rotated (angle and two lengths) or kriging."""
-    trials = trials or TRIALS[engine]
-    if engine == "kriging":
-        folds = fields.spatial_folds(x, 5)
-        best = fields.search_kriging(x, y, folds, trials, most_ratio)
-        return fields.Kriging(x, y, **{**best, "shape": best["shape"] if best["model"] in fields.SHAPED else 1.0})
-    return fields.fit_field(x, y, engine == "rotated", most_ratio, trials)
+    """One layer's model by the whole search of its engine, in one place."""
+    search = engine_search(x, y, engine, trials, most_ratio)
+    return search.made(fields.searched(search))
 
 
 def held_out_error(x: np.ndarray, y: np.ndarray, model: fields.Field | fields.Kriging, clusters: int = 5) -> float:
@@ -210,52 +403,97 @@ def held_out_error(x: np.ndarray, y: np.ndarray, model: fields.Field | fields.Kr
 MODEL = "layer int, engine string, variogram string, angle double, ratio double, major double, minor double, sill double, nugget double, shape double, sx array<double>, sy array<double>, sv array<double>"
 
 
-def fit_layers(points: DataFrame, engine: str = "gp", trials: int | None = None, most_ratio: float = 10.0) -> DataFrame:
-    """(layer, engine, variogram, angle, ratio, major, minor, sill, nugget, shape, sx, sy, sv): each layer's model, a task each, with its
-    points in km, a few thousand at most. A layer of zeros has no engine."""
+def fit_layers(points: DataFrame, engine: str = "gp", trials: int | None = None, most_ratio: float = 10.0, splits: int = 5) -> DataFrame:
+    """(layer, engine, variogram, angle, ratio, major, minor, sill, nugget, shape, sx, sy, sv): each layer's model with its points in km, a
+    few thousand at most, by `search_models`. A layer of zeros has no engine."""
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                at = np.array([(p["x"], p["y"], p["v"]) for p in r["points"]]).reshape(-1, 3)
+                out = {"layer": int(r["layer"]), "engine": None, "variogram": None, "angle": 0.0, "ratio": 1.0, "major": 0.0, "minor": 0.0, "sill": 0.0, "nugget": 0.0, "shape": 1.0, "sx": at[:, 0].tolist(), "sy": at[:, 1].tolist(), "sv": at[:, 2].tolist()}
+                if r["params"] is not None:
+                    m = engine_search(at[:, :2], at[:, 2], engine, 1, most_ratio, splits).made(np.array(r["params"]))
+                    if engine == "kriging":
+                        out |= {"engine": engine, "variogram": m.model, "angle": m.angle, "ratio": m.ratio, "major": m.reach, "minor": m.reach / m.ratio, "sill": m.sill, "nugget": m.nugget, "shape": m.shape}
+                    else:
+                        out |= {"engine": engine, "variogram": "matern52", "angle": m.angle, "ratio": m.lengths[0] / m.lengths[1], "major": m.lengths[0], "minor": m.lengths[1], "sill": m.signal, "nugget": m.noise}
+                yield pd.DataFrame([out])
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("station")
-        x, y = pdf[["x", "y"]].to_numpy() / 1000, pdf["v"].to_numpy(float)
-        out = {"layer": int(pdf["layer"].iloc[0]), "engine": None, "variogram": None, "angle": 0.0, "ratio": 1.0, "major": 0.0, "minor": 0.0, "sill": 0.0, "nugget": 0.0, "shape": 1.0, "sx": x[:, 0].tolist(), "sy": x[:, 1].tolist(), "sv": y.tolist()}
-        if np.any(y):
-            m = fit_engine(x, y, engine, trials, most_ratio)
-            if engine == "kriging":
-                out |= {"engine": engine, "variogram": m.model, "angle": m.angle, "ratio": m.ratio, "major": m.reach, "minor": m.reach / m.ratio, "sill": m.sill, "nugget": m.nugget, "shape": m.shape}
-            else:
-                out |= {"engine": engine, "variogram": "matern52", "angle": m.angle, "ratio": m.lengths[0] / m.lengths[1], "major": m.lengths[0], "minor": m.lengths[1], "sill": m.signal, "nugget": m.noise}
-        return pd.DataFrame([out])
+    return search_models(points, engine, trials, most_ratio, splits=splits).mapInPandas(describe, MODEL)
 
-    return points.groupBy("layer").applyInPandas(fit, MODEL)
 
+#: Points of all models that are sent to every worker at most, 24 bytes each.
+MOST_POINTS = 1_000_000
+PREDICTED = "layer int, pixel int, w double, std double, angle double, ratio double"
 
-def predict_layers(models: DataFrame, pixels: DataFrame) -> DataFrame:
-    """(layer, pixel, w, std, angle, ratio) of all pixels: the fitted models, a row for each layer, go to the partitions of pixels."""
-    packed = models.agg(F.collect_list(F.struct("*")).alias("models"))
 
-    def predict(batches):
-        fitted = None
+def predict_layers(models: DataFrame, pixels: DataFrame) -> DataFrame:
+    """(layer, pixel, w, std, angle, ratio) of all pixels, each from all points of its layer. The fitted models are one broadcast value that
+    workers read, of MOST_POINTS points at most; for more, `predict_near` deals points and pixels out by cell."""
+    many = models.agg(F.sum(F.size("sx"))).first()[0] or 0
+    if many > MOST_POINTS:
+        raise ValueError(f"models of {many} points: predict_near takes them by cell")
+    sent = pixels.sparkSession.sparkContext.broadcast([r.asDict() for r in models.orderBy("layer").collect()])
+
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fitted = [(m, _refitted(m)) for m in sent.value]
         for pdf in batches:
-            if not len(pdf):
-                continue
-            if fitted is None:
-                fitted = [(m, _refitted(m)) for m in sorted(pdf["models"].iloc[0], key=lambda m: m["layer"])]
             at = pdf[["x", "y"]].to_numpy() / 1000
             for m, model in fitted:
                 mean, std = model.predict(at) if model else (np.zeros(len(at)), np.zeros(len(at)))
                 yield pd.DataFrame({"layer": m["layer"], "pixel": pdf["pixel"], "w": mean, "std": std, "angle": m["angle"], "ratio": m["ratio"]})
 
-    # one row: as many models as there are layers
-    return pixels.crossJoin(F.broadcast(packed)).mapInPandas(predict, "layer int, pixel int, w double, std double, angle double, ratio double")
-
-
-def _refitted(m) -> fields.Field | fields.Kriging | None:
+    return pixels.select("pixel", "x", "y").mapInPandas(predict, PREDICTED)
+
+
+def predict_near(models: DataFrame, pixels: DataFrame, cell: float, least: int = 50) -> DataFrame:
+    """As predict_layers, each pixel from the points of the cells around it (side `cell` in metres): those of the nine cells around its own,
+    or of cells twice as wide until they hold `least` points or all of them. A group is a layer's pixels of one cell; points go
+    to it by an equi-join on cells. Where the nine cells hold all points the result is that of all points."""
+    half = cell / 1000
+    point = F.explode(F.arrays_zip("sx", "sy", "sv")).alias("p")
+    points = models.where("engine is not null").select("layer", point).select("layer", F.col("p.sx").alias("px"), F.col("p.sy").alias("py"), F.col("p.sv").alias("pv"))
+    box = points.agg(F.max(F.greatest(F.abs("px"), F.abs("py")))).first()[0] or half
+    levels = max(1, int(np.ceil(np.log2(max(2.0, 2 * box / half)))) + 1)
+    at_level = lambda v: F.floor(F.col(v) / (half * F.pow(F.lit(2.0), F.col("level")))).cast("long")
+    every = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
+    around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i, j))))"))
+    held = points.select("*", every).withColumns({"cx": at_level("px"), "cy": at_level("py")})
+    spread = held.withColumn("o", around).withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j")}).drop("o")
+    counts = spread.groupBy("layer", "level", "cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+    km = pixels.select("pixel", (F.col("x") / 1000).alias("px"), (F.col("y") / 1000).alias("py"))
+    own = {"hx": F.floor(F.col("px") / half).cast("long"), "hy": F.floor(F.col("py") / half).cast("long")}
+    homes = km.withColumns(own).select("hx", "hy").distinct().select("hx", "hy", every)
+    up = lambda v: F.floor(F.col(v) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    layers = models.select("layer", "engine", "variogram", "angle", "ratio", "major", "minor", "sill", "nugget", "shape", F.size("sx").alias("all"), F.expr("aggregate(sx, 0D, (a, v) -> a + v) / size(sx)").alias("mx"), F.expr("aggregate(sy, 0D, (a, v) -> a + v) / size(sy)").alias("my"), F.expr("aggregate(sv, 0D, (a, v) -> a + v) / size(sv)").alias("mv"), F.expr("sqrt(aggregate(sv, 0D, (a, v) -> a + v * v) / size(sv) - pow(aggregate(sv, 0D, (a, v) -> a + v) / size(sv), 2))").alias("sd"))
+    reach = homes.withColumns({"cx": up("hx"), "cy": up("hy")}).join(counts, ["level", "cx", "cy"]).join(F.broadcast(layers.select("layer", "all")), "layer")
+    chosen = reach.where((F.col("n") >= least) | (F.col("n") >= F.col("all"))).groupBy("layer", "hx", "hy").agg(F.min("level").alias("level")).withColumns({"cx": up("hx"), "cy": up("hy")})
+    given = chosen.join(spread, ["layer", "level", "cx", "cy"]).select("layer", "hx", "hy", "px", "py", "pv")
+    names = F.explode(F.array(*[F.lit(r["layer"]) for r in models.select("layer").collect()])).alias("layer")
+    asked = km.withColumns(own).select("*", names).join(F.broadcast(layers), "layer")  # a row for each layer
+
+    def predict(key: tuple, wanted: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if not len(wanted):
+            return pd.DataFrame({c.split()[0]: [] for c in PREDICTED.split(", ")})
+        m, at = wanted.iloc[0], wanted[["px", "py"]].to_numpy()
+        mean, std = np.zeros(len(at)), np.zeros(len(at))
+        if m["engine"] is not None:
+            found = found.sort_values(["px", "py", "pv"])
+            model = {**m.to_dict(), "sx": found["px"], "sy": found["py"], "sv": found["pv"], "scaling": (m["mx"], m["my"], m["mv"], m["sd"])}
+            mean, std = _refitted(model).predict(at)
+        return pd.DataFrame({"layer": int(m["layer"]), "pixel": wanted["pixel"], "w": mean, "std": std, "angle": m["angle"], "ratio": m["ratio"]})
+
+    return asked.groupBy("layer", "hx", "hy").cogroup(given.groupBy("layer", "hx", "hy")).applyInPandas(predict, PREDICTED)
+
+
+def _refitted(m: dict) -> fields.Field | fields.Kriging | None:
     x, y = np.column_stack([m["sx"], m["sy"]]), np.array(m["sv"])
     if m["engine"] is None:
         return None
     if m["engine"] == "kriging":
         return fields.Kriging(x, y, m["variogram"], m["sill"], m["major"], m["nugget"], m["shape"], m["angle"], m["ratio"])
-    return fields.Field(x, y, m["angle"], (m["major"], m["minor"]), m["sill"], m["nugget"])
+    return fields.Field(x, y, m["angle"], (m["major"], m["minor"]), m["sill"], m["nugget"], scaling=m.get("scaling"))
 
 
 def interpolate(points: DataFrame, pixels: DataFrame, engine: str = "gp", trials: int | None = None, most_ratio: float = 10.0) -> DataFrame:
@@ -319,9 +557,8 @@ def run(config, spark: SparkSession, model: DataFrame, insar: DataFrame, station
         best = out["trials"].orderBy("mean_rmse", "lam", "lam_t").first()
         lam, lam_t = best["lam"], best["lam_t"]
     if config.solver == "cvxpy":
-        edges = system.neighbours(stations, 15000.0)
-        groups = system.components(stations, edges)
-        solved = lambda r: invert_coupled(r, edges, groups, lam, lam_t)
+        edges = cut(system.neighbours(stations, 15000.0))
+        solved = lambda r: invert_coupled(r, edges, lam, lam_t)
     else:
         solved = lambda r: invert(r, config.solver, lam, lam_t)
     out["model"] = cut(solved(rows))  # all that follows looks at it

@@ -27,7 +27,7 @@ WITH cube AS (
   FROM lineitem GROUP BY 1, 2, 3),
 obs AS (SELECT * FROM cube WHERE (station * 7 + layer * 3 + epoch) % 11 <> 0),
 surf AS (SELECT station, epoch, sum(value) * 1.15::DOUBLE AS d FROM cube WHERE NOT (station % 8 = 5 AND epoch % 3 <> 0) GROUP BY 1, 2),
-sta AS (SELECT i::INT AS station, (160000.0 + (i * 37 % 31) * 1700)::DOUBLE AS x, (2600000.0 + (i * 53 % 29) * 2100)::DOUBLE AS y FROM range(31) t(i)),
+sta AS (SELECT i::INT AS station, (160000.0 + (i * 37 % 31) * 1700)::DOUBLE AS x, (2600000.0 + (i * 53 % 29) * 2100)::DOUBLE AS y FROM (SELECT DISTINCT s_suppkey % 31 AS i FROM supplier)),
 ep AS (SELECT i::INT AS epoch FROM range(83) t(i)),
 gap AS (
   SELECT k.station, k.layer, ep.epoch, o.value AS v,
@@ -109,7 +109,7 @@ def left_out(s: SparkSession, d: str) -> DataFrame:
 
 def points(s: SparkSession, d: str) -> DataFrame:
     """Stations with the weight of layer 1: (station, x, y, v)."""
-    return tables.stations(s).join(depth_weights(s, d).where("layer = 1").select("station", F.col("w").alias("v")), "station")
+    return tables.stations(s, d).join(depth_weights(s, d).where("layer = 1").select("station", F.col("w").alias("v")), "station")
 
 
 @register("SELECT station, layer, epoch, round(value, 6) + 0.0 AS value FROM cube")
@@ -155,7 +155,7 @@ def q07_excluded_anti(s, d):
 @register("""SELECT station, xi::INT AS col, yi::INT AS row, (yi * 106 + xi)::INT AS pixel FROM (
   SELECT station, (SELECT arg_min(k, (abs(x - (160000 + 500 * k)), k)) FROM range(106) t(k)) AS xi, (SELECT arg_min(k, (abs(y - (2600000 + 500 * k)), k)) FROM range(121) t(k)) AS yi FROM sta)""")
 def q08_nearest_pixel(s, d):
-    near = spatial.nearest_on_axis(tables.stations(s), tables.axis(s, "x"), "x", "col")
+    near = spatial.nearest_on_axis(tables.stations(s, d), tables.axis(s, "x"), "x", "col")
     both = spatial.nearest_on_axis(near, tables.axis(s, "y"), "y", "row")
     return both.select("station", "col", "row", (F.col("row") * 106 + F.col("col")).cast("int").alias("pixel"))
 
@@ -195,7 +195,7 @@ def q14_diff(s, d):
 
 @register("SELECT * FROM fold")
 def q15_folds(s, d):
-    return series.fold_table(s, N)
+    return series.fold_table(s, tables.cube(s, d).agg(F.max("epoch")).first()[0] + 1)
 
 
 FOLD_RMSE = "frmse AS (SELECT fold, layer, sqrt(avg((pred - truth) * (pred - truth))) AS rmse FROM fpred GROUP BY 1, 2)"
@@ -217,7 +217,7 @@ def q17_G(s, d):
 
 @register("SELECT station, layer, epoch, round(m, 6) + 0.0 AS m FROM cum WHERE station % 4 = 0")
 def q18_I_wells(s, d):
-    return system.at_wells(model(s, d), tables.stations(s).where("station % 4 = 0")).select("station", "layer", "epoch", r6("m").alias("m"))
+    return system.at_wells(model(s, d), tables.stations(s, d).where("station % 4 = 0")).select("station", "layer", "epoch", r6("m").alias("m"))
 
 
 @register("SELECT station, layer, epoch, round(coalesce(m - lead(m) OVER (PARTITION BY station, epoch ORDER BY layer), 0), 6) + 0.0 AS lm FROM cum")
@@ -230,7 +230,7 @@ EDGES = "edge AS (SELECT a, b, dist, 1 / dist / max(1 / dist) OVER () AS weight
 
 @register(f", {EDGES} SELECT a, b, round(dist, 6) + 0.0 AS dist, round(weight, 6) + 0.0 AS weight FROM edge")
 def q20_L_spatial_edges(s, d):
-    return system.neighbours(tables.stations(s), 15000.0).select("a", "b", r6("dist").alias("dist"), r6("weight").alias("weight"))
+    return system.neighbours(tables.stations(s, d), 15000.0).select("a", "b", r6("dist").alias("dist"), r6("weight").alias("weight"))
 
 
 @register("SELECT station, layer, epoch, round(ltm, 6) + 0.0 AS ltm FROM (SELECT *, lead(m) OVER (PARTITION BY station, layer ORDER BY epoch) - m AS ltm FROM cum) WHERE ltm IS NOT NULL")
@@ -379,7 +379,7 @@ def q40_upsert(s, d):
 @register("SELECT station, round(x * cos(radians(30)) + y * sin(radians(30)), 4) AS u, round(y * cos(radians(30)) - x * sin(radians(30)), 4) AS v FROM (SELECT station, x / 1000 AS x, y / 1000 AS y FROM sta)")
 def q41_rotate(s, d):
     u, v = rotated(F.col("x") / 1000, F.col("y") / 1000, 30.0)
-    return tables.stations(s).select("station", F.round(u, 4).alias("u"), F.round(v, 4).alias("v"))
+    return tables.stations(s, d).select("station", F.round(u, 4).alias("u"), F.round(v, 4).alias("v"))
 
 
 PAIRS = "pr AS (SELECT p.x - q.x AS dx, p.y - q.y AS dy, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS dist, a.w - b.w AS dv FROM sta p JOIN sta q ON p.station < q.station JOIN wt a ON a.station = p.station AND a.layer = 1 JOIN wt b ON b.station = q.station AND b.layer = 1)"
@@ -398,22 +398,25 @@ def q43_variogram_dir(s, d):
     return spatial.empirical_variogram(near, 8000.0, 5, ["direction"]).select("direction", "bin", r6("semivariance").alias("semivariance"), "n_pairs")
 
 
-@register("""SELECT h, round(0.2 + 0.8 * (1 - exp(-pow(h / 10, 1.5))), 6) AS stable,
+@register(f", {EDGES}" + """ SELECT a, b, round(h, 6) AS h, round(0.2 + 0.8 * (1 - exp(-pow(h / 10, 1.5))), 6) AS stable,
  round(CASE WHEN h <= 10 THEN 0.2 + 0.8 * (1 - 2 / pi() * (acos(h / 10) - h / 10 * sqrt(1 - h / 10 * h / 10))) ELSE 1.0 END, 6) AS circular,
  round(0.2 + 0.8 * (1 - pow(1 + h * h / (2 * 1.5 * 100), -1.5)), 6) AS rational, round(CASE WHEN h <= 10 THEN 0.2 + 0.8 * (1.5 * h / 10 - 0.5 * pow(h / 10, 3)) ELSE 1.0 END, 6) AS spherical,
  round(0.2 + 0.8 * (1 - exp(-3 * h / 10)), 6) AS exponential, round(0.2 + 0.8 * (1 - exp(-pow(h / (10 * 4.0 / 7), 2))), 6) AS gaussian, round(0.2 + 0.8 * (1 - (1 - 3 * h / 10) * exp(-3 * h / 10)), 6) AS hole,
- round(0.2 + 0.8 * (1 - exp(-3 * pow(h / 10, 2))), 6) AS practical, round(0.2 + 0.8 * pow(h / 10, 1.5), 6) AS power, round(0.2 + 0.8 * least(h / 10, 1.0), 6) AS linear FROM (SELECT i::DOUBLE / 2 AS h FROM range(41) t(i))""")
+ round(0.2 + 0.8 * (1 - exp(-3 * pow(h / 10, 2))), 6) AS practical, round(0.2 + 0.8 * pow(h / 10, 1.5), 6) AS power, round(0.2 + 0.8 * least(h / 10, 1.0), 6) AS linear FROM (SELECT a, b, dist / 1000 AS h FROM edge)""")
 def q44_variogram_models(s, d):
+    """Every model at the distances in km of neighbouring stations."""
     h = F.col("h")
     named = {"stable": "stable", "circular": "circular", "rational": "rational-quadratic", "spherical": "spherical", "exponential": "exponential", "gaussian": "gaussian", "hole": "hole-effect", "practical": "practical-gaussian", "power": "power", "linear": "linear"}
-    steps = s.range(41).select((F.col("id") / 2.0).alias("h"))
-    return steps.select("h", *[F.round(variogram(m, h, 0.8, 10.0, 0.2, 1.5), 6).alias(c) for c, m in named.items()])
+    steps = system.neighbours(tables.stations(s, d), 15000.0).select("a", "b", (F.col("dist") / 1000).alias("h"))
+    return steps.select("a", "b", r6("h").alias("h"), *[F.round(variogram(m, h, 0.8, 10.0, 0.2, 1.5), 6).alias(c) for c, m in named.items()])
 
 
-@register("SELECT angle, az AS azimuth, CASE WHEN az < 22.5 OR az >= 337.5 THEN 'N' WHEN az < 67.5 THEN 'NE' WHEN az < 112.5 THEN 'E' WHEN az < 157.5 THEN 'SE' WHEN az < 202.5 THEN 'S' WHEN az < 247.5 THEN 'SW' WHEN az < 292.5 THEN 'W' ELSE 'NW' END AS direction FROM (SELECT angle, ((90 - angle) % 360 + 360) % 360 AS az FROM (SELECT (i * 7.5)::DOUBLE AS angle FROM range(48) t(i)))")
+@register("SELECT a, b, round(angle, 6) + 0.0 AS angle, round(az, 6) + 0.0 AS azimuth, CASE WHEN az < 22.5 OR az >= 337.5 THEN 'N' WHEN az < 67.5 THEN 'NE' WHEN az < 112.5 THEN 'E' WHEN az < 157.5 THEN 'SE' WHEN az < 202.5 THEN 'S' WHEN az < 247.5 THEN 'SW' WHEN az < 292.5 THEN 'W' ELSE 'NW' END AS direction FROM (SELECT a, b, angle, ((90 - angle) % 360 + 360) % 360 AS az FROM (SELECT p.station AS a, q.station AS b, degrees(atan2(p.y - q.y, p.x - q.x)) AS angle FROM sta p JOIN sta q ON p.station < q.station WHERE sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) <= 15000))")
 def q45_azimuth(s, d):
-    out = s.range(48).select((F.col("id") * 7.5).cast("double").alias("angle")).withColumn("azimuth", turned(F.col("angle")))
-    return out.withColumn("direction", compass(F.col("azimuth")))
+    """Where each station's neighbours lie."""
+    near = spatial.pairs(tables.stations(s, d).withColumn("v", F.lit(0.0)), 15000.0)
+    out = near.select("a", "b", F.degrees(F.atan2("dy", "dx")).alias("angle")).withColumn("azimuth", turned(F.col("angle")))
+    return out.withColumn("direction", compass(F.col("azimuth"))).select("a", "b", r6("angle").alias("angle"), r6("azimuth").alias("azimuth"), "direction")
 
 
 @register("SELECT layer, round(sqrt(avg(pow((truth - pred) / (1 + abs(pred) + 1e-8::DOUBLE), 2))), 6) AS rmss FROM pred GROUP BY 1")
@@ -433,7 +436,7 @@ def q47_anisotropy_screen(s, d):
 
 @register("SELECT epoch, round(20.0::DOUBLE / 60 * epoch + 5 * sin(2 * pi() * epoch / 12), 6) + 0.0 AS s FROM ep")
 def q48_trend_season(s, d):
-    return tables.epochs(s).select("epoch", r6(series.seasonal(F.col("epoch"))).alias("s"))
+    return tables.epochs(s, d).select("epoch", r6(series.seasonal(F.col("epoch"))).alias("s"))
 
 
 @register("SELECT station, round(total, 6) + 0.0 AS total FROM (SELECT *, row_number() OVER (ORDER BY total, station) - 1 AS r, count(*) OVER () AS n FROM (SELECT station, sum(total) AS total FROM lastm GROUP BY 1)) WHERE r IN (0, n - 1, n // 3, 2 * n // 3)")
@@ -461,7 +464,7 @@ def q58_colour_limits(s, d):
 @register(f""", lm AS (SELECT max(dist) AS far, median(nn) AS nn, count(*) AS n FROM (SELECT station, min(dist) AS nn, max(dist) AS dist FROM (SELECT p.station, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS dist FROM sta p JOIN sta q ON p.station <> q.station) GROUP BY 1)),
  k AS (SELECT *, greatest(6, least(30, round(far / 2 / greatest(2 * nn, far * 0.01)), n * (n - 1) // 2 // 30)) AS lags FROM lm) SELECT lags::INT AS n_lags, round(far / 2 / lags, 4) AS lag_width, round(far / 2, 4) AS max_lag, round(nn, 4) AS median_nn, (n * (n - 1) // 2)::BIGINT AS n_total_pairs FROM k""")
 def q59_lag_parameters(s, d):
-    p = spatial.lag_parameters(tables.stations(s))
+    p = spatial.lag_parameters(tables.stations(s, d))
     return s.createDataFrame([(p["n_lags"], round(p["lag_width"], 4), round(p["max_lag"], 4), round(p["median_nn"], 4), p["n_total_pairs"])], "n_lags int, lag_width double, max_lag double, median_nn double, n_total_pairs long")
 
 
@@ -491,8 +494,9 @@ def q66_params_report(s, d):
 
 @register("SELECT (row_number() OVER (ORDER BY (station * 48271 + 11) % 2147483647, station))::INT AS pick, station FROM sta ORDER BY 1 LIMIT 12")
 def q67_row_sample(s, d):
-    order = Window.orderBy((F.col("station").cast("long") * 48271 + 11) % 2147483647, "station")
-    return tables.stations(s).select(F.row_number().over(order).alias("pick"), "station").where("pick <= 12")
+    first = tables.stations(s, d).select("station").orderBy((F.col("station").cast("long") * 48271 + 11) % 2147483647, "station").limit(12)
+    order = Window.orderBy((F.col("station").cast("long") * 48271 + 11) % 2147483647, "station")  # of twelve rows
+    return first.select(F.row_number().over(order).alias("pick"), "station")
 
 
 @register("SELECT f.station AS fold, count(*)::BIGINT AS rows_left, count(DISTINCT o.station)::BIGINT AS stations_left FROM (SELECT DISTINCT station FROM obs) f JOIN obs o ON o.station <> f.station GROUP BY 1")
@@ -505,7 +509,7 @@ def q68_station_exclusion(s, d):
 
 @register(f", {EDGES} SELECT a, b, layer, epoch, round(weight * (p.m - q.m), 6) + 0.0 AS lsm FROM edge JOIN cum p ON p.station = a JOIN cum q ON q.station = b AND q.layer = p.layer AND q.epoch = p.epoch".replace("SELECT a, b, layer, epoch", "SELECT a, b, p.layer, p.epoch"))
 def q69_spatial_smoothness(s, d):
-    return system.smoothness(model(s, d), system.neighbours(tables.stations(s), 15000.0)).select("a", "b", "layer", "epoch", r6("lsm").alias("lsm"))
+    return system.smoothness(model(s, d), system.neighbours(tables.stations(s, d), 15000.0)).select("a", "b", "layer", "epoch", r6("lsm").alias("lsm"))
 
 
 @register("SELECT station, round(f, 6) + 0.0 AS deep_fraction FROM (SELECT station, 1 - sum(w) AS f FROM wt GROUP BY 1) ORDER BY round(f, 9) DESC, station LIMIT 3")
@@ -519,13 +523,16 @@ def q82_worst_group_mean(s, d):
     return metrics.worst_groups(last, "station", "rmse", 5).select("station", r6("mean").alias("mean"))
 
 
-@register("""SELECT station, epoch, round((pixel % 97) * epoch / 10.0::DOUBLE, 6) AS value FROM ep, (
- SELECT station, (SELECT arg_min(k, (abs(y - (2600000 + 500 * k)), k)) FROM range(121) t(k)) * 106 + (SELECT arg_min(k, (abs(x - (160000 + 500 * k)), k)) FROM range(106) t(k)) AS pixel FROM sta)""")
+@register(""", cell AS (SELECT c, (c % 10)::INT AS x_idx, (c // 10)::INT AS y_idx, epoch, CASE WHEN (c % 10 + c // 10 + epoch) % 13 <> 0 THEN d END AS v FROM surf JOIN range(120) r(c) ON c % 31 = station)
+ SELECT p.station, epoch, round(v, 6) + 0.0 AS value FROM cell JOIN (
+ SELECT station, (SELECT arg_min(k, (abs(y - (2600000 + 500 * k)), k)) FROM (SELECT DISTINCT y_idx AS k FROM cell)) * 10 + (SELECT arg_min(k, (abs(x - (160000 + 500 * k)), k)) FROM (SELECT DISTINCT x_idx AS k FROM cell)) AS c FROM sta) p USING (c)""")
 def q83_station_profile(s, d):
-    """Series of a raster at the stations' nearest pixels."""
-    cells = s.range(106 * 121).select(F.col("id").cast("int").alias("pixel"), F.explode(F.sequence(F.lit(0), F.lit(N - 1))).alias("epoch"))
-    grid = cells.withColumn("value", F.col("pixel") % 97 * F.col("epoch") / 10.0)
-    return spatial.profile(tables.stations(s), grid, tables.axis(s, "x"), tables.axis(s, "y"), 106).select("station", "epoch", r6("value").alias("value"))
+    """Series of a raster's surface at the stations' nearest pixels."""
+    grid = files.clean(tables.raster(s, d).where("depth = 0"), "disp")
+    x, y = files.axes_of(grid)
+    at = grid.select((F.col("y_idx") * 10 + F.col("x_idx")).alias("pixel"), F.col("t").alias("epoch"), "disp")
+    out = spatial.profile(tables.stations(s, d), at, x.withColumnRenamed("x_idx", "idx"), y.withColumnRenamed("y_idx", "idx"), 10)
+    return out.select("station", "epoch", r6("disp").alias("value"))
 
 
 def scratch(s: SparkSession, name: str) -> str:
@@ -604,11 +611,12 @@ def q94_augmented_stack(s, d):
     return out.groupBy("part").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum(e * e), 3) + F.lit(0.0)).alias("square"))
 
 
-@register("SELECT * FROM (VALUES ('lam', '0.01'), ('lam_t', '3.0')) t(key, value)")
+@register("SELECT 'cells' AS key, count(*)::VARCHAR AS value FROM cube UNION ALL SELECT 'stations', count(DISTINCT station)::VARCHAR FROM cube UNION ALL SELECT 'last_epoch', max(epoch)::VARCHAR FROM cube")
 def q95_key_value_io(s, d):
-    """Best parameters as lines key=value, written and read again."""
+    """Figures of the cube as lines key=value, written and read again."""
     path = scratch(s, "params")
-    files.save_key_values(files.write_key_values({"lam": 0.01, "lam_t": 3.0}, s), path)
+    found = tables.cube(s, d).agg(F.count(F.lit(1)).cast("string").alias("cells"), F.countDistinct("station").cast("string").alias("stations"), F.max("epoch").cast("string").alias("last_epoch"))
+    files.save_key_values(found.unpivot([], ["cells", "stations", "last_epoch"], "key", "value"), path)
     return files.read_key_values(s, path)
 
 
@@ -616,7 +624,7 @@ def q95_key_value_io(s, d):
 def q96_coordinates_io(s, d):
     """Coordinates appended to a CSV file twice, and read again once each."""
     path = scratch(s, "coordinates")
-    sta = tables.stations(s).select(F.col("station").cast("string").alias("Ename"), F.col("x").alias("X_TWD97"), F.col("y").alias("Y_TWD97"))
+    sta = tables.stations(s, d).select(F.col("station").cast("string").alias("Ename"), F.col("x").alias("X_TWD97"), F.col("y").alias("Y_TWD97"))
     files.append_csv(sta.where("Ename < '2'"), path)
     files.append_csv(sta.where("Ename >= '2'"), path)
     return files.read_coordinates(s, path)
@@ -642,7 +650,7 @@ def q101_raster_axes(s, d):
 @register("SELECT station, n.index, layer, epoch, round(value, 6) + 0.0 AS value FROM obs o JOIN (SELECT station, (row_number() OVER (ORDER BY station) - 1)::INT AS index FROM sta WHERE station <> 5) n USING (station)")
 def q102_station_subset(s, d):
     """What is left without station 5."""
-    return series.without(tables.observations(s, d), tables.stations(s), 5).select("station", "index", "layer", "epoch", r6("value").alias("value"))
+    return series.without(tables.observations(s, d), tables.stations(s, d), 5).select("station", "index", "layer", "epoch", r6("value").alias("value"))
 
 
 @register(f", {STD} SELECT station, epoch, round(d * (1 - t), 6) + 0.0 AS residual, round(v * abs(d), 9) + 0.0 AS residual_std FROM scum JOIN (SELECT station, sum(w) AS t, sqrt(sum(std * std)) AS v FROM ws GROUP BY 1) USING (station)")

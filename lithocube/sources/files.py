@@ -17,12 +17,13 @@ def read_wide_csv(spark: SparkSession, path: str, depth: str = "Depth", prefix:
     months = [c for c in raw.columns if c.startswith(prefix)]
     # the header gives the columns, all of the same two types
     raw = spark.read.option("header", True).schema(", ".join(f"`{c}` {'double' if c in months else 'int' if c == depth else 'string'}" for c in raw.columns)).csv(path)
-    named = raw.withColumn("station", F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), f"{suffix}$", ""))
+    named = raw.withColumn("station", F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), f"(~[0-9]+)?{suffix}$", ""))
     return clean(unpivot_months(named.withColumn("depth", F.col(depth).cast("int")), ["station", "depth"], months))
 
 
 def write_wide_csv(wide: DataFrame, path: str, station: str = "station", suffix: str = "_insar_mlcw.csv") -> None:
-    """Wide station tables as one file for each station, named after it. Spark writes the files; a file system call each names them."""
+    """Wide station tables as one file for each station, named after it; where Spark splits a station's rows, the further files have ~1, ~2, ...
+    after the name. Spark writes the files; a file system call each names them, and one that fails is an error. Without rows no file is written."""
     spark = wide.sparkSession
     wide.repartition(station).write.mode("overwrite").partitionBy(station).option("header", True).csv(path)
     of = spark._jvm.org.apache.hadoop.fs.Path
@@ -30,9 +31,11 @@ def write_wide_csv(wide: DataFrame, path: str, station: str = "station", suffix:
     for folder in fs.listStatus(of(path)):
         name = folder.getPath().getName()
         if folder.isDirectory() and name.startswith(f"{station}="):
-            for part in fs.listStatus(folder.getPath()):
-                if part.getPath().getName().startswith("part-"):
-                    fs.rename(part.getPath(), of(f"{path}/{name.split('=', 1)[1]}{suffix}"))
+            parts = sorted(p.getPath().getName() for p in fs.listStatus(folder.getPath()) if p.getPath().getName().startswith("part-"))
+            for k, part in enumerate(parts):
+                to = of(f"{path}/{name.split('=', 1)[1]}{f'~{k}' if k else ''}{suffix}")
+                if not fs.rename(of(folder.getPath(), part), to):
+                    raise OSError(f"{part} of {name} can't be renamed to {to}")
             fs.delete(folder.getPath(), True)
 
 

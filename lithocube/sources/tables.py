@@ -40,14 +40,19 @@ def surface(spark: SparkSession, sf_dir: str | DataFrame) -> DataFrame:
     return cube(spark, sf_dir).where(seen).groupBy("station", "epoch").agg((F.sum("value") * 1.15).alias("d"))
 
 
-def stations(spark: SparkSession) -> DataFrame:
-    """(station, x, y) in projected metres."""
-    s = F.col("id").cast("int")
-    return spark.range(31).select(s.alias("station"), (160000.0 + (s * 37 % 31) * 1700).cast("double").alias("x"), (2600000.0 + (s * 53 % 29) * 2100).cast("double").alias("y"))
+def stations(spark: SparkSession, sf_dir: str | DataFrame) -> DataFrame:
+    """(station, x, y) in projected metres: the suppliers' stations, or those of a cube."""
+    if isinstance(sf_dir, DataFrame):
+        named = sf_dir.select("station").distinct()
+    else:
+        named = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 31).cast("int").alias("station")).distinct()
+    s = F.col("station")
+    return named.select(s, (160000.0 + (s * 37 % 31) * 1700).cast("double").alias("x"), (2600000.0 + (s * 53 % 29) * 2100).cast("double").alias("y"))
 
 
-def epochs(spark: SparkSession, n: int = EPOCHS) -> DataFrame:
-    return spark.range(n).select(F.col("id").cast("int").alias("epoch"))
+def epochs(spark: SparkSession, sf_dir: str | DataFrame) -> DataFrame:
+    """(epoch): the months that the cube has."""
+    return cube(spark, sf_dir).select("epoch").distinct()
 
 
 def axis(spark: SparkSession, name: str) -> DataFrame:

@@ -6,6 +6,9 @@ import pytest
 from lithocube import numeric_queries as nq
 from lithocube.kernels import bayes, fields
 from lithocube.kernels import least_squares as ls
+from lithocube.operators import system
+
+from . import worlds
 
 RNG = np.random.default_rng(3)
 
@@ -117,7 +120,7 @@ def test_field_goes_back_to_the_mean_far_away():
 
 
 def test_rotated_field_finds_the_long_axis():
-    z = fields.random_field(60, 10.0, 45, 400, 50, 1.0, 0.01, 5)
+    z = worlds.random_field(60, 10.0, 45, 400, 50, 1.0, 0.01, 5)
     pick = RNG.choice(z.size, 250, replace=False)
     at = np.column_stack([np.tile(np.arange(60), 60), np.repeat(np.arange(60), 60)]) * 10.0
     f = fields.fit_field(at[pick], z.ravel()[pick], True, trials=60)
@@ -126,39 +129,39 @@ def test_rotated_field_finds_the_long_axis():
 
 
 def test_worlds():
-    truth, surface, wells = fields.static_world(sigma=(0.0, 0.0))
+    truth, surface, wells = worlds.static_world(sigma=(0.0, 0.0))
     assert truth.shape == (100, 5) and wells.shape == (5, 5) and np.allclose(surface, truth.sum(axis=1)) and (truth >= 0).all()
-    assert not np.allclose(fields.static_world()[1], surface)
-    grown, top, seen = fields.timed_world()
+    assert not np.allclose(worlds.static_world()[1], surface)
+    grown, top, seen = worlds.timed_world()
     assert grown.shape == (12, 100, 5) and top.shape == (12, 100) and seen.shape == (12, 5, 5) and (np.diff(grown, axis=0) >= 0).all()
-    exact, whole, wells = fields.timed_world(sigma=(0, 0))
-    assert np.allclose(whole, exact.sum(axis=2)) and (wells == exact[:, list(fields.WELLS)]).all()
+    exact, whole, wells = worlds.timed_world(sigma=(0, 0))
+    assert np.allclose(whole, exact.sum(axis=2)) and (wells == exact[:, list(worlds.WELLS)]).all()
     assert abs(exact[-1].mean() - 1) < 0.3  # a base of mean 1
 
 
 def test_random_wells():
-    w = fields.random_wells(400, 20)
-    assert len(set(w)) == 20 and list(w) == sorted(w) and 0 <= w[0] and w[-1] < 400 and w == fields.random_wells(400, 20)
+    w = worlds.random_wells(400, 20)
+    assert len(set(w)) == 20 and list(w) == sorted(w) and 0 <= w[0] and w[-1] < 400 and w == worlds.random_wells(400, 20)
 
 
 def test_random_field_has_its_variogram():
     """Half the mean square of differences at lag h along the major axis is sill (1 - exp(-3 (h / a)^2))."""
     got = []
     for seed in range(30):
-        z = fields.random_field(100, 10.0, 0, 200, 200, 1.0, 0.0, seed)
+        z = worlds.random_field(100, 10.0, 0, 200, 200, 1.0, 0.0, seed)
         got.append([((z[:, k:] - z[:, :-k]) ** 2).mean() / 2 for k in (3, 6, 10)])
     wanted = [1 - np.exp(-3 * (h / 200) ** 2) for h in (30.0, 60.0, 100.0)]
     assert np.allclose(np.mean(got, axis=0), wanted, rtol=0.12)
 
 
 def test_toy_solvers_recover_the_world():
-    truth, surface, wells = fields.static_world()
+    truth, surface, wells = worlds.static_world()
     h = ls.layer_matrix(5, 0.01, 1.0, 0.0)
     m = np.array([ls.tikhonov(h, np.full(5, d)) for d in surface])
     assert m.shape == truth.shape and ((m - truth) ** 2).mean() < 10
 
 
-@pytest.mark.parametrize("name", sorted(set(nq.QUERIES) - {"q52_qp", "q70_gp", "q71_rotated_gp", "q72_kriging", "q73_grid_product", "q76_interpolation_benchmark"}))
+@pytest.mark.parametrize("name", sorted(set(nq.QUERIES) - {"q52_qp", "q70_gp", "q71_rotated_gp", "q72_kriging", "q73_grid_product"}))
 def test_numeric_queries_run(spark, name):
     got = nq.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
     assert len(got)
@@ -172,19 +175,99 @@ def test_numeric_queries_run(spark, name):
         assert sorted(got["engine"].dropna().unique()) == ["kriging", "rotated"] and got["ratio"].min() >= 1 and got["angle"].between(0, 180).all()
 
 
-def test_coupled_query_has_edges(spark, monkeypatch):
-    seen, real = {}, nq.inversion.invert_coupled
+def dense(pdf, values="w"):
+    """(T, S, L) of long rows, and the surface (T, S)."""
+    names = np.sort(pdf["station"].unique())
+    cubes = [nq.inversion._cube(pdf[pdf["station"] == k]) for k in names]
+    return names, np.stack([c[2] for c in cubes], 1), np.stack([c[3] for c in cubes], 1)
+
+
+@pytest.mark.parametrize(("lam", "lam_t"), [(0.01, 1.0), (1.0, 0.3), (0.5, 0.0)])
+def test_consensus_is_the_coupled_solution(spark, monkeypatch, lam, lam_t):
+    """Stations that share edges, one that has none, one without a signal, an edge to a station without rows; each task has one station only."""
+    rng = np.random.default_rng(13)
+    w = rng.standard_normal((9, 7, 4)).cumsum(axis=0) * 4 + 2
+    d = np.abs(w.sum(axis=2)) * rng.uniform(0.7, 1.2, 7)
+    d[:, 4] = 0.5
+    rows = spark.createDataFrame([(s, t, k + 1, float(w[t, s, k]), float(d[t, s])) for t in range(9) for s in range(7) for k in range(4)], "station int, epoch int, layer int, w double, d double")
+    pairs, weight = np.array([[0, 1], [1, 2], [0, 2], [2, 3], [3, 4]]), np.array([1.0, 0.5, 0.3, 0.8, 0.9])
+    edges = spark.createDataFrame([(int(a), int(b), float(x)) for (a, b), x in zip(pairs, weight, strict=True)] + [(6, 99, 1.0)], "a int, b int, weight double")
+    got = nq.inversion.invert_coupled(rows, edges, lam, lam_t, tolerance=1e-8).toPandas()
+    wanted, primal, dual = ls.solve_coupled(d, w, pairs, weight, lam, lam_t, rounds=20000)
+    assert max(primal, dual) < 1e-5 and got[["primal", "dual"]].to_numpy().max() < 1e-8
+    m = got.sort_values(["epoch", "station", "layer"])["m"].to_numpy().reshape(w.shape)
+    assert np.abs(m - wanted).max() < 1e-5 and (m >= 0).all()
+    assert nq.inversion.invert_coupled(rows.limit(0), edges).count() == 0
+
+
+def test_coupled_query_is_the_solution_in_one_place(spark):
+    d = "/root/testdata/sf0.01"
+    rows, edges = nq.rows(spark, d).toPandas(), system.neighbours(nq.tables.stations(spark, d), 15000.0).toPandas()
+    assert len(edges) == 75  # FIXTURES B
+    got = nq.QUERIES["q52_qp"](spark, d).toPandas()
+    names, w, surface = dense(rows)
+    at = {s: k for k, s in enumerate(names.tolist())}
+    wanted, *_ = ls.solve_coupled(surface, w, np.array([(at[a], at[b]) for a, b in zip(edges["a"], edges["b"], strict=True)]), edges["weight"].to_numpy(), 0.01, 1.0, rounds=20000)
+    m = got.sort_values(["epoch", "station", "layer"])["m"].to_numpy().reshape(w.shape)
+    assert np.abs(m - wanted).max() < 1e-5 and (m.sum(axis=2) <= np.maximum(surface, 0) + 1e-6)[:, np.abs(surface).max(axis=0) >= 10].all()
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "anisotropic", "depth"])
+def test_bayes_over_blocks_is_the_dense_formula(spark, monkeypatch, kind):
+    monkeypatch.setattr(nq.inversion, "TOGETHER", 3)
+    monkeypatch.setattr(nq.inversion, "VOXELS", 7)
+    rng = np.random.default_rng(14)
+    rows = [(t, s, k, float(rng.normal(5, 2)), 12.0 + s + t) for t in range(7) for s in (0, 1, 2, 4, 5, 8, 9) for k in (1, 2, 3)]
+    got = nq.inversion.bayes_epochs(spark.createDataFrame(rows, "epoch int, station int, layer int, w double, d double"), kind).toPandas()
+    assert len(got) == len(rows)
+    for t in range(7):
+        mine = [r for r in rows if r[0] == t]
+        s, k, w = np.array([r[1] for r in mine]), np.array([r[2] for r in mine]), np.array([r[3] for r in mine])
+        names, wells = np.unique(s), np.flatnonzero(s % 4 == 0)
+        prior = np.array([w[wells][k[wells] == x].mean() for x in k]) if kind == "depth" else np.full(len(w), w[wells].mean())
+        data = np.r_[[next(r[4] for r in mine if r[1] == x) for x in names], w[wells]]
+        at = np.column_stack([s // 4, s % 4, k - 1]).astype(float)  # a raster of 4 x 4
+        noise = np.r_[np.full(len(names), 0.25), np.full(len(wells), 0.01)]
+        mean, var = bayes.posterior(at, data, np.searchsorted(names, s), wells, noise, prior, 3.0, 3.0, None if kind == "isotropic" else 0.5)
+        one = got[got["epoch"] == t].sort_values(["station", "layer"])
+        assert np.allclose(one["mean"], mean, atol=1e-5) and np.allclose(one["std"] ** 2, var, atol=1e-5)
+    with pytest.raises(Exception, match="same voxels"):
+        nq.inversion.bayes_epochs(spark.createDataFrame(rows[:-1], "epoch int, station int, layer int, w double, d double"), kind).count()
+    monkeypatch.setattr(nq.inversion, "MOST_OBSERVED", 3)
+    with pytest.raises(ValueError, match="observations"):
+        nq.inversion.bayes_epochs(spark.createDataFrame(rows, "epoch int, station int, layer int, w double, d double"), kind)
+
+
+def test_bayes_has_no_group_of_an_epoch(spark):
+    rows = spark.createDataFrame([(t, s, k, 1.0 + t, 3.0) for t in range(40) for s in range(4) for k in (1, 2)], "epoch int, station int, layer int, w double, d double")
+    plan = nq.inversion.bayes_epochs(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan  # what is solved by group are 16 epochs of observations, checkpointed
 
-    def kept(rows, edges, *more):
-        seen["edges"] = edges
-        return real(rows, edges, *more)
 
-    monkeypatch.setattr(nq.inversion, "invert_coupled", kept)
-    got = nq.QUERIES["q52_qp"](spark, "/root/testdata/sf0.001").toPandas()
-    assert seen["edges"].count() == 75  # FIXTURES B
-    assert got[["primal", "dual"]].to_numpy().max() < 1e-5 and (got["m"] >= 0).all()
-    each = got.groupby("station")["primal"].first()
-    assert each.nunique() < len(each)  # stations of a component are solved together
+@pytest.mark.parametrize("engine", ["gp", "rotated", "kriging"])
+def test_search_by_trials_is_the_search_in_one_place(spark, engine):
+    at = np.random.default_rng(15).random((3, 18, 2)) * 30000
+    v = np.sin(at[..., 0] / 8000) + np.cos(at[..., 1] / 9000)
+    v[2] = 0
+    points = spark.createDataFrame([(k, s, *map(float, at[k, s]), float(v[k, s])) for k in range(3) for s in range(18)], "layer int, station int, x double, y double, v double")
+    got = {r.layer: r for r in nq.inversion.fit_layers(points, engine, 60).collect()}
+    for k in range(2):
+        m = nq.inversion.fit_engine(at[k] / 1000, v[k], engine, 60)
+        wanted = (m.angle, m.ratio, m.reach, m.sill, m.nugget) if engine == "kriging" else (m.angle, m.lengths[0] / m.lengths[1], m.lengths[0], m.signal, m.noise)
+        assert np.allclose([got[k].angle, got[k].ratio, got[k].major, got[k].sill, got[k].nugget], wanted)
+    assert got[2].engine is None
+
+
+def test_search_is_dealt_out_by_trials(spark):
+    points = spark.createDataFrame([(1, s, float(s * 1000), float(s * s * 100 % 7000), float(s % 5)) for s in range(12)], "layer int, station int, x double, y double, v double")
+    chunks = []
+    real = nq.inversion.cut
+    nq.inversion.cut = lambda df: (chunks.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df))[1]
+    try:
+        nq.inversion.search_models(points, "gp", hold_out=True).count()
+    finally:
+        nq.inversion.cut = real
+    assert any("RepartitionByExpression" in c and "chunk" in c for c in chunks)
 
 
 def test_pixels_are_the_whole_raster(spark):
@@ -225,6 +308,31 @@ def test_left_out_station_has_no_say(spark, engine):
     assert abs(one.loc[5, "pred"] - pred[0]) < 1e-8
 
 
+def test_models_are_no_column_of_pixels(spark):
+    points = nq.layer_points(spark, "/root/testdata/sf0.001")
+    models = nq.inversion.cut(nq.inversion.fit_layers(points, "gp", 5))
+    plan = nq.inversion.predict_layers(models, nq.inversion.grid_pixels(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "sx" not in plan
+
+
+@pytest.mark.parametrize("engine", ["gp", "rotated", "kriging"])
+def test_near_points_give_what_all_points_give(spark, monkeypatch, engine):
+    rng = np.random.default_rng(16)
+    at = rng.random((150, 2)) * 40000
+    points = spark.createDataFrame([(k, s, *map(float, at[s]), float(np.sin(at[s, 0] / 5000) + k * np.cos(at[s, 1] / 4000)) * (k < 3)) for k in (1, 2, 3) for s in range(150)], "layer int, station int, x double, y double, v double")
+    models = nq.inversion.cut(nq.inversion.fit_layers(points, engine, 10))
+    pixels = spark.createDataFrame([(p, float(rng.random() * 60000 - 5000), float(rng.random() * 40000)) for p in range(60)], "pixel int, x double, y double")
+    line = lambda df: df.toPandas().sort_values(["layer", "pixel"])[["w", "std"]].to_numpy()
+    whole = line(nq.inversion.predict_layers(models, pixels))
+    assert np.allclose(line(nq.inversion.predict_near(models, pixels, 100000.0)), whole, atol=1e-6)
+    assert np.allclose(line(nq.inversion.predict_near(models, pixels, 1000.0, least=150)), whole, atol=1e-6)  # cells grow until they hold all
+    near = line(nq.inversion.predict_near(models, pixels, 4000.0, least=30))
+    assert len(near) == 180 and np.abs(near[:, 0] - whole[:, 0]).mean() < 0.1
+    monkeypatch.setattr(nq.inversion, "MOST_POINTS", 10)
+    with pytest.raises(ValueError, match="predict_near"):
+        nq.inversion.predict_layers(models, pixels)
+
+
 def test_models_predict_alike_in_every_partition(spark):
     points = nq.layer_points(spark, "/root/testdata/sf0.001")
     pixels = nq.inversion.grid_pixels(spark).where("pixel % 50 = 0")
@@ -233,23 +341,15 @@ def test_models_predict_alike_in_every_partition(spark):
     assert np.allclose(one, many) and len(one) == 7 * 257
 
 
-def test_sparse_benchmark_scenario_finds_its_field():
-    """S7: 100 samples of a field along 45 degrees, eight times as long as wide."""
-    at, z, x, y = nq.scenario_samples("S7", "rotated")
-    f = nq.inversion.fit_engine(x, y, "rotated", 200, nq.MOST_RATIO)
+def test_sparse_samples_find_their_field():
+    """100 samples of a field along 45 degrees, eight times as long as wide."""
+    z = worlds.random_field(100, 10.0, 45, 400, 50, 1.0, 0.05, 42).ravel()
+    pick = np.random.default_rng(42).choice(z.size, 100, replace=False)
+    at = np.column_stack([np.tile(np.arange(100), 100), np.repeat(np.arange(100), 100)]) * 10.0 + 5
+    f = nq.inversion.fit_engine(at[pick], z[pick], "rotated", 200, 12.0)
     assert abs(f.angle % 180 - 45) < 15 and np.sqrt(np.mean((z - f.predict(at)[0]) ** 2)) < 1.2 * 0.7172  # BASELINE
 
 
-def test_benchmark_has_twelve_scenarios_and_whole_searches():
-    assert list(nq.SCENARIOS) == [f"S{k}" for k in range(1, 13)]
-    sizes = {(n, e): len(nq.scenario_samples(n, e)[2]) for n in nq.SCENARIOS for e in nq.ENGINES}
-    for k in range(1, 7):
-        assert (sizes[f"S{k}", "rotated"], sizes[f"S{k}", "kriging"]) == (1500, 2000)
-        assert sizes[f"S{k + 6}", "rotated"] == sizes[f"S{k + 6}", "kriging"] == 100
-        assert nq.SCENARIOS[f"S{k}"][:5] == nq.SCENARIOS[f"S{k + 6}"][:5]
-    assert {e: t for e, (_, t) in nq.ENGINES.items()} == {"rotated": 200, "kriging": 80} and nq.MOST_RATIO == 12
-
-
 def test_kriging_score_is_the_folds_error():
     rng = np.random.default_rng(4)
     x, y = rng.random((60, 2)) * 40, rng.standard_normal(60)

@@ -17,7 +17,8 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    c.execute(f"create view lineitem as select * from '{DATA}/lineitem.parquet'")
+    for t in ("lineitem", "supplier"):
+        c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return c
 
 
@@ -102,6 +103,30 @@ def test_wide_csv(spark, tmp_path):
     assert got == {("ANHE", 0, "Month_001"): 1.5, ("ANHE", 0, "Month_002"): None, ("ANHE", 10, "Month_001"): None, ("ANHE", 10, "Month_002"): 2.0}
 
 
+def test_wide_csv_in_many_parts(spark, con):
+    """Files of three rows at most: a station's rows are split over several, and all come back."""
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 3)
+    try:
+        got = rq.QUERIES["q86_wide_csv_io"](spark, DATA).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert rows(got) == rows(con.sql(rq.SQL["q86_wide_csv_io"]).df())
+
+
+def test_every_query_reads_a_table(spark, monkeypatch):
+    """The plan of each query comes from a given table, and so do the rows it writes and reads again."""
+    from lithocube import numeric_queries as nq
+    from lithocube.sources import tables
+
+    seen, real = [], tables.table
+    monkeypatch.setattr(tables, "table", lambda *a: (seen.append(a[2]), real(*a))[1])
+    for name, query in {**rq.QUERIES, **nq.QUERIES}.items():
+        seen.clear()
+        if name != "q80_run_summary":  # runs everything while it is built; it starts from the same cube
+            query(spark, DATA)
+            assert seen, name
+
+
 def test_config_precedence():
     c = RunConfig.parse("[Inversion]\nsolver = joint\nlam = 0.5\nlam_t = 2\n[Tuning]\nfixed_lam = 9\n")
     assert c.solver == "joint" and c.smoothing == (0.5, 2.0) and c.months == (0, None)
