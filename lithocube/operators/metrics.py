@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,6 +83,48 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
     return placed.withColumn("_row", inside).join(F.broadcast(starts), "_part").withColumn("rank", (F.col("_start") + F.col("_row") - 1).cast("long")).drop("_part", "_row", "_start")
 
 
+#: Bins of a round of counting.
+BINS = 4096
+
+
+def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, q, quantile): exact quantiles with linear interpolation between the two values around each. Nulls and NaN don't count; a group without
+    values has no row.
+
+    Selection by counting: values fall into BINS equal bins between their group's extremes, and these into BINS again. The first
+    round counts all bins, the second the bins within those that hold a wanted rank, and only values of the bins found then, counted by value,
+    are put in order. Counts are summed where the values are; what comes together are BINS counts of a group, and the last bins' values.
+    """
+    one = [*by] or ["_one"]
+    rows = (df if by else df.withColumn("_one", F.lit(0))).select(*one, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    spans = rows.groupBy(*one).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    spans = cut(spans)
+    rank = F.col("_q") * (F.col("_n") - 1)
+    wanted = spans.select("*", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("_q"))
+    wanted = wanted.select(*one, "_n", "_q", F.explode(F.array(F.floor(rank), F.ceil(rank))).alias("_rank")).distinct()
+    place = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS).otherwise(F.lit(0.0))
+    first = F.least(F.floor(place), F.lit(BINS - 1))
+    binned = rows.join(_sized(spans.select(*one, "_lo", "_hi")), one).withColumn("_a", first).withColumn("_b", F.least(F.floor((place - first) * BINS), F.lit(BINS - 1))).select(*one, "_v", "_a", "_b")
+
+    a = binned.groupBy(*one, "_a").agg(F.count(F.lit(1)).alias("_m")).join(_sized(wanted.select(*one, "_q", "_rank")), one)
+    a = a.withColumn("_end", F.sum("_m").over(Window.partitionBy(*one, "_q", "_rank").orderBy("_a"))).where("_end > _rank and _end - _m <= _rank")
+    in_a = cut(a.select(*one, "_a", "_q", "_rank", (F.col("_rank") - F.col("_end") + F.col("_m")).alias("_left")))
+    b = binned.join(_sized(in_a.select(*one, "_a").distinct()), [*one, "_a"]).groupBy(*one, "_a", "_b").agg(F.count(F.lit(1)).alias("_m"))
+    b = b.join(_sized(in_a), [*one, "_a"]).withColumn("_end", F.sum("_m").over(Window.partitionBy(*one, "_q", "_rank").orderBy("_b"))).where("_end > _left and _end - _m <= _left")
+    in_b = cut(b.select(*one, "_a", "_b", "_q", "_rank", (F.col("_left") - F.col("_end") + F.col("_m")).alias("_left")))
+    last = binned.join(_sized(in_b.select(*one, "_a", "_b").distinct()), [*one, "_a", "_b"]).groupBy(*one, "_a", "_b", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    last = last.join(_sized(in_b), [*one, "_a", "_b"]).withColumn("_end", F.sum("_m").over(Window.partitionBy(*one, "_q", "_rank").orderBy("_v")))
+    found = last.where("_end > _left and _end - _m <= _left").select(*one, "_q", "_rank", "_v")
+    ends = found.groupBy(*one, "_q").agg(F.min_by("_v", "_rank").alias("_low"), F.max_by("_v", "_rank").alias("_high")).join(spans.select(*one, "_n"), one)
+    part = F.col("_q") * (F.col("_n") - 1) - F.floor(F.col("_q") * (F.col("_n") - 1))
+    return ends.select(*by, F.col("_q").alias("q"), (F.col("_low") + (F.col("_high") - F.col("_low")) * part).alias("quantile"))
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """Marked for broadcast if they are 100,000 at most."""
+    return F.broadcast(rows) if rows.limit(100_001).count() <= 100_000 else rows
+
+
 def rank_picks(df: DataFrame, value: str, key: str) -> DataFrame:
     """The rows at the lowest and highest rank and a third and two thirds between, each once."""
     rows = ranked(df, value, key)

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..kernels import bayes, fields
 from ..kernels import least_squares as ls
-from ..operators import metrics, series, system, weights
+from ..operators import metrics, series, spatial, system, weights
 from ..session import cut
 from ..sources import tables
 
@@ -502,11 +502,8 @@ def interpolate(points: DataFrame, pixels: DataFrame, engine: str = "gp", trials
 
 
 def pixel_surface(pixels: DataFrame, stations: DataFrame, insar: DataFrame) -> DataFrame:
-    """(pixel, epoch, d): the surface of each pixel's nearest station that has one."""
-    sta = stations.join(insar, "station", "left_semi").select("station", F.col("x").alias("sx"), F.col("y").alias("sy"))
-    # 31 station rows
-    square = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
-    near = pixels.crossJoin(F.broadcast(sta)).groupBy("pixel").agg(F.min_by("station", F.struct(square, "station")).alias("station"))
+    """(pixel, epoch, d): the surface of each pixel's nearest station that has one, of stations as near the one of the smallest number."""
+    near = spatial.nearest(pixels, stations.join(insar, "station", "left_semi"), "pixel", "station")
     return near.join(insar, "station").select("pixel", "epoch", "d")
 
 

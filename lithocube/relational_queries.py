@@ -108,8 +108,8 @@ def left_out(s: SparkSession, d: str) -> DataFrame:
 
 
 def points(s: SparkSession, d: str) -> DataFrame:
-    """Stations with the weight of layer 1: (station, x, y, v)."""
-    return tables.stations(s, d).join(depth_weights(s, d).where("layer = 1").select("station", F.col("w").alias("v")), "station")
+    """Stations with the weight of each layer: (layer, station, x, y, v)."""
+    return tables.stations(s, d).join(depth_weights(s, d).select("layer", "station", F.col("w").alias("v")), "station")
 
 
 @register("SELECT station, layer, epoch, round(value, 6) + 0.0 AS value FROM cube")
@@ -362,7 +362,8 @@ def q37_topk_station(s, d):
 @register("SELECT round(quantile_cont(c, 0.25), 6) AS p25, round(quantile_cont(c, 0.5), 6) AS p50, round(quantile_cont(c, 0.75), 6) AS p75 FROM (SELECT sum(w) AS c FROM raw GROUP BY station)")
 def q38_coverage_percentiles(s, d):
     c = weights.station_coverage(weights.depth_weights(weights.totals(model(s, d), insar(s, d)), None))
-    return c.agg(*[r6(F.percentile("coverage", F.lit(p / 100))).alias(f"p{p}") for p in (25, 50, 75)])
+    found = metrics.exact_quantiles(c, "coverage", [0.25, 0.5, 0.75])
+    return found.agg(*[r6(F.max(F.when(F.col("q") == p / 100, F.col("quantile")))).alias(f"p{p}") for p in (25, 50, 75)])
 
 
 @register("""SELECT station, lo, hi, round(coalesce(sum(value) FILTER (depth BETWEEN lo AND hi), 0), 6) + 0.0 AS total FROM (SELECT station, layer * 10.0::DOUBLE AS depth, value FROM filled) CROSS JOIN (VALUES (0.0::DOUBLE, 20.0::DOUBLE), (20.0, 50.0), (50.0, 70.0), (300.0, 400.0)) t(lo, hi) GROUP BY 1, 2, 3""")
@@ -382,20 +383,20 @@ def q41_rotate(s, d):
     return tables.stations(s, d).select("station", F.round(u, 4).alias("u"), F.round(v, 4).alias("v"))
 
 
-PAIRS = "pr AS (SELECT p.x - q.x AS dx, p.y - q.y AS dy, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS dist, a.w - b.w AS dv FROM sta p JOIN sta q ON p.station < q.station JOIN wt a ON a.station = p.station AND a.layer = 1 JOIN wt b ON b.station = q.station AND b.layer = 1)"
+PAIRS = "pr AS (SELECT a.layer, p.x - q.x AS dx, p.y - q.y AS dy, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS dist, a.w - b.w AS dv FROM sta p JOIN sta q ON p.station < q.station JOIN wt a ON a.station = p.station JOIN wt b ON b.station = q.station AND b.layer = a.layer)"
 
 
-@register(f", {PAIRS} SELECT (ceil(dist / 4000) - 1)::INT AS bin, round((ceil(dist / 4000) - 0.5) * 4000, 6) AS lag, round(avg(dv * dv) / 2, 6) + 0.0 AS semivariance, count(*)::BIGINT AS n_pairs FROM pr WHERE dist > 0 AND dist <= 40000 GROUP BY 1, 2")
+@register(f", {PAIRS} SELECT layer, (ceil(dist / 4000) - 1)::INT AS bin, round((ceil(dist / 4000) - 0.5) * 4000, 6) AS lag, round(avg(dv * dv) / 2, 6) + 0.0 AS semivariance, count(*)::BIGINT AS n_pairs FROM pr WHERE dist > 0 AND dist <= 40000 GROUP BY 1, 2, 3")
 def q42_variogram_omni(s, d):
-    out = spatial.empirical_variogram(spatial.pairs(points(s, d), 40000.0), 4000.0, 10)
-    return out.select("bin", r6("lag").alias("lag"), r6("semivariance").alias("semivariance"), "n_pairs")
+    out = spatial.empirical_variogram(spatial.pairs(points(s, d), 40000.0, by=["layer"]), 4000.0, 10, ["layer"])
+    return out.select("layer", "bin", r6("lag").alias("lag"), r6("semivariance").alias("semivariance"), "n_pairs")
 
 
 @register(f""", {PAIRS}, ang AS (SELECT *, ((degrees(atan2(dy, dx)) % 180) + 180) % 180 AS axis FROM pr WHERE dist > 0 AND dist <= 40000)
- SELECT direction, (ceil(dist / 8000) - 1)::INT AS bin, round(avg(dv * dv) / 2, 6) + 0.0 AS semivariance, count(*)::BIGINT AS n_pairs FROM ang JOIN (VALUES (0.0::DOUBLE), (45.0), (90.0), (135.0)) t(direction) ON least(abs(axis - direction), 180 - abs(axis - direction)) <= 22.5 GROUP BY 1, 2""")
+ SELECT layer, direction, (ceil(dist / 8000) - 1)::INT AS bin, round(avg(dv * dv) / 2, 6) + 0.0 AS semivariance, count(*)::BIGINT AS n_pairs FROM ang JOIN (VALUES (0.0::DOUBLE), (45.0), (90.0), (135.0)) t(direction) ON least(abs(axis - direction), 180 - abs(axis - direction)) <= 22.5 GROUP BY 1, 2, 3""")
 def q43_variogram_dir(s, d):
-    near = spatial.in_direction(spatial.pairs(points(s, d), 40000.0), [0.0, 45.0, 90.0, 135.0])
-    return spatial.empirical_variogram(near, 8000.0, 5, ["direction"]).select("direction", "bin", r6("semivariance").alias("semivariance"), "n_pairs")
+    near = spatial.in_direction(spatial.pairs(points(s, d), 40000.0, by=["layer"]), [0.0, 45.0, 90.0, 135.0])
+    return spatial.empirical_variogram(near, 8000.0, 5, ["layer", "direction"]).select("layer", "direction", "bin", r6("semivariance").alias("semivariance"), "n_pairs")
 
 
 @register(f", {EDGES}" + """ SELECT a, b, round(h, 6) AS h, round(0.2 + 0.8 * (1 - exp(-pow(h / 10, 1.5))), 6) AS stable,
@@ -424,14 +425,14 @@ def q46_rmss(s, d):
     return predicted(s, d).groupBy("layer").agg(r6(metrics.rmss(F.col("pred"), F.col("truth"), 1 + F.abs("pred"))).alias("rmss"))
 
 
-@register(""", pt AS (SELECT s.x / 1000 AS x, s.y / 1000 AS y, w AS v FROM sta s JOIN wt ON wt.station = s.station AND layer = 1), ne AS (SELECT least(10, count(*) // 3) AS e FROM pt),
- tu AS (SELECT angle, v, x * cos(radians(-angle)) + y * sin(radians(-angle)) AS u FROM pt CROSS JOIN (SELECT i * 22.5::DOUBLE AS angle FROM range(8) t(i))),
- pl AS (SELECT angle, v, floor((u - min(u) OVER p) / (max(u) OVER p - min(u) OVER p) * (e - 1)) + 1 AS bin, e FROM tu, ne WINDOW p AS (PARTITION BY angle)),
- per AS (SELECT angle, avg(vp) AS variance FROM (SELECT angle, bin, var_pop(v) AS vp FROM pl WHERE bin < e GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1)
- SELECT angle, round(variance, 6) AS variance, round(max(variance) OVER () / (min(variance) OVER () + 1e-10::DOUBLE), 3) AS ratio, max(variance) OVER () / (min(variance) OVER () + 1e-10::DOUBLE) > 1.5 AS anisotropic FROM per""")
+@register(""", pt AS (SELECT layer, s.x / 1000 AS x, s.y / 1000 AS y, w AS v FROM sta s JOIN wt ON wt.station = s.station), ne AS (SELECT layer, least(10, count(*) // 3) AS e FROM pt GROUP BY 1),
+ tu AS (SELECT layer, angle, v, x * cos(radians(-angle)) + y * sin(radians(-angle)) AS u FROM pt CROSS JOIN (SELECT i * 22.5::DOUBLE AS angle FROM range(8) t(i))),
+ pl AS (SELECT layer, angle, v, floor((u - min(u) OVER p) / (max(u) OVER p - min(u) OVER p) * (e - 1)) + 1 AS bin, e FROM tu JOIN ne USING (layer) WINDOW p AS (PARTITION BY layer, angle)),
+ per AS (SELECT layer, angle, avg(vp) AS variance FROM (SELECT layer, angle, bin, var_pop(v) AS vp FROM pl WHERE bin < e GROUP BY 1, 2, 3 HAVING count(*) > 1) GROUP BY 1, 2)
+ SELECT layer, angle, round(variance, 6) AS variance, round(max(variance) OVER l / (min(variance) OVER l + 1e-10::DOUBLE), 3) AS ratio, max(variance) OVER l / (min(variance) OVER l + 1e-10::DOUBLE) > 1.5 AS anisotropic FROM per WINDOW l AS (PARTITION BY layer)""")
 def q47_anisotropy_screen(s, d):
     p = points(s, d).withColumns({"x": F.col("x") / 1000, "y": F.col("y") / 1000})
-    return spatial.anisotropy_screen(p).select("angle", r6("variance").alias("variance"), F.round("ratio", 3).alias("ratio"), "anisotropic")
+    return spatial.anisotropy_screen(p, by=["layer"]).select("layer", "angle", r6("variance").alias("variance"), F.round("ratio", 3).alias("ratio"), "anisotropic")
 
 
 @register("SELECT epoch, round(20.0::DOUBLE / 60 * epoch + 5 * sin(2 * pi() * epoch / 12), 6) + 0.0 AS s FROM ep")
@@ -458,7 +459,8 @@ def q57_sanity_counts(s, d):
 
 @register("SELECT layer, round(quantile_cont(abs(value), 0.95), 6) AS p95, round(quantile_cont(abs(value), 0.98), 6) AS p98 FROM obs GROUP BY 1")
 def q58_colour_limits(s, d):
-    return tables.observations(s, d).groupBy("layer").agg(*[r6(F.percentile(F.abs("value"), F.lit(p / 100))).alias(f"p{p}") for p in (95, 98)])
+    found = metrics.exact_quantiles(tables.observations(s, d).withColumn("size", F.abs("value")), "size", [0.95, 0.98], ["layer"])
+    return found.groupBy("layer").agg(*[r6(F.max(F.when(F.col("q") == p / 100, F.col("quantile")))).alias(f"p{p}") for p in (95, 98)])
 
 
 @register(f""", lm AS (SELECT max(dist) AS far, median(nn) AS nn, count(*) AS n FROM (SELECT station, min(dist) AS nn, max(dist) AS dist FROM (SELECT p.station, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS dist FROM sta p JOIN sta q ON p.station <> q.station) GROUP BY 1)),
@@ -658,3 +660,11 @@ def q103_deep_residual_std(s, d):
     d = tables.shared(s, d)
     out = weights.deep_residual_std(with_std(s, d), insar(s, d))
     return out.select("station", "epoch", r6("residual").alias("residual"), (F.round("residual_std", 9) + F.lit(0.0)).alias("residual_std"))
+
+
+@register(""" SELECT pixel, station, round(sqrt(square), 6) AS dist FROM (SELECT c::INT AS pixel, arg_min(sta.station, (square, sta.station)) AS station, min(square) AS square FROM (
+ SELECT DISTINCT c, sta.station, (160000 + 500 * (c % 10) - sta.x) * (160000 + 500 * (c % 10) - sta.x) + (2600000 + 500 * (c // 10) - sta.y) * (2600000 + 500 * (c // 10) - sta.y) AS square FROM surf JOIN range(120) r(c) ON c % 31 = surf.station CROSS JOIN sta) sta GROUP BY 1)""")
+def q104_nearest_station(s, d):
+    """The station nearest to each pixel of a raster."""
+    pixels = tables.raster(s, d).select((F.col("y_idx") * 10 + F.col("x_idx")).alias("pixel"), "x", "y").distinct()
+    return spatial.nearest(pixels, tables.stations(s, d), "pixel", "station").select("pixel", "station", r6(F.sqrt("square")).alias("dist"))

@@ -209,3 +209,51 @@ def test_entry_without_the_corpus_operators(monkeypatch):
     for name in [m for m in sys.modules if m.startswith("lithocube.llm.") or m == "corpus_pipeline"]:
         monkeypatch.delitem(sys.modules, name)
     assert "q29_deep_residual" in entry.queries() and not any(n.startswith("op") for n in entry.queries()) and not any(n.startswith("op") for n in entry.oracle_sql())
+
+
+@pytest.mark.parametrize("spread", ["even", "clustered", "line", "same"])
+def test_nearest_neighbours(spark, spread):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    at = {"even": rng.random((80, 2)) * 1e5, "clustered": np.vstack([rng.normal(0, 5, (60, 2)), rng.random((20, 2)) * 1e6]), "line": np.column_stack([np.arange(80) * 100.0, np.zeros(80)]), "same": np.ones((80, 2))}[spread]
+    asked = np.vstack([rng.random((50, 2)) * 2e5 - 5e4, at[:5], (at[:5] + at[5:10]) / 2])
+    right = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(at)] + [(999, None, 1.0)], "s int, x double, y double").repartition(3)
+    left = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(asked)], "p int, x double, y double")
+    square = ((asked[:, None] - at[None]) ** 2).sum(axis=2)
+    got = {r.p: (r.s, r.square) for r in spatial.nearest(left, right, "p", "s").collect()}
+    assert len(got) == len(asked) and all(got[k][0] == int(np.flatnonzero(d == d.min())[0]) and np.isclose(got[k][1], d.min()) for k, d in enumerate(square))
+    own = ((at[:, None] - at[None]) ** 2).sum(axis=2) + np.diag(np.full(80, np.inf))
+    got = {r.s: (r.o, r.square) for r in spatial.nearest(right, right.withColumnRenamed("s", "o"), "s", "o", others=True).collect()}
+    assert len(got) == 80 and all(np.isclose(got[k][1], d.min()) and got[k][0] == int(np.flatnonzero(d == d.min())[0]) for k, d in enumerate(own))
+    assert np.isclose(spatial.farthest(right), np.sqrt(np.where(np.isfinite(own), own, 0).max()))
+    assert spatial.nearest(left, right.limit(0), "p", "s").count() == 0 and spatial.nearest(left.limit(0), right, "p", "s").count() == 0
+
+
+def test_nearest_has_no_product_in_its_plan(spark):
+    left, right = (spark.createDataFrame([(k, float(k), 1.0) for k in range(9)], f"{n} int, x double, y double") for n in ("p", "s"))
+    plan = spatial.nearest(left, right, "p", "s")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("values", [[5.0], [1.0, 1.0, 1.0, 2.0], [float(k * k % 97) for k in range(1000)], [1e9, -1e9] + [k / 1e6 for k in range(500)], [0.1] * 300 + [0.2] * 300])
+def test_exact_quantiles(spark, values):
+    import numpy as np
+
+    asked = [0.0, 0.25, 0.5, 0.95, 1.0]
+    rows = [(g, float(v) * (g + 1)) for g in (0, 1) for v in values] + [(2, None), (0, float("nan"))]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(3)
+    got = {(r.g, r.q): r.quantile for r in metrics.exact_quantiles(df, "v", asked, ["g"]).collect()}
+    wanted = {(g, q): np.quantile(np.array(values) * (g + 1), q) for g in (0, 1) for q in asked}
+    assert got.keys() == wanted.keys() and all(np.isclose(got[k], wanted[k], rtol=1e-12) for k in wanted)
+    whole = metrics.exact_quantiles(df.where("g = 0"), "v", [0.5]).collect()
+    assert len(whole) == 1 and np.isclose(whole[0].quantile, wanted[0, 0.5])
+    assert metrics.exact_quantiles(df.limit(0), "v", asked, ["g"]).count() == 0
+
+
+def test_screen_has_no_window(spark):
+    points = spark.createDataFrame([(1, float(k), float(k * k % 7), float(k % 3)) for k in range(40)], "layer int, x double, y double, v double")
+    out = spatial.anisotropy_screen(points, by=["layer"])
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 8
+    few = spatial.anisotropy_screen(points.where("x < 4")).collect()  # too few for bins: the variance of all
+    assert len({round(r.variance, 9) for r in few}) == 1
