@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -104,12 +104,18 @@ class FieldSearch:
 
     refined, last = None, 200  # every sector of angles is refined, the best of them to the end
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rotated: bool, most_ratio: float = 10.0, trials: int = 60, seed: int = 42):
+    def __init__(self, x: np.ndarray, y: np.ndarray, rotated: bool, most_ratio: float = 10.0, trials: int = 60, seed: int = 42, bounds: Mapping[str, float | None] | None = None):
+        """bounds: length_scale, noise_level (where the search begins), each with _min and _max, angle_min and angle_max; what is missing or None
+        comes from the extent of the points."""
         self.x, self.y, self.rotated, self.rounds = x, y, rotated, 40 if rotated else 0
         span = float(np.ptp(x, axis=0).max()) or 1.0
-        self.low = np.log([span * 0.01, 1e-2, 1e-8] + ([1.0, 1.0] if rotated else []))
-        self.high = np.log([span * 4, 1e2, 1.0] + ([most_ratio, np.exp(180.0)] if rotated else []))
-        start = np.clip(np.log([span * 0.2, 1.0, 1e-2] + ([1.5, 1.0] if rotated else [])), self.low, self.high)
+        of = lambda name, default: default if (bounds or {}).get(name) is None else bounds[name]
+        angles = (of("angle_min", 0.0), of("angle_max", 180.0))
+        logs = lambda length, signal, noise, ratio: np.log([length, signal, noise] + ([ratio] if rotated else []))
+        last = lambda p, angle: np.r_[p, angle] if rotated else p
+        self.low = last(logs(of("length_scale_min", span * 0.01), 1e-2, of("noise_level_min", 1e-8), 1.0), angles[0])
+        self.high = last(logs(of("length_scale_max", span * 4), 1e2, of("noise_level_max", 1.0), most_ratio), angles[1])
+        start = np.clip(last(logs(of("length_scale", span * 0.2), 1.0, of("noise_level", 1e-2), 1.5), 0.0), self.low, self.high)
         self.trials = np.vstack([start, self.low + (self.high - self.low) * np.random.default_rng(seed).random((trials, len(start)))])
 
     def made(self, p: np.ndarray) -> Field:

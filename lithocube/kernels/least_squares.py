@@ -102,11 +102,12 @@ def station_hessian(epochs: int, layers: int, lam: float, lam_t: float, dz: floa
     return np.kron(np.eye(epochs), layer_matrix(layers, lam, dz)) + lam_t * np.kron(d.T @ d, np.eye(layers))
 
 
-def solve_joint(surface: np.ndarray, wells: np.ndarray, lam: float, lam_t: float, dz: float = 1.0) -> tuple[np.ndarray, float]:
-    """Compaction (T, L) of one station from its surface series (T) and its layers' series (T, L), m >= 0."""
+def solve_joint(surface: np.ndarray, wells: np.ndarray, lam: float, lam_t: float, dz: float = 1.0, sigma: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
+    """Compaction (T, L) of one station from its surface series (T) and its layers' series (T, L), m >= 0. sigma: spreads of surface and wells."""
     t, n = wells.shape
-    right = dz * surface[:, None] + wells
-    layer, d = layer_matrix(n, lam, dz), first_difference(t)
+    ws, ww = 1 / sigma[0] ** 2, 1 / sigma[1] ** 2
+    right = ws * dz * surface[:, None] + ww * wells
+    layer, d = layer_matrix(n, lam, dz, ww, ws), first_difference(t)
     a, u = np.linalg.eigh(layer)
     b, v = np.linalg.eigh(d.T @ d)
     whole = v @ ((v.T @ right @ u) / (lam_t * b[:, None] + a[None, :])) @ u.T
@@ -116,9 +117,10 @@ def solve_joint(surface: np.ndarray, wells: np.ndarray, lam: float, lam_t: float
     return x.reshape(t, n), off
 
 
-def solve_independent(surface: np.ndarray, wells: np.ndarray, lam: float, dz: float = 1.0) -> tuple[np.ndarray, float]:
+def solve_independent(surface: np.ndarray, wells: np.ndarray, lam: float, dz: float = 1.0, sigma: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
     """Each epoch by itself."""
-    h, right = layer_matrix(wells.shape[1], lam, dz), dz * surface[:, None] + wells
+    ws, ww = 1 / sigma[0] ** 2, 1 / sigma[1] ** 2
+    h, right = layer_matrix(wells.shape[1], lam, dz, ww, ws), ws * dz * surface[:, None] + ww * wells
     m = np.linalg.solve(h, right.T).T
     off = float(np.abs(m @ h - right).max(initial=0.0))
     for t in np.flatnonzero(m.min(axis=1) < 0):  # in all other epochs no bound is met

@@ -183,7 +183,7 @@ def q79_fold_validation(s, d):
 @register
 def q80_run_summary(s, d):
     """One row for each figure of a run with preset smoothing: (stage, name, value)."""
-    from .sources.files import RunConfig
+    from .settings import RunConfig
 
     d = tables.shared(s, d)
     config = RunConfig.parse("[Inversion]\nsolver = joint\nlam = 0.01\nlam_t = 3.0\n")

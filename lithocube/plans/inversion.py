@@ -5,7 +5,8 @@ from __future__ import annotations
 import itertools
 import os
 import pickle
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,12 +17,16 @@ from pyspark.sql.window import Window
 from ..kernels import bayes, fields
 from ..kernels import least_squares as ls
 from ..operators import metrics, series, spatial, system, weights
-from ..session import cut
+from ..session import cut, shared_dir
+from ..settings import RunConfig
 from ..sources import tables
+from ..stages import Stages, fingerprint
 
 for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
     os.environ.setdefault(_name, "1")
 
+#: Bounds of a Gaussian process's search, see FieldSearch.
+Bounds = Mapping[str, float | None] | None
 #: The search grid of the two smoothing parameters, as powers of ten.
 LAM, LAM_T = [10.0 ** (-5 + 0.5 * k) for k in range(11)], [10.0 ** (-2 + 0.25 * k) for k in range(13)]
 #: Trials of each engine's search.
@@ -45,14 +50,14 @@ def _long(pdf: pd.DataFrame, keys: dict, epochs: np.ndarray, layers: np.ndarray,
     return out
 
 
-def invert(rows: DataFrame, solver: str = "joint", lam: float = 0.01, lam_t: float = 3.0) -> DataFrame:
+def invert(rows: DataFrame, solver: str = "joint", lam: float = 0.01, lam_t: float = 3.0, sigma: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """(station, epoch, layer, m, kkt): non-negative compaction. The problem separates by station, so each is one task's group."""
     if solver not in ("joint", "independent"):
         raise ValueError(f"unknown solver {solver!r}: joint or independent; cvxpy is invert_coupled")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         epochs, layers, w, d = _cube(pdf)
-        m, off = ls.solve_joint(d, w, lam, lam_t) if solver == "joint" else ls.solve_independent(d, w, lam)
+        m, off = ls.solve_joint(d, w, lam, lam_t, sigma=sigma) if solver == "joint" else ls.solve_independent(d, w, lam, sigma=sigma)
         return _long(pdf, {"station": int(pdf["station"].iloc[0])}, epochs, layers, m, kkt=off)[["station", "epoch", "layer", "m", "kkt"]]
 
     return rows.groupBy("station").applyInPandas(solve, "station int, epoch int, layer int, m double, kkt double")
@@ -81,7 +86,7 @@ ROUNDS, MOST_ROUNDS = 8, 2000
 MESSAGES = "station int, sender int, body binary, primal double, dual double"
 
 
-def invert_coupled(rows: DataFrame, edges: DataFrame, lam: float = 0.01, lam_t: float = 1.0, tolerance: float = 1e-6) -> DataFrame:
+def invert_coupled(rows: DataFrame, edges: DataFrame, lam: float = 0.01, lam_t: float = 1.0, tolerance: float = 1e-6, sigma: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """(station, epoch, layer, m, primal, dual) with neighbours coupled along edges (a, b, weight) and layers bounded by the surface.
 
     Consensus among stations (`least_squares.Station`): in a round every station gets its neighbours' proposals by one shuffle on the station
@@ -104,7 +109,7 @@ def invert_coupled(rows: DataFrame, edges: DataFrame, lam: float = 0.01, lam_t:
     def begin(pdf: pd.DataFrame) -> pd.DataFrame:
         found = next((x for x in pdf["near"] if x is not None), [])
         epochs, layers, w, d = _cube(pdf)
-        part = ls.Station(d, w, np.array([e["weight"] for e in found]), lam, lam_t)
+        part = ls.Station(d, w, np.array([e["weight"] for e in found]), lam, lam_t, sigma)
         part.rho, keep = part.rho * 0, part.rho  # no copies yet
         part.solve()
         part.rho = keep
@@ -224,7 +229,7 @@ def posterior_spread(rows: DataFrame, lam: float, lam_t: float) -> DataFrame:
     return rows.select("station", "epoch", "layer").groupBy("station").applyInPandas(spread, "station int, epoch int, layer int, std double")
 
 
-def forward_validation(rows: DataFrame, folds: DataFrame, lam: float, lam_t: float) -> DataFrame:
+def forward_validation(rows: DataFrame, folds: DataFrame, lam: float, lam_t: float, sigma: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """(fold, station, epoch, layer, pred, truth): every fold trains on the epochs before its window; all folds in one job."""
     # three fold rows
     spread = rows.join(F.broadcast(folds), F.col("epoch") <= F.col("val_end"))
@@ -233,7 +238,7 @@ def forward_validation(rows: DataFrame, folds: DataFrame, lam: float, lam_t: flo
         end = int(pdf["train_end"].iloc[0])
         epochs, layers, w, d = _cube(pdf)
         train = epochs <= end
-        m, _ = ls.solve_joint(d[train], w[train], lam, lam_t)
+        m, _ = ls.solve_joint(d[train], w[train], lam, lam_t, sigma=sigma)
         share = m[-1] / (d[train][-1] if d[train][-1] > 0 else 1.0)
         share = share * min(1.0, weights.CAP / max(share.sum(), 1e-9))
         pred = d[~train, None] * share[None, :]
@@ -243,19 +248,19 @@ def forward_validation(rows: DataFrame, folds: DataFrame, lam: float, lam_t: flo
     return spread.groupBy("fold", "station").applyInPandas(solve, "fold int, station int, epoch int, layer int, pred double, truth double")
 
 
-def engine_search(x: np.ndarray, y: np.ndarray, engine: str, trials: int | None = None, most_ratio: float = 10.0, splits: int = 5) -> fields.FieldSearch | fields.KrigingSearch:
+def engine_search(x: np.ndarray, y: np.ndarray, engine: str, trials: int | None = None, most_ratio: float = 10.0, splits: int = 5, bounds: Bounds = None) -> fields.FieldSearch | fields.KrigingSearch:
     """The search of an engine: gp (one length), rotated (angle and two lengths) or kriging."""
     trials = trials or TRIALS[engine]
     if engine == "kriging":
         return fields.KrigingSearch(x, y, most_ratio, trials, splits)
-    return fields.FieldSearch(x, y, engine == "rotated", most_ratio, trials)
+    return fields.FieldSearch(x, y, engine == "rotated", most_ratio, trials, bounds=bounds)
 
 
 #: Trials that are scored together.
 CHUNK = 25
 
 
-def search_models(points: DataFrame, engine: str = "gp", trials: int | None = None, most_ratio: float = 10.0, hold_out: bool = False, splits: int = 5) -> DataFrame:
+def search_models(points: DataFrame, engine: str = "gp", trials: int | None = None, most_ratio: float = 10.0, hold_out: bool = False, splits: int = 5, bounds: Bounds = None) -> DataFrame:
     """(layer, held, points, params): each layer's best parameters, and if asked those without each station; null where all values are 0 or
     fewer than three points are left. points: (station, x, y, v) in km of the layer, a few thousand at most.
 
@@ -271,7 +276,7 @@ def search_models(points: DataFrame, engine: str = "gp", trials: int | None = No
     def search_of(points_: list, held: object) -> fields.FieldSearch | fields.KrigingSearch | None:
         left = [p for p in points_ if held is None or p["station"] != held]
         x, y = np.array([[p["x"], p["y"]] for p in left]).reshape(-1, 2), np.array([p["v"] for p in left])
-        return engine_search(x, y, engine, count, most_ratio, splits) if np.any(y) and (held is None or len(y) >= 3) else None
+        return engine_search(x, y, engine, count, most_ratio, splits, bounds) if np.any(y) and (held is None or len(y) >= 3) else None
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         last, search = None, None
@@ -328,11 +333,11 @@ def search_models(points: DataFrame, engine: str = "gp", trials: int | None = No
     return jobs.join(found, (F.col("layer") == F.col("_l")) & F.col("held").eqNullSafe(F.col("_h")), "left").drop("_l", "_h")
 
 
-def leave_one_out(points: DataFrame, engine: str = "gp", trials: int | None = None, most_ratio: float = 10.0, splits: int = 5) -> DataFrame:
+def leave_one_out(points: DataFrame, engine: str = "gp", trials: int | None = None, most_ratio: float = 10.0, splits: int = 5, bounds: Bounds = None) -> DataFrame:
     """(layer, station, pred, std, truth): for each layer and station the value at its place from all other stations. The engine's
     whole search is made again without the station held out (`search_models`). The inversion separates by station, so the others' solutions
     are reused."""
-    found = search_models(points, engine, trials, most_ratio, hold_out=True, splits=splits)
+    found = search_models(points, engine, trials, most_ratio, hold_out=True, splits=splits, bounds=bounds)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -345,7 +350,7 @@ def leave_one_out(points: DataFrame, engine: str = "gp", trials: int | None = No
                 pred, std = np.nan, np.nan
                 if r["params"] is not None:
                     try:
-                        mean, spread = engine_search(left[:, :2], left[:, 2], engine, 1, most_ratio, splits).made(np.array(r["params"])).predict(np.array([[x0, y0]]))
+                        mean, spread = engine_search(left[:, :2], left[:, 2], engine, 1, most_ratio, splits, bounds).made(np.array(r["params"])).predict(np.array([[x0, y0]]))
                         pred, std = float(mean[0]), float(spread[0])
                     except np.linalg.LinAlgError:
                         pass
@@ -357,16 +362,16 @@ def leave_one_out(points: DataFrame, engine: str = "gp", trials: int | None = No
     return found.mapInPandas(predict, "layer int, station int, pred double, std double, truth double")
 
 
-def grid_search(rows: DataFrame, train_end: int, val_end: int, lams: list[float] = LAM, lams_t: list[float] = LAM_T) -> DataFrame:
+def grid_search(rows: DataFrame, train_end: int, val_end: int, lams: Sequence[float] = LAM, lams_t: Sequence[float] = LAM_T, solver: str = "joint", sigma: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """(lam, lam_t, mean_rmse, max_rmse): the whole grid on one fold. A station's rows come to one task once, which goes through all
-    cells of the grid."""
+    cells of the grid. The coupled solver is scored as the joint one, station by station."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         epochs, layers, w, d = _cube(pdf)
         train = epochs <= train_end
         out = []
         for lam, lam_t in itertools.product(lams, lams_t):
-            m, _ = ls.solve_joint(d[train], w[train], lam, lam_t)
+            m, _ = ls.solve_independent(d[train], w[train], lam, sigma=sigma) if solver == "independent" else ls.solve_joint(d[train], w[train], lam, lam_t, sigma=sigma)
             share = m[-1] / (d[train][-1] if d[train][-1] > 0 else 1.0)
             e = d[~train, None] * share[None, :] - w[~train]
             out.append(pd.DataFrame({"lam": lam, "lam_t": lam_t, "layer": layers, "sse": (e * e).sum(axis=0), "n": float(len(e))}))
@@ -403,7 +408,7 @@ def held_out_error(x: np.ndarray, y: np.ndarray, model: fields.Field | fields.Kr
 MODEL = "layer int, engine string, variogram string, angle double, ratio double, major double, minor double, sill double, nugget double, shape double, sx array<double>, sy array<double>, sv array<double>"
 
 
-def fit_layers(points: DataFrame, engine: str = "gp", trials: int | None = None, most_ratio: float = 10.0, splits: int = 5) -> DataFrame:
+def fit_layers(points: DataFrame, engine: str = "gp", trials: int | None = None, most_ratio: float = 10.0, splits: int = 5, bounds: Bounds = None) -> DataFrame:
     """(layer, engine, variogram, angle, ratio, major, minor, sill, nugget, shape, sx, sy, sv): each layer's model with its points in km, a
     few thousand at most, by `search_models`. A layer of zeros has no engine."""
 
@@ -413,14 +418,14 @@ def fit_layers(points: DataFrame, engine: str = "gp", trials: int | None = None,
                 at = np.array([(p["x"], p["y"], p["v"]) for p in r["points"]]).reshape(-1, 3)
                 out = {"layer": int(r["layer"]), "engine": None, "variogram": None, "angle": 0.0, "ratio": 1.0, "major": 0.0, "minor": 0.0, "sill": 0.0, "nugget": 0.0, "shape": 1.0, "sx": at[:, 0].tolist(), "sy": at[:, 1].tolist(), "sv": at[:, 2].tolist()}
                 if r["params"] is not None:
-                    m = engine_search(at[:, :2], at[:, 2], engine, 1, most_ratio, splits).made(np.array(r["params"]))
+                    m = engine_search(at[:, :2], at[:, 2], engine, 1, most_ratio, splits, bounds).made(np.array(r["params"]))
                     if engine == "kriging":
                         out |= {"engine": engine, "variogram": m.model, "angle": m.angle, "ratio": m.ratio, "major": m.reach, "minor": m.reach / m.ratio, "sill": m.sill, "nugget": m.nugget, "shape": m.shape}
                     else:
                         out |= {"engine": engine, "variogram": "matern52", "angle": m.angle, "ratio": m.lengths[0] / m.lengths[1], "major": m.lengths[0], "minor": m.lengths[1], "sill": m.signal, "nugget": m.noise}
                 yield pd.DataFrame([out])
 
-    return search_models(points, engine, trials, most_ratio, splits=splits).mapInPandas(describe, MODEL)
+    return search_models(points, engine, trials, most_ratio, splits=splits, bounds=bounds).mapInPandas(describe, MODEL)
 
 
 #: Points of all models that are sent to every worker at most, 24 bytes each.
@@ -507,12 +512,13 @@ def pixel_surface(pixels: DataFrame, stations: DataFrame, insar: DataFrame) -> D
     return near.join(insar, "station").select("pixel", "epoch", "d")
 
 
-def grid_product(weights_: DataFrame, insar_grid: DataFrame) -> DataFrame:
-    """(pixel, epoch, d, residual, residual_std, low_confidence): layers are summed before the join with time."""
+def grid_product(weights_: DataFrame, insar_grid: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """(pixel, epoch, d, residual, residual_std, low_confidence): layers are summed before the join with time. Pixels with a layer of a spread
+    above the threshold have low confidence."""
     safe = weights.normalise(weights_, "pixel")
     spread = safe.groupBy("pixel").agg(F.sqrt(F.sum(F.col("std") * F.col("std"))).alias("s"), F.max("std").alias("top"))
     deep = weights.deep_residual(safe, insar_grid, "pixel")
-    return deep.join(spread, "pixel").select("pixel", "epoch", "d", "residual", (F.col("s") * F.abs("d")).alias("residual_std"), (F.col("top") > 0.1).alias("low_confidence"))
+    return deep.join(spread, "pixel").select("pixel", "epoch", "d", "residual", (F.col("s") * F.abs("d")).alias("residual_std"), F.coalesce(F.col("top") > threshold, F.lit(False)).alias("low_confidence"))
 
 
 def _window(df: DataFrame, value: str, keys: list[str], start: int, end: int) -> DataFrame:
@@ -522,64 +528,79 @@ def _window(df: DataFrame, value: str, keys: list[str], start: int, end: int) ->
     return cut.withColumn(value, F.col(value) - F.coalesce("_before", F.lit(0.0))).withColumn("epoch", (F.col("epoch") - start).cast("int")).drop("_before")
 
 
-def engine_of(config) -> tuple[str, int, float]:
-    """(engine, trials, largest ratio) of the settings' interpolation sections."""
-    method, mode = config.get("SpatialInterpolation", "method", "gp"), config.get("GP", "gp_mode", "isotropic")
-    if method == "kriging":
-        return method, config.get("Kriging", "n_trials", TRIALS["kriging"], int), config.get("Kriging", "max_anisotropy", 3.0, float)
-    if method != "gp" or mode not in ("isotropic", "anisotropic"):
-        raise ValueError(f"unknown interpolation {method!r}, gp_mode {mode!r}")
-    engine = "gp" if mode == "isotropic" else "rotated"
-    return engine, TRIALS[engine], config.get("GP", "max_anisotropy", 10.0, float)
-
-
-def run(config, spark: SparkSession, model: DataFrame, insar: DataFrame, stations: DataFrame, n_epochs: int) -> dict[str, DataFrame]:
+def run(config: RunConfig, spark: SparkSession, model: DataFrame, insar: DataFrame, stations: DataFrame, n_epochs: int, pixels: DataFrame | None = None, store: Stages | None = None) -> dict[str, DataFrame]:
     """The orchestrated run over the months of the settings: tuning unless smoothing is preset, inversion, validation, gridding, the
-    product and its total spread; lazy tables by name, their epochs count from month_start. Solver cvxpy couples stations within 15 km;
-    it validates in time by itself. Leaving a station out reuses the others' solutions, which is exact but for cvxpy."""
-    if config.solver not in ("joint", "independent", "cvxpy"):
-        raise ValueError(f"unknown solver {config.solver!r}")
-    engine, trials, most_ratio = engine_of(config)
+    product and, if both validations are asked for, its total spread; tables by name, their epochs count from month_start. pixels (pixel, x, y):
+    the bound raster if there are none.
+
+    Each stage is a stored table in the `store` (one of this run's own in the shared folder if none is given), under a key of the settings it
+    looks at and of what it is made from: what is there is taken, and a changed setting makes only what depends on it. Solver cvxpy couples
+    stations within 15 km. Leaving a station out reuses the others' solutions, which is exact but for cvxpy.
+    """
+    store = store or Stages(spark, f"{shared_dir(spark)}/run-{uuid.uuid4().hex}")
     start, end = config.months
     end = n_epochs - 1 if end is None else min(end, n_epochs - 1)
     n = end - start + 1
+    out: dict[str, DataFrame] = {}
+    keys: dict[str, str] = {"model_": fingerprint(model), "insar_": fingerprint(insar), "stations_": fingerprint(stations)}
+    pixels = grid_pixels(spark) if pixels is None else pixels
+    keys["pixels_"] = fingerprint(pixels)
+
+    def stage(name: str, settings: dict, inputs: Sequence[str], make: Callable[[], DataFrame]) -> DataFrame:
+        out[name], keys[name] = store.stage(name, settings, [keys[k] for k in inputs], make)
+        return out[name]
+
+    months = {"start": start, "end": end}
     model, insar = _window(model, "m", ["station", "layer"], start, end), _window(insar, "d", ["station"], start, end)
     rows = station_rows(model, insar)
     lam, lam_t = config.smoothing
-    folds = series.fold_table(spark, n)
-    out: dict[str, DataFrame] = {}
+    solver, sigma = config.solver, config.sigma
+    data = ("model_", "insar_")
     if lam is None or lam_t is None:
         last = series.folds(n)[-1]
-        out["trials"] = grid_search(rows, last[1], last[3])
-        best = out["trials"].orderBy("mean_rmse", "lam", "lam_t").first()
+        lams, lams_t = config["Tuning", "lam_candidates"] or LAM, config["Tuning", "lam_t_candidates"] or LAM_T
+        score = "independent" if solver == "independent" else "joint"
+        trials = stage("trials", {**months, "lam": lams, "lam_t": lams_t, "solver": score, "sigma": sigma}, data, lambda: grid_search(rows, last[1], last[3], lams, lams_t, score, sigma))
+        best = metrics.best(trials).first()
         lam, lam_t = best["lam"], best["lam_t"]
-    if config.solver == "cvxpy":
+    smoothing = {**months, "solver": solver, "sigma": sigma, "lam": lam, "lam_t": lam_t}
+    if solver == "cvxpy":
         edges = cut(system.neighbours(stations, 15000.0))
-        solved = lambda r: invert_coupled(r, edges, lam, lam_t)
-    else:
-        solved = lambda r: invert(r, config.solver, lam, lam_t)
-    out["model"] = cut(solved(rows))  # all that follows looks at it
-    out["weights"] = weights.depth_weights(weights.totals(out["model"], insar))
-    if config.solver == "joint":
-        out["forward"] = forward_validation(rows, folds, lam, lam_t)
+        solved = lambda r: invert_coupled(r, edges, lam, lam_t, sigma=sigma)
     else:
+        solved = lambda r: invert(r, solver, lam, lam_t, sigma)
+    solved_from = (*data, "stations_") if solver == "cvxpy" else data
+    stage("model", smoothing, solved_from, lambda: solved(rows))
+    stage("weights", months, ("model", "insar_"), lambda: weights.depth_weights(weights.totals(out["model"], insar)))
+
+    def forward() -> DataFrame:
+        if solver == "joint":
+            return forward_validation(rows, series.fold_table(spark, n), lam, lam_t, sigma)
         parts = []
         for fold, last_train, first, last in series.folds(n):
             seen = F.col("epoch") <= last_train
             w = weights.depth_weights(weights.totals(solved(rows.where(seen)), insar.where(seen)))
             pred = weights.predict(w, insar.where(F.col("epoch").between(first, last)))
             parts.append(pred.join(model.withColumnRenamed("m", "truth"), ["station", "layer", "epoch"]).select(F.lit(fold).alias("fold"), "station", "epoch", "layer", "pred", "truth"))
-        out["forward"] = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
     points = out["weights"].join(stations, "station").select("layer", "station", "x", "y", F.col("w").alias("v"))
-    out["loso"] = cut(leave_one_out(points, engine, trials, most_ratio))
-    out["forward"] = cut(out["forward"])
-    pixels = grid_pixels(spark)
-    out["models"] = cut(fit_layers(points, engine, trials, most_ratio))
-    out["grid"] = cut(predict_layers(out["models"], pixels))
+    if config["CV", "run_temporal_cv"]:
+        stage("forward", smoothing, solved_from, forward)
+    if config["CV", "run_spatial_cv"]:
+        stage("loso", config.engine, ("weights", "stations_"), lambda: leave_one_out(points, **config.engine))
+    stage("models", config.engine, ("weights", "stations_"), lambda: fit_layers(points, **config.engine))
+    stage("grid", {}, ("models", "pixels_"), lambda: predict_layers(out["models"], pixels))
     surface = pixel_surface(pixels, stations, insar)
-    out["product"] = grid_product(out["grid"], surface)
-    spread = series.spread_folds(metrics.errors(out["forward"], ["fold", "layer"]).select("fold", "layer", "rmse"), folds, n)
-    sigma = spread.select("epoch", "layer", F.col("rmse").alias("sigma_t"))
-    pred = weights.predict(weights.normalise(out["grid"], "pixel"), surface, "pixel")
-    out["total_std"] = weights.total_std(pred, metrics.errors(out["loso"], ["layer"]).select("layer", "rmse"), sigma).select("pixel", "layer", "epoch", "pred", "total_std")
+    threshold = config["GP", "std_threshold"]
+    stage("product", {**months, "threshold": threshold}, ("grid", "pixels_", "stations_", "insar_"), lambda: grid_product(out["grid"], surface, threshold))
+
+    def total() -> DataFrame:
+        spread = series.spread_folds(metrics.errors(out["forward"], ["fold", "layer"]).select("fold", "layer", "rmse"), series.fold_table(spark, n), n)
+        sigma_t = spread.select("epoch", "layer", F.col("rmse").alias("sigma_t"))
+        pred = weights.predict(weights.normalise(out["grid"], "pixel"), surface, "pixel")
+        return weights.total_std(pred, metrics.errors(out["loso"], ["layer"]).select("layer", "rmse"), sigma_t).select("pixel", "layer", "epoch", "pred", "total_std")
+
+    if config["CV", "run_temporal_cv"] and config["CV", "run_spatial_cv"]:
+        stage("total_std", months, ("grid", "pixels_", "stations_", "insar_", "forward", "loso"), total)
     return out

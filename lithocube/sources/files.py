@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import configparser
-import io
 from collections.abc import Mapping
-from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,60 +126,6 @@ def read_params(spark: SparkSession, path: str) -> DataFrame:
     return parse_params(lines)
 
 
-@dataclass(frozen=True)
-class RunConfig:
-    """Settings of a run, with the same section and key names as an INI file has."""
-
-    sections: Mapping[str, Mapping[str, str]] = field(default_factory=dict)
-
-    @classmethod
-    def parse(cls, text: str) -> RunConfig:
-        parser = configparser.ConfigParser()
-        parser.read_file(io.StringIO(text))
-        return cls({s: dict(parser[s]) for s in parser.sections()})
-
-    def get(self, section: str, key: str, default=None, kind=str):
-        found = self.sections.get(section, {}).get(key.lower())
-        return default if found is None else (found.lower() in ("1", "true", "yes", "on") if kind is bool else kind(found))
-
-    @property
-    def solver(self) -> str:
-        return self.get("Inversion", "solver", "joint")
-
-    @property
-    def months(self) -> tuple[int, int | None]:
-        return self.get("Inversion", "month_start", 0, int), self.get("Inversion", "month_end", None, int)
-
-    @property
-    def smoothing(self) -> tuple[float | None, float | None]:
-        """(lam, lam_t): preset values first, then fixed ones of the tuning section."""
-        preset = self.get("Inversion", "lam", None, float), self.get("Inversion", "lam_t", None, float)
-        return preset if None not in preset else (self.get("Tuning", "fixed_lam", None, float), self.get("Tuning", "fixed_lam_t", None, float))
-
-
-    @property
-    def dataset(self) -> dict[str, str | int | float]:
-        """Names of files, columns and dimensions, as far as they are given."""
-        kinds = {**dict.fromkeys(DATASET_KEYS, str), "insar_surface_depth": int, "min_insar_fraction": float}
-        return {k: kinds[k](v.strip()) for k, v in self.sections.get("Dataset", {}).items() if k in kinds}
-
-    @property
-    def interpolation(self) -> str:
-        return self.get("SpatialInterpolation", "method", "gp").lower()
-
-    @property
-    def kriging(self) -> dict[str, int | float | bool]:
-        kinds = {"n_trials": int, "n_splits": int, "max_anisotropy": float, "verbose": bool}
-        return {k: self.get("Kriging", k, kind=kind) for k, kind in kinds.items() if self.get("Kriging", k) is not None}
-
-
-#: Keys of the settings' dataset section that are texts.
-DATASET_KEYS = (
-    "grid_metrics_file", "station_coords_file", "csv_dir_name", "csv_name_pattern", "x_col", "y_col", "depth_col", "month_col_prefix",
-    "nc_depth_dim", "x_dim", "y_dim", "time_dim", "time_label_var", "displacement_var", "crs", "station_name_col",
-)
-
-
 def read_scenarios(text: str) -> tuple[dict, dict[str, int], dict[str, dict]]:
     """(grid, most points of each engine, scenarios by name) of a benchmark's YAML file; JSON where no YAML reader is installed."""
     try:

@@ -368,14 +368,93 @@ def test_field_score_is_the_likelihood():
     assert np.isclose(f.score, 0.5 * z @ np.linalg.solve(k, z) + 0.5 * np.linalg.slogdet(k)[1]) and np.allclose(k @ f.weights, z)
 
 
+@pytest.fixture(scope="module")
+def small(spark):
+    """Six stations, 24 epochs and 2 layers, with a raster of 9 pixels: what `run` takes."""
+    rng = np.random.default_rng(21)
+    m = np.abs(rng.standard_normal((24, 6, 2))).cumsum(axis=0) + 1
+    at = rng.random((6, 2)) * 20000
+    model = spark.createDataFrame([(s, k + 1, t, float(m[t, s, k])) for t in range(24) for s in range(6) for k in range(2)], "station int, layer int, epoch int, m double")
+    insar = spark.createDataFrame([(s, t, float(m[t, s].sum() * 1.1)) for t in range(24) for s in range(6)], "station int, epoch int, d double")
+    stations = spark.createDataFrame([(s, *map(float, at[s])) for s in range(6)], "station int, x double, y double")
+    pixels = spark.createDataFrame([(p, p % 3 * 7000.0, p // 3 * 7000.0) for p in range(9)], "pixel int, x double, y double")
+    return model, insar, stations, 24, pixels
+
+
+BASE_TEXT = "[Inversion]\nlam = 0.01\nlam_t = 1.0\n[SpatialInterpolation]\nmethod = kriging\n[Kriging]\nn_trials = 3\n"
+ALL = ["model", "weights", "forward", "loso", "models", "grid", "product", "total_std"]
+
+
+def test_second_run_solves_nothing(spark, small, tmp_path):
+    from lithocube.settings import RunConfig
+    from lithocube.stages import Stages
+
+    def made(text, tables=small):
+        store = Stages(spark, str(tmp_path))
+        out = nq.inversion.run(RunConfig.parse(text), spark, *tables, store=store)
+        return store.made, out
+
+    first, out = made(BASE_TEXT)
+    assert first == ALL and set(out) == set(ALL)
+    again, same = made(BASE_TEXT)
+    assert again == [] and all(sorted(map(str, same[k].collect())) == sorted(map(str, out[k].collect())) for k in ALL)
+    assert made(BASE_TEXT.replace("lam = 0.01", "lam = 0.5"))[0] == ALL
+    assert made(BASE_TEXT + "[GP]\nstd_threshold = 0.01\n")[0] == ["product"]
+    assert made(BASE_TEXT.replace("n_trials = 3", "n_trials = 4"))[0] == ["loso", "models", "grid", "product", "total_std"]
+    assert made(BASE_TEXT + "[Report]\nno_plots = true\n[GP]\nn_restarts = 5\n")[0] == []
+    model = small[0].withColumn("m", nq.F.col("m") + nq.F.when(nq.F.col("epoch") == 3, 0.1).otherwise(0.0))
+    assert made(BASE_TEXT, (model, *small[1:]))[0] == ALL
+
+
+#: A change of each key that acts, and the stages that must differ by it.
+ACTS = [
+    ("Inversion", "solver = independent", "model"), ("Inversion", "solver = cvxpy", "model"), ("Inversion", "weighted = true", "model"), ("Inversion", "month_start = 2", "model"),
+    ("Inversion", "month_end = 21", "model"), ("SpatialInterpolation", "method = gp", "grid"), ("Kriging", "max_anisotropy = 9", "grid"), ("Kriging", "n_splits = 2", "models"),
+    ("GP", "std_threshold = 0.0001", "product"),
+]
+
+
+@pytest.mark.parametrize(("section", "line", "stage"), ACTS)
+def test_settings_act(spark, small, section, line, stage):
+    from lithocube.settings import RunConfig
+
+    key = line.split(" =")[0]
+    def run(changed):
+        lines, at = [], None
+        for row in BASE_TEXT.splitlines() + ([] if f"[{section}]" in BASE_TEXT else [f"[{section}]"]):
+            at = row if row.startswith("[") else at
+            if not (changed and at == f"[{section}]" and row.startswith(f"{key} =")):
+                lines.append(row)
+            if changed and row == f"[{section}]":
+                lines.append(line)
+        text = "\n".join([*lines, "[CV]", "run_spatial_cv = false", "run_temporal_cv = false"])
+        out = nq.inversion.run(RunConfig.parse(text), spark, *small)
+        assert not {"loso", "forward", "total_std"} & set(out)
+        return sorted(map(str, out[stage].drop("sx", "sy", "sv", "primal", "dual", "kkt").collect()))
+
+    assert run(True) != run(False)
+
+
+def test_settings_of_tuning_and_bounds_act(spark, small):
+    from lithocube.settings import RunConfig
+
+    text = "[Tuning]\nlam_candidates = 0.1,1\nlam_t_candidates = 0.5,2,3\n[CV]\nrun_spatial_cv = no\nrun_temporal_cv = no\n[SpatialInterpolation]\nmethod = kriging\n[Kriging]\nn_trials = 2\n"
+    out = nq.inversion.run(RunConfig.parse(text), spark, *small)
+    assert sorted((r.lam, r.lam_t) for r in out["trials"].collect()) == [(a, b) for a in (0.1, 1.0) for b in (0.5, 2.0, 3.0)]
+    fixed = nq.inversion.run(RunConfig.parse(text + "").parse(text.replace("[Tuning]", "[Tuning]\nfixed_lam = 1\nfixed_lam_t = 2")), spark, *small)
+    assert "trials" not in fixed
+    bounds = RunConfig.parse("[GP]\ngp_mode = anisotropic\ngp_length_scale = 3\ngp_length_scale_min = 2\ngp_length_scale_max = 4\ngp_noise_level = 0.02\ngp_noise_level_min = 0.01\ngp_noise_level_max = 0.03\nangle_min = 20\nangle_max = 50\nmax_anisotropy = 2\n").engine
+    search = nq.inversion.engine_search(RNG.random((9, 2)) * 30, RNG.standard_normal(9), **bounds)
+    assert np.allclose(np.exp(search.low[[0, 2, 3]]), [2, 0.01, 1]) and np.allclose(np.exp(search.high[[0, 2, 3]]), [4, 0.03, 2]) and (search.low[4], search.high[4]) == (20, 50)
+    assert np.allclose(np.exp(search.trials[0, [0, 2]]), [3, 0.02]) and search.trials[0, 4] == 20 and ((search.trials >= search.low) & (search.trials <= search.high)).all()
+
+
 def test_run_takes_solver_months_and_engine(spark):
-    from lithocube.sources.files import RunConfig
+    from lithocube.settings import RunConfig
 
     d, n = "/root/testdata/sf0.001", nq.N
-    tables = nq.model(spark, d), nq.insar(spark, d), nq.tables.stations(spark)
+    tables = nq.model(spark, d), nq.insar(spark, d), nq.tables.stations(spark, d)
     text = "[Inversion]\nsolver = {}\nlam = 0.01\nlam_t = 1.0\nmonth_start = 10\nmonth_end = 50\n[SpatialInterpolation]\nmethod = kriging\n[Kriging]\nn_trials = 3\n"
-    with pytest.raises(ValueError, match="solver"):
-        nq.inversion.run(RunConfig.parse(text.format("other")), spark, *tables, n)
     with pytest.raises(ValueError, match="solver"):
         nq.inversion.invert(nq.rows(spark, d), "cvxpy")
     out = nq.inversion.run(RunConfig.parse(text.format("cvxpy")), spark, *tables, n)

@@ -9,7 +9,8 @@ from lithocube import relational_queries as rq
 from lithocube.functions.directions import compass, turned
 from lithocube.functions.variograms import ARRAYS
 from lithocube.operators import metrics, series, spatial, weights
-from lithocube.sources.files import RunConfig, read_wide_csv
+from lithocube.settings import RunConfig
+from lithocube.sources.files import read_wide_csv
 
 DATA = "/root/testdata/sf0.001"
 
@@ -145,10 +146,34 @@ def test_running_totals_stream(spark, tmp_path):
 
 
 def test_settings_of_all_sections():
-    text = "[Dataset]\nx_col = X\nmin_insar_fraction = 0.4\ninsar_surface_depth = 0\nother = 1\n[SpatialInterpolation]\nmethod = Kriging\n[Kriging]\nn_trials = 9\nverbose = true\n"
+    text = "[Dataset]\nx_col = X\nmin_insar_fraction = 0.4\ninsar_surface_depth = 0\n[SpatialInterpolation]\nmethod = Kriging\n[Kriging]\nn_trials = 9\nverbose = true\n[Tuning]\nlam_candidates = 0.1, 1\n[Inversion]\nmonth_end =\n"
     c = RunConfig.parse(text)
-    assert c.dataset == {"x_col": "X", "min_insar_fraction": 0.4, "insar_surface_depth": 0} and c.interpolation == "kriging" and c.kriging == {"n_trials": 9, "verbose": True}
-    assert (RunConfig.parse("").dataset, RunConfig.parse("").interpolation, RunConfig.parse("").kriging) == ({}, "gp", {})
+    assert (c["Dataset", "x_col"], c["Dataset", "min_insar_fraction"], c["Dataset", "depth_col"]) == ("X", 0.4, "Depth")
+    assert c.engine == {"engine": "kriging", "trials": 9, "most_ratio": 3.0, "splits": 5, "bounds": None} and c["Tuning", "lam_candidates"] == (0.1, 1.0) and c.months == (0, None)
+    assert RunConfig.parse("").sections == RunConfig().sections and RunConfig().engine["engine"] == "gp"
+
+
+@pytest.mark.parametrize(("text", "told"), [("[Dataset]\nother = 1", "unknown key other"), ("[Else]\na = 1", "unknown section"), ("[Kriging]\nn_trials = many", "n_trials"), ("[CV]\nrun_spatial_cv = maybe", "true or false"), ("[Inversion]\nsolver = other", "cvxpy"), ("[GP]\ngp_mode = round", "isotropic")])
+def test_wrong_settings_are_refused(text, told):
+    with pytest.raises(ValueError, match=told):
+        RunConfig.parse(text)
+
+
+def test_fingerprint_and_torn_stage(spark, tmp_path):
+    from lithocube.stages import Stages, fingerprint
+
+    df = spark.createDataFrame([(1, "a", None), (2, None, 0.5)], "k int, s string, v double")
+    assert fingerprint(df) == fingerprint(df.orderBy(F.col("k").desc()).repartition(3)) == fingerprint(df.select("v", "s", "k"))
+    others = [df.limit(1), df.withColumn("v", F.lit(1.0)), df.union(df.limit(1)), df.withColumnRenamed("v", "w"), df.withColumn("k", F.col("k").cast("long"))]
+    assert len({fingerprint(x) for x in [df, *others]}) == 6
+    store = Stages(spark, str(tmp_path))
+    for _ in range(2):
+        got, key = store.stage("one", {"a": 1}, [], lambda: df)
+        assert got.count() == 2
+    assert store.made == ["one"]
+    (tmp_path / f"one-{key}" / "_SUCCESS").unlink()  # as a run that was stopped leaves it
+    (tmp_path / f"one-{key}" / "part-torn.parquet").write_bytes(b"torn")
+    assert store.stage("one", {"a": 1}, [], lambda: df)[0].count() == 2 and store.made == ["one", "one"]
 
 
 def test_scenarios():
