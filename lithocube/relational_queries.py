@@ -13,7 +13,7 @@ from .functions.directions import compass, rotated, turned
 from .functions.variograms import variogram
 from .operators import metrics, series, spatial, system, weights
 from .session import shared_dir
-from .sources import files, tables
+from .sources import arrays, files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -668,3 +668,31 @@ def q104_nearest_station(s, d):
     """The station nearest to each pixel of a raster."""
     pixels = tables.raster(s, d).select((F.col("y_idx") * 10 + F.col("x_idx")).alias("pixel"), "x", "y").distinct()
     return spatial.nearest(pixels, tables.stations(s, d), "pixel", "station").select("pixel", "station", r6(F.sqrt("square")).alias("dist"))
+
+
+@register("""SELECT epoch AS t, (c // 10)::INT AS y_idx, (c % 10)::INT AS x_idx, round(d, 6) + 0.0 AS disp FROM surf JOIN range(120) r(c) ON c % 31 = station WHERE (c % 10 + c // 10 + epoch) % 13 <> 0 AND epoch BETWEEN 20 AND 44""")
+def q105_netcdf_io(s, d):
+    """A raster's surface as NetCDF, a dense block for each time, and 25 times of it read again."""
+    path = scratch(s, "netcdf")
+    grid = tables.raster(s, d).where("depth = 0").select("t", "y_idx", "x_idx", "disp")
+    arrays.write_netcdf(grid, path, ["t", "y_idx", "x_idx"])
+    back = files.clean(arrays.read_netcdf(s, path, "disp", 20, 44), "disp").where("disp is not null")
+    return back.select(*[F.col(c).cast("int").alias(c) for c in ("t", "y_idx", "x_idx")], r6("disp").alias("disp"))
+
+
+@register("SELECT station, layer, round(w, 6) + 0.0 AS w FROM wt")
+def q106_npz_io(s, d):
+    """The weights of an inversion as NPZ, written and read again."""
+    path = scratch(s, "npz")
+    arrays.write_npz(depth_weights(s, d).select("station", "layer", "w"), path)
+    return arrays.read_npz(s, path).select(F.col("station").cast("int").alias("station"), F.col("layer").cast("int").alias("layer"), r6("w").alias("w"))
+
+
+@register("SELECT station, epoch AS t, round((d * (1 - t.t))::FLOAT::DOUBLE, 3) + 0.0 AS residual FROM scum JOIN (SELECT station, sum(w) AS t FROM wt GROUP BY 1) t USING (station)")
+def q107_netcdf_product_io(s, d):
+    """A product's residual in single precision as NetCDF, written and read again."""
+    d, path = tables.shared(s, d), scratch(s, "product")
+    deep = weights.deep_residual(depth_weights(s, d), insar(s, d))
+    arrays.write_netcdf(deep.select(F.col("epoch").alias("t"), "station", F.col("residual").cast("float").alias("residual", metadata=PRODUCT["residual"])), path, ["t", "station"])
+    back = files.clean(arrays.read_netcdf(s, path, "residual"), "residual").where("residual is not null")
+    return back.select(F.col("station").cast("int").alias("station"), F.col("t").cast("int").alias("t"), (F.round("residual", 3) + F.lit(0.0)).alias("residual"))

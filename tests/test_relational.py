@@ -282,3 +282,68 @@ def test_screen_has_no_window(spark):
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 8
     few = spatial.anisotropy_screen(points.where("x < 4")).collect()  # too few for bins: the variance of all
     assert len({round(r.variance, 9) for r in few}) == 1
+
+
+def test_npz_archives(spark, tmp_path):
+    import numpy as np
+
+    from lithocube.sources import arrays
+
+    a = np.arange(120.0).reshape(5, 6, 4)
+    for save, name in ((np.savez, "plain"), (np.savez_compressed, "packed")):
+        save(tmp_path / f"{name}.npz", a=a, b=np.asfortranarray(a * 2), c=np.arange(5), n=np.array(["x", "yy", "", "é", "z"]), zero=np.array(3.5))
+        got = arrays.read_npz(spark, str(tmp_path / f"{name}.npz"), ["a", "b"], block=24)
+        assert got.rdd.getNumPartitions() == 5  # a block for each first index
+        assert sorted((r.d0, r.d1, r.d2, r.a, r.b) for r in got.collect()) == [(i, j, k, a[i, j, k], 2 * a[i, j, k]) for i in range(5) for j in range(6) for k in range(4)]
+        some = arrays.read_npz(spark, str(tmp_path / f"{name}.npz"), ["a"], 3, 3, block=24)
+        assert some.rdd.getNumPartitions() == 1 and [r.a for r in some.orderBy("a").collect()] == a[3].ravel().tolist()
+        assert [tuple(r) for r in arrays.read_npz(spark, str(tmp_path / f"{name}.npz"), ["c", "n"]).collect()] == [(0, "x"), (1, "yy"), (2, ""), (3, "é"), (4, "z")]
+        assert arrays.read_npz(spark, str(tmp_path / f"{name}.npz"), ["zero"]).first()[0] == 3.5
+    rows = spark.createDataFrame([(k, k / 2, k % 2 == 0, f"s{k}") for k in range(50)], "k long, v double, f boolean, s string").repartition(4)
+    arrays.write_npz(rows, f"file://{tmp_path}/table")
+    assert sorted(arrays.read_npz(spark, f"file://{tmp_path}/table").collect()) == sorted(rows.collect())
+    with np.load(next((tmp_path / "table").glob("*.npz"))) as z:  # numpy reads what was written
+        assert set(z.files) == {"k", "v", "f", "s"}
+    with pytest.raises(Exception, match="several shapes"):
+        arrays.read_npz(spark, str(tmp_path / "plain.npz"), ["a", "c"]).count()
+
+
+def classic_netcdf(values, times):
+    """A file with an unlimited dimension, made by hand: two record variables lie in turn, one fixed variable before them."""
+    import struct
+
+    text = lambda s: struct.pack(">i", len(s)) + s.encode() + bytes(-len(s) % 4)
+    t, x = values.shape
+    head = b"CDF\x01" + struct.pack(">iii", t, 10, 2) + text("Time") + struct.pack(">i", 0) + text("X") + struct.pack(">i", x) + struct.pack(">ii", 12, 1) + text("title") + struct.pack(">ii", 2, 3) + b"abc\0"
+    made = lambda at: struct.pack(">ii", 11, 3) + text("X") + struct.pack(">ii", 1, 1) + struct.pack(">iiii", 0, 0, 5, 4 * x) + struct.pack(">i", at) + text("Time") + struct.pack(">ii", 1, 0) + struct.pack(">iiii", 0, 0, 4, 4) + struct.pack(">i", at + 4 * x) + text("disp") + struct.pack(">iii", 2, 0, 1) + struct.pack(">ii", 12, 1) + text("_FillValue") + struct.pack(">iif", 5, 1, -9.0) + struct.pack(">ii", 5, 4 * x) + struct.pack(">i", at + 4 * x + 4)
+    at = len(head) + len(made(0))
+    body = struct.pack(f">{x}f", *[10.0 * k for k in range(x)])
+    for k in range(t):
+        body += struct.pack(">i", times[k]) + struct.pack(f">{x}f", *values[k])
+    return head + made(at) + body
+
+
+def test_netcdf_files(spark, tmp_path):
+    import numpy as np
+
+    from lithocube.sources import arrays
+
+    values = np.arange(12.0).reshape(4, 3)
+    values[1, 2] = -9.0
+    (tmp_path / "one.nc").write_bytes(classic_netcdf(values, [5, 7, 9, 11]))
+    got = arrays.read_netcdf(spark, str(tmp_path / "one.nc"), "disp", block=3)
+    assert got.columns == ["Time_idx", "Time", "X_idx", "X", "disp"] and got.rdd.getNumPartitions() == 4
+    rows = {(r.Time, r.X): r.disp for r in got.collect()}
+    assert np.isnan(rows.pop((7, 20.0))) and rows == {(5 + 2 * t, 10.0 * x): values[t, x] for t in range(4) for x in range(3) if (t, x) != (1, 2)}
+    some = arrays.read_netcdf(spark, str(tmp_path / "one.nc"), "disp", 7, 10, block=3)
+    assert some.rdd.getNumPartitions() == 2 and {r.Time for r in some.collect()} == {7, 9} and got.count() == 12
+    (tmp_path / "bad.nc").write_bytes(b"\x89HDF....")
+    with pytest.raises(Exception, match="classic"):
+        arrays.read_netcdf(spark, str(tmp_path / "bad.nc"), "disp").count()
+    header = arrays.netcdf_header(str(tmp_path / "one.nc"))
+    assert header["disp"].attributes == {"_FillValue": [-9.0]} and header["Time"].shape == (4,)
+    df = spark.createDataFrame([(t, y, t + y / 8) for t in range(6) for y in range(5) if (t + y) % 4], "t int, y int, v double").withMetadata("v", {"units": "mm"})
+    arrays.write_netcdf(df, str(tmp_path / "out"), ["t", "y"])
+    back = arrays.read_netcdf(spark, str(tmp_path / "out"), "v").where("not isnan(v)")
+    assert sorted((r.t, r.y, r.v) for r in back.collect()) == sorted(map(tuple, df.collect()))
+    assert arrays.netcdf_header(str(next((tmp_path / "out").glob("*.nc"))))["v"].attributes == {"units": "mm"}
