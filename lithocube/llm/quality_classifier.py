@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import cut, table
 from .arrow import map_batches
@@ -22,6 +23,8 @@ from .shingles import mixed, text_bytes, word_hashes
 
 #: Labelled rows the document model is fitted on, at most: those with the smallest hash of their id. Bits of a feature's hash.
 LABELLED_ROWS, BITS = 20_000, 14
+#: Bytes of the labelled rows' features that the driver fits on, at most: of the rows above, in order of that hash, as many as fit.
+LABELLED_BYTES = 64 << 20
 #: How much of a document an unlabelled one counts as in its site's rate.
 SOFT = 0.25
 _KIND = np.zeros(256, np.int64)  # classes of bytes: other, letters, capitals, digits, blanks, line feeds, points, other signs
@@ -188,7 +191,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | str = "source",
     # at most `rows` rows of two numbers
     sample = plain.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("of")).select("doc_id", "text", "good")
     # what comes to the driver: at most `rows` rows of 16-bit features, a text's distinct words and rates
-    taken = text_features(sample).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "features")  # of `rows` rows at most
+    sized = text_features(sample).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumn("sum", F.sum(F.octet_length("features")).over(order))
+    taken = sized.where(F.col("sum") <= LABELLED_BYTES).drop("sum").collect()
     model = fit_document_model([np.frombuffer(r["features"], "<u2") for r in taken], np.array([r["good"] > 0.5 for r in taken], bool))
     scored = cut(score_documents(plain, model))
     odds = lambda p: F.log(p / (1 - p))

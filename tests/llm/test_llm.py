@@ -658,6 +658,58 @@ def test_classifier_takes_hosts_and_paths_of_urls(spark):
     assert right > 0.95 and out.count() == 400
 
 
+def brute_posteriors(rows):
+    """(host_rate, path_rate, posterior) of rows (host, path, label or None, evidence), in numpy."""
+    inside = lambda p: np.clip(p, 1e-4, 1 - 1e-4)
+
+    def strength(n, good, parent):
+        p = inside(parent)
+        spread, chance, size = (n * (good / n - p) ** 2).sum(), (p * (1 - p)).sum(), (n * p * (1 - p)).sum()
+        return min(max(1 / max(max(spread - chance, 0) / max(size - chance, 1e-9), 1e-6) - 1, 1.0), 1e5)
+
+    each = [(h, p, 1.0 if t is not None else 0.25, t if t is not None else 1 / (1 + np.exp(-e))) for h, p, t, e in rows]
+    sites, hosts = defaultdict(lambda: np.zeros(2)), defaultdict(lambda: np.zeros(2))
+    for h, p, w, v in each:
+        sites[h, p] += (w, w * v)
+        hosts[h] += (w, w * v)
+    hn, hg = np.array(list(hosts.values())).T
+    whole = (hg.sum() + 1) / (hn.sum() + 2)
+    k = strength(hn, hg, np.full(len(hn), whole))
+    host_rate = dict(zip(hosts, (hg + k * inside(whole)) / (hn + k), strict=True))
+    sn, sg = np.array(list(sites.values())).T
+    k = strength(sn, sg, np.array([host_rate[h] for h, _ in sites]))
+    out, odds = [], lambda p: np.log(p / (1 - p))
+    for (h, p, w, v), (*_, e) in zip(each, rows, strict=True):
+        n, good = sites[h, p]
+        rate = (max(good - w * v, 0) + k * inside(host_rate[h])) / (max(n - w, 0) + k)
+        out.append((host_rate[h], rate, 1 / (1 + np.exp(-(e + odds(rate) - odds(whole))))))
+    return out
+
+
+def test_op9_posteriors(spark, docs):
+    """Every row's rates and posterior from its evidence, its site and the labels, against numpy."""
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    known = defaultdict(list)
+    for r in labels.where("quality is not null").collect():
+        known[r.doc_id].append(r.quality)
+    site = {r.doc_id: (r.source, r.lang) for r in docs.collect()}
+    got = quality_classifier.op9_quality_classifier(spark, DATA).collect()
+    rows = [(*site[r.doc_id], np.mean(known[r.doc_id]) if r.doc_id in known else None, r.evidence) for r in got]
+    assert len(got) == len(site)
+    for r, wanted in zip(got, brute_posteriors(rows), strict=True):
+        assert np.allclose((r.host_rate, r.path_rate, r.posterior), wanted, atol=1e-9) and r.keep == (r.posterior >= 0.5)
+
+
+def test_classifier_is_fitted_on_bounded_bytes(spark, docs, monkeypatch):
+    seen, real = [], quality_classifier.fit_document_model
+    monkeypatch.setattr(quality_classifier, "fit_document_model", lambda f, g: (seen.append(sum(x.nbytes for x in f)), real(f, g))[1])
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    quality_classifier.classify(docs, labels)
+    monkeypatch.setattr(quality_classifier, "LABELLED_BYTES", seen[0] // 3)
+    quality_classifier.classify(docs, labels)
+    assert 0 < seen[1] <= seen[0] // 3
+
+
 def test_classifier_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
