@@ -528,10 +528,10 @@ def _window(df: DataFrame, value: str, keys: list[str], start: int, end: int) ->
     return cut.withColumn(value, F.col(value) - F.coalesce("_before", F.lit(0.0))).withColumn("epoch", (F.col("epoch") - start).cast("int")).drop("_before")
 
 
-def run(config: RunConfig, spark: SparkSession, model: DataFrame, insar: DataFrame, stations: DataFrame, n_epochs: int, pixels: DataFrame | None = None, store: Stages | None = None) -> dict[str, DataFrame]:
+def run(config: RunConfig, spark: SparkSession, model: DataFrame, insar: DataFrame, stations: DataFrame, n_epochs: int, pixels: DataFrame | None = None, store: Stages | None = None, surface: DataFrame | None = None) -> dict[str, DataFrame]:
     """The orchestrated run over the months of the settings: tuning unless smoothing is preset, inversion, validation, gridding, the
     product and, if both validations are asked for, its total spread; tables by name, their epochs count from month_start. pixels (pixel, x, y):
-    the bound raster if there are none.
+    the bound raster if there are none. surface (pixel, epoch, d): cumulative series of the pixels, those of their nearest stations if there are none.
 
     Each stage is a stored table in the `store` (one of this run's own in the shared folder if none is given), under a key of the settings it
     looks at and of what it is made from: what is there is taken, and a changed setting makes only what depends on it. Solver cvxpy couples
@@ -545,6 +545,7 @@ def run(config: RunConfig, spark: SparkSession, model: DataFrame, insar: DataFra
     keys: dict[str, str] = {"model_": fingerprint(model), "insar_": fingerprint(insar), "stations_": fingerprint(stations)}
     pixels = grid_pixels(spark) if pixels is None else pixels
     keys["pixels_"] = fingerprint(pixels)
+    keys["surface_"] = fingerprint(surface) if surface is not None else ""
 
     def stage(name: str, settings: dict, inputs: Sequence[str], make: Callable[[], DataFrame]) -> DataFrame:
         out[name], keys[name] = store.stage(name, settings, [keys[k] for k in inputs], make)
@@ -591,9 +592,9 @@ def run(config: RunConfig, spark: SparkSession, model: DataFrame, insar: DataFra
         stage("loso", config.engine, ("weights", "stations_"), lambda: leave_one_out(points, **config.engine))
     stage("models", config.engine, ("weights", "stations_"), lambda: fit_layers(points, **config.engine))
     stage("grid", {}, ("models", "pixels_"), lambda: predict_layers(out["models"], pixels))
-    surface = pixel_surface(pixels, stations, insar)
+    surface = pixel_surface(pixels, stations, insar) if surface is None else _window(surface, "d", ["pixel"], start, end)
     threshold = config["GP", "std_threshold"]
-    stage("product", {**months, "threshold": threshold}, ("grid", "pixels_", "stations_", "insar_"), lambda: grid_product(out["grid"], surface, threshold))
+    stage("product", {**months, "threshold": threshold}, ("grid", "pixels_", "stations_", "insar_", "surface_"), lambda: grid_product(out["grid"], surface, threshold))
 
     def total() -> DataFrame:
         spread = series.spread_folds(metrics.errors(out["forward"], ["fold", "layer"]).select("fold", "layer", "rmse"), series.fold_table(spark, n), n)
@@ -602,5 +603,5 @@ def run(config: RunConfig, spark: SparkSession, model: DataFrame, insar: DataFra
         return weights.total_std(pred, metrics.errors(out["loso"], ["layer"]).select("layer", "rmse"), sigma_t).select("pixel", "layer", "epoch", "pred", "total_std")
 
     if config["CV", "run_temporal_cv"] and config["CV", "run_spatial_cv"]:
-        stage("total_std", months, ("grid", "pixels_", "stations_", "insar_", "forward", "loso"), total)
+        stage("total_std", months, ("grid", "pixels_", "stations_", "insar_", "surface_", "forward", "loso"), total)
     return out
