@@ -14,4 +14,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(relational_queries.SQL)
+    return {**relational_queries.SQL, **numeric_queries.SQL}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .kernels import fields
 from .operators import metrics, series, system
 from .plans import inversion
-from .relational_queries import N, depth_weights, insar, model
+from .relational_queries import BASE, N, depth_weights, insar, model
 from .sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,42 @@ def q51_joint(s, d):
     return inversion.invert(rows(s, d), "joint", 0.01, 3.0)
 
 
+def _holds(s, d, solver: str, lam_t: float | None) -> DataFrame:
+    d = tables.shared(s, d)
+    wells, top = model(s, d).withColumnRenamed("m", "w"), insar(s, d)
+    solved = inversion.cut(inversion.invert(inversion.station_rows(model(s, d), top), solver, 0.01, lam_t or 0.0).select("station", "layer", "epoch", "m"))
+    out = system.optimality(solved, top, wells, 0.01, lam_t)
+    return out.select("station", "n", ((F.col("least") >= 0) & (F.col("off") < 1e-6)).alias("holds"))
+
+
+@register
+def q108_joint_conditions(s, d):
+    """Whether the joint solution of each station meets the conditions of its optimum, by the relational operators of the system."""
+    return _holds(s, d, "joint", 3.0)
+
+
+@register
+def q109_independent_conditions(s, d):
+    """The same for epochs by themselves."""
+    return _holds(s, d, "independent", None)
+
+
+@register
+def q110_coupled_bounds(s, d):
+    """Of the coupled solution, for each station: whether no layer is below 0, and no sum of layers above the surface where that has a signal."""
+    d = tables.shared(s, d)
+    top = insar(s, d)
+    solved = inversion.invert_coupled(inversion.station_rows(model(s, d), top), system.neighbours(tables.stations(s, d), 15000.0), 0.01, 1.0)
+    live = system.valid_surface(top)
+    each = solved.groupBy("station", "epoch").agg(F.sum("m").alias("total"), F.min("m").alias("least"), F.count(F.lit(1)).alias("n")).join(top, ["station", "epoch"]).join(live, "station")
+    inside = (F.col("least") >= 0) & (~F.col("valid") | (F.col("total") <= F.greatest("d", F.lit(0.0)) + 1e-6))
+    return each.groupBy("station").agg(F.sum("n").alias("n"), F.min(inside).alias("holds"))
+
+
+#: What the solutions' conditions come to: all stations and cells, and that they hold.
+SQL = {name: BASE + " SELECT station, count(*)::BIGINT AS n, TRUE AS holds FROM cum GROUP BY 1" for name in ("q108_joint_conditions", "q109_independent_conditions", "q110_coupled_bounds")}
+
+
 @register
 def q52_qp(s, d):
     """Stations coupled along edges within 15 km, bounded by their surface."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -99,3 +99,20 @@ def stacked(model: DataFrame, insar: DataFrame, wells: DataFrame, lam: float, la
         temporal(model).select(F.lit("temporal").alias("part"), "station", "epoch", "layer", (lam_t**0.5 * F.col("ltm")).alias("left"), F.lit(0.0).alias("right")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def optimality(model: DataFrame, insar: DataFrame, wells: DataFrame, lam: float, lam_t: float, bound: float = 1e-6) -> DataFrame:
+    """(station, n, least, off) of a solution (station, layer, epoch, m) of the joint problem, by its own operators: the least value, and how far the
+    slope of the objective is from 0 where m > bound, and below 0 elsewhere. lam_t None: epochs by themselves."""
+    over_layers, over_time = Window.partitionBy("station", "epoch").orderBy("layer"), Window.partitionBy("station", "layer").orderBy("epoch")
+    sums = forward(model).withColumnRenamed("d", "gm").join(insar, ["station", "epoch"]).select("station", "epoch", (F.col("gm") - F.col("d")).alias("surface_off"))
+    rows = model.join(wells, ["station", "layer", "epoch"]).join(sums, ["station", "epoch"])
+
+    def bend(over: Window) -> Column:
+        """What smoothness along an order adds to the slope: twice the value less both neighbours, as far as there are any."""
+        back, ahead = F.lag("m").over(over), F.lead("m").over(over)
+        return F.coalesce(F.col("m") - back, F.lit(0.0)) + F.coalesce(F.col("m") - ahead, F.lit(0.0))
+
+    slope = F.col("surface_off") + F.col("m") - F.col("w") + lam * bend(over_layers) + (lam_t * bend(over_time) if lam_t is not None else F.lit(0.0))
+    off = F.when(F.col("m") > bound, F.abs("slope")).otherwise(F.greatest(-F.col("slope"), F.lit(0.0)))
+    return rows.withColumn("slope", slope).groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("least"), F.max(off).alias("off"))

@@ -77,13 +77,25 @@ def filled(s: SparkSession, d: str) -> DataFrame:
     return series.fill_gaps(dense, ["station", "layer"], "value")
 
 
-def model(s: SparkSession, d: str) -> DataFrame:
+def model(s: SparkSession, d: tables.Source) -> DataFrame:
     """Cumulative positive series of each layer: (station, layer, epoch, m)."""
+    if isinstance(d, tables.Shared):
+        return d.once("model", lambda: _model(s, d))
+    return _model(s, d)
+
+
+def _model(s: SparkSession, d: tables.Source) -> DataFrame:
     return series.cumulate(filled(s, d), ["station", "layer"], "value", "m", sign=-1).select("station", "layer", "epoch", "m")
 
 
-def insar(s: SparkSession, d: str) -> DataFrame:
+def insar(s: SparkSession, d: tables.Source) -> DataFrame:
     """Cumulative positive surface series: (station, epoch, d)."""
+    if isinstance(d, tables.Shared):
+        return d.once("insar", lambda: _insar(s, d))
+    return _insar(s, d)
+
+
+def _insar(s: SparkSession, d: tables.Source) -> DataFrame:
     dense = series.fill_gaps(series.densify(tables.surface(s, d), ["station"], N - 1), ["station"], "d")
     return series.cumulate(dense, ["station"], "d", "cum", sign=-1).select("station", "epoch", F.col("cum").alias("d"))
 

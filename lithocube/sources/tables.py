@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,15 +14,29 @@ EPOCHS, LAYERS = 83, 7
 X_AXIS, Y_AXIS = (160000.0, 500.0, 106), (2600000.0, 500.0, 121)
 
 
-def shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cube made once, as a checkpoint; the other tables take it in place of the folder."""
-    return cut(cube(spark, sf_dir))
+class Shared:
+    """A query's cube, made once as a checkpoint, with what else is made of it once; tables take it in place of the folder."""
+
+    def __init__(self, cube: DataFrame):
+        self.cube, self.made = cut(cube), {}
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = cut(make())
+        return self.made[name]
+
+
+Source = str | Shared
+
+
+def shared(spark: SparkSession, sf_dir: str) -> Shared:
+    return Shared(cube(spark, sf_dir))
 
 
-def cube(spark: SparkSession, sf_dir: str | DataFrame) -> DataFrame:
+def cube(spark: SparkSession, sf_dir: Source) -> DataFrame:
     """(station, layer, epoch, value): increments, negative = subsidence. One shuffle, pre-aggregated in the scan's stage."""
-    if isinstance(sf_dir, DataFrame):
-        return sf_dir
+    if isinstance(sf_dir, Shared):
+        return sf_dir.cube
     items = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_shipdate", "l_quantity")
     return items.groupBy(
         (F.col("l_suppkey") % 31).cast("int").alias("station"),
@@ -29,28 +45,28 @@ def cube(spark: SparkSession, sf_dir: str | DataFrame) -> DataFrame:
     ).agg((-F.sum("l_quantity") / 100).alias("value"))
 
 
-def observations(spark: SparkSession, sf_dir: str | DataFrame) -> DataFrame:
+def observations(spark: SparkSession, sf_dir: Source) -> DataFrame:
     """The cube with about a ninth of its cells missing."""
     return cube(spark, sf_dir).where((F.col("station") * 7 + F.col("layer") * 3 + F.col("epoch")) % 11 != 0)
 
 
-def surface(spark: SparkSession, sf_dir: str | DataFrame) -> DataFrame:
+def surface(spark: SparkSession, sf_dir: Source) -> DataFrame:
     """(station, epoch, d): surface increments; the deep part is 15 % of the layers' sum. Some stations lack two thirds."""
     seen = ~((F.col("station") % 8 == 5) & (F.col("epoch") % 3 != 0))
     return cube(spark, sf_dir).where(seen).groupBy("station", "epoch").agg((F.sum("value") * 1.15).alias("d"))
 
 
-def stations(spark: SparkSession, sf_dir: str | DataFrame) -> DataFrame:
+def stations(spark: SparkSession, sf_dir: Source) -> DataFrame:
     """(station, x, y) in projected metres: the suppliers' stations, or those of a cube."""
-    if isinstance(sf_dir, DataFrame):
-        named = sf_dir.select("station").distinct()
+    if isinstance(sf_dir, Shared):
+        named = sf_dir.cube.select("station").distinct()
     else:
         named = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 31).cast("int").alias("station")).distinct()
     s = F.col("station")
     return named.select(s, (160000.0 + (s * 37 % 31) * 1700).cast("double").alias("x"), (2600000.0 + (s * 53 % 29) * 2100).cast("double").alias("y"))
 
 
-def epochs(spark: SparkSession, sf_dir: str | DataFrame) -> DataFrame:
+def epochs(spark: SparkSession, sf_dir: Source) -> DataFrame:
     """(epoch): the months that the cube has."""
     return cube(spark, sf_dir).select("epoch").distinct()
 
@@ -61,7 +77,7 @@ def axis(spark: SparkSession, name: str) -> DataFrame:
     return spark.range(cells).select(F.col("id").cast("int").alias("idx"), (origin + step * F.col("id")).alias(name))
 
 
-def raster(spark: SparkSession, sf_dir: str | DataFrame, rows: int = 12, columns: int = 10) -> DataFrame:
+def raster(spark: SparkSession, sf_dir: Source, rows: int = 12, columns: int = 10) -> DataFrame:
     """(t, y_idx, x_idx, x, y, depth, disp): a raster cube in long form, one block of cells for each station's series; the surface at depth
     0 and the layers below it. Missing cells are NaN, as files have them."""
     of = F.explode(F.sequence(F.lit(0), F.lit(rows * columns - 1))).alias("cell")

@@ -175,6 +175,31 @@ def test_numeric_queries_run(spark, name):
         assert sorted(got["engine"].dropna().unique()) == ["kriging", "rotated"] and got["ratio"].min() >= 1 and got["angle"].between(0, 180).all()
 
 
+@pytest.mark.parametrize("name", sorted(nq.SQL))
+def test_conditions_match_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("lineitem", "supplier"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    got = sorted((r.station, r.n, r.holds) for r in nq.QUERIES[name](spark, "/root/testdata/sf0.001").collect())
+    assert got == sorted(con.sql(nq.SQL[name]).fetchall())
+
+
+def test_conditions_see_what_is_no_optimum(spark):
+    rng = np.random.default_rng(17)
+    w = rng.standard_normal((9, 3)) + 0.5
+    d = w.sum(axis=1)
+    frame = lambda m, v: spark.createDataFrame([(1, k + 1, t, float(m[t, k])) for t in range(9) for k in range(3)], f"station int, layer int, epoch int, {v} double")
+    top = spark.createDataFrame([(1, t, float(x)) for t, x in enumerate(d)], "station int, epoch int, d double")
+    for lam_t, m in ((2.0, ls.solve_joint(d, w, 0.3, 2.0)[0]), (None, ls.solve_independent(d, w, 0.3)[0])):
+        good = system.optimality(frame(m, "m"), top, frame(w, "w"), 0.3, lam_t).first()
+        assert good.n == 27 and good.least == 0 and good.off < 1e-8
+        moved = m.copy()
+        moved[4, np.argmax(m[4])] += 0.01
+        assert system.optimality(frame(moved, "m"), top, frame(w, "w"), 0.3, lam_t).first().off > 1e-3
+
+
 def dense(pdf, values="w"):
     """(T, S, L) of long rows, and the surface (T, S)."""
     names = np.sort(pdf["station"].unique())
