@@ -25,6 +25,11 @@ def fold_errors(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(some(F.sqrt(F.avg(e * e))).alias("rmse"), some(F.avg(F.abs(e))).alias("mae"), some(F.avg(e)).alias("bias"), some(F.corr("pred", "truth")).alias("correlation"), n.alias("n_valid"))
 
 
+def apart_from_tuning(df: DataFrame, keys: list[str], tuned: int = 3) -> DataFrame:
+    """fold_errors of the fold that smoothing is tuned on and of the others, apart (column tuned): the former is too good."""
+    return fold_errors(df.withColumn("tuned", F.col("fold") == tuned), [*keys, "tuned"])
+
+
 def station_layer_errors(df: DataFrame, keys: list[str]) -> DataFrame:
     """rmse, mae and count; without rows that have both values rmse and mae are null."""
     e = F.col("pred") - F.col("truth")

@@ -29,6 +29,13 @@ def depth_weights(totals_: DataFrame, cap: float | None = CAP, keys: tuple[str,
     return w.select(*keys, "layer", "w")
 
 
+def well_shares(model: DataFrame) -> DataFrame:
+    """(station, layer, w): a layer's part of the station's layers together, at the last epoch; they add up to 1. A total of 0 or less counts as 1."""
+    last = model.groupBy("station", "layer").agg(F.max_by("m", "epoch").alias("total"))
+    whole = F.sum("total").over(Window.partitionBy("station"))
+    return last.select("station", "layer", (F.col("total") / F.when(whole > 0, whole).otherwise(F.lit(1.0))).alias("w"))
+
+
 def fold_predictions(model: DataFrame, insar: DataFrame, folds: DataFrame) -> DataFrame:
     """(fold, station, layer, epoch, pred, truth): each fold's weights come from the series up to its train_end, and are applied to its
     window's surface."""

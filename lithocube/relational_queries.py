@@ -708,3 +708,16 @@ def q107_netcdf_product_io(s, d):
     arrays.write_netcdf(deep.select(F.col("epoch").alias("t"), "station", F.col("residual").cast("float").alias("residual", metadata=PRODUCT["residual"])), path, ["t", "station"])
     back = files.clean(arrays.read_netcdf(s, path, "residual"), "residual").where("residual is not null")
     return back.select(F.col("station").cast("int").alias("station"), F.col("t").cast("int").alias("t"), (F.round("residual", 3) + F.lit(0.0)).alias("residual"))
+
+
+@register(" SELECT station, layer, round(m / CASE WHEN sum(m) OVER p > 0 THEN sum(m) OVER p ELSE 1 END, 6) + 0.0 AS w FROM cum WHERE epoch = 82 WINDOW p AS (PARTITION BY station)")
+def q111_well_shares(s, d):
+    """Weights as shares of the layers' total, in place of the surface."""
+    return weights.well_shares(model(s, d)).select("station", "layer", r6("w").alias("w"))
+
+
+@register(" SELECT layer, fold = 3 AS tuned, round(sqrt(avg((pred - truth) * (pred - truth))), 6) AS rmse, round(avg(abs(pred - truth)), 6) AS mae, round(avg(pred - truth), 6) + 0.0 AS bias, round(corr(pred, truth), 6) AS correlation, count(*)::BIGINT AS n_valid FROM fpred GROUP BY 1, 2")
+def q112_errors_apart_from_tuning(s, d):
+    """Errors of each layer on the fold that smoothing is tuned on, and on the others."""
+    out = metrics.apart_from_tuning(fold_predicted(s, d), ["layer"])
+    return out.select("layer", "tuned", *[r6(c).alias(c) for c in ("rmse", "mae", "bias", "correlation")], "n_valid")
