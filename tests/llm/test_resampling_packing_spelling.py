@@ -143,7 +143,8 @@ def test_packing(spark, docs, rows):
     assert lost < 0.01 * sum(map(len, ids.values()))
     few = docs.where("doc_id < 40")
     lost = packed(packing.pack_documents(few.repartition(3), PATH, 100).collect(), {i: t for i, t in ids.items() if i < 40}, 100)
-    assert lost < 0.05 * sum(len(t) for i, t in ids.items() if i < 40)
+    # a cut inside a sentence costs INSIDE ids of padding, so of sequences of 100 about as much is padded at most
+    assert lost < packing.INSIDE / 100 * sum(len(t) for i, t in ids.items() if i < 40)
 
 
 def test_packing_keeps_documents_whole_where_it_can(spark):
