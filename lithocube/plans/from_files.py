@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import series
+from ..operators import metrics, series
 from ..session import cut
 from ..settings import RunConfig
 from ..sources import arrays, files
@@ -44,17 +44,17 @@ def load_stations(config: RunConfig, spark: SparkSession) -> Inputs:
     surface = obs.where(top).select("name", "epoch", F.col("value").alias("d"))
     kept = series.coverage(surface.withColumnRenamed("name", "station"), n, of("min_insar_fraction")).where("kept").select(F.col("station").alias("name"))
     places = files.read_coordinates(spark, f"{data}/{of('station_coords_file')}", of("station_name_col"), of("x_col"), of("y_col"))
-    # a row for each station, and for each depth
-    stations = cut(places.join(kept, "name", "left_semi").select((F.row_number().over(Window.orderBy("name")) - 1).cast("int").alias("station"), "name", "x", "y"))
+    stations = cut(metrics.ranked(places.join(kept, "name", "left_semi"), "name").select(F.col("rank").cast("int").alias("station"), "name", "x", "y"))
     inside = obs.where(~top & F.col("value").isNotNull()).join(stations.select("name"), "name", "left_semi")
+    # a row for each depth
     depths = cut(inside.select("depth").distinct().select(F.row_number().over(Window.orderBy("depth")).cast("int").alias("layer"), "depth"))
     layers = [r["layer"] for r in depths.select("layer").collect()]
     cells = stations.select("station", F.explode(F.array(*[F.lit(k) for k in layers]).cast("array<int>")).alias("layer"))
-    values = obs.join(F.broadcast(stations.select("name", "station")), "name").join(F.broadcast(depths), "depth").select("station", "layer", "epoch", "value")
+    values = obs.join(stations.select("name", "station"), "name").join(F.broadcast(depths), "depth").select("station", "layer", "epoch", "value")
     every = cells.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     filled = series.fill_gaps(every.join(values, ["station", "layer", "epoch"], "left"), ["station", "layer"], "value")
     model = series.cumulate(filled, ["station", "layer"], "value", "m", sign=-1).select("station", "layer", "epoch", "m")
-    tops = surface.join(F.broadcast(stations.select("name", "station")), "name").select("station", "epoch", "d")
+    tops = surface.join(stations.select("name", "station"), "name").select("station", "epoch", "d")
     dense = series.fill_gaps(series.densify(tops, ["station"], n - 1), ["station"], "d")
     insar = series.cumulate(dense, ["station"], "d", "cum", sign=-1).select("station", "epoch", F.col("cum").alias("d"))
     return Inputs(cut(model), cut(insar), stations, depths, n)
