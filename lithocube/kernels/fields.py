@@ -116,6 +116,9 @@ class FieldSearch:
         self.low = last(logs(of("length_scale_min", span * 0.01), 1e-2, of("noise_level_min", 1e-8), 1.0), angles[0])
         self.high = last(logs(of("length_scale_max", span * 4), 1e2, of("noise_level_max", 1.0), most_ratio), angles[1])
         start = np.clip(last(logs(of("length_scale", span * 0.2), 1.0, of("noise_level", 1e-2), 1.5), 0.0), self.low, self.high)
+        self.dx, self.dy = (x[:, k, None] - x[None, :, k] for k in (0, 1))
+        self.r = np.sqrt(self.dx * self.dx + self.dy * self.dy)
+        self.z = (y - y.mean()) / (float(y.std()) or 1.0)
         self.trials = np.vstack([start, self.low + (self.high - self.low) * np.random.default_rng(seed).random((trials, len(start)))])
 
     def made(self, p: np.ndarray) -> Field:
@@ -123,10 +126,26 @@ class FieldSearch:
         return Field(self.x, self.y, float(p[4]) if self.rotated else 0.0, (length, length / np.exp(p[3]) if self.rotated else length), signal, noise)
 
     def cost(self, p: np.ndarray) -> float:
+        """`Field.score` of these parameters, from differences of coordinates that are made once."""
+        length, signal, noise = np.exp(p[:3])
+        if self.rotated:
+            a = np.radians(p[4])
+            u, v = (self.dx * np.cos(a) + self.dy * np.sin(a)) / length, (self.dy * np.cos(a) - self.dx * np.sin(a)) * (np.exp(p[3]) / length)
+            r = np.sqrt(u * u + v * v)
+        else:
+            r = self.r / length
+        n, least = len(self.z), noise + 1e-10
+        k = np.empty((n + 1, n + 1))
+        k[:n, :n] = signal * matern52(r)
+        k[np.arange(n), np.arange(n)] += least
+        k[n, :n] = k[:n, n] = self.z
+        k[n, n] = 1 + self.z @ self.z / least
         try:
-            return self.made(p).score
+            whole = np.linalg.cholesky(k)
         except np.linalg.LinAlgError:
             return np.inf
+        half = whole[n, :n]
+        return float(0.5 * half @ half + np.log(np.diag(whole)[:n]).sum())
 
     def scores(self, part: slice) -> np.ndarray:
         return np.array([self.cost(p) for p in self.trials[part]])

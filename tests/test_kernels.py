@@ -482,6 +482,12 @@ def test_settings_of_tuning_and_bounds_act(spark, small):
     assert np.allclose(np.exp(search.trials[0, [0, 2]]), [3, 0.02]) and search.trials[0, 4] == 20 and ((search.trials >= search.low) & (search.trials <= search.high)).all()
 
 
+@pytest.mark.parametrize("rotated", [False, True])
+def test_cost_of_a_trial_is_the_score_of_its_field(rotated):
+    search = fields.FieldSearch(RNG.random((25, 2)) * 20, RNG.standard_normal(25), rotated, 5.0, 30)
+    assert np.allclose(search.scores(slice(None)), [search.made(p).score for p in search.trials], rtol=1e-6)
+
+
 def test_run_takes_solver_months_and_engine(spark):
     from lithocube.settings import RunConfig
 
